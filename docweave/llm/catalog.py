@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from docweave.llm import suffix_dedup
+from docweave.llm import suffix_dedup, window_dedup
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix_dedup.query,
+    "op7_substring_dedup": window_dedup.query,
 }
 
 ORACLES = {
     "op2_suffix_array_dedup": suffix_dedup.ORACLE,
+    "op7_substring_dedup": window_dedup.ORACLE,
 }
