@@ -12,8 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docweave.llm.blocks import home, packed, pieces
 
@@ -41,11 +41,25 @@ def ids_of(block: pa.Table) -> np.ndarray:
     return block.column("id").combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
+def in_order(block: pa.Table) -> pa.Table:
+    """The rows of a block in an order that every pass over it finds again."""
+    return block.take(pa.compute.sort_indices(block.select(["id", "text"]), sort_keys=[("id", "ascending"), ("text", "ascending")])) if block.num_rows > 1 else block
+
+
+def short_keys(anchors: np.ndarray, homes: int) -> np.ndarray:
+    """Home and 32 bits of each anchor: homes grow with the input, so few anchors of a home share their 32 bits.
+
+    Those that do only let a window pass the filter.
+    """
+    return (home(anchors, homes).astype(np.uint64) << np.uint64(32)) | (anchors & np.uint64(0xFFFFFFFF))
+
+
 def shared_anchors(blocks: DataFrame, homes: int, runs: Callable[[pa.Table], Runs]) -> DataFrame:
     """Notes to every block (tag 0): which of its anchors also stand in another document, and whether they are hot."""
 
     def tell(block: pa.Table) -> pa.Table:
         anchors, _, _, doc = runs(block)
+        anchors = short_keys(anchors, homes)
         ids = ids_of(block)[doc]
         order = np.lexsort((ids, anchors))
         a, d = anchors[order], ids[order]
@@ -54,7 +68,7 @@ def shared_anchors(blocks: DataFrame, homes: int, runs: Callable[[pa.Table], Run
         at = np.flatnonzero(new_a)
         n = np.minimum(np.add.reduceat(new_d.astype(np.int64), at), 255).astype(np.uint8) if len(at) else np.zeros(0, np.uint8)
         a, b = a[at], block.column("block")[0].as_py()
-        rows = [(p, b, packed(a[i:j]), packed(n[i:j])) for p, i, j in pieces(home(a, homes))]
+        rows = [(p, b, packed(a[i:j].astype(np.uint32)), packed(n[i:j])) for p, i, j in pieces(a >> np.uint64(32))]
         return pa.table(
             {
                 "home": pa.array([r[0] for r in rows], pa.int32()),
@@ -66,7 +80,8 @@ def shared_anchors(blocks: DataFrame, homes: int, runs: Callable[[pa.Table], Run
 
     def weigh(group: pa.Table) -> pa.Table:
         names = group.column("block").to_pylist()
-        each = [np.frombuffer(x, np.uint64) for x in group.column("data").to_pylist()]
+        own_home = np.array([group.column("home")[0].as_py()], np.uint32)
+        each = [np.frombuffer(x, np.uint32) for x in group.column("data").to_pylist()]
         anchors = np.concatenate(each)
         n = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("extra").to_pylist()])
         kinds, at = np.unique(anchors, return_inverse=True)
@@ -76,7 +91,7 @@ def shared_anchors(blocks: DataFrame, homes: int, runs: Callable[[pa.Table], Run
         for name, own in zip(names, each, strict=True):
             part = slice(i, i := i + len(own))
             if keep[part].any():
-                rows.append((name, 0, packed(own[keep[part]]), packed(hot[part][keep[part]])))
+                rows.append((name, 0, packed(np.concatenate([own_home, own[keep[part]]])), packed(hot[part][keep[part]])))
         return notes_frame(rows)
 
     told = blocks.groupBy("block").applyInArrow(tell, "home int, block int, data binary, extra binary")
@@ -86,7 +101,8 @@ def shared_anchors(blocks: DataFrame, homes: int, runs: Callable[[pa.Table], Run
 def read_anchors(notes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The block's shared anchors, sorted, and whether each is hot."""
     rows = [(d, e) for t, d, e in zip(*(notes.column(c).to_pylist() for c in ("tag", "data", "extra")), strict=True) if t == 0]
-    a = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(d, np.uint64) for d, _ in rows)])
+    each = [np.frombuffer(d, np.uint32).astype(np.uint64) for d, _ in rows]
+    a = np.concatenate([np.zeros(0, np.uint64), *((x[0] << np.uint64(32)) | x[1:] for x in each)])
     hot = np.concatenate([np.zeros(0, bool), *(np.frombuffer(e, bool) for _, e in rows)])
     order = np.argsort(a)
     return a[order], hot[order]
@@ -106,7 +122,3 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, starts + lengths, -1)
     return np.cumsum(step[:-1]) > 0
-
-
-def grouped(df: DataFrame, key: str):
-    return df.groupBy(F.col(key))

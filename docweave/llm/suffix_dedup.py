@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.blocks import BLOCK_BYTES, buffer_of, dealt_into_blocks, home, mixed, packed, pieces, runs_of, sliding_min
-from docweave.llm.repeats import NOTE, Runs, among, covered, ids_of, notes_frame, read_anchors, shared_anchors
+from docweave.llm.blocks import BLOCK_BYTES, buffer_of, dealt_into_blocks, mixed, packed, pieces, runs_of, sliding_min
+from docweave.llm.repeats import NOTE, Runs, among, covered, ids_of, in_order, notes_frame, read_anchors, shared_anchors, short_keys
 
 QGRAM = 8
 SLICE = 1 << 20
@@ -106,7 +106,7 @@ def refined_buckets(text: np.ndarray, left: np.ndarray, starts: np.ndarray, leng
     return out
 
 
-def stretches(block: pa.Table, notes: pa.Table, length: int, gram: int):
+def stretches(block: pa.Table, notes: pa.Table, length: int, gram: int, homes: int):
     """The distinct stretches of windows that may repeat, and where they stand.
 
     Returns bytes, offsets, per stretch (key, text start, windows), its smallest document,
@@ -114,6 +114,7 @@ def stretches(block: pa.Table, notes: pa.Table, length: int, gram: int):
     """
     buf, offsets, (anchor, start, n, doc) = byte_runs(block, length, gram)
     kinds, hot = read_anchors(notes)
+    anchor = short_keys(anchor, homes)
     ok, at = among(anchor, kinds)
     start, n, doc, key = start[ok], n[ok], doc[ok], anchor[ok]
     is_hot = hot[at[ok]] if len(hot) else np.zeros(len(start), bool)
@@ -135,7 +136,7 @@ def stretches(block: pa.Table, notes: pa.Table, length: int, gram: int):
     key = key[lead].copy()
     for i in np.flatnonzero(one[lead]):
         s = int(start[lead[i]])
-        key[i] = np.uint64(hash_bytes(raw[s : s + length]))
+        key[i] = short_keys(np.array([hash_bytes(raw[s : s + length])], np.uint64), homes)[0]
     return buf, offsets, (key, start[lead], n[lead]), least, (which, start, ids)
 
 
@@ -154,17 +155,17 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     a null id counts as larger than any number. Repeats inside one document stay.
     Other columns of the input are not looked at and not returned. An empty table gives an empty result.
     """
-    gram = max(1, min(16, length // 3))
+    gram = max(1, length // 2)
     blocks, homes = dealt_into_blocks(docs, id_col, text_col, block_bytes)
     notes = shared_anchors(blocks, homes, lambda block: byte_runs(block, length, gram)[2])
 
     def send(block: pa.Table, told: pa.Table) -> pa.Table:
-        rows = []
+        block, rows = in_order(block), []
         if block.num_rows and told.num_rows:
-            buf, _, (key, start, n), least, _ = stretches(block, told, length, gram)
+            buf, _, (key, start, n), least, _ = stretches(block, told, length, gram, homes)
             order = np.argsort(key, kind="stable")
             name = block.column("block")[0].as_py()
-            for p, i, j in pieces(home(key[order], homes)):
+            for p, i, j in pieces(key[order] >> np.uint64(32)):
                 own = order[i:j]
                 raw = b"".join(buf[s : s + m + length - 1].tobytes() for s, m in zip(start[own], n[own], strict=True))
                 rows.append((p, name, packed(own.astype(np.int32)), packed(n[own].astype(np.int32)), packed(least[own]), raw))
@@ -195,10 +196,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return notes_frame([(p, 1, packed(out[order[i:j]]), b"") for p, i, j in pieces(names[order])])
 
     def finish(block: pa.Table, told: pa.Table) -> pa.Table:
+        block = in_order(block)
         if not block.num_rows:
             return pa.table([pa.array([], kind) for kind in (pa.int64(), pa.int64(), SPANS, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
         if told.num_rows:
-            buf, offsets, (_, _, n), least, (which, start, ids) = stretches(block, told, length, gram)
+            buf, offsets, (_, _, n), least, (which, start, ids) = stretches(block, told, length, gram, homes)
             replies = [np.frombuffer(d, np.int32).reshape(-1, 3) for t, d in zip(told.column("tag").to_pylist(), told.column("data").to_pylist(), strict=True) if t == 1]
             reply = np.concatenate([np.zeros((0, 3), np.int32), *replies]).astype(np.int64)
             later = ids > least[which]  # an earlier document of this block holds the same stretch

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.blocks import BLOCK_BYTES, buffer_of, dealt_into_blocks, mixed, packed, runs_of, sliding_min
-from docweave.llm.repeats import Runs, among, covered, ids_of, read_anchors, shared_anchors
+from docweave.llm.repeats import Runs, among, covered, ids_of, read_anchors, shared_anchors, short_keys
 
 #: Odd multipliers of the rolling hashes: over bytes, over words, over words again.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -78,12 +78,12 @@ def word_runs(block: pa.Table, length: int, gram: int):
     return buf, offsets, starts, ends, hashes, heads, runs
 
 
-def likely_windows(block: pa.Table, notes: pa.Table, length: int, gram: int):
+def likely_windows(block: pa.Table, notes: pa.Table, length: int, gram: int, homes: int):
     """The windows that may repeat: first word, two hashes, document id; and what `word_runs` gives."""
     *rest, runs = word_runs(block, length, gram)
     hashes = rest[4]
     anchor, start, n, doc = runs
-    ok, _ = among(anchor, read_anchors(notes)[0])
+    ok, _ = among(short_keys(anchor, homes), read_anchors(notes)[0])
     start, n, doc = start[ok], n[ok], doc[ok]
     back = np.repeat(np.arange(len(start)), n)
     at = start[back] + np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n)
@@ -108,7 +108,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         one, two, low, name = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         if block.num_rows and told.num_rows:
             name = block.column("block")[0].as_py()
-            _, _, one, two, ids = likely_windows(block, told, length, gram)
+            _, _, one, two, ids = likely_windows(block, told, length, gram, homes)
             order = np.lexsort((ids, two, one))
             one, two, ids = one[order], two[order], ids[order]
             new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, bool)
@@ -119,7 +119,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         if not block.num_rows:
             return pa.table([pa.array([], kind) for kind in (pa.int64(), pa.int64(), SPANS, pa.binary())], names=["id", "n_words", "spans", "kept"])
         if told.num_rows:
-            (buf, offsets, starts, ends, _, heads), at, one, two, ids = likely_windows(block, told, length, gram)
+            (buf, offsets, starts, ends, _, heads), at, one, two, ids = likely_windows(block, told, length, gram, homes)
             kinds = np.concatenate([np.zeros((0, 2), np.uint64), *(np.frombuffer(d, np.uint64).reshape(-1, 2) for t, d in zip(told.column("tag").to_pylist(), told.column("data").to_pylist(), strict=True) if t == 1)])
             n = len(kinds)
             both = np.concatenate([kinds, np.stack([one, two], 1)])
