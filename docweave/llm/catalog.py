@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docweave.llm import language_id, mixing, near_dup, suffix_dedup, window_dedup
+from docweave.llm import language_id, mixing, near_dup, suffix_dedup, topk, window_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_suffix_array_dedup": suffix_dedup.query,
     "op3_minhash_near_dedup": near_dup.query,
+    "op4_exact_topk": topk.query,
     "op7_substring_dedup": window_dedup.query,
     "op10_mixing": mixing.query,
 }
@@ -15,6 +16,7 @@ QUERIES = {
 ORACLES = {
     "op2_suffix_array_dedup": suffix_dedup.ORACLE,
     "op3_minhash_near_dedup": near_dup.ORACLE,
+    "op4_exact_topk": topk.ORACLE,
     "op7_substring_dedup": window_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
