@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from docweave.llm import language_id, mixing, near_dup, suffix_dedup, topk, warc, window_dedup
+from docweave.llm import chat, language_id, mixing, near_dup, pii, suffix_dedup, topk, warc, window_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_suffix_array_dedup": suffix_dedup.query,
     "op3_minhash_near_dedup": near_dup.query,
     "op4_exact_topk": topk.query,
+    "op5_chat_format": chat.query,
     "op6_warc": warc.query,
     "op7_substring_dedup": window_dedup.query,
+    "op8_pii_surrogates": pii.query,
     "op10_mixing": mixing.query,
 }
 
@@ -18,6 +20,7 @@ ORACLES = {
     "op2_suffix_array_dedup": suffix_dedup.ORACLE,
     "op3_minhash_near_dedup": near_dup.ORACLE,
     "op4_exact_topk": topk.ORACLE,
+    "op5_chat_format": chat.ORACLE,
     "op6_warc": warc.ORACLE,
     "op7_substring_dedup": window_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
