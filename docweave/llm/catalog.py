@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import chat, language_id, mixing, near_dup, pii, suffix_dedup, topk, warc, window_dedup
+from docweave.llm import chat, decontaminate, language_id, mixing, near_dup, pii, suffix_dedup, topk, warc, window_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.query,
     "op7_substring_dedup": window_dedup.query,
     "op8_pii_surrogates": pii.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_mixing": mixing.query,
 }
 
