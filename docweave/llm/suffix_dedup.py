@@ -140,6 +140,34 @@ def stretches(block: pa.Table, notes: pa.Table, length: int, gram: int, homes: i
     return buf, offsets, (key, start[lead], n[lead]), least, (which, start, ids)
 
 
+def repeated_windows(texts: list[bytes], least: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, first window, windows): the runs of windows of distinct stretches that also stand in a stretch of a smaller `least`.
+
+    Stretches that share their anchor with no other one are left out before the sort.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    text = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
+    anchor = window_anchors(text, length, gram)[np.cumsum(sizes) - sizes]
+    _, at, many = np.unique(anchor, return_inverse=True, return_counts=True)
+    pick = np.flatnonzero(many[at] > 1)
+    if not len(pick):
+        return pick, pick, pick
+    text = np.frombuffer(b"".join([texts[i] for i in pick]) + bytes(8), np.uint8)
+    sizes = sizes[pick]
+    windows = sizes - length + 1
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(ends[-1])
+    owner = np.repeat(np.arange(len(pick)), windows)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    bucket = refined_buckets(text, left, (ends - sizes)[owner] + inside, length)
+    low = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, bucket, least[pick][owner])
+    first = np.zeros(len(owner), bool)
+    first[np.cumsum(windows) - windows] = True
+    a, m = runs_of(np.zeros(len(owner), np.int8), low[bucket] < least[pick][owner], first)
+    return pick[owner[a]], inside[a], m
+
+
 def hash_bytes(x: bytes) -> int:
     import hashlib
 
@@ -176,22 +204,22 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         nth = [np.frombuffer(x, np.int32) for x in column["nth"]]
         windows = np.concatenate([np.frombuffer(x, np.int32) for x in column["windows"]]).astype(np.int64)
         least = np.concatenate([np.frombuffer(x, np.int64) for x in column["least"]])
-        text = np.frombuffer(b"".join(column["raw"]) + bytes(8), np.uint8)
         sizes = windows + length - 1
         ends = np.cumsum(sizes)
-        left = np.repeat(ends, sizes) - np.arange(ends[-1])
-        owner = np.repeat(np.arange(len(windows)), windows)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = (ends - sizes)[owner] + inside
-        bucket = refined_buckets(text, left, starts, length)
-        low = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, bucket, least[owner])
-        gone = low[bucket] < least[owner]
-        first = np.zeros(len(owner), bool)
-        first[np.cumsum(windows) - windows] = True
-        a, m = runs_of(np.zeros(len(owner), np.int8), gone, first)
-        names = np.repeat(np.array(column["block"]), [len(x) for x in nth])[owner[a]]
-        out = np.stack([np.concatenate(nth)[owner[a]], inside[a], m], 1).astype(np.int32) if len(a) else np.zeros((0, 3), np.int32)
+        raw = b"".join(column["raw"])
+        seen: dict[bytes, int] = {}
+        which = np.fromiter((seen.setdefault(raw[i:j], len(seen)) for i, j in zip((ends - sizes).tolist(), ends.tolist(), strict=True)), np.int64, len(ends))
+        low = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(low, which, least)
+        again = least > low[which]  # an earlier document holds the whole stretch
+        run, a, m = repeated_windows(list(seen), low, length, gram)
+        lead = np.flatnonzero(~again)
+        lo, hi = np.searchsorted(run, which[lead], "left"), np.searchsorted(run, which[lead], "right")
+        back = np.repeat(lead, hi - lo)
+        r = np.arange(len(back)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+        owner = np.concatenate([np.flatnonzero(again), back])
+        out = np.stack([np.concatenate(nth)[owner], np.concatenate([np.zeros(again.sum(), np.int64), a[r]]), np.concatenate([windows[again], m[r]])], 1).astype(np.int32)
+        names = np.repeat(np.array(column["block"]), [len(x) for x in nth])[owner]
         order = np.argsort(names, kind="stable")
         return notes_frame([(p, 1, packed(out[order[i:j]]), b"") for p, i, j in pieces(names[order])])
 
