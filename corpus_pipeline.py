@@ -1,7 +1,80 @@
-"""The corpus pipeline: stages over documents."""
-STAGES = []
+"""The corpus pipeline over documents: language identification, near-duplicate removal, benchmark
+decontamination, replacement of personal data, mixing of sources.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again before the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.functions.session import spool, table
+from docweave.llm.decontaminate import contaminated
+from docweave.llm.language_id import identify, is_held_out
+from docweave.llm.mixing import mixture
+from docweave.llm.near_dup import near_duplicates
+from docweave.llm.pii import replace_entities
+
+#: A document stays if its language is recognised with at least this mean probability.
+LEAST_SCORE = 0.5
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go: no text, no letter, or a mean probability below LEAST_SCORE."""
+    seen = identify(docs, docs.where(~is_held_out()))
+    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    hit = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced; n_chars follows the new text."""
+    out = replace_entities(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: a row per repetition (`copy`, from 1), the last one of a source's
+    border document cut to the words taken. `words` is the number of words of the row; documents taken 0 times go.
+    """
+    plan = mixture(docs).where("taken > 0").select(F.col("doc_id").alias("id"), "size", "whole", "part").distinct()
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["id"])).drop("id")
+    copies = F.transform(F.sequence(F.lit(1), (F.col("whole") + (F.col("part") > 0).cast("int")).cast("int")), lambda i: F.struct(i.alias("copy"), F.when(i <= F.col("whole"), F.col("size")).otherwise(F.col("part")).alias("words")))
+    out = joined.withColumn("c", F.explode(copies)).select(*docs.columns, "size", "c.*")
+    # words with the space behind them; space before the first word is a piece of its own
+    pieces = F.regexp_extract_all("text", F.lit(r"^[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    head = F.array_join(F.slice(pieces, F.lit(1), (F.col("words") + lead).cast("int")), "")
+    cut = F.col("words") < F.col("size")
+    return out.withColumn("text", F.when(cut, head).otherwise(F.col("text"))).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("size")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("personal_data", pii_stage),
+    ("mixing", mixing_stage),
+]
+#: A trained network, surrogates and templates have no SQL; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after the other, over the whole of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = spool(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -58,6 +58,9 @@ def canonical_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.
     first = kept_before[starts]
     a = low[first]
     capital = ((a >= 65) & (a <= 90)) | upper2[np.minimum(first + 1, len(low) - 1)]
+    small = ((low >= 97) & (low <= 122)) | ((low >= 0x80) & ~upper2 & (low < 0xC0))
+    before = np.concatenate([[0], np.cumsum(small)])
+    capital &= before[kept_before[ends]] > before[first]  # a text all in capitals has no names
     folded = LOWER[low]
     folded[upper2] += 32
     hashes = word_hashes(folded, first, kept_before[ends])
