@@ -100,7 +100,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     counts as larger than any number. Repeats inside one document stay. Other columns of the input are
     not looked at and not returned. An empty table gives an empty result.
     """
-    gram = max(1, length // 2)
+    gram = max(1, length * 4 // 5)
     blocks, homes = dealt_into_blocks(docs, id_col, text_col, block_bytes)
     notes = shared_anchors(blocks, homes, lambda block: word_runs(block, length, gram)[-1])
 
