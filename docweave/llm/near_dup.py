@@ -28,7 +28,7 @@ from docweave.llm.components import components
 from docweave.llm.window_dedup import BASES, rolling, word_hashes, words_in
 
 BANDS, ROWS = 16, 3
-#: Leaders of a bucket in each round after the first.
+#: Leaders of a bucket in the second round; each later one, with ever fewer buckets, has four times as many.
 LEADERS = 16
 CHUNK_BYTES = 1 << 20
 
@@ -165,24 +165,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = buckets.where("id > lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     done = spool(tested_pairs(pairs, sets, num, den), "tested")
-    labels, led = None, None
+    led, changed, leaders = None, True, LEADERS
     while True:
-        found = components(done.where("linked"))
-        labels = spool(members.join(found, members["id"] == found["node"], "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+        if changed:
+            found = components(done.where("linked"))
+            labels = spool(members.join(found, members["id"] == found["node"], "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
         placed = buckets.select("bucket", "id").join(labels, "id")
         mixed_up = placed.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("label", F.struct("size", "label")).alias("main")).where("kinds > 1")
         open_ = placed.join(mixed_up.select("bucket", "main"), "bucket")
         waiting = open_.where("label <> main")
         if led is not None:
             waiting = waiting.join(led, ["bucket", "id"], "left_anti")
-        turn = waiting.withColumn("turn", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(F.col("turn") <= LEADERS).select("bucket", F.col("id").alias("leader"), F.col("label").alias("own"))
+        turn = waiting.withColumn("turn", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(F.col("turn") <= leaders).select("bucket", F.col("id").alias("leader"), F.col("label").alias("own"))
         turn = spool(turn, "leaders")
         if turn.isEmpty():
             break
         led = (lambda x: x if led is None else led.unionByName(x))(turn.select("bucket", F.col("leader").alias("id")))
         pairs = open_.join(turn, "bucket").where("label <> own").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
         fresh = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        done = done.unionByName(spool(tested_pairs(fresh, sets, num, den), "tested"))
+        tested = spool(tested_pairs(fresh, sets, num, den), "tested")
+        changed, done, leaders = not tested.where("linked").isEmpty(), done.unionByName(tested), 4 * leaders
 
     heads = nodes.select("d1", "d2", "n", F.col("id").alias("head"))
     named = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("d1", "d2", F.col("n").alias("m"), F.coalesce("label", "head").alias("label"))
