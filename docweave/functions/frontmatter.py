@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import markdown as M
@@ -55,10 +55,15 @@ def decode(text: str | None) -> tuple:
     return (None, d.get("type", ""), d.get("title", ""), d.get("description", ""), tags, d.get("verified", ""), d.get("review", ""), edges, extra)
 
 
-@F.pandas_udf(DECODED)
-def decoded(blocks: pd.Series) -> pd.DataFrame:
-    names = ["error", "type", "title", "description", "tags", "verified", "review", "links", "extra"]
-    return pd.DataFrame([decode(b) for b in blocks], columns=names)
+def decoded(blocks: Column) -> Column:
+    """The DECODED struct of a column of frontmatter texts."""
+
+    def run(batch: pd.Series) -> pd.DataFrame:
+        names = ["error", "type", "title", "description", "tags", "verified", "review", "links", "extra"]
+        return pd.DataFrame([decode(b) for b in batch], columns=names)
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, DECODED)(blocks)
 
 
 def docs_of(files: DataFrame) -> DataFrame:

@@ -34,10 +34,9 @@ def body_text(content: Column) -> Column:
 
 def fenced_stretches(lines: Column) -> Column:
     """(from, to) line numbers of fenced code, from 0; a fence ends at the same character, an open one at the end."""
-    marks = F.filter(
-        F.transform(lines, lambda x, k: F.struct(k.alias("k"), F.substring(trimmed(x), 1, 1).alias("c"), trimmed(x).rlike(r"^[`~]{3,}").alias("f"))),
-        lambda z: z["f"],
-    )
+    near = F.filter(F.transform(lines, lambda x, k: F.struct(k.alias("k"), x.alias("x"))), lambda z: z["x"].rlike("[`~]{3}"))
+    marks = F.filter(F.transform(near, lambda z: F.struct(z["k"].alias("k"), trimmed(z["x"]).alias("x"))), lambda z: z["x"].rlike("^[`~]{3,}"))
+    marks = F.transform(marks, lambda z: F.struct(z["k"].alias("k"), F.substring(z["x"], 1, 1).alias("c")))
     none = F.array().cast("array<struct<s:int,e:int>>")
     state = lambda o, b, iv: F.struct(o.alias("o"), b.cast("int").alias("b"), iv.alias("iv"))
     span = lambda b, e: F.array(F.struct(b.cast("int").alias("s"), e.cast("int").alias("e")))
@@ -55,10 +54,15 @@ def plain_lines(content: Column) -> Column:
     """(line from 1, text) of the lines outside of fences."""
     lines = F.split(content, "\n", -1)
     rows = F.transform(lines, lambda x, k: F.struct((k + 1).cast("int").alias("line"), x.alias("text")))
-    fences = fenced_stretches(lines)
-    outside = lambda r: ~F.exists(fences, lambda f: (f["s"] < r["line"]) & (r["line"] <= f["e"] + 1))
+    outside = lambda v: F.filter(v["rows"], lambda r: ~F.exists(v["fences"], lambda f: (f["s"] < r["line"]) & (r["line"] <= f["e"] + 1)))
+    fenced = let(F.struct(rows.alias("rows"), fenced_stretches(lines).alias("fences")), outside)
     # the fold over fences is only worth its price where a fence is
-    return F.when(content.rlike("[`~]{3}"), F.filter(rows, lambda r: outside(r) & (F.size(fences) >= 0))).otherwise(rows)
+    return F.when(content.rlike("[`~]{3}"), fenced).otherwise(rows)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, though lambdas inside use it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def without_inline_code(line: Column) -> Column:

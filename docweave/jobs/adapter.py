@@ -62,7 +62,7 @@ def part_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [
         "'diff --git a b'", "concat('--- a/src/p', k)", "concat('+++ b/src/p', k)", "concat('@@ -10,4 +', CAST(10 + p_partkey % 90 AS STRING), ',5 @@')",
         "concat('-type OldWidget', CAST(p_partkey % 50 AS STRING), ' struct')", "CASE WHEN p_partkey % 3 = 0 THEN concat('+type OldWidget', CAST(p_partkey % 50 AS STRING), ' struct') ELSE ' kept' END",
-        "concat('-const MAX_ITEMS_', CAST(p_partkey % 50 AS STRING), ' = ', CAST(p_partkey % 50 + 10 AS STRING))", "concat('+const MAX_ITEMS_', CAST(p_partkey % 50 AS STRING), ' = ', CAST(p_size + 100 AS STRING))", "'+// footgun: new'", "' end'",
+        "concat('-const MAX_ITEMS_', CAST(p_partkey % 50 AS STRING), ' = ', CAST(p_partkey % 50 + 10 AS STRING))", "concat('+const MAX_ITEMS_', CAST(p_partkey % 50 AS STRING), ' = ', CAST(p_size + 100 AS STRING))", "'+# footgun: new'", "' end'",
     ]
     base = p.selectExpr("*", "CAST(p_partkey AS STRING) AS k")
     rows = base.select("p_partkey", "p_size", "k", F.posexplode(F.array(*[F.expr(x) for x in lines])).alias("pos", "text"))
@@ -102,3 +102,13 @@ def event_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """drift_runs: a run per event, its head from the event's type, findings for most."""
     return table(spark, sf_dir, "events").selectExpr("concat('u', CAST(user_id AS STRING)) AS repo", "ts", "event_id", "concat('h-', event_type) AS head", "CAST(event_id % 4 AS INT) AS n_findings")
+
+
+def part_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files at the head of each range: a footgun declaration on the added line, for every fourth part one line below it."""
+    k = "10 + p_partkey % 90 + 1 + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END"
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('r', CAST(p_partkey % 20 AS STRING)) AS repo", "concat('g', CAST(CAST(floor(p_partkey / 20) AS BIGINT) % 40 AS STRING)) AS range_id",
+        "concat('src/p', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 10 = 9 THEN '.md' ELSE '.go' END) AS path",
+        f"concat(repeat('\\n', CAST({k} AS INT)), '# footgun: new\\n', '# footgun: old')  AS content",
+    )

@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from docweave.jobs import queries
+from docweave.jobs.oracles import ORACLES
+
+QUERIES = {name: getattr(queries, name) for name in queries.NAMES}
+
+__all__ = ["ORACLES", "QUERIES"]

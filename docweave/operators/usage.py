@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The checks, in order.
@@ -31,7 +31,12 @@ def usage_records(repos: DataFrame, findings: DataFrame, checks: list[str], leve
     )
     entry = F.collect_list(F.struct("check", "n", "files", "details"))
     rows = repos.select("repo").distinct().join(own.groupBy("repo").agg(entry.alias("own")), "repo", "left")
-    counts = F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*[F.coalesce(F.get(F.filter("own", lambda x, c=c: x["check"] == c), F.lit(0))["n"], F.lit(0).cast("long")).cast("int") for c in checks]))
+
+    def count_of(check: str) -> Column:
+        found = F.filter("own", lambda x: x["check"] == check)
+        return F.coalesce(F.get(found, F.lit(0))["n"], F.lit(0).cast("long")).cast("int")
+
+    counts = F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*map(count_of, checks)))
     listed = lambda field: F.when(F.size("own") > 0, F.map_from_entries(F.transform(F.array_sort("own"), lambda x: F.struct(x["check"], x[field]))))
     none = F.lit(None).cast("map<string,array<string>>")
     return rows.select("repo", counts.alias("counts"), (listed("files") if level == 2 else none).alias("files"), (listed("details") if level == 3 else none).alias("findings"))
