@@ -12,24 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.markdown import let
 from docweave.functions.session import spool
 
 #: What counts as an entity. First match wins at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"""(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_.-]{8,}""",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"""(?<=[=:\s"'])(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_.-]{8,}""",
     "key_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![A-Za-z0-9])(?:\d{4}[ -]?){3}\d{1,7}(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![A-Za-z0-9])",
-    "name_m": r"(?<=(?<![\p{L}])(?:Mr\.? |Herr |Señor |Monsieur |Господин ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
-    "name_f": r"(?<=(?<![\p{L}])(?:Mrs\.? |Ms\.? |Frau |Señora |Madame |Госпожа ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name_m": r"(?=\p{Lu})(?<= )(?<=(?<![\p{L}])(?:Mr\.? |Herr |Señor |Monsieur |Господин ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name_f": r"(?=\p{Lu})(?<= )(?<=(?<![\p{L}])(?:Mrs\.? |Ms\.? |Frau |Señora |Madame |Госпожа ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Without one of these no pattern can match; a cheap first test of a text.
-HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)|Mrs?\b|Ms\b|Herr |Frau |Señora? |Monsieur |Madame |Господин |Госпожа "
+#: Honorifics before a name; without one of them, and without any of the characters below, no pattern can match.
+HONORIFICS = ("Mr", "Ms", "Herr ", "Frau ", "Señor", "Monsieur ", "Madame ", "Господин ", "Госпожа ")
+HINT = "[0-9@=:]"
 #: Syllables and endings of made-up names by script, endings by gender.
 SYLLABLES = {"latin": ("ba", "be", "da", "do", "fe", "ga", "ka", "le", "lo", "ma", "mi", "na", "ne", "ra", "ro", "so"), "cyrillic": ("ба", "бе", "да", "до", "фе", "га", "ка", "ле", "ло", "ма", "ми", "на", "не", "ра", "ро", "со")}
 ENDINGS = {("latin", "name_m"): "rton", ("latin", "name_f"): "lina", ("cyrillic", "name_m"): "рин", ("cyrillic", "name_f"): "рина"}
@@ -50,24 +52,35 @@ def canonical(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(value)).when(kind == "iban", tight).otherwise(value)
 
 
+def may_hold(text: Column) -> Column:
+    """A cheap first test of a text."""
+    out = text.rlike(HINT)
+    for h in HONORIFICS:
+        out = out | text.contains(h)
+    return out
+
+
 def stream(key: str, kind: Column, canon: Column, attempt: Column, n: Column) -> Column:
     """n keyed numbers from 0 to 255 for a canonical form, without limit of length."""
     block = lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), i.cast("string")).cast("binary"), 512)
     hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 64).cast("int")), block), "")
-    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return let(hexes, lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
 def like(chars: Column, numbers: Column) -> Column:
     """Letter for letter, digit for digit; other characters stay. Hexadecimal texts stay hexadecimal."""
     pick = lambda letters, n: F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
-    is_hex = F.array_join(chars, "").rlike("^[0-9a-f]+$")
-    one = lambda c, n: (
+    one = lambda c, n, is_hex: (
         F.when(c.rlike("^[0-9]$"), pick("0123456789", n))
         .when(c.rlike("^[a-z]$"), F.when(is_hex, pick("abcdef", n)).otherwise(pick("abcdefghijklmnopqrstuvwxyz", n)))
         .when(c.rlike("^[A-Z]$"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
         .otherwise(c)
     )
-    return F.array_join(F.zip_with(chars, numbers, lambda c, n: F.when(c.isNotNull(), one(c, n))), "")
+    whole = let(
+        F.struct(chars.alias("c"), numbers.alias("n"), F.array_join(chars, "").rlike("^[0-9a-f]+$").alias("hex")),
+        lambda v: F.zip_with(v["c"], v["n"], lambda c, n: F.when(c.isNotNull(), one(c, n, v["hex"]))),
+    )
+    return F.array_join(whole, "")
 
 
 def luhn_sum(digits: Column, shift: int) -> Column:
@@ -81,26 +94,35 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of the replacement."""
     chars = F.filter(F.split(canon, ""), lambda c: c != "")
     numbers = stream(key, kind, canon, attempt, F.length(canon) + 8)
-    plain = like(chars, F.slice(numbers, F.lit(1), F.size(chars)))
+    drawn = let(F.struct(chars.alias("chars"), numbers.alias("n")), lambda v: F.struct(like(v["chars"], F.slice(v["n"], F.lit(1), F.size(v["chars"]))).alias("plain"), v["n"].alias("n")))
+    return let(drawn, lambda v: formed(kind, canon, v["plain"], v["n"]))
+
+
+def formed(kind: Column, canon: Column, plain: Column, numbers: Column) -> Column:
+    """The drawn characters in the form of the type."""
     at = lambda i: F.element_at(numbers, i)
     ip = F.concat_ws(".", *[(at(i) % 254 + 1).cast("string") for i in (1, 2, 3, 4)])
-    local = F.substring_index(plain, "@", 1)
     domain = F.concat(F.substring_index(F.substring_index(plain, "@", -1), ".", 1), F.lit(".example"))
+    email = F.concat(F.substring_index(plain, "@", 1), F.lit("@"), domain)
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
     check = F.pmod(10 - luhn_sum(body, 1) % 10, F.lit(10)).cast("string")
     card = F.when(luhn_sum(canon, 0) % 10 == 0, F.concat(body, check)).otherwise(plain)
-    phone = F.concat(F.substring(canon, F.lit(1), F.greatest(F.length(canon) - 10, F.lit(0))), F.substring(plain, F.greatest(F.length(canon) - 10, F.lit(0)) + 1, F.lit(10)))
+    country = F.greatest(F.length(canon) - 10, F.lit(0))
+    phone = F.concat(F.substring(canon, F.lit(1), country), F.substring(plain, country + 1, F.lit(10)))
     key_id = F.concat(F.substring(canon, 1, 4), F.substring(plain, F.lit(5), F.length(plain)))
     iban = F.concat(F.substring(canon, 1, 2), F.substring(plain, F.lit(3), F.length(plain)))
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    syllable = lambda i: F.when(script == "cyrillic", F.element_at(F.array(*map(F.lit, SYLLABLES["cyrillic"])), at(i) % 16 + 1)).otherwise(F.element_at(F.array(*map(F.lit, SYLLABLES["latin"])), at(i) % 16 + 1))
+    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    table = {s: F.array(*map(F.lit, x)) for s, x in SYLLABLES.items()}
+    syllable = lambda i: F.element_at(F.when(script == "cyrillic", table["cyrillic"]).otherwise(table["latin"]), at(i) % 16 + 1)
     ending = F.coalesce(*[F.when((script == s) & (kind == k), F.lit(e)) for (s, k), e in ENDINGS.items()])
     first = F.initcap(F.concat(syllable(1), syllable(2), ending))
-    name = F.when(canon.contains(" "), F.concat(first, F.lit(" "), F.initcap(F.concat(syllable(3), syllable(4), syllable(5), syllable(6))))).otherwise(first)
-    return (
-        F.when(kind == "ip", ip).when(kind == "email", F.concat(local, F.lit("@"), domain)).when(kind == "card", card).when(kind == "phone", phone)
-        .when(kind == "key_id", key_id).when(kind == "iban", iban).when(kind.isin("name_m", "name_f"), name).otherwise(plain)
-    )
+    last = F.initcap(F.concat(syllable(3), syllable(4), syllable(5), syllable(6)))
+    name = F.when(canon.contains(" "), F.concat_ws(" ", first, last)).otherwise(first)
+    forms = {"ip": ip, "email": email, "card": card, "phone": phone, "key_id": key_id, "iban": iban, "name_m": name, "name_f": name}
+    out = plain
+    for k, form in forms.items():
+        out = F.when(kind == k, form).otherwise(out)
+    return out
 
 
 def written_like(kind: Column, value: Column, canon: Column) -> Column:
@@ -152,10 +174,10 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     text = F.col(text_col)
     base = docs.drop("n_entities", "__found", "__hash")
-    marked = base.withColumn("__found", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    marked = base.withColumn("__found", F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     has = F.coalesce(F.size("__found") > 0, F.lit(False))
     clean = marked.where(~has).drop("__found").withColumn("n_entities", F.lit(0))
-    dirty = marked.where(has).withColumn("__hash", F.xxhash64(text))
+    dirty = spool(marked.where(has).withColumn("__hash", F.xxhash64(text)), "with-entities")
     names = {k: F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))) for k in ("name_m", "name_f")}
     kinds = dirty.select(F.explode(F.array_distinct("__found")).alias("value"), names["name_m"].alias("m"), names["name_f"].alias("f"))
     kind = F.when(F.array_contains("f", F.col("value")), "name_f").when(F.array_contains("m", F.col("value")), "name_m").otherwise(entity_type(F.col("value")))
