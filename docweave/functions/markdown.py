@@ -54,7 +54,7 @@ def plain_lines(content: Column) -> Column:
     """(line from 1, text) of the lines outside of fences."""
     lines = F.split(content, "\n", -1)
     rows = F.transform(lines, lambda x, k: F.struct((k + 1).cast("int").alias("line"), x.alias("text")))
-    outside = lambda v: F.filter(v["rows"], lambda r: ~F.exists(v["fences"], lambda f: (f["s"] < r["line"]) & (r["line"] <= f["e"] + 1)))
+    outside = lambda v: F.filter(v["rows"], lambda r: ~F.exists(v["fences"], lambda f: (f["s"] < r["line"]) & (r["line"] - 1 <= f["e"])))
     fenced = let(F.struct(rows.alias("rows"), fenced_stretches(lines).alias("fences")), outside)
     # the fold over fences is only worth its price where a fence is
     return F.when(content.rlike("[`~]{3}"), fenced).otherwise(rows)
