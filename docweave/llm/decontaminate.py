@@ -41,7 +41,7 @@ ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?:\"'»”)"])
 
 
 def canonical_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """Canonical word hashes, whether each is a slot, offsets between texts, and (bytes, starts, ends) of the original words."""
+    """Canonical word hashes, whether each is a slot, offsets between texts, and (bytes, starts, ends, hashes) of the original words."""
     buf, offsets = buffer_of(texts)
     starts, ends = words_in(buf, offsets)
     # words of punctuation only are left out
@@ -51,7 +51,7 @@ def canonical_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.
     starts, ends = starts[some], ends[some]
     heads = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, bool), heads, (buf, starts, ends)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), heads, (buf, starts, ends, np.zeros(0, np.uint64))
     low = buf[KEEP[buf]]
     upper2 = np.zeros(len(low), bool)
     upper2[1:] = (low[:-1] == 0xC3) & HIGH[low[1:]]
@@ -77,8 +77,8 @@ def canonical_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.
     at = np.minimum(np.searchsorted(units, hashes), len(units) - 1)
     unit = (units[at] == hashes) & np.concatenate([[False], number[:-1]]) & ~head & ~number
     name = capital & ~fresh & ~number & ~unit
-    hashes = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, hashes)))
-    return hashes, number | unit | name, heads, (buf, starts, ends)
+    canon = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, hashes)))
+    return canon, number | unit | name, heads, (buf, starts, ends, hashes)
 
 
 def unit_hashes() -> np.ndarray:
@@ -98,10 +98,11 @@ def windows(texts: pa.ChunkedArray, k: int):
     return (roll[at] if len(at) else np.zeros(0, np.uint64)), at, doc, found
 
 
-def window_frame(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np.ndarray | None, first_both: bool = False) -> DataFrame:
+def window_frame(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np.ndarray | None, variants: bool = False) -> DataFrame:
     """(id, pos, hash, places, slots): windows of canonical words, with the word numbers and raw words of their slots.
 
-    wanted: sorted hashes to keep, None for all. first_both: give the windows of a text also as if its first word were a name.
+    wanted: sorted hashes to keep, None for all. variants: give the windows of a text also as if its first word were a
+    name, and with names as plain words, as they stand in a copy without capitals or in capitals only.
     """
     table = np.zeros(1 << 20, bool) if wanted is not None else None
     if wanted is not None:
@@ -109,16 +110,21 @@ def window_frame(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np
 
     def run(batches):
         for t in chunks(batches, "text"):
-            for variant in (False, True) if first_both else (False,):
+            for variant in range(3 if variants else 1):
                 texts = t.column("text")
-                hashes, at, doc, (canon, slot, heads, (buf, starts, ends)) = windows(texts, k)
+                hashes, at, doc, (canon, slot, heads, (buf, starts, ends, plain)) = windows(texts, k)
                 if variant:
-                    head = heads[:-1][np.diff(heads) > 0]
                     canon, slot = canon.copy(), slot.copy()
-                    changed = head[canon[head] != NUM]
-                    canon[changed], slot[changed] = NAME, True
+                    if variant == 1:
+                        head = heads[:-1][np.diff(heads) > 0]
+                        changed = head[canon[head] != NUM]
+                        canon[changed], slot[changed] = NAME, True
+                    else:
+                        changed = np.flatnonzero(canon == NAME)
+                        canon[changed], slot[changed] = plain[changed], False
                     roll = mixed(rolling(canon, k, BASES[1]))
-                    pick = np.isin(at, changed)
+                    before = np.concatenate([[0], np.cumsum(np.isin(np.arange(len(canon)), changed))])
+                    pick = before[at + k] > before[at] if len(at) else np.zeros(0, bool)
                     at, doc = at[pick], doc[pick]
                     hashes = roll[at] if len(at) else np.zeros(0, np.uint64)
                 if wanted is not None:
@@ -128,7 +134,7 @@ def window_frame(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np
                     hashes, at, doc = hashes[near], at[near], doc[near]
                 slots_before = np.concatenate([[0], np.cumsum(slot)])
                 n = slots_before[at + k] - slots_before[at] if len(at) else np.zeros(0, np.int64)
-                if first_both:  # a template of placeholders only says nothing
+                if variants:  # a template of placeholders only says nothing
                     full = n <= k - 2
                     hashes, at, doc, n = hashes[full], at[full], doc[full], n[full]
                 places, raw = [], []
@@ -153,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     taken together; rows of a null id count as one document. Windows with fewer than two plain words are
     left out on the benchmark's side. Other columns are not looked at. Empty tables give an empty result.
     """
-    items = window_frame(benchmark, item_col, item_text, k, None, first_both=True).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
+    items = window_frame(benchmark, item_col, item_text, k, None, variants=True).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
     kinds = items.select("hash").distinct()
     n = kinds.count()
     wanted = None
