@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.session import spool
 from docweave.llm.blocks import buffer_of, mixed
 from docweave.llm.near_dup import chunks
 from docweave.llm.window_dedup import BASES, rolling, word_hashes, words_in
@@ -166,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if n <= FILTER_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in kinds.toLocalIterator()], np.int64).view(np.uint64))
     totals = items.groupBy("item").agg(F.countDistinct("item_pos").alias("n_windows"))
-    hits = window_frame(docs, id_col, text_col, k, wanted).join(items, "hash")
+    hits = spool(window_frame(docs, id_col, text_col, k, wanted).join(items, "hash"), "hits")
     found = hits.groupBy("id", "item").agg(F.countDistinct("item_pos").alias("n_found"))
     enough = found.join(totals, "item").where(F.col("n_found") >= F.lit(cover) * F.col("n_windows"))
     # a document value belongs to an item value if no other does more often
