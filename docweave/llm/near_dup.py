@@ -7,9 +7,8 @@ bands ** 2 tables. So 2 * bands * rows minhashes serve bands ** 2 tables of
 
 Documents with the same shingle set are one node. In each table bucket the members are
 first compared with the smallest one. Where a bucket still holds several
-components, members outside its largest component are compared with the members of other
-components, a few leaders a round, until no untested pair of different components in a bucket is left.
-So no bucket emits all its pairs, and no bucket is cut off.
+components, its members outside the largest one are compared with all members of other
+components, block by block. So no bucket emits its pairs as rows, and no bucket is cut off.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions.session import spool
@@ -28,8 +26,8 @@ from docweave.llm.components import components
 from docweave.llm.window_dedup import BASES, rolling, word_hashes, words_in
 
 BANDS, ROWS = 16, 3
-#: Leaders of a bucket in the second round; each later one, with ever fewer buckets, has four times as many.
-LEADERS = 16
+#: Sets packed together for the second comparison, and rows of buckets looked at together.
+BLOCK_SETS, PART_ROWS = 128, 200_000
 CHUNK_BYTES = 1 << 20
 
 
@@ -116,8 +114,8 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, members binary")
 
 
-def tested_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked): whether den * |intersection| >= num * |union| for each pair, on the full sets."""
+def linked_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) with den * |intersection| >= num * |union|, on the full sets."""
 
     def run(batches):
         for t in batches:
@@ -126,14 +124,103 @@ def tested_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("right"))
     near = F.least("na", "nb") * den >= F.greatest("na", "nb") * num  # else the sizes alone rule it out
-    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
-    joined = sized.where(near).select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(run, "a long, b long, linked boolean").unionByName(sized.where(~near).select("a", "b", F.lit(False).alias("linked")))
+    joined = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "left", "right")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def named_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) of all members: the smallest id that links reach, or the own one."""
+    found = components(links)
+    return spool(members.join(found, members["id"] == found["node"], "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+
+
+def linked_outsiders(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the links between different components in the same bucket. open_: bucket, id, label, lead.
+
+    Buckets with the same smallest member, which share most of their pairs, are looked at together, in parts of bounded size; each part
+    gives every pair of an outsider (a member outside the bucket's largest component) and a member of another
+    component once. Sets are packed by family into blocks, and a pair of blocks is brought together once for all its pairs.
+    """
+    family = open_.groupBy("id").agg(F.min("lead").alias("family"))
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("long").alias("parts"))
+    block = family.join(sizes, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    block = spool(block, "blocks")
+    weight = open_.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("long").alias("parts"))
+    dealt = open_.join(weight, "lead").withColumn("part", F.xxhash64("lead", F.pmod(F.xxhash64("bucket", F.lit(1)), F.col("parts")))).drop("parts", "lead").join(block, "id")
+
+    def pairs_of(rows: pa.Table) -> pa.Table:
+        bucket, ids, label, block = (rows.column(c).combine_chunks().to_numpy() for c in ("bucket", "id", "label", "block"))
+        order = np.argsort(bucket, kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+        names, code = np.unique(ids, return_inverse=True)
+        home = np.zeros(len(names), np.int64)
+        home[code] = block
+        seen, fresh, size = np.zeros(0, np.int64), [], 0
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            own = order[i:j]
+            kinds, at, many = np.unique(label[own], return_inverse=True, return_counts=True)
+            out = np.flatnonzero(at != many.argmax())
+            for part in np.array_split(out, max(1, len(out) * len(own) // 1_000_000)):
+                x, y = np.nonzero(at[part][:, None] != at[None, :])
+                x, y = code[own[part[x]]], code[own[y]]
+                fresh.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
+                size += len(fresh[-1])
+                if size > 2_000_000:
+                    seen, fresh, size = np.unique(np.concatenate([seen, *fresh])), [], 0
+        seen = np.unique(np.concatenate([seen, *fresh]))
+        a, b = seen // len(names), seen % len(names)
+        swap = home[a] > home[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        order = np.lexsort((home[b], home[a]))
+        a, b = a[order], b[order]
+        new = np.flatnonzero(np.concatenate([[True], (home[a][1:] != home[a][:-1]) | (home[b][1:] != home[b][:-1])])) if len(a) else np.zeros(0, np.int64)
+        stop = np.concatenate([new[1:], [len(a)]]).astype(np.int64) if len(new) else new
+        data = [packed(np.stack([names[a[i:j]], names[b[i:j]]], 1)) for i, j in zip(new, stop, strict=True)]
+        return pa.table([pa.array(home[a[new]]), pa.array(home[b[new]]), pa.array(data, pa.binary())], names=["left", "right", "pairs"])
+
+    asked = dealt.groupBy("part").applyInArrow(pairs_of, "left long, right long, pairs binary").groupBy("left", "right").agg(F.collect_list("pairs").alias("pairs"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        size = rows.column("n").combine_chunks().to_numpy()
+        data = b"".join(rows.column("members").to_pylist())
+        return pa.table([rows.column("block").slice(0, 1), pa.array([packed(rows.column("id").combine_chunks().to_numpy())], pa.binary()), pa.array([packed(size)], pa.binary()), pa.array([data], pa.binary())], names=["block", "ids", "sizes", "data"])
+
+    blocks = spool(sets.join(block, "id").groupBy("block").applyInArrow(pack, "block long, ids binary, sizes binary, data binary"), "packed-sets")
+    side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "sizes", "data")])
+
+    def test(batches):
+        for t in batches:
+            for r in t.to_pylist():
+                found = []
+                own = {}
+                for s in ("left", "right"):
+                    ids = np.frombuffer(r[f"{s}_ids"], np.int64)
+                    sizes = np.frombuffer(r[f"{s}_sizes"], np.int64)
+                    order = np.argsort(ids)
+                    own[s] = ids[order], order, sizes, np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(r[f"{s}_data"], np.uint64)
+                pairs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in r["pairs"]]), axis=0)
+                place = [own[s][1][np.searchsorted(own[s][0], pairs[:, i])] for i, s in enumerate(("left", "right"))]
+                _, _, na, at, flat = own["left"]
+                _, _, nb, bt, other = own["right"]
+                for x in np.unique(place[0]):
+                    mine = np.flatnonzero(place[0] == x)
+                    y = place[1][mine]
+                    members = flat[at[x] : at[x + 1]]
+                    hit = np.concatenate([[0], np.cumsum(members[np.minimum(np.searchsorted(members, other), len(members) - 1)] == other)])
+                    both = hit[bt[y + 1]] - hit[bt[y]]
+                    found.append(pairs[mine[den * both >= num * (na[x] + nb[y] - both)]])
+                if found:
+                    found = np.concatenate(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    met = asked.join(side("left"), "left").join(side("right"), "right")
+    return spool(met.mapInArrow(test, "a long, b long"), "tested")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -164,27 +251,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = spool(sets_of(texts.join(members, "id", "left_semi"), k), "sets")
 
     pairs = buckets.where("id > lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    done = spool(tested_pairs(pairs, sets, num, den), "tested")
-    led, changed, leaders = None, True, LEADERS
-    while True:
-        if changed:
-            found = components(done.where("linked"))
-            labels = spool(members.join(found, members["id"] == found["node"], "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-        placed = buckets.select("bucket", "id").join(labels, "id")
-        mixed_up = placed.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("label", F.struct("size", "label")).alias("main")).where("kinds > 1")
-        open_ = placed.join(mixed_up.select("bucket", "main"), "bucket")
-        waiting = open_.where("label <> main")
-        if led is not None:
-            waiting = waiting.join(led, ["bucket", "id"], "left_anti")
-        turn = waiting.withColumn("turn", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(F.col("turn") <= leaders).select("bucket", F.col("id").alias("leader"), F.col("label").alias("own"))
-        turn = spool(turn, "leaders")
-        if turn.isEmpty():
-            break
-        led = (lambda x: x if led is None else led.unionByName(x))(turn.select("bucket", F.col("leader").alias("id")))
-        pairs = open_.join(turn, "bucket").where("label <> own").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
-        fresh = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        tested = spool(tested_pairs(fresh, sets, num, den), "tested")
-        changed, done, leaders = not tested.where("linked").isEmpty(), done.unionByName(tested), 4 * leaders
+    links = spool(linked_pairs(pairs, sets, num, den), "links")
+    labels = named_components(members, links)
+    placed = buckets.join(labels, "id")
+    unsettled = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    open_ = spool(placed.join(unsettled, "bucket"), "unsettled")
+    more = linked_outsiders(open_, sets, num, den)
+    if not more.isEmpty():
+        labels = named_components(members, links.unionByName(more))
 
     heads = nodes.select("d1", "d2", "n", F.col("id").alias("head"))
     named = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("d1", "d2", F.col("n").alias("m"), F.coalesce("label", "head").alias("label"))

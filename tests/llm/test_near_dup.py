@@ -42,9 +42,10 @@ def rows_for(rng, n=120):
     return rows + [(200, None), (201, ""), (202, " \n"), (203, "one"), (204, "ONE")]
 
 
-@pytest.mark.parametrize("leaders", [1, 16])
-def test_equals_brute_force(spark, leaders, monkeypatch):
-    monkeypatch.setattr("docweave.llm.near_dup.LEADERS", leaders)
+@pytest.mark.parametrize("rows_together", [3, 200_000])
+def test_equals_brute_force(spark, rows_together, monkeypatch):
+    monkeypatch.setattr("docweave.llm.near_dup.PART_ROWS", rows_together)
+    monkeypatch.setattr("docweave.llm.near_dup.BLOCK_SETS", 2 if rows_together == 3 else 128)
     rows = rows_for(random.Random(4))
     df = spark.createDataFrame([(i, t, "x", 9) for i, t in rows], "doc_id long, text string, id string, n int").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, k=4).collect()}
