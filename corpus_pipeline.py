@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docweave.functions.session import spool, table
 from docweave.llm.decontaminate import contaminated
 from docweave.llm.language_id import identify, is_held_out
-from docweave.llm.mixing import mixture
+from docweave.llm.mixing import mixture, n_words
 from docweave.llm.near_dup import near_duplicates
 from docweave.llm.pii import replace_entities
 
@@ -48,9 +48,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row per repetition (`copy`, from 1), the last one of a source's
     border document cut to the words taken. `words` is the number of words of the row; documents taken 0 times go.
+    Rows that share id and size are taken alike.
     """
-    plan = mixture(docs).where("taken > 0").select(F.col("doc_id").alias("id"), "size", "whole", "part").distinct()
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["id"])).drop("id")
+    taken = mixture(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id"), "size").agg(F.max("whole").alias("whole"), F.max("part").alias("part"))
+    sized = docs.withColumn("size_", n_words(F.col("text")))
+    joined = sized.join(taken, sized["doc_id"].eqNullSafe(taken["id"]) & (sized["size_"] == taken["size"])).drop("id", "size_")
     copies = F.transform(F.sequence(F.lit(1), (F.col("whole") + (F.col("part") > 0).cast("int")).cast("int")), lambda i: F.struct(i.alias("copy"), F.when(i <= F.col("whole"), F.col("size")).otherwise(F.col("part")).alias("words")))
     out = joined.withColumn("c", F.explode(copies)).select(*docs.columns, "size", "c.*")
     # words with the space behind them; space before the first word is a piece of its own
