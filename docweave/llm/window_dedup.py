@@ -158,7 +158,9 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         return pa.table([pa.array([group.column("block")[0].as_py()], pa.int32()), pa.array([1], pa.int32()), pa.array([packed(data)], pa.binary()), pa.array([b""], pa.binary())], names=["block", "tag", "data", "extra"])
 
     sent = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(send, "one long, two long, least long, block int")
-    counts = sent.groupBy("one", "two").agg(F.count("*").alias("n_blocks"), F.min("least").alias("first_id")).where("n_blocks > 1")
+    # a hash has a row per block at most, so one exchange serves both the count and the way back
+    sent = sent.where("one is not null and two is not null and least is not null and block is not null").repartition("one", "two")
+    counts = sent.groupBy("one", "two").agg(F.count("block").alias("n_blocks"), F.min("least").alias("first_id")).where("n_blocks > 1")
     earlier = sent.join(counts, ["one", "two"]).where("first_id < least").select("block", "one", "two")
     replies = earlier.groupBy("block").applyInArrow(pack, "block int, tag int, data binary, extra binary")
     out = blocks.groupBy("block").cogroup(notes.unionByName(replies).groupBy("block")).applyInArrow(finish, "id long, n_words long, spans array<struct<from: long, to: long>>, kept binary")
