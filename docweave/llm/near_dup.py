@@ -148,10 +148,11 @@ def linked_outsiders(open_: DataFrame, sets: DataFrame, num: int, den: int) -> D
     component once. Sets are packed by family into blocks, and a pair of blocks is brought together once for all its pairs.
     """
     family = open_.groupBy("id").agg(F.min("lead").alias("family"))
-    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("long").alias("parts"))
+    # written, so that Spark can split a large family in the joins below
+    sizes = spool(family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("long").alias("parts")), "sizes")
     block = family.join(sizes, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
     block = spool(block, "blocks")
-    weight = open_.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("long").alias("parts"))
+    weight = spool(open_.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("long").alias("parts")), "weights")
     dealt = open_.join(weight, "lead").withColumn("part", F.xxhash64("lead", F.pmod(F.xxhash64("bucket", F.lit(1)), F.col("parts")))).drop("parts", "lead").join(block, "id")
 
     def pairs_of(rows: pa.Table) -> pa.Table:
