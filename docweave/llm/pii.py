@@ -18,7 +18,7 @@ from docweave.functions.session import spool
 #: What counts as an entity. First match wins at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"""(?<=[=:\s"'])(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_.-]{8,}""",
+    "secret": r"""(?<=[=:\s"'])(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{8,}""",
     "key_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
@@ -91,15 +91,17 @@ def luhn_sum(digits: Column, shift: int) -> Column:
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The canonical form of the replacement."""
-    chars = F.filter(F.split(canon, ""), lambda c: c != "")
-    numbers = stream(key, kind, canon, attempt, F.length(canon) + 8)
+    """The canonical form of the replacement. Forms with few values grow with the attempt, so that every entity finds one of its own."""
+    more = F.when(kind.isin("secret", "email", "phone"), F.greatest(attempt - 3, F.lit(0))).otherwise(0)
+    padded = F.when(kind == "email", F.concat(F.repeat(F.lit("0"), more), canon)).otherwise(F.concat(canon, F.repeat(F.lit("0"), more)))
+    chars = F.filter(F.split(padded, ""), lambda c: c != "")
+    numbers = stream(key, kind, canon, attempt, F.length(padded) + 8 + attempt)
     drawn = let(F.struct(chars.alias("chars"), numbers.alias("n")), lambda v: F.struct(like(v["chars"], F.slice(v["n"], F.lit(1), F.size(v["chars"]))).alias("plain"), v["n"].alias("n")))
-    return let(drawn, lambda v: formed(kind, canon, v["plain"], v["n"]))
+    return let(drawn, lambda v: formed(kind, canon, v["plain"], v["n"], attempt))
 
 
-def formed(kind: Column, canon: Column, plain: Column, numbers: Column) -> Column:
-    """The drawn characters in the form of the type."""
+def formed(kind: Column, canon: Column, plain: Column, numbers: Column, attempt: Column) -> Column:
+    """The drawn characters in the form of the type; names have a syllable more for each attempt."""
     at = lambda i: F.element_at(numbers, i)
     ip = F.concat_ws(".", *[(at(i) % 254 + 1).cast("string") for i in (1, 2, 3, 4)])
     domain = F.concat(F.substring_index(F.substring_index(plain, "@", -1), ".", 1), F.lit(".example"))
@@ -108,14 +110,16 @@ def formed(kind: Column, canon: Column, plain: Column, numbers: Column) -> Colum
     check = F.pmod(10 - luhn_sum(body, 1) % 10, F.lit(10)).cast("string")
     card = F.when(luhn_sum(canon, 0) % 10 == 0, F.concat(body, check)).otherwise(plain)
     country = F.greatest(F.length(canon) - 10, F.lit(0))
-    phone = F.concat(F.substring(canon, F.lit(1), country), F.substring(plain, country + 1, F.lit(10)))
+    phone = F.concat(F.substring(canon, F.lit(1), country), F.substring(plain, country + 1, F.length(plain)))
     key_id = F.concat(F.substring(canon, 1, 4), F.substring(plain, F.lit(5), F.length(plain)))
     iban = F.concat(F.substring(canon, 1, 2), F.substring(plain, F.lit(3), F.length(plain)))
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     table = {s: F.array(*map(F.lit, x)) for s, x in SYLLABLES.items()}
-    syllable = lambda i: F.element_at(F.when(script == "cyrillic", table["cyrillic"]).otherwise(table["latin"]), at(i) % 16 + 1)
+    said = lambda n: F.element_at(F.when(script == "cyrillic", table["cyrillic"]).otherwise(table["latin"]), n % 16 + 1)
+    syllable = lambda i: said(at(i))
+    longer = F.array_join(F.transform(F.slice(numbers, F.lit(7), attempt), said), "")
     ending = F.coalesce(*[F.when((script == s) & (kind == k), F.lit(e)) for (s, k), e in ENDINGS.items()])
-    first = F.initcap(F.concat(syllable(1), syllable(2), ending))
+    first = F.initcap(F.concat(syllable(1), syllable(2), longer, ending))
     last = F.initcap(F.concat(syllable(3), syllable(4), syllable(5), syllable(6)))
     name = F.when(canon.contains(" "), F.concat_ws(" ", first, last)).otherwise(first)
     forms = {"ip": ip, "email": email, "card": card, "phone": phone, "key_id": key_id, "iban": iban, "name_m": name, "name_f": name}
@@ -129,9 +133,10 @@ def written_like(kind: Column, value: Column, canon: Column) -> Column:
     """The surrogate in the spelling of the found value: digits into the places of its digits, case as found."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
     nth = lambda i, keep: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), keep, ""))
+    rest = F.substring(canon, F.length(F.regexp_replace(value, "[^0-9]", "")) + 1, F.length(canon))  # of a form that grew
     spaced = lambda keep, inside: F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(inside), F.substring(canon, nth(i, keep), F.lit(1))).otherwise(c)), "")
     return (
-        F.when(kind.isin("phone", "card", "ssn"), spaced("[^0-9]", "^[0-9]$"))
+        F.when(kind.isin("phone", "card", "ssn"), F.concat(spaced("[^0-9]", "^[0-9]$"), rest))
         .when(kind == "iban", spaced(" ", "^[^ ]$"))
         .when((kind == "email") & value.rlike("^[^a-z]+$"), F.upper(canon))
         .otherwise(canon)

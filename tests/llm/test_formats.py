@@ -109,6 +109,16 @@ def test_surrogates_never_collide(spark, monkeypatch):
     assert len(set(out)) == 21 and "ip 1.1.1.1" not in out
 
 
+def test_small_surrogate_spaces_settle(spark):
+    letters = "abcdefghijklmnopqrst"
+    names = [f"Q{a}{b}" for a in letters for b in letters][:300]
+    texts = [f"Mr. {n} came" for n in names] + ["password: ________", *[f"password=_______{i}" for i in range(10)], "to _@-.com", "to _@-.org", "to +@-.net"]
+    out = replaced(spark, texts)
+    assert out[300] == texts[300] and len(set(out)) == len(texts)
+    assert all(a != b for a, b in zip(out, texts, strict=True) if a != texts[300])
+    assert not {t.split()[1] for t in out[:300]} & set(names)
+
+
 ITEM = "What is the total distance in km if Alice drives 120 km to the coast and then Bob drives another 45 km back home"
 
 
