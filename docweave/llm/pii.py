@@ -2,7 +2,9 @@
 
 Found entities are reduced to canonical forms (a phone number to its digits, an address to lower case), so that
 every spelling of an entity gets the same surrogate. A surrogate is drawn from keyed SHA-512 digests of type
-and canonical form, letter for letter and digit for digit; names keep their gender and script. Two
+and canonical form, letter for letter and digit for digit; names keep their gender and script. A name behind an honorific
+is replaced word by word, each word by its own surrogate, and so are later mentions of these words, alone or together, in
+the same document: 'Mr. John Smith', 'John Smith' and 'Smith' stay one person. Two
 entities never share a surrogate and none is an entity of the corpus itself: those that collide draw again until
 all differ. Only documents with entities are shuffled.
 """
@@ -35,6 +37,8 @@ HINT = "[0-9@=:]"
 #: Syllables and endings of made-up names by script, endings by gender.
 SYLLABLES = {"latin": ("ba", "be", "da", "do", "fe", "ga", "ka", "le", "lo", "ma", "mi", "na", "ne", "ra", "ro", "so"), "cyrillic": ("ба", "бе", "да", "до", "фе", "га", "ка", "ле", "ло", "ма", "ми", "на", "не", "ра", "ро", "со")}
 ENDINGS = {("latin", "name_m"): "rton", ("latin", "name_f"): "lina", ("cyrillic", "name_m"): "рин", ("cyrillic", "name_f"): "рина"}
+#: Capitalised words with one space between them: where names are mentioned again.
+MENTION = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*(?![\p{L}\p{N}_])"
 
 
 def entity_type(value: Column) -> Column:
@@ -118,11 +122,9 @@ def formed(kind: Column, canon: Column, plain: Column, numbers: Column, attempt:
     said = lambda n: F.element_at(F.when(script == "cyrillic", table["cyrillic"]).otherwise(table["latin"]), n % 16 + 1)
     syllable = lambda i: said(at(i))
     longer = F.array_join(F.transform(F.slice(numbers, F.lit(7), attempt), said), "")
-    ending = F.coalesce(*[F.when((script == s) & (kind == k), F.lit(e)) for (s, k), e in ENDINGS.items()])
-    first = F.initcap(F.concat(syllable(1), syllable(2), longer, ending))
-    last = F.initcap(F.concat(syllable(3), syllable(4), syllable(5), syllable(6)))
-    name = F.when(canon.contains(" "), F.concat_ws(" ", first, last)).otherwise(first)
-    forms = {"ip": ip, "email": email, "card": card, "phone": phone, "key_id": key_id, "iban": iban, "name_m": name, "name_f": name}
+    ending = F.coalesce(*[F.when((script == s) & (kind == k), F.lit(e)) for (s, k), e in ENDINGS.items()], F.concat(syllable(3), syllable(4)))
+    name = F.initcap(F.concat(syllable(1), syllable(2), longer, ending))
+    forms = {"ip": ip, "email": email, "card": card, "phone": phone, "key_id": key_id, "iban": iban, "name_m": name, "name_f": name, "name": name}
     out = plain
     for k, form in forms.items():
         out = F.when(kind == k, form).otherwise(out)
@@ -143,12 +145,25 @@ def written_like(kind: Column, value: Column, canon: Column) -> Column:
     )
 
 
+def name_words(names: DataFrame) -> DataFrame:
+    """(kind, word) of the words of found names (kind, value): the gender of a word's first names, else of its last names; 'name' for both."""
+    words = F.split("value", " ")
+    each = names.select("kind", (F.size(words) > 1).alias("two"), F.posexplode(words).alias("at", "word"))
+    first = F.col("two") & (F.col("at") == 0)
+    genders = each.groupBy("word").agg(F.collect_set(F.when(first, F.col("kind"))).alias("first"), F.collect_set(F.when(~first, F.col("kind"))).alias("last"))
+    own = F.when(F.size("first") > 0, F.col("first")).otherwise(F.col("last"))
+    return genders.select(F.when(F.size(own) > 1, "name").otherwise(F.element_at(own, 1)).alias("kind"), "word")
+
+
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """(value, replacement) for found (kind, value): keyed, distinct, the same for all spellings of an entity.
+    """(value, kind, replacement) for found (kind, value): keyed, distinct, the same for all spellings of an entity.
 
-    Entities whose surrogates meet, or meet an entity of the corpus, draw again; the smallest keeps its own.
+    Names are drawn word by word. Entities whose surrogates meet, or meet an entity of the corpus, draw again; the smallest keeps its own.
     """
-    forms = spool(found.distinct().withColumn("canon", canonical(F.col("kind"), F.col("value"))), "forms")
+    is_name = F.col("kind").startswith("name")
+    found = spool(found, "found")
+    names = found.where(is_name).distinct()
+    forms = spool(found.where(~is_name).distinct().withColumn("canon", canonical(F.col("kind"), F.col("value"))).unionByName(name_words(names).select("kind", F.col("word").alias("value"), F.col("word").alias("canon"))), "forms")
     open_ = forms.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
     canons = forms.select(F.col("canon").alias("taken")).distinct()
     settled = None
@@ -168,11 +183,29 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
         if again.isEmpty():
             break
         open_ = again.select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
-    return forms.join(settled, ["kind", "canon"]).select("value", "kind", written_like(F.col("kind"), F.col("value"), F.col("surrogate")).alias("replacement"))
+    rest = forms.where(~is_name).join(settled, ["kind", "canon"]).select("value", "kind", written_like(F.col("kind"), F.col("value"), F.col("surrogate")).alias("replacement"))
+    words = settled.where(is_name).select(F.col("canon").alias("word"), "surrogate")
+    each = names.select("kind", "value", F.posexplode(F.split("value", " ")).alias("at", "word")).join(words, "word")
+    whole = each.groupBy("value", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("w"))
+    return rest.unionByName(whole.select("value", "kind", F.array_join(F.col("w.surrogate"), " ").alias("replacement")))
+
+
+def mentions(piece: Column, swap: Column, words: Column) -> Column:
+    """(text, n): text between entities with the words of the document's names replaced, and how many mentions there were.
+
+    swap: the document's found values; two words that stand there as one name are one mention.
+    """
+    known = lambda w: F.element_at(words, w).isNotNull()
+    runs = F.transform(F.regexp_extract_all(piece, F.lit(MENTION), F.lit(0)), lambda r: F.split(r, " "))
+    joined = lambda w, i, ws: known(w) & ((i == 0) | F.element_at(swap, F.concat_ws(" ", F.element_at(ws, F.greatest(i, F.lit(1))), w)).isNull())
+    put = lambda p, ws: F.concat(F.coalesce(p, F.lit("")), F.coalesce(F.array_join(F.transform(ws, lambda w: F.coalesce(F.element_at(words, w), w)), " "), F.lit("")))
+    text = lambda rs: F.array_join(F.zip_with(F.split(piece, MENTION, -1), rs, put), "")
+    n = lambda rs: F.aggregate(F.transform(rs, lambda ws: F.size(F.filter(ws, lambda w, i: joined(w, i, ws)))), F.lit(0), lambda a, x: a + x)
+    return let(runs, lambda rs: F.struct(text(rs).alias("text"), n(rs).alias("n")))
 
 
 def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "docweave") -> DataFrame:
-    """Replace every entity in `text_col` by its surrogate; adds n_entities (occurrences).
+    """Replace every entity in `text_col` by its surrogate; adds n_entities (occurrences, later mentions of names included).
 
     All other columns and rows stay as they are; null texts stay null with 0 entities. Input columns called
     n_entities are replaced. Rows with the same id and text are treated alike. An empty table gives an empty result.
@@ -188,12 +221,20 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = F.when(F.array_contains("f", F.col("value")), "name_f").when(F.array_contains("m", F.col("value")), "name_m").otherwise(entity_type(F.col("value")))
     # one type for each value, or spellings would part
     found = kinds.select("value", kind.alias("kind")).groupBy("value").agg(F.min("kind").alias("kind"))
-    table = surrogates(found, key).select("value", "replacement")
+    table = surrogates(found, key).select("value", "replacement", F.col("kind").startswith("name").alias("name"))
     each = dirty.select(F.col(id_col).alias("__id"), "__hash", F.explode(F.array_distinct("__found")).alias("value")).distinct()
-    swaps = each.join(table, "value").groupBy("__id", F.col("__hash").alias("__h")).agg(F.map_from_entries(F.collect_list(F.struct("value", "replacement"))).alias("__swap"))
+    own_words = F.flatten(F.collect_list(F.when(F.col("name"), F.arrays_zip(F.split("value", " ").alias("word"), F.split("replacement", " ").alias("surrogate")))))
+    swaps = each.join(table, "value").groupBy("__id", F.col("__hash").alias("__h")).agg(
+        F.map_from_entries(F.collect_list(F.struct("value", "replacement"))).alias("__swap"), F.map_from_entries(F.array_distinct(own_words)).alias("__words")
+    )
     joined = dirty.join(swaps, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
-    pieces = F.zip_with(F.split(text, ANY, -1), "__found", lambda p, v: F.concat(F.coalesce(p, F.lit("")), F.coalesce(F.element_at("__swap", v), v, F.lit(""))))
-    swapped = joined.withColumn("__text", F.array_join(pieces, "")).withColumn("n_entities", F.size("__found"))
+    between = F.split(text, ANY, -1)
+    again = F.transform(between, lambda p: mentions(p, F.col("__swap"), F.col("__words")))
+    plain = F.transform(between, lambda p: F.struct(p.alias("text"), F.lit(0).alias("n")))
+    cut = joined.withColumn("__pieces", F.when(F.size("__words") > 0, again).otherwise(plain))
+    pieces = F.zip_with("__pieces", "__found", lambda p, v: F.concat(F.coalesce(p["text"], F.lit("")), F.coalesce(F.element_at("__swap", v), v, F.lit(""))))
+    n_again = F.aggregate("__pieces", F.lit(0), lambda a, p: a + p["n"])
+    swapped = cut.withColumn("__text", F.array_join(pieces, "")).withColumn("n_entities", F.size("__found") + n_again)
     columns = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns]
     return clean.unionByName(swapped.select(*columns, "n_entities"))
 

@@ -119,6 +119,19 @@ def test_small_surrogate_spaces_settle(spark):
     assert not {t.split()[1] for t in out[:300]} & set(names)
 
 
+def test_later_mentions_of_a_name_follow_it(spark):
+    text = "Mr. John Smith came. John Smith said that Smith's car left. Mr. Smith met Mrs. Ada Smith, and Goldsmith saw Ada Smith. Then John Smith, mail John@x.org"
+    df = spark.createDataFrame([(1, text), (2, "John Smith and 4111 1111 1111 1111"), (3, "Mr. Smith")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_entities(df).collect()}
+    words = out[1].text.split()
+    john, smith, ada = words[1], words[2].rstrip("."), words[15]
+    mail = words[-1]
+    assert len({john, smith, ada, "John", "Smith", "Ada"}) == 6 and mail != "John@x.org"
+    assert out[1].text == text.replace("John@x.org", mail).replace("John", john).replace("Smith", smith).replace("Ada", ada)
+    assert out[1].n_entities == 8 and out[3].text == f"Mr. {smith}"
+    assert out[2].text.startswith("John Smith and ") and out[2].n_entities == 1
+
+
 ITEM = "What is the total distance in km if Alice drives 120 km to the coast and then Bob drives another 45 km back home"
 
 
