@@ -31,8 +31,9 @@ PATTERNS = {
     "name_f": r"(?=\p{Lu})(?<= )(?<=(?<![\p{L}])(?:Mrs\.? |Ms\.? |Frau |Señora |Madame |Госпожа ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Honorifics before a name; without one of them, and without any of the characters below, no pattern can match.
+#: Honorifics before a name and heads of key ids; without one of them, and without any of the characters below, no pattern can match.
 HONORIFICS = ("Mr", "Ms", "Herr ", "Frau ", "Señor", "Monsieur ", "Madame ", "Господин ", "Госпожа ")
+KEY_HEADS = ("AKIA", "ASIA")
 HINT = "[0-9@=:]"
 #: Syllables and endings of made-up names by script, endings by gender.
 SYLLABLES = {"latin": ("ba", "be", "da", "do", "fe", "ga", "ka", "le", "lo", "ma", "mi", "na", "ne", "ra", "ro", "so"), "cyrillic": ("ба", "бе", "да", "до", "фе", "га", "ка", "ле", "ло", "ма", "ми", "на", "не", "ра", "ро", "со")}
@@ -59,7 +60,7 @@ def canonical(kind: Column, value: Column) -> Column:
 def may_hold(text: Column) -> Column:
     """A cheap first test of a text."""
     out = text.rlike(HINT)
-    for h in HONORIFICS:
+    for h in (*HONORIFICS, *KEY_HEADS):
         out = out | text.contains(h)
     return out
 
