@@ -6,6 +6,10 @@ with those of the benchmark items. A document is contaminated by an item if it h
 more of the item's windows and its slots are consistent: each value in a slot of the item
 stands for one value in the document, but for a share of 1 - `cover` of the slots. So a copy with new numbers or names is
 caught as well as a copy word for word.
+
+Items whose copies word for word could not be found so, being too short or mostly numbers and names, are also looked
+for by windows of `k` plain words, or by all their words if there are fewer; a share of `cover` of these makes a
+document contaminated.
 """
 
 from __future__ import annotations
@@ -99,18 +103,39 @@ def windows(texts: pa.ChunkedArray, k: int):
     return (roll[at] if len(at) else np.zeros(0, np.uint64)), at, doc, found
 
 
-def window_frame(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np.ndarray | None, variants: bool = False) -> DataFrame:
-    """(id, pos, hash, places, slots): windows of canonical words, with the word numbers and raw words of their slots.
+def plain_windows(words: np.ndarray, heads: np.ndarray, size: int, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of `size` plain words within the texts marked in `texts`: hash, first word, text number."""
+    roll = mixed(rolling(words, size, BASES[1]) + np.uint64(0x51ED270B7F4A7C15 * size % 2**64))
+    n = np.where(texts, np.maximum(np.diff(heads) - size + 1, 0), 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    at = np.repeat(heads[:-1], n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    return (roll[at] if len(at) else np.zeros(0, np.uint64)), at, doc
+
+
+def window_frame(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np.ndarray | None, variants: bool = False, cover: float = 0.8, sizes: tuple[int, ...] = ()) -> DataFrame:
+    """(id, pos, hash, places, slots, size): windows of canonical words, with the word numbers and raw words of their slots.
 
     wanted: sorted hashes to keep, None for all. variants: give the windows of a text also as if its first word were a
-    name, and with names as plain words, as they stand in a copy without capitals or in capitals only.
+    name, and with names as plain words, as they stand in a copy without capitals or in capitals only; and give the
+    plain windows, at places below 0, of texts whose own canonical windows do not reach `cover` of all of these. sizes: give plain windows
+    of so many words too, each once for a text. `size` is the number of words of a plain window, else 0.
     """
     table = np.zeros(1 << 20, bool) if wanted is not None else None
     if wanted is not None:
         table[wanted & np.uint64((1 << 20) - 1)] = True
 
+    names = ["id", "pos", "hash", "places", "slots", "size"]
+
+    def held(hashes: np.ndarray) -> np.ndarray:
+        if wanted is None:
+            return np.arange(len(hashes))
+        near = np.flatnonzero(table[hashes & np.uint64((1 << 20) - 1)])
+        place = np.minimum(np.searchsorted(wanted, hashes[near]), max(len(wanted) - 1, 0))
+        return near[wanted[place] == hashes[near]] if len(wanted) else near[:0]
+
     def run(batches):
         for t in chunks(batches, "text"):
+            usable, own = [], np.zeros(0, np.int64)
             for variant in range(3 if variants else 1):
                 texts = t.column("text")
                 hashes, at, doc, (canon, slot, heads, (buf, starts, ends, plain)) = windows(texts, k)
@@ -128,48 +153,68 @@ def window_frame(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np
                     pick = before[at + k] > before[at] if len(at) else np.zeros(0, bool)
                     at, doc = at[pick], doc[pick]
                     hashes = roll[at] if len(at) else np.zeros(0, np.uint64)
-                if wanted is not None:
-                    near = np.flatnonzero(table[hashes & np.uint64((1 << 20) - 1)])
-                    place = np.minimum(np.searchsorted(wanted, hashes[near]), max(len(wanted) - 1, 0))
-                    near = near[wanted[place] == hashes[near]] if len(wanted) else near[:0]
-                    hashes, at, doc = hashes[near], at[near], doc[near]
+                near = held(hashes)
+                hashes, at, doc = hashes[near], at[near], doc[near]
                 slots_before = np.concatenate([[0], np.cumsum(slot)])
                 n = slots_before[at + k] - slots_before[at] if len(at) else np.zeros(0, np.int64)
                 if variants:  # a template of placeholders only says nothing
                     full = n <= k - 2
                     hashes, at, doc, n = hashes[full], at[full], doc[full], n[full]
+                    usable.append(at)
+                    if not variant:  # without the first word's window, which is another one inside a text
+                        own = at[at > heads[doc]]
                 places, raw = [], []
                 for i, m in zip(at.tolist(), n.tolist(), strict=True):
                     own = (np.flatnonzero(slot[i : i + k]) if m else np.zeros(0, np.int64)).tolist()
                     places.append([i - heads[np.searchsorted(heads, i, "right") - 1] + j for j in own])
                     raw.append([buf[starts[i + j] : ends[i + j]].tobytes().decode("utf-8", "replace").strip(".,;:!?\"'()") for j in own])
                 yield pa.RecordBatch.from_arrays(
-                    [t.column("id").combine_chunks().take(pa.array(doc)), pa.array(at - heads[doc] if len(at) else at, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(places, pa.list_(pa.int64())), pa.array(raw, pa.list_(pa.string()))],
-                    names=["id", "pos", "hash", "places", "slots"],
+                    [t.column("id").combine_chunks().take(pa.array(doc)), pa.array(at - heads[doc] if len(at) else at, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(places, pa.list_(pa.int64())), pa.array(raw, pa.list_(pa.string())), pa.array(np.zeros(len(at), np.int32))],
+                    names=names,
+                )
+            words = np.diff(heads)
+            text_of = lambda at: np.bincount(np.searchsorted(heads, at, "right") - 1, minlength=len(words))
+            if variants:
+                every = text_of(np.unique(np.concatenate(usable)))
+                short = (every == 0) | (text_of(own) < cover * every)
+            for size in range(1, k + 1) if variants else sizes:
+                hashes, at, doc = plain_windows(plain, heads, size, short & (np.minimum(words, k) == size) if variants else words > 0)
+                near = held(hashes)
+                if not variants:
+                    near = near[np.sort(np.unique(np.stack([doc[near], hashes[near].view(np.int64)], 1), axis=0, return_index=True)[1])]
+                hashes, at, doc = hashes[near], at[near], doc[near]
+                none = [[]] * len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [t.column("id").combine_chunks().take(pa.array(doc)), pa.array(heads[doc] - at - 1, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.string())), pa.array(np.full(len(at), size, np.int32))],
+                    names=names,
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, pos long, hash long, places array<long>, slots array<string>")
+    return rows.mapInArrow(run, "id long, pos long, hash long, places array<long>, slots array<string>, size int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 5, cover: float = 0.8) -> DataFrame:
     """(id, item_id, n_windows, n_found, n_slots, n_changed): the items that each contaminated document holds.
 
     n_windows and n_found: windows of the item and those found; n_slots: slots in these, n_changed: slots whose value differs.
-    Items of fewer than k words and null texts on either side take no part. Rows that share an id are
-    taken together; rows of a null id count as one document. Windows with fewer than two plain words are
-    left out on the benchmark's side. Other columns are not looked at. Empty tables give an empty result.
+    Items without a word and null texts on either side take no part; shorter items are found word for word, whatever
+    signs stand between their words. Windows and slots of an item found by plain words are those of its plain words. Rows that share an id are
+    taken together; rows of a null id count as one document. Canonical windows with fewer than two plain words
+    are left out on the benchmark's side. Other columns are not looked at. Empty tables give an empty result.
     """
-    items = window_frame(benchmark, item_col, item_text, k, None, variants=True).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
+    items = window_frame(benchmark, item_col, item_text, k, None, variants=True, cover=cover).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "size")
+    sizes = tuple(sorted(r[0] for r in items.where("size > 0").select("size").distinct().collect()))
+    items = items.withColumn("plain", F.col("size") > 0).drop("size")
     kinds = items.select("hash").distinct()
     n = kinds.count()
     wanted = None
     if n <= FILTER_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in kinds.toLocalIterator()], np.int64).view(np.uint64))
-    totals = items.groupBy("item").agg(F.countDistinct("item_pos").alias("n_windows"))
-    hits = spool(window_frame(docs, id_col, text_col, k, wanted).join(items, "hash"), "hits")
-    found = hits.groupBy("id", "item").agg(F.countDistinct("item_pos").alias("n_found"))
-    enough = found.join(totals, "item").where(F.col("n_found") >= F.lit(cover) * F.col("n_windows"))
+    totals = items.groupBy("item", "plain").agg(F.countDistinct("item_pos").alias("n_windows"))
+    hits = spool(window_frame(docs, id_col, text_col, k, wanted, sizes=sizes).drop("size").join(items, "hash"), "hits")
+    found = hits.groupBy("id", "item", "plain").agg(F.countDistinct("item_pos").alias("n_found"))
+    reached = found.join(totals, ["item", "plain"]).where(F.col("n_found") >= F.lit(cover) * F.col("n_windows"))
+    enough, copied = reached.where("not plain"), reached.where("plain")
     # a document value belongs to an item value if no other does more often
     zipped = hits.where(F.size("slots") > 0).select("id", "item", F.explode(F.arrays_zip(F.col("places"), F.col("slots").alias("value"), F.col("item_slots").alias("asked"))).alias("z"))
     pairs = zipped.select("id", "item", "z.*").distinct().groupBy("id", "item", "asked", "value").agg(F.count("*").alias("n"))
@@ -180,7 +225,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.col("e.id").alias(id_col), F.col("e.item").alias(item_col), "n_windows", "n_found",
         F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"), F.coalesce("n_same", F.lit(0)).alias("n_same"),
     )
-    return out.where(F.col("n_same") >= F.lit(cover) * F.col("n_slots")).drop("n_same")
+    by_template = out.where(F.col("n_same") >= F.lit(cover) * F.col("n_slots")).drop("n_same").withColumn("plain", F.lit(False))
+    if not sizes:
+        return by_template.drop("plain")
+    none = F.lit(0).cast("long")
+    by_words = copied.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found", none.alias("n_slots"), none.alias("n_changed"), "plain")
+    # found both ways: as a template
+    values = F.struct("plain", "n_windows", "n_found", "n_slots", "n_changed")
+    return by_template.unionByName(by_words).groupBy(id_col, item_col).agg(F.min(values).alias("v")).select(id_col, item_col, "v.n_windows", "v.n_found", "v.n_slots", "v.n_changed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -156,6 +156,13 @@ def test_templates_catch_new_parameters(spark):
     assert hits(spark, []) == set() and hits(spark, docs, ((2, "too short"),)) == set()
 
 
+def test_items_without_templates_are_found_word_for_word(spark):
+    items = ((1, "What is 17 * 23?"), (2, "12 + 7 * 3 = 40, 5 + 9 = 14"), (3, "Alice Bob Carol Dave met Erin and Frank Grace Heidi"), (4, "?!"), (5, ITEM))
+    docs = [(1, "Question. What is 17 * 23? Think."), (2, f"so {items[1][1]} holds"), (3, f"Today {items[2][1]} there"), (4, items[2][1]), (5, "What is 18 * 23?"), (6, "12 + 7 and 40"), (7, "?! what is"), (8, f"ask {ITEM}"), (9, "what is 17 23 " * 50)]
+    want = {(1, 1), (2, 2), (3, 3), (4, 3), (8, 5), (9, 1)}
+    assert {(d, i) for d, i, _ in hits(spark, docs, items)} == want
+
+
 def test_inconsistent_slots_are_let_go(spark):
     item = "take 1 and add 1 to get 1 then use 1 and keep 1 for all 1 of the 1 boxes with 1 of them and 1 more then 1"
     words, n = item.split(), iter(range(10, 99))
