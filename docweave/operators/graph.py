@@ -204,17 +204,18 @@ def cycle_paths(arcs: DataFrame) -> DataFrame:
     return cyclic_core(arcs).groupBy("repo").applyInPandas(walk, "repo string, cycle string")
 
 
-def part_of_tree(docs: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
+def part_of_tree(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, root, path, depth, trail): the part-of hierarchy from docs without a parent; children of several parents repeat.
 
-    A document that is already on its own trail is not entered again; `depth` bounds the walk.
+    A document that is already on its own trail is not entered again, which ends the walk.
     """
     part = edges.where("rel = 'part-of'").select("repo", F.col("src").alias("child"), F.col("dst").alias("parent")).distinct()
     part = spool(part, "part-of")
     heads = docs.where("has_frontmatter and error is null").select("repo", "path").distinct().join(part.select("repo", F.col("child").alias("path")), ["repo", "path"], "left_anti")
     level = spool(heads.select("repo", F.col("path").alias("root"), "path", F.lit(0).alias("depth"), F.array("path").alias("trail")), "level")
-    out = level
-    for d in range(1, depth + 1):
+    out, d = level, 0
+    while True:
+        d += 1
         down = level.join(part, (level["repo"] == part["repo"]) & (level["path"] == part["parent"])).select(level["repo"], "root", F.col("child").alias("path"), F.lit(d).alias("depth"), "trail").where(~F.array_contains("trail", F.col("path")))
         level = spool(down.withColumn("trail", F.concat("trail", F.array("path"))), "level")
         if level.isEmpty():

@@ -74,6 +74,13 @@ def test_tree_stops_at_repeats(spark):
     assert sorted((r.path, r.depth) for r in tree.collect()) == [("a.md", 1), ("b.md", 2), ("root.md", 0)]
 
 
+def test_tree_has_no_depth_limit(spark):
+    docs = spark.createDataFrame([("r", f"d{i:02}.md", True, None) for i in range(68)], "repo string, path string, has_frontmatter boolean, error string").coalesce(1)
+    edges = spark.createDataFrame([("r", f"d{i + 1:02}.md", f"d{i:02}.md", "part-of") for i in range(67)], "repo string, src string, dst string, rel string").coalesce(1)
+    deepest = graph.part_of_tree(docs, edges).where("depth > 64").select("path", "depth").collect()
+    assert sorted(map(tuple, deepest)) == [("d65.md", 65), ("d66.md", 66), ("d67.md", 67)]
+
+
 def test_graph_json_has_empty_lists(spark):
     import json
 
