@@ -1,4 +1,4 @@
-"""Session helpers: reading the given tables and finding the shared folder."""
+"""Session helpers: reading the given tables, the shared folder, and tables written to it on the way."""
 
 from __future__ import annotations
 
@@ -16,11 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset, as in local tests, a temporary folder is taken and set.
+    Where it is unset, a local session (all tasks in one process) takes a temporary folder; on a cluster that is an error, as
+    no folder of one machine can be read by the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docweave-")
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -35,4 +39,27 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spooled_at = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what `spool` wrote for these frames, once everything made from them has been written itself.
+
+    Frames that were not spooled, and None, are passed over.
+    """
+    for f in frames:
+        path = getattr(f, "spooled_at", None) if f is not None else None
+        if path:
+            spark = f.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(name: str, *taken: list[str]) -> str:
+    """`name`, with underscores behind it until no column is called so, whatever the case."""
+    have = {c.lower() for names in taken for c in names}
+    while name.lower() in have:
+        name += "_"
+    return name
