@@ -2,11 +2,12 @@
 
 Found entities are reduced to canonical forms (a phone number to its digits, an address to lower case), so that
 every spelling of an entity gets the same surrogate. A surrogate is drawn from keyed SHA-512 digests of type
-and canonical form, letter for letter and digit for digit; names keep their gender and script. A name behind an honorific
-is replaced word by word, each word by its own surrogate, and so are later mentions of these words, alone or together, in
-the same document: 'Mr. John Smith', 'John Smith' and 'Smith' stay one person. Two
+and canonical form, letter for letter and digit for digit; names keep their gender and script. A name behind a title or a
+label is replaced word by word, each word by its own surrogate, and so are all other mentions of these words, alone or together,
+in capitals too, in the same document: 'Mr. John Smith', 'John Smith' and 'SMITH' stay one person. Two
 entities never share a surrogate and none is an entity of the corpus itself: those that collide draw again until
-all differ. Only documents with entities are shuffled.
+all differ. Only documents with entities are shuffled: every place of an entity is a row of its own, joined with the
+table of surrogates and put back by its position, so a document with very many entities costs no more for each of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.markdown import let
-from docweave.functions.session import spool
+from docweave.functions.session import release, spool
 
 #: What counts as an entity. First match wins at a place.
 PATTERNS = {
@@ -27,25 +28,35 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![A-Za-z0-9])(?:\d{4}[ -]?){3}\d{1,7}(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![A-Za-z0-9])",
-    "name_m": r"(?=\p{Lu})(?<= )(?<=(?<![\p{L}])(?:Mr\.? |Herr |Señor |Monsieur |Господин ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
-    "name_f": r"(?=\p{Lu})(?<= )(?<=(?<![\p{L}])(?:Mrs\.? |Ms\.? |Frau |Señora |Madame |Госпожа ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name_m": r"(?=\p{Lu})(?<= )(?<=(?<![\p{L}])(?:Mr\.? |Herr |Señor |Monsieur |Господин |Κύριος |Κύριε ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name_f": r"(?=\p{Lu})(?<= )(?<=(?<![\p{L}])(?:Mrs\.? |Ms\.? |Miss |Frau |Señora |Madame |Госпожа |Κυρία ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name_n": r"(?=\p{Lu})(?<= )(?<=(?<![\p{L}])(?:Dr\.? |Prof\.? |Professor |Dear |[Mm]y name is |(?:Name|Author|Contact|Signed)(?: by)?: ))\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
+NAMES = ("name_m", "name_f", "name_n")
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Honorifics before a name and heads of key ids; without one of them, and without any of the characters below, no pattern can match.
-HONORIFICS = ("Mr", "Ms", "Herr ", "Frau ", "Señor", "Monsieur ", "Madame ", "Господин ", "Госпожа ")
+#: Titles before a name and heads of key ids; without one of them, and without any of the characters below, no pattern can match.
+HONORIFICS = ("Mr", "Ms", "Miss ", "Herr ", "Frau ", "Señor", "Monsieur ", "Madame ", "Господин ", "Госпожа ", "Κύρι", "Κυρία ", "Dr", "Prof", "Dear ", "y name is ")
 KEY_HEADS = ("AKIA", "ASIA")
 HINT = "[0-9@=:]"
 #: Syllables and endings of made-up names by script, endings by gender.
-SYLLABLES = {"latin": ("ba", "be", "da", "do", "fe", "ga", "ka", "le", "lo", "ma", "mi", "na", "ne", "ra", "ro", "so"), "cyrillic": ("ба", "бе", "да", "до", "фе", "га", "ка", "ле", "ло", "ма", "ми", "на", "не", "ра", "ро", "со")}
-ENDINGS = {("latin", "name_m"): "rton", ("latin", "name_f"): "lina", ("cyrillic", "name_m"): "рин", ("cyrillic", "name_f"): "рина"}
-#: Capitalised words with one space between them: where names are mentioned again.
-MENTION = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*(?![\p{L}\p{N}_])"
+SYLLABLES = {
+    "latin": ("ba", "be", "da", "do", "fe", "ga", "ka", "le", "lo", "ma", "mi", "na", "ne", "ra", "ro", "so"),
+    "cyrillic": ("ба", "бе", "да", "до", "фе", "га", "ка", "ле", "ло", "ма", "ми", "на", "не", "ра", "ро", "со"),
+    "greek": ("βα", "βε", "δα", "δο", "φε", "γα", "κα", "λε", "λο", "μα", "μι", "να", "νε", "ρα", "ρο", "σο"),
+    "armenian": ("բա", "բե", "դա", "դո", "ֆե", "գա", "կա", "լե", "լո", "մա", "մի", "նա", "նե", "րա", "րո", "սո"),
+}
+ENDINGS = {
+    ("latin", "name_m"): "rton", ("latin", "name_f"): "lina", ("cyrillic", "name_m"): "рин", ("cyrillic", "name_f"): "рина",
+    ("greek", "name_m"): "νης", ("greek", "name_f"): "νια", ("armenian", "name_m"): "րեն", ("armenian", "name_f"): "նիկ",
+}
+#: A capitalised word, or one in capitals: where a name may be mentioned again.
+MENTION = r"(?<![\p{L}\p{N}_])(?:\p{Lu}\p{Ll}++|\p{Lu}{2,}+)(?![\p{L}\p{N}_])"
 
 
 def entity_type(value: Column) -> Column:
     """The type of a found value; what follows a secret's label and has no form of its own is a secret."""
     out = F.lit("secret")
-    whole = {k: p for k, p in PATTERNS.items() if k not in ("secret", "name_m", "name_f")}
+    whole = {k: p for k, p in PATTERNS.items() if k not in ("secret", "name_m", "name_f", "name_n")}
     for kind, pattern in reversed(whole.items()):
         out = F.when(value.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     return out
@@ -95,6 +106,13 @@ def luhn_sum(digits: Column, shift: int) -> Column:
     return F.aggregate(F.transform(d, step), F.lit(0), lambda a, x: a + x)
 
 
+def remainder(text: Column) -> Column:
+    """The text as a number, letters counting as 10 to 35, modulo 97: what the check digits of an account number rest on."""
+    code = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), code)
+    return F.aggregate(codes, F.lit(0), lambda a, x: F.when(x < 10, a * 10 + x).otherwise(a * 100 + x) % 97)
+
+
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of the replacement. Forms with few values grow with the attempt, so that every entity finds one of its own."""
     more = F.when(kind.isin("secret", "email", "phone"), F.greatest(attempt - 3, F.lit(0))).otherwise(0)
@@ -117,15 +135,20 @@ def formed(kind: Column, canon: Column, plain: Column, numbers: Column, attempt:
     country = F.greatest(F.length(canon) - 10, F.lit(0))
     phone = F.concat(F.substring(canon, F.lit(1), country), F.substring(plain, country + 1, F.length(plain)))
     key_id = F.concat(F.substring(canon, 1, 4), F.substring(plain, F.lit(5), F.length(plain)))
-    iban = F.concat(F.substring(canon, 1, 2), F.substring(plain, F.lit(3), F.length(plain)))
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    table = {s: F.array(*map(F.lit, x)) for s, x in SYLLABLES.items()}
-    said = lambda n: F.element_at(F.when(script == "cyrillic", table["cyrillic"]).otherwise(table["latin"]), n % 16 + 1)
+    account = F.substring(plain, F.lit(5), F.length(plain))
+    checked = F.lpad((98 - remainder(F.concat(account, F.substring(canon, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(F.substring(canon, 1, 2), checked, account)
+    script, table = F.lit("latin"), F.array(*map(F.lit, SYLLABLES["latin"]))
+    for s in SYLLABLES:
+        if s != "latin":
+            own = canon.rlike(rf"\p{{Is{s.capitalize()}}}")
+            script, table = F.when(own, s).otherwise(script), F.when(own, F.array(*map(F.lit, SYLLABLES[s]))).otherwise(table)
+    said = lambda n: F.element_at(table, n % 16 + 1)
     syllable = lambda i: said(at(i))
     longer = F.array_join(F.transform(F.slice(numbers, F.lit(7), attempt), said), "")
     ending = F.coalesce(*[F.when((script == s) & (kind == k), F.lit(e)) for (s, k), e in ENDINGS.items()], F.concat(syllable(3), syllable(4)))
     name = F.initcap(F.concat(syllable(1), syllable(2), longer, ending))
-    forms = {"ip": ip, "email": email, "card": card, "phone": phone, "key_id": key_id, "iban": iban, "name_m": name, "name_f": name, "name": name}
+    forms = {"ip": ip, "email": email, "card": card, "phone": phone, "key_id": key_id, "iban": iban, "name_m": name, "name_f": name, "name_n": name}
     out = plain
     for k, form in forms.items():
         out = F.when(kind == k, form).otherwise(out)
@@ -147,19 +170,20 @@ def written_like(kind: Column, value: Column, canon: Column) -> Column:
 
 
 def name_words(names: DataFrame) -> DataFrame:
-    """(kind, word) of the words of found names (kind, value): the gender of a word's first names, else of its last names; 'name' for both."""
+    """(kind, word) of the words of found names (kind, value): the gender of a word's first names, else of its last names; 'name_n' for both."""
     words = F.split("value", " ")
     each = names.select("kind", (F.size(words) > 1).alias("two"), F.posexplode(words).alias("at", "word"))
     first = F.col("two") & (F.col("at") == 0)
     genders = each.groupBy("word").agg(F.collect_set(F.when(first, F.col("kind"))).alias("first"), F.collect_set(F.when(~first, F.col("kind"))).alias("last"))
     own = F.when(F.size("first") > 0, F.col("first")).otherwise(F.col("last"))
-    return genders.select(F.when(F.size(own) > 1, "name").otherwise(F.element_at(own, 1)).alias("kind"), "word")
+    return genders.select(F.when(F.size(own) > 1, "name_n").otherwise(F.element_at(own, 1)).alias("kind"), "word")
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """(value, kind, replacement) for found (kind, value): keyed, distinct, the same for all spellings of an entity.
+    """(value, kind, replacement) for found (kind, value): keyed, distinct, the same for all spellings of an entity; written.
 
-    Names are drawn word by word. Entities whose surrogates meet, or meet an entity of the corpus, draw again; the smallest keeps its own.
+    Names are drawn word by word; the words stand in the result too, as kind `word`. Entities whose surrogates meet, or meet an entity of the
+    corpus, draw again; the smallest keeps its own. Forms of few values grow with each draw, so the draws end.
     """
     is_name = F.col("kind").startswith("name")
     found = spool(found, "found")
@@ -167,7 +191,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     forms = spool(found.where(~is_name).distinct().withColumn("canon", canonical(F.col("kind"), F.col("value"))).unionByName(name_words(names).select("kind", F.col("word").alias("value"), F.col("word").alias("canon"))), "forms")
     open_ = forms.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
     canons = forms.select(F.col("canon").alias("taken")).distinct()
-    settled = None
+    settled, rounds = None, []
     while True:
         drawn = open_.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         first = drawn.groupBy("surrogate").agg(F.min(F.struct("canon", "kind")).alias("owner"))
@@ -178,6 +202,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
             judged = judged.withColumn("used", F.lit(None).cast("string"))
         good = F.col("taken").isNull() & F.col("used").isNull() & (F.col("owner") == F.struct("canon", "kind"))
         judged = spool(judged.select("kind", "canon", "attempt", "surrogate", F.coalesce(good, F.lit(False)).alias("good")), "drawn")
+        rounds.append(judged)
         fine = judged.where("good").select("kind", "canon", "surrogate")
         settled = fine if settled is None else settled.unionByName(fine)
         again = judged.where("not good")
@@ -188,56 +213,58 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     words = settled.where(is_name).select(F.col("canon").alias("word"), "surrogate")
     each = names.select("kind", "value", F.posexplode(F.split("value", " ")).alias("at", "word")).join(words, "word")
     whole = each.groupBy("value", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("w"))
-    return rest.unionByName(whole.select("value", "kind", F.array_join(F.col("w.surrogate"), " ").alias("replacement")))
-
-
-def mentions(piece: Column, swap: Column, words: Column) -> Column:
-    """(text, n): text between entities with the words of the document's names replaced, and how many mentions there were.
-
-    swap: the document's found values; two words that stand there as one name are one mention.
-    """
-    known = lambda w: F.element_at(words, w).isNotNull()
-    runs = F.transform(F.regexp_extract_all(piece, F.lit(MENTION), F.lit(0)), lambda r: F.split(r, " "))
-    joined = lambda w, i, ws: known(w) & ((i == 0) | F.element_at(swap, F.concat_ws(" ", F.element_at(ws, F.greatest(i, F.lit(1))), w)).isNull())
-    put = lambda p, ws: F.concat(F.coalesce(p, F.lit("")), F.coalesce(F.array_join(F.transform(ws, lambda w: F.coalesce(F.element_at(words, w), w)), " "), F.lit("")))
-    text = lambda rs: F.array_join(F.zip_with(F.split(piece, MENTION, -1), rs, put), "")
-    n = lambda rs: F.aggregate(F.transform(rs, lambda ws: F.size(F.filter(ws, lambda w, i: joined(w, i, ws)))), F.lit(0), lambda a, x: a + x)
-    return let(runs, lambda rs: F.struct(text(rs).alias("text"), n(rs).alias("n")))
+    out = rest.unionByName(whole.select("value", "kind", F.array_join(F.col("w.surrogate"), " ").alias("replacement")))
+    out = spool(out.unionByName(words.select(F.col("word").alias("value"), F.lit("word").alias("kind"), F.col("surrogate").alias("replacement"))), "surrogates")
+    release(found, forms, *rounds)
+    return out
 
 
 def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "docweave") -> DataFrame:
-    """Replace every entity in `text_col` by its surrogate; adds n_entities (occurrences, later mentions of names included).
+    """Replace every entity in `text_col` by its surrogate; adds n_entities (places replaced; words of a name side by side are one place).
 
-    All other columns and rows stay as they are; null texts stay null with 0 entities. Input columns called
-    n_entities are replaced. Rows with the same id and text are treated alike. An empty table gives an empty result.
+    All other columns and rows stay as they are, whatever they are called, but for an input column n_entities, which is
+    replaced. Rows count by themselves: null and repeated ids, and repeated rows, are treated by their own text; `id_col` is not
+    looked at. Null and empty texts stay as they are, with 0 entities. Texts of any length are read whole, and cost in
+    proportion to their entities. An empty table gives an empty result.
     """
-    text = F.col(text_col)
-    base = docs.drop("n_entities", "__found", "__hash")
-    marked = base.withColumn("__found", F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    has = F.coalesce(F.size("__found") > 0, F.lit(False))
-    clean = marked.where(~has).drop("__found").withColumn("n_entities", F.lit(0))
-    dirty = spool(marked.where(has).withColumn("__hash", F.xxhash64(text)), "with-entities")
-    names = {k: F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))) for k in ("name_m", "name_f")}
-    kinds = dirty.select(F.explode(F.array_distinct("__found")).alias("value"), names["name_m"].alias("m"), names["name_f"].alias("f"))
-    kind = F.when(F.array_contains("f", F.col("value")), "name_f").when(F.array_contains("m", F.col("value")), "name_m").otherwise(entity_type(F.col("value")))
+    names = [c for c in docs.columns if c != "n_entities"]
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    at = f"c{names.index(text_col)}"
+    text = F.col(at)
+    marked = base.withColumn("found", F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    has = F.coalesce(F.size("found") > 0, F.lit(False))
+    clean = marked.where(~has).drop("found").withColumn("n", F.lit(0))
+    named = [F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).alias(k) for k in NAMES]
+    # written: the numbers of the rows hold from here on
+    dirty = spool(marked.where(has).select("*", *named, F.monotonically_increasing_id().alias("row")), "with-entities")
+    is_name = F.size(F.flatten(F.array(*NAMES))) > 0
     # one type for each value, or spellings would part
-    found = kinds.select("value", kind.alias("kind")).groupBy("value").agg(F.min("kind").alias("kind"))
-    table = surrogates(found, key).select("value", "replacement", F.col("kind").startswith("name").alias("name"))
-    each = dirty.select(F.col(id_col).alias("__id"), "__hash", F.explode(F.array_distinct("__found")).alias("value")).distinct()
-    own_words = F.flatten(F.collect_list(F.when(F.col("name"), F.arrays_zip(F.split("value", " ").alias("word"), F.split("replacement", " ").alias("surrogate")))))
-    swaps = each.join(table, "value").groupBy("__id", F.col("__hash").alias("__h")).agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "replacement"))).alias("__swap"), F.map_from_entries(F.array_distinct(own_words)).alias("__words")
-    )
-    joined = dirty.join(swaps, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
-    between = F.split(text, ANY, -1)
-    again = F.transform(between, lambda p: mentions(p, F.col("__swap"), F.col("__words")))
-    plain = F.transform(between, lambda p: F.struct(p.alias("text"), F.lit(0).alias("n")))
-    cut = joined.withColumn("__pieces", F.when(F.size("__words") > 0, again).otherwise(plain))
-    pieces = F.zip_with("__pieces", "__found", lambda p, v: F.concat(F.coalesce(p["text"], F.lit("")), F.coalesce(F.element_at("__swap", v), v, F.lit(""))))
-    n_again = F.aggregate("__pieces", F.lit(0), lambda a, p: a + p["n"])
-    swapped = cut.withColumn("__text", F.array_join(pieces, "")).withColumn("n_entities", F.size("__found") + n_again)
-    columns = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns]
-    return clean.unionByName(swapped.select(*columns, "n_entities"))
+    values = dirty.select(F.explode(F.array_distinct("found")).alias("value")).distinct()
+    as_kind = lambda k: F.transform(k, lambda v: F.struct(v.alias("value"), F.lit(k).alias("kind")))
+    called = dirty.where(is_name).select(F.explode(F.flatten(F.array(*map(as_kind, NAMES)))).alias("z")).groupBy("z.value").agg(F.min("z.kind").alias("name"))
+    found = values.join(called, "value", "left").select("value", F.coalesce("name", entity_type(F.col("value"))).alias("kind"))
+    table = surrogates(found, key)
+    entities = table.where("kind <> 'word'").select("value", F.col("replacement").alias("whole"), F.col("kind").startswith("name").alias("called"))
+    # in documents with names, capitalised words between the entities are places too
+    both = f"{ANY}|(?:{MENTION})"
+    cut = dirty.withColumn("by_name", is_name).select("row", "by_name", F.posexplode(F.when(is_name, F.regexp_extract_all(text, F.lit(both), F.lit(0))).otherwise(F.col("found"))).alias("pos", "value"))
+    word = lambda v: F.when(v.rlike(r"^\p{Lu}{2,}$"), F.initcap(F.lower(v))).otherwise(v)
+    own_words = dirty.where(is_name).select("row", F.explode(F.array_distinct(F.flatten(F.transform(F.flatten(F.array(*NAMES)), lambda v: F.split(v, " "))))).alias("word"))
+    # a single word is replaced as a word of the document's own names
+    alone = F.col("by_name") & F.coalesce("called", F.lit(True)) & ~F.col("value").contains(" ")
+    places = cut.join(entities, "value", "left").withColumn("word", F.when(alone, word(F.col("value")))).withColumn("whole", F.when(F.col("word").isNull(), F.col("whole")))
+    again = own_words.join(table.where("kind = 'word'").select(F.col("value").alias("word"), F.col("replacement").alias("part")), "word")
+    filled = places.join(again, ["row", "word"], "left")
+    part = F.when(F.col("value").rlike(r"^\p{Lu}{2,}$"), F.upper("part")).otherwise(F.col("part"))
+    place = F.struct("pos", F.coalesce("whole", part, "value").alias("text"), F.col("whole").isNotNull().alias("entity"), F.col("part").isNotNull().alias("mention"))
+    swaps = filled.groupBy("row").agg(F.array_sort(F.collect_list(place)).alias("places"))
+    joined = dirty.join(swaps, "row")
+    pieces = joined.withColumn("pieces", F.when(is_name, F.split(text, both, -1)).otherwise(F.split(text, ANY, -1)))
+    texts = F.zip_with("pieces", "places", lambda p, v: F.concat(F.coalesce(p, F.lit("")), F.coalesce(v["text"], F.lit(""))))
+    follows = lambda i: (i > 0) & F.get("pieces", i).eqNullSafe(F.lit(" ")) & F.coalesce(F.get("places", i - 1)["mention"], F.lit(False))
+    counted = F.filter(F.transform("places", lambda v, i: v["entity"] | (v["mention"] & ~follows(i))), lambda x: x)
+    swapped = pieces.select(*[F.array_join(texts, "").alias(c) if c == at else F.col(c) for c in base.columns], F.size(counted).alias("n"))
+    return clean.unionByName(swapped).toDF(*names, "n_entities")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
