@@ -50,26 +50,31 @@ def water_filling(sources: DataFrame, epochs: float = 3.0) -> DataFrame:
     return s.alias("s").join(found.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")), "left").select("s.source", "source_size", "weight", F.coalesce("f.target", F.lit(0.0)).alias("target"))
 
 
-def mixture(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: float = 3.0, seed: str = "mix") -> DataFrame:
+def mixture(
+    docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: float = 3.0, seed: str = "mix", row_col: str | None = None
+) -> DataFrame:
     """What the mix takes of each document: id, size (words), source_size, target, taken (words, repetitions counted), whole (full repetitions) and part (words of the last, partial one).
 
     `weights` adds a column weight to the frame of sources. Sources are few against documents: one row each is
     handled in one task. Null sources form one source; null or empty texts have size 0 and are taken 0 words. The
-    order of documents is md5(seed, id), ties (repeated ids) by size; rows that agree in both take
-    their turn together, so reruns agree. The words taken from a source sum to its target, rounded down, but for
-    such ties. Other columns are not looked at. An empty table gives an empty result.
+    order of documents is md5(seed, id), ties (repeated or null ids) by size; rows that agree in both take their turns one
+    after the other, in no fixed order, by which the words taken change hands among equals only. `row_col`: a column that tells such rows
+    apart; it breaks the ties, and stands in the result. The words taken from a source sum to its target, rounded down.
+    Texts of any length count by all their words. Other columns are not looked at. An empty table gives an empty result.
     """
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.select(
-        F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), draw.alias("draw")
-    ).withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
+    number = [F.col(row_col).alias("number")] if row_col else []
+    tie = ["number"] if row_col else []
+    # a text of no words has no place in the order: however many there are, they stay out of the windows
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), draw.alias("draw"), *number)
+    sized = sized.withColumn("bucket", F.when(F.col("size") > 0, F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")).otherwise(F.pmod(F.xxhash64("draw", *tie), F.lit(BUCKETS)).cast("int") + BUCKETS))
     totals = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     targets = water_filling(weights(sources), epochs)
     starts = totals.withColumn("start", F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("bucket_size")
     plan = starts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "bucket", "start", "source_size", "target")
     # no more rows than sources times buckets
-    inside = W.partitionBy("source", "bucket").orderBy("draw", "size")
+    inside = W.partitionBy("source", "bucket").orderBy("draw", "size", *tie)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     j = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -77,7 +82,10 @@ def mixture(docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", tex
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("before")))
     return (
         j.withColumn("whole", whole).withColumn("rest", rest).withColumn("part", part)
-        .select(F.col(id_col), "d.source", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", "part")
+        .select(
+            F.col("id").alias(id_col), *[F.col("number").alias(row_col) for _ in tie], F.col("d.source").alias(source_col), "size", F.col("source_size").cast("long").alias("source_size"), "target",
+            (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", "part",
+        )
     )
 
 
