@@ -7,27 +7,33 @@ bands ** 2 tables. So 2 * bands * rows minhashes serve bands ** 2 tables of
 
 Documents with the same shingle set are one node. In each table bucket the members are
 first compared with the smallest one. Where a bucket still holds several
-components, its members outside the largest one are compared with all members of other
-components, block by block. So no bucket emits its pairs as rows, and no bucket is cut off.
+components, its members outside the largest one (outsiders) are compared with all members of other
+components. A bucket is cut into cells, a slice of its outsiders against a slice of its members, so no task
+holds more than a cell of bounded size. A pair that meets in several tables is asked for in the first of them only, which both
+band keys tell; the asked pairs are grouped by blocks of sets, which then meet once. So no bucket is cut off and no pair is a row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.functions.session import spool
+from docweave.functions.session import release, spool
 from docweave.llm.blocks import buffer_of, mixed, packed
 from docweave.llm.components import components
 from docweave.llm.window_dedup import BASES, rolling, word_hashes, words_in
 
-BANDS, ROWS = 16, 3
-#: Sets packed together for the second comparison, and rows of buckets looked at together.
-BLOCK_SETS, PART_ROWS = 128, 200_000
+BANDS, ROWS = 20, 4
+#: Sets packed together for the second comparison.
+BLOCK_SETS = 128
+#: Buckets up to WHOLE members are one cell, and cells of about PART_ROWS rows together are one task; of larger buckets OUT_SLICE outsiders meet MEMBER_SLICE members in a cell.
+WHOLE, PART_ROWS, OUT_SLICE, MEMBER_SLICE = 1024, 20_000, 128, 32_768
 CHUNK_BYTES = 1 << 20
 
 
@@ -93,8 +99,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
     def run(batches):
         for t in chunks(batches, "text"):
             values, offsets = shingle_sets(t.column("text"), k)
-            total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values * np.uint64(BASES[i])), dtype=np.uint64)]) for i in (0, 1)]
-            d = [(x[offsets[1:]] - x[offsets[:-1]]).view(np.int64) for x in total]
+            d = digests(values, offsets)
             keys = band_keys(values, offsets, bands, rows)
             n = np.diff(offsets)
             per = np.concatenate([[0], np.cumsum(np.where(n > 0, 2 * bands, 0))])
@@ -103,15 +108,24 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
 
 
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, members) with the sorted shingle hashes as packed 64-bit words."""
+def digests(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of each set."""
+    total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values * np.uint64(BASES[i])), dtype=np.uint64)]) for i in (0, 1)]
+    return [(x[offsets[1:]] - x[offsets[:-1]]).view(np.int64) for x in total]
+
+
+def sets_of(rows: DataFrame, k: int) -> DataFrame:
+    """(id, n, members) with the sorted shingle hashes as packed 64-bit words, of the rows (id, d1, d2, text) whose set has this digest."""
 
     def run(batches):
         for t in chunks(batches, "text"):
             values, offsets = shingle_sets(t.column("text"), k)
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(np.diff(offsets), pa.int64()), pa.array([packed(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["id", "n", "members"])
+            d = digests(values, offsets)
+            own = np.flatnonzero((d[0] == t.column("d1").to_numpy()) & (d[1] == t.column("d2").to_numpy()))
+            data = [packed(values[offsets[i] : offsets[i + 1]]) for i in own.tolist()]
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(pa.array(own)), pa.array(np.diff(offsets)[own], pa.int64()), pa.array(data, pa.binary())], names=["id", "n", "members"])
 
-    return docs.mapInArrow(run, "id long, n long, members binary")
+    return rows.mapInArrow(run, "id long, n long, members binary")
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -140,88 +154,122 @@ def named_components(members: DataFrame, links: DataFrame) -> DataFrame:
     return spool(members.join(found, members["id"] == found["node"], "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
 
 
-def linked_outsiders(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the links between different components in the same bucket. open_: bucket, id, label, lead.
+def asked_pairs(rows: pa.Table, bands: int) -> pa.Table:
+    """(left, right, pairs): for blocks left <= right the pairs (place in left << 16 | place in right) that the cells of `rows` ask for."""
+    cell, ids, label, block, place, table, out, member = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("cell", "id", "label", "block", "place", "table", "outside", "member"))
+    keys = rows.column("short").combine_chunks().flatten().to_numpy().reshape(-1, 2 * bands)
+    inside = rows.column("inside").combine_chunks().to_numpy(zero_copy_only=False)
+    order = np.argsort(cell, kind="stable")
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(cell[order])) + 1, [len(order)]])
+    told, held, size = [], [], 0
 
-    Buckets with the same smallest member, which share most of their pairs, are looked at together, in parts of bounded size; each part
-    gives every pair of an outsider (a member outside the bucket's largest component) and a member of another
-    component once. Sets are packed by family into blocks, and a pair of blocks is brought together once for all its pairs.
+    def pack() -> None:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        swap = (block[a] > block[b]) | ((block[a] == block[b]) & (place[a] > place[b]))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        left, right, code = block[a], block[b], (place[a].astype(np.uint32) << np.uint32(16)) | place[b].astype(np.uint32)
+        by = np.lexsort((right, left))
+        left, right, code = left[by], right[by], code[by]
+        new = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+        stop = [*new[1:].tolist(), len(left)]
+        told.append(pa.table([pa.array(left[new]), pa.array(right[new]), pa.array([packed(code[i:j]) for i, j in zip(new.tolist(), stop, strict=True)], pa.binary())], names=["left", "right", "pairs"]))
+
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        own = order[i:j]
+        x_all, y_all = own[out[own]], own[member[own]]
+        one, two = divmod(int(table[own[0]]), bands)
+        for x_part in np.array_split(x_all, max(1, len(x_all) * len(y_all) // 200_000)):
+            x, y = np.nonzero(label[x_part][:, None] != label[y_all][None, :])
+            x, y = x_part[x], y_all[y]
+            # two outsiders meet twice
+            pick = inside[y] | (ids[x] < ids[y])
+            x, y = x[pick], y[pick]
+            for side, at in ((0, one), (bands, two)):
+                first = np.ones(len(x), bool)
+                for k in range(at):
+                    first &= keys[x, side + k] != keys[y, side + k]
+                x, y = x[first], y[first]
+            held.append((x, y))
+            size += len(x)
+            if size > 1_000_000:
+                pack()
+                held.clear()
+                size = 0
+    if size:
+        pack()
+    return pa.concat_tables(told) if told else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["left", "right", "pairs"])
+
+
+def linked_outsiders(open_: DataFrame, sets: DataFrame, num: int, den: int, bands: int) -> DataFrame:
+    """(a, b) of the links between different components in the same bucket. open_: bucket, table, id, label, lead, short.
+
+    Every pair of an outsider (a member outside the bucket's largest component) and a member of another component is tested
+    once. Sets are packed by family (the smallest lead of their buckets) into blocks, and a pair of blocks is brought together once for all its pairs.
     """
     family = open_.groupBy("id").agg(F.min("lead").alias("family"))
-    # written, so that Spark can split a large family in the joins below
+    # written, so that Spark can split a large family in the join below
     sizes = spool(family.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("long").alias("parts")), "sizes")
-    block = family.join(sizes, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
-    block = spool(block, "blocks")
-    weight = spool(open_.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("long").alias("parts")), "weights")
-    dealt = open_.join(weight, "lead").withColumn("part", F.xxhash64("lead", F.pmod(F.xxhash64("bucket", F.lit(1)), F.col("parts")))).drop("parts", "lead").join(block, "id")
-
-    def pairs_of(rows: pa.Table) -> pa.Table:
-        bucket, ids, label, block = (rows.column(c).combine_chunks().to_numpy() for c in ("bucket", "id", "label", "block"))
-        order = np.argsort(bucket, kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-        names, code = np.unique(ids, return_inverse=True)
-        home = np.zeros(len(names), np.int64)
-        home[code] = block
-        seen, fresh, size = np.zeros(0, np.int64), [], 0
-        for i, j in zip(cut[:-1], cut[1:], strict=True):
-            own = order[i:j]
-            kinds, at, many = np.unique(label[own], return_inverse=True, return_counts=True)
-            out = np.flatnonzero(at != many.argmax())
-            for part in np.array_split(out, max(1, len(out) * len(own) // 1_000_000)):
-                x, y = np.nonzero(at[part][:, None] != at[None, :])
-                x, y = code[own[part[x]]], code[own[y]]
-                fresh.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
-                size += len(fresh[-1])
-                if size > 2_000_000:
-                    seen, fresh, size = np.unique(np.concatenate([seen, *fresh])), [], 0
-        seen = np.unique(np.concatenate([seen, *fresh]))
-        a, b = seen // len(names), seen % len(names)
-        swap = home[a] > home[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        order = np.lexsort((home[b], home[a]))
-        a, b = a[order], b[order]
-        new = np.flatnonzero(np.concatenate([[True], (home[a][1:] != home[a][:-1]) | (home[b][1:] != home[b][:-1])])) if len(a) else np.zeros(0, np.int64)
-        stop = np.concatenate([new[1:], [len(a)]]).astype(np.int64) if len(new) else new
-        data = [packed(np.stack([names[a[i:j]], names[b[i:j]]], 1)) for i, j in zip(new, stop, strict=True)]
-        return pa.table([pa.array(home[a[new]]), pa.array(home[b[new]]), pa.array(data, pa.binary())], names=["left", "right", "pairs"])
-
-    asked = dealt.groupBy("part").applyInArrow(pairs_of, "left long, right long, pairs binary").groupBy("left", "right").agg(F.collect_list("pairs").alias("pairs"))
+    dealt = family.join(sizes, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    home = spool(dealt.withColumn("place", F.row_number().over(W.partitionBy("block").orderBy("id")) - 1), "blocks")
+    labels = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    shape = labels.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    cut = lambda n, by: F.when(F.col("n") > WHOLE, F.ceil(n / F.lit(by))).otherwise(1).cast("int")
+    shape = spool(shape.select("bucket", "n", F.col("top.label").alias("top"), cut(F.col("n") - F.col("top.n"), OUT_SLICE).alias("outs"), cut(F.col("n"), MEMBER_SLICE).alias("slices")), "shapes")
+    parts = max(1, math.ceil(open_.count() / PART_ROWS))
+    nth = lambda k, n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int").alias(k)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda o, m, outside, member: F.struct(o.alias("o"), m.alias("m"), outside.alias("outside"), member.alias("member"))
+    outside = F.col("label") != F.col("top")
+    own_out, own_slice = nth("o", "outs", 1), nth("m", "slices", 2)
+    as_member = F.transform(every("outs"), lambda o: cell(o, own_slice, F.lit(False), F.lit(True)))
+    as_outsider = F.when(outside, F.transform(every("slices"), lambda m: cell(own_out, m, F.lit(True), F.lit(False)))).otherwise(F.array().cast("array<struct<o:int,m:int,outside:boolean,member:boolean>>"))
+    small = F.col("n") <= WHOLE
+    cells = F.when(small, F.array(cell(F.lit(0), F.lit(0), outside, F.lit(True)))).otherwise(F.concat(as_member, as_outsider))
+    each = open_.join(shape, "bucket").join(home, "id").select("bucket", "table", "id", "label", "short", "block", "place", small.alias("small"), (~outside).alias("inside"), F.explode(cells).alias("c"))
+    named = F.xxhash64("bucket", "c.o", "c.m")
+    rows = each.select(F.when(F.col("small"), F.pmod(F.xxhash64("bucket"), F.lit(parts))).otherwise(named).alias("part"), named.alias("cell"), "table", "id", "label", "short", "block", "place", "inside", "c.outside", "c.member")
+    asked = rows.groupBy("part").applyInArrow(lambda t: asked_pairs(t, bands), "left long, right long, pairs binary").groupBy("left", "right").agg(F.collect_list("pairs").alias("pairs"))
 
     def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")  # a repeated row has its place twice
+        rows = rows.take(pa.array(np.unique(rows.column("place").to_numpy(), return_index=True)[1]))
         size = rows.column("n").combine_chunks().to_numpy()
         data = b"".join(rows.column("members").to_pylist())
         return pa.table([rows.column("block").slice(0, 1), pa.array([packed(rows.column("id").combine_chunks().to_numpy())], pa.binary()), pa.array([packed(size)], pa.binary()), pa.array([data], pa.binary())], names=["block", "ids", "sizes", "data"])
 
-    blocks = spool(sets.join(block, "id").groupBy("block").applyInArrow(pack, "block long, ids binary, sizes binary, data binary"), "packed-sets")
+    blocks = spool(sets.join(home, "id").groupBy("block").applyInArrow(pack, "block long, ids binary, sizes binary, data binary"), "packed-sets")
     side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "sizes", "data")])
 
     def test(batches):
         for t in batches:
-            for r in t.to_pylist():
-                found = []
+            for k in range(t.num_rows):
                 own = {}
                 for s in ("left", "right"):
-                    ids = np.frombuffer(r[f"{s}_ids"], np.int64)
-                    sizes = np.frombuffer(r[f"{s}_sizes"], np.int64)
-                    order = np.argsort(ids)
-                    own[s] = ids[order], order, sizes, np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(r[f"{s}_data"], np.uint64)
-                pairs = np.unique(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in r["pairs"]]), axis=0)
-                place = [own[s][1][np.searchsorted(own[s][0], pairs[:, i])] for i, s in enumerate(("left", "right"))]
-                _, _, na, at, flat = own["left"]
-                _, _, nb, bt, other = own["right"]
-                for x in np.unique(place[0]):
-                    mine = np.flatnonzero(place[0] == x)
-                    y = place[1][mine]
+                    ids, size, data = (np.frombuffer(t.column(f"{s}_{c}")[k].as_buffer(), kind) for c, kind in (("ids", np.int64), ("sizes", np.int64), ("data", np.uint64)))
+                    own[s] = ids, size, np.concatenate([[0], np.cumsum(size)]), data
+                code = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("pairs")[k].values]))
+                x_of, y_of = (code >> np.uint32(16)).astype(np.int64), (code & np.uint32(0xFFFF)).astype(np.int64)
+                a_ids, na, at, flat = own["left"]
+                b_ids, nb, bt, other = own["right"]
+                near = np.minimum(na[x_of], nb[y_of]) * den >= np.maximum(na[x_of], nb[y_of]) * num  # else the sizes alone rule it out
+                x_of, y_of = x_of[near], y_of[near]
+                heads = np.flatnonzero(np.concatenate([[True], x_of[1:] != x_of[:-1]])) if len(x_of) else np.zeros(0, np.int64)
+                a, b = [], []
+                for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(x_of)], strict=True):
+                    x, y = x_of[i], y_of[i:j]
                     members = flat[at[x] : at[x + 1]]
                     hit = np.concatenate([[0], np.cumsum(members[np.minimum(np.searchsorted(members, other), len(members) - 1)] == other)])
                     both = hit[bt[y + 1]] - hit[bt[y]]
-                    found.append(pairs[mine[den * both >= num * (na[x] + nb[y] - both)]])
-                if found:
-                    found = np.concatenate(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                    good = y[den * both >= num * (na[x] + nb[y] - both)]
+                    a.append(np.full(len(good), a_ids[x]))
+                    b.append(b_ids[good])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     met = asked.join(side("left"), "left").join(side("right"), "right")
-    return spool(met.mapInArrow(test, "a long, b long"), "tested")
+    out = spool(met.mapInArrow(test, "a long, b long"), "tested")
+    release(sizes, home, shape, blocks)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -231,40 +279,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_shingles, component_id (the smallest id reached) and kept (the id is the component's).
     Null texts and texts without words have no shingles and stay alone, even beside copies of themselves. A null
     id takes no part: its component is null and it is kept. Rows that share an id are judged by their
-    own texts. Other columns are not looked at. An empty table gives an empty result. Candidates
-    come from minhashes: with 16 bands of 3 rows a pair of similarity 0.8 is missed with a probability
-    of 2e-5, a more similar one with less; every link is exact.
+    own texts. A text of any length is one set, read whole by one task. Other columns are not looked at. An empty table gives an empty result. Candidates
+    come from minhashes: with 20 bands of 4 rows a pair of similarity 0.8 is missed with a probability
+    of 5e-5, a more similar one with less; every link is exact.
     """
-    seen = spool(features(docs, id_col, text_col, k, bands, rows), "features")
+    # written: the numbers of the rows hold from here on; nodes go by them, so that rows that share an id stay apart
+    seen = spool(features(docs, id_col, text_col, k, bands, rows).withColumn("row", F.monotonically_increasing_id()), "features")
     known = seen.where("n > 0 and id is not null")
-    nodes = known.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    nodes = spool(known.groupBy("d1", "d2", "n").agg(F.min(F.struct("row", F.col("id").alias("doc"))).alias("head"), F.min("id").alias("low"), F.first("keys").alias("keys")).select("d1", "d2", "n", F.col("head.row").alias("id"), "head.doc", "low", "keys"), "nodes")
     each = nodes.select("id", F.posexplode("keys").alias("pos", "key"))
     common = each.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    own = each.join(common, "key").groupBy("id").agg(
-        F.collect_set(F.when(F.col("pos") < bands, F.col("key"))).alias("one"), F.collect_set(F.when(F.col("pos") >= bands, F.col("key"))).alias("two")
-    )
-    tensor = F.flatten(F.transform("one", lambda x: F.transform("two", lambda y: F.xxhash64(x, y))))
-    keys = own.where((F.size("one") > 0) & (F.size("two") > 0)).select("id", F.explode(tensor).alias("bucket"))
+    held = lambda first: F.collect_list(F.when((F.col("pos") < bands) == F.lit(first), F.struct(F.pmod("pos", F.lit(bands)).alias("at"), "key")))
+    own = each.join(common, "key").groupBy("id").agg(held(True).alias("one"), held(False).alias("two"))
+    tensor = F.flatten(F.transform("one", lambda x: F.transform("two", lambda y: F.struct(F.xxhash64(x["key"], y["key"]).alias("bucket"), (x["at"] * bands + y["at"]).alias("table")))))
+    keys = own.where((F.size("one") > 0) & (F.size("two") > 0)).select("id", F.explode(tensor).alias("t")).select("id", "t.bucket", "t.table")
     full = keys.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    buckets = spool(keys.join(full, "bucket").select("bucket", "id", "lead"), "buckets")
+    buckets = spool(keys.join(full, "bucket").select("bucket", "table", "id", "lead"), "buckets")
     members = buckets.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = spool(sets_of(texts.join(members, "id", "left_semi"), k), "sets")
+    heads = nodes.join(members, "id", "left_semi").select("id", "doc", "d1", "d2")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    sets = spool(sets_of(texts.join(heads, "doc").select("id", "d1", "d2", "text"), k), "sets")
 
     pairs = buckets.where("id > lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     links = spool(linked_pairs(pairs, sets, num, den), "links")
     labels = named_components(members, links)
     placed = buckets.join(labels, "id")
     unsettled = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    open_ = spool(placed.join(unsettled, "bucket"), "unsettled")
-    more = linked_outsiders(open_, sets, num, den)
+    short = nodes.select("id", F.transform("keys", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("short"))
+    open_ = spool(placed.join(unsettled, "bucket").join(short, "id"), "unsettled")
+    more = linked_outsiders(open_, sets, num, den, bands)
     if not more.isEmpty():
-        labels = named_components(members, links.unionByName(more))
+        before, labels = labels, named_components(members, links.unionByName(more))
+        release(before)
+    release(buckets, sets, links, open_, more)
 
-    heads = nodes.select("d1", "d2", "n", F.col("id").alias("head"))
-    named = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("d1", "d2", F.col("n").alias("m"), F.coalesce("label", "head").alias("label"))
+    named = nodes.join(labels, "id", "left").select("d1", "d2", F.col("n").alias("m"), "low", F.coalesce("label", "id").alias("label"))
+    named = named.join(named.groupBy("label").agg(F.min("low").alias("component")), "label").select("d1", "d2", "m", "component")
     same = (seen["d1"] == named["d1"]) & (seen["d2"] == named["d2"]) & (seen["n"] == named["m"]) & (seen["n"] > 0)
-    component = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = seen.select("id", "n", "d1", "d2").join(named, same, "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
 
