@@ -1,25 +1,32 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are put in a canonical form: lower case without punctuation; numbers become <num>, a unit behind a number
-<unit>, a capitalised word inside a sentence <name>. Windows of `k` canonical words of the documents are hash-joined
-with those of the benchmark items. A document is contaminated by an item if it holds a share of `cover` or
-more of the item's windows and its slots are consistent: each value in a slot of the item
-stands for one value in the document, but for a share of 1 - `cover` of the slots. So a copy with new numbers or names is
-caught as well as a copy word for word.
-
-Items whose copies word for word could not be found so, being too short or mostly numbers and names, are also looked
-for by windows of `k` plain words, or by all their words if there are fewer; a share of `cover` of these makes a
-document contaminated.
+<unit>, a capitalised word inside a sentence <name>. An item has up to three forms: its canonical words (`template`); the same with names
+as plain words, as in a copy without capitals or in capitals only (`lower`); and its plain words (`words`), if it is too short for a window of
+`k` words or too many of its windows are placeholders only. Items that share a form, slot for slot, are one template: documents are
+compared with templates, not with items, so many items of one template cost as much as one.
+
+A document is contaminated by a template if it holds a share of `cover` or more of the form's windows and its slots are consistent: each value in a slot of the
+item stands for one value in the document, but for a share of 1 - `cover` of the slots. So a copy with new
+numbers or names is caught as well as a copy word for word.
+
+Plan. A bitmap of the templates' windows, of bounded size whatever their number, goes to the tasks that read documents, which keep the
+windows that may be among them; a hash join drops the rest. Of every template only as many of its rarest windows as a document
+cannot lack all at once are joined with the documents; the pairs found so are then counted in full.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.functions.session import spool
+from docweave.functions.session import release, spool
 from docweave.llm.blocks import buffer_of, mixed
 from docweave.llm.near_dup import chunks
 from docweave.llm.window_dedup import BASES, rolling, word_hashes, words_in
@@ -31,59 +38,78 @@ UNITS = (
     "hz khz mhz ghz kb mb gb tb w kw v a k c f"
 ).split()
 NUM, UNIT, NAME = (np.uint64(0x1F3D5B79 + 0x9E3779B97F4A7C15 * i % 2**63) for i in (1, 2, 3))
-#: Up to so many window hashes of the benchmark go to every task, packed (16 MB); beyond that all windows are shuffled.
-FILTER_WINDOWS = 2_000_000
+#: The bitmap has 2 ** n bits, 64 a window within these bounds (8 KB to 16 MB).
+LEAST_BITS, MOST_BITS = 16, 27
+FORMS = ("template", "lower", "words")
 
 KEEP = np.zeros(256, bool)
 KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-SPACE = np.isin(np.arange(256), (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D))
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-#: Second bytes of upper-case Latin-1 letters behind 0xC3; 0x97 is the multiplication sign.
-HIGH = np.zeros(256, bool)
-HIGH[[*range(0x80, 0x97), *range(0x98, 0x9F)]] = True
 ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?:\"'»”)"])
+#: Letters of all scripts with two cases: capitals, small letters, and the small letter of a capital that takes as many bytes.
+POINTS = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(1 << 16)]
+UPPER, SMALL = np.array([c.isupper() for c in POINTS]), np.array([c.islower() for c in POINTS])
+FOLD = np.array([ord(c.lower()) if len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode()) else ord(c) for c in POINTS]).astype(np.uint16)
+FOLD[0xD800:0xE000] = np.arange(0xD800, 0xE000)
+
 
+def cased(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes in lower case, and where capitals and small letters begin."""
+    folded, upper, small = text.copy(), (text >= 65) & (text <= 90), (text >= 97) & (text <= 122)
+    folded[upper] += 32
+    for width, least, most in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF)):
+        at = np.flatnonzero((text >= least) & (text <= most))
+        at = at[at + width <= len(text)]
+        point = (text[at] & (0x1F if width == 2 else 0x0F)).astype(np.int64)
+        for i in range(1, width):
+            point = (point << 6) | (text[at + i] & 0x3F)
+        upper[at], small[at] = UPPER[point], SMALL[point]
+        low = FOLD[point]
+        for i in range(1, width):
+            folded[at + i] = 0x80 | ((low >> (6 * (width - 1 - i))) & 0x3F)
+        folded[at] = (0xC0 if width == 2 else 0xE0) | (low >> (6 * (width - 1)))
+    return folded, upper, small
 
-def canonical_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """Canonical word hashes, whether each is a slot, offsets between texts, and (bytes, starts, ends, hashes) of the original words."""
-    buf, offsets = buffer_of(texts)
-    starts, ends = words_in(buf, offsets)
-    # words of punctuation only are left out
-    kept_before = np.concatenate([[0], np.cumsum(KEEP[buf])])
-    size = kept_before[ends] - kept_before[starts]
-    some = size > 0
-    starts, ends = starts[some], ends[some]
-    heads = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, bool), heads, (buf, starts, ends, np.zeros(0, np.uint64))
-    low = buf[KEEP[buf]]
-    upper2 = np.zeros(len(low), bool)
-    upper2[1:] = (low[:-1] == 0xC3) & HIGH[low[1:]]
-    first = kept_before[starts]
-    a = low[first]
-    capital = ((a >= 65) & (a <= 90)) | upper2[np.minimum(first + 1, len(low) - 1)]
-    small = ((low >= 97) & (low <= 122)) | ((low >= 0x80) & ~upper2 & (low < 0xC0))
-    before = np.concatenate([[0], np.cumsum(small)])
-    capital &= before[kept_before[ends]] > before[first]  # a text all in capitals has no names
-    folded = LOWER[low]
-    folded[upper2] += 32
-    hashes = word_hashes(folded, first, kept_before[ends])
-    digit = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
-    number = digit[ends] > digit[starts]
-    head = np.zeros(len(starts), bool)
-    head[heads[:-1][np.diff(heads) > 0]] = True
-    fresh = head.copy()
-    fresh[1:] |= ENDS[buf[ends[:-1] - 1]]
-    # a line feed before a word also begins a sentence
-    feeds = np.concatenate([[0], np.cumsum(buf == 10)])
-    fresh[1:] |= feeds[starts[1:]] > feeds[ends[:-1]]
-    units = np.sort(unit_hashes())
-    at = np.minimum(np.searchsorted(units, hashes), len(units) - 1)
-    unit = (units[at] == hashes) & np.concatenate([[False], number[:-1]]) & ~head & ~number
-    name = capital & ~fresh & ~number & ~unit
-    canon = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, hashes)))
-    return canon, number | unit | name, heads, (buf, starts, ends, hashes)
+
+class Words:
+    """The words of some texts: canonical and plain hashes, which are slots and which of these names, a hash of each as written, first word of each text."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        buf, offsets = buffer_of(texts)
+        starts, ends = words_in(buf, offsets)
+        # words of punctuation only are left out
+        kept = np.flatnonzero(KEEP[buf])
+        before = np.concatenate([[0], np.cumsum(KEEP[buf])])
+        some = before[ends] > before[starts]
+        starts, ends = starts[some], ends[some]
+        self.heads = np.searchsorted(starts, offsets)
+        if not len(starts):
+            self.canon = self.plain = self.value = np.zeros(0, np.uint64)
+            self.slot = self.name = np.zeros(0, bool)
+            return
+        first, stop = before[starts], before[ends]
+        folded, upper, small = cased(buf[kept])
+        smalls = np.concatenate([[0], np.cumsum(small)])
+        capital = upper[first] & (smalls[stop] > smalls[first])  # a text all in capitals has no names
+        self.plain = word_hashes(folded, first, stop)
+        digit = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
+        number = digit[ends] > digit[starts]
+        head = np.zeros(len(starts), bool)
+        head[self.heads[:-1][np.diff(self.heads) > 0]] = True
+        fresh = head.copy()
+        fresh[1:] |= ENDS[buf[ends[:-1] - 1]]
+        # a line feed before a word also begins a sentence
+        feeds = np.concatenate([[0], np.cumsum(buf == 10)])
+        fresh[1:] |= feeds[starts[1:]] > feeds[ends[:-1]]
+        units = np.sort(unit_hashes())
+        at = np.minimum(np.searchsorted(units, self.plain), len(units) - 1)
+        unit = (units[at] == self.plain) & np.concatenate([[False], number[:-1]]) & ~head & ~number
+        self.name = capital & ~fresh & ~number & ~unit
+        self.slot = number | unit | self.name
+        self.canon = np.where(number, NUM, np.where(unit, UNIT, np.where(self.name, NAME, self.plain)))
+        # as written, without the signs around it but for a minus
+        a, b = kept[first], kept[stop - 1] + 1
+        a = a - ((a > starts) & (buf[a - 1] == 45))
+        self.value = word_hashes(buf, a, b)
 
 
 def unit_hashes() -> np.ndarray:
@@ -92,151 +118,199 @@ def unit_hashes() -> np.ndarray:
     return word_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(u) for u in raw], ends)
 
 
-def windows(texts: pa.ChunkedArray, k: int):
-    """For every window of k canonical words within a text: hash, first word, text number; and what `canonical_words` gives."""
-    found = canonical_words(texts)
-    hashes, _, heads, _ = found
-    roll = mixed(rolling(hashes, k, BASES[1]))
-    n = np.maximum(np.diff(heads) - k + 1, 0)
+def windows(words: np.ndarray, heads: np.ndarray, size: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window of `size` words within a text: hash, first word, text number."""
+    seed = np.uint64(0x51ED270B7F4A7C15 * size % 2**64) if plain else np.uint64(0)
+    roll = mixed(rolling(words, size, BASES[1]) + seed)
+    n = np.maximum(np.diff(heads) - size + 1, 0)
     doc = np.repeat(np.arange(len(n)), n)
     at = np.repeat(heads[:-1], n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    return (roll[at] if len(at) else np.zeros(0, np.uint64)), at, doc, found
+    return (roll[at] if len(at) else np.zeros(0, np.uint64)), at, doc
 
 
-def plain_windows(words: np.ndarray, heads: np.ndarray, size: int, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every window of `size` plain words within the texts marked in `texts`: hash, first word, text number."""
-    roll = mixed(rolling(words, size, BASES[1]) + np.uint64(0x51ED270B7F4A7C15 * size % 2**64))
-    n = np.where(texts, np.maximum(np.diff(heads) - size + 1, 0), 0)
-    doc = np.repeat(np.arange(len(n)), n)
-    at = np.repeat(heads[:-1], n) + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    return (roll[at] if len(at) else np.zeros(0, np.uint64)), at, doc
+def slot_lists(w: Words, at: np.ndarray, doc: np.ndarray, size: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each window the word numbers of its slots within the text, and their values."""
+    places = np.flatnonzero(w.slot)
+    lo, hi = np.searchsorted(places, at), np.searchsorted(places, at + size)
+    n = hi - lo
+    own = places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(at) else places[:0]
+    bounds = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    return pa.ListArray.from_arrays(bounds, pa.array(own - np.repeat(w.heads[doc], n), pa.int64())), pa.ListArray.from_arrays(bounds, pa.array(w.value[own].view(np.int64)))
+
+
+WINDOW = "struct<pos: long, hash: long, value: array<long>>"
 
 
-def window_frame(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: np.ndarray | None, variants: bool = False, cover: float = 0.8, sizes: tuple[int, ...] = ()) -> DataFrame:
-    """(id, pos, hash, places, slots, size): windows of canonical words, with the word numbers and raw words of their slots.
+def item_forms(benchmark: DataFrame, item_col: str, text_col: str, k: int) -> DataFrame:
+    """(item, form, size, one, two, windows): the forms of every item that has a word; one and two are a digest of the form.
 
-    wanted: sorted hashes to keep, None for all. variants: give the windows of a text also as if its first word were a
-    name, and with names as plain words, as they stand in a copy without capitals or in capitals only; and give the
-    plain windows, at places below 0, of texts whose own canonical windows do not reach `cover` of all of these. sizes: give plain windows
-    of so many words too, each once for a text. `size` is the number of words of a plain window, else 0.
+    A window has a position; the first of a template has two hashes, one as if the first word were a name, as a capitalised word inside a text is.
     """
-    table = np.zeros(1 << 20, bool) if wanted is not None else None
-    if wanted is not None:
-        table[wanted & np.uint64((1 << 20) - 1)] = True
 
-    names = ["id", "pos", "hash", "places", "slots", "size"]
+    def forms_of(w: Words, i: int):
+        part = slice(w.heads[i], w.heads[i + 1])
+        canon, plain, slot, name, value = w.canon[part], w.plain[part], w.slot[part], w.name[part], w.value[part]
+        n, given = len(canon), False
+        if not n:
+            return
+        heads = np.array([0, n])
+        for form in ("template", "lower"):
+            if n < k or (form == "lower" and not name.any()):
+                continue
+            words = canon if form == "template" else np.where(name, plain, canon)
+            slots = slot if form == "template" else slot & ~name
+            before = np.concatenate([[0], np.cumsum(slots)])
+            hashes, at, _ = windows(words, heads, k)
+            usable = before[at + k] - before[at] <= k - 2  # a template of placeholders only says nothing
+            twice = form == "template" and not slots[0]  # the first word is a name inside a sentence
+            usable[0] &= not twice or before[k] + 1 <= k - 2
+            if 2 * usable.sum() < len(at):
+                continue
+            given = given or form == "template"
+            told = [(int(p), int(h), value[p : p + k][slots[p : p + k]]) for p, h in zip(at[usable], hashes[usable].view(np.int64), strict=True)]
+            if twice and usable[0]:
+                told.append((0, int(mixed(rolling(np.concatenate([[NAME], words[1:k]]), k, BASES[1]))[0].view(np.int64)), value[:k][np.concatenate([[True], slots[1:k]])]))
+            _, lead, same = np.unique(value[slots], return_index=True, return_inverse=True)
+            yield form, k, words.tobytes() + slots.tobytes() + lead[same].astype(np.int64).tobytes(), told
+        if not given:
+            size = min(n, k)
+            hashes, lead = np.unique(windows(plain, heads, size, plain=True)[0].view(np.int64), return_index=True)
+            yield "words", size, plain.tobytes(), [(int(p), int(h), value[:0]) for p, h in zip(lead, hashes, strict=True)]
+
+    def run(batches):
+        for t in chunks(batches, "text"):
+            w, out = Words(t.column("text")), []
+            ids = t.column("id").to_pylist()
+            for i in range(t.num_rows):
+                for form, size, seen, told in forms_of(w, i):
+                    d = np.frombuffer(hashlib.blake2b(form.encode() + seen, digest_size=16).digest(), np.int64)
+                    out.append({"item": ids[i], "form": form, "size": size, "one": int(d[0]), "two": int(d[1]), "windows": [{"pos": p, "hash": h, "value": v.view(np.int64).tolist()} for p, h, v in told]})
+            if out:
+                kind = pa.schema([("item", pa.int64()), ("form", pa.string()), ("size", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("windows", pa.list_(pa.struct([("pos", pa.int64()), ("hash", pa.int64()), ("value", pa.list_(pa.int64()))])))])
+                yield pa.RecordBatch.from_pylist(out, kind)
+
+    rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"item long, form string, size int, one long, two long, windows array<{WINDOW}>")
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of (hash), two bits for each; made slice by slice in tasks, its size bounded by MOST_BITS."""
+    n = hashes.count()
+    bits = min(max(LEAST_BITS, int(64 * n).bit_length()), MOST_BITS)
+    place = F.explode(F.array(F.col("hash"), F.shiftright("hash", 32)))
+    slices = hashes.select(place.alias("h")).select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("h")).select((F.shiftright("h", LEAST_BITS)).cast("int").alias("slice"), F.col("h").bitwiseAND(F.lit((1 << LEAST_BITS) - 1)).cast("int").alias("bit")).distinct()
+
+    def mark(rows: pa.Table) -> pa.Table:
+        on = np.zeros(1 << LEAST_BITS, bool)
+        on[rows.column("bit").to_numpy()] = True
+        return pa.table([rows.column("slice").slice(0, 1), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (LEAST_BITS - 3)
+    for r in slices.groupBy("slice").applyInArrow(mark, "slice int, bits binary").collect():
+        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def among(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be in the bitmap."""
+    last = np.uint64(len(marks) * 8 - 1)
+    on = lambda h: (marks[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
+    near = np.flatnonzero(on(hashes & last))
+    return near[on((hashes[near] >> np.uint64(32)) & last) > 0]
+
 
-    def held(hashes: np.ndarray) -> np.ndarray:
-        if wanted is None:
-            return np.arange(len(hashes))
-        near = np.flatnonzero(table[hashes & np.uint64((1 << 20) - 1)])
-        place = np.minimum(np.searchsorted(wanted, hashes[near]), max(len(wanted) - 1, 0))
-        return near[wanted[place] == hashes[near]] if len(wanted) else near[:0]
+def held_windows(docs: DataFrame, id_col: str, text_col: str, k: int, marks: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(doc, id, hash, place, value): the windows of the documents that may be in the bitmap: canonical ones of k words, and plain ones of the given sizes, each once a text.
+
+    doc is a number for every row, which holds within what one pass writes.
+    """
+    names = ["doc", "id", "hash", "place", "value"]
 
     def run(batches):
+        base = TaskContext.get().partitionId() << 36
         for t in chunks(batches, "text"):
-            usable, own = [], np.zeros(0, np.int64)
-            for variant in range(3 if variants else 1):
-                texts = t.column("text")
-                hashes, at, doc, (canon, slot, heads, (buf, starts, ends, plain)) = windows(texts, k)
-                if variant:
-                    canon, slot = canon.copy(), slot.copy()
-                    if variant == 1:
-                        head = heads[:-1][np.diff(heads) > 0]
-                        changed = head[canon[head] != NUM]
-                        canon[changed], slot[changed] = NAME, True
-                    else:
-                        changed = np.flatnonzero(canon == NAME)
-                        canon[changed], slot[changed] = plain[changed], False
-                    roll = mixed(rolling(canon, k, BASES[1]))
-                    before = np.concatenate([[0], np.cumsum(np.isin(np.arange(len(canon)), changed))])
-                    pick = before[at + k] > before[at] if len(at) else np.zeros(0, bool)
-                    at, doc = at[pick], doc[pick]
-                    hashes = roll[at] if len(at) else np.zeros(0, np.uint64)
-                near = held(hashes)
-                hashes, at, doc = hashes[near], at[near], doc[near]
-                slots_before = np.concatenate([[0], np.cumsum(slot)])
-                n = slots_before[at + k] - slots_before[at] if len(at) else np.zeros(0, np.int64)
-                if variants:  # a template of placeholders only says nothing
-                    full = n <= k - 2
-                    hashes, at, doc, n = hashes[full], at[full], doc[full], n[full]
-                    usable.append(at)
-                    if not variant:  # without the first word's window, which is another one inside a text
-                        own = at[at > heads[doc]]
-                places, raw = [], []
-                for i, m in zip(at.tolist(), n.tolist(), strict=True):
-                    own = (np.flatnonzero(slot[i : i + k]) if m else np.zeros(0, np.int64)).tolist()
-                    places.append([i - heads[np.searchsorted(heads, i, "right") - 1] + j for j in own])
-                    raw.append([buf[starts[i + j] : ends[i + j]].tobytes().decode("utf-8", "replace").strip(".,;:!?\"'()") for j in own])
-                yield pa.RecordBatch.from_arrays(
-                    [t.column("id").combine_chunks().take(pa.array(doc)), pa.array(at - heads[doc] if len(at) else at, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(places, pa.list_(pa.int64())), pa.array(raw, pa.list_(pa.string())), pa.array(np.zeros(len(at), np.int32))],
-                    names=names,
-                )
-            words = np.diff(heads)
-            text_of = lambda at: np.bincount(np.searchsorted(heads, at, "right") - 1, minlength=len(words))
-            if variants:
-                every = text_of(np.unique(np.concatenate(usable)))
-                short = (every == 0) | (text_of(own) < cover * every)
-            for size in range(1, k + 1) if variants else sizes:
-                hashes, at, doc = plain_windows(plain, heads, size, short & (np.minimum(words, k) == size) if variants else words > 0)
-                near = held(hashes)
-                if not variants:
+            w, id_ = Words(t.column("text")), t.column("id").combine_chunks()
+            for size in (0, *sizes):
+                hashes, at, doc = windows(w.plain if size else w.canon, w.heads, size or k, plain=size > 0)
+                near = among(hashes, marks)
+                if size and len(near):
                     near = near[np.sort(np.unique(np.stack([doc[near], hashes[near].view(np.int64)], 1), axis=0, return_index=True)[1])]
                 hashes, at, doc = hashes[near], at[near], doc[near]
-                none = [[]] * len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [t.column("id").combine_chunks().take(pa.array(doc)), pa.array(heads[doc] - at - 1, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.string())), pa.array(np.full(len(at), size, np.int32))],
-                    names=names,
-                )
+                if not len(near):
+                    continue
+                if size:
+                    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.int64()))
+                    place = value = none
+                else:
+                    place, value = slot_lists(w, at, doc, k)
+                yield pa.RecordBatch.from_arrays([pa.array(base + doc), id_.take(pa.array(doc)), pa.array(hashes.view(np.int64)), place, value], names=names)
+            base += t.num_rows
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, pos long, hash long, places array<long>, slots array<string>, size int")
+    return rows.mapInArrow(run, "doc long, id long, hash long, place array<long>, value array<long>")
+
+
+def templates(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(template, item_id, form, n_items, n_windows, windows) of every template, and (template, item_id, form): which items have it; both written.
+
+    A template goes by the smallest id of its items. Items without a word and null texts have none; repeated items have one together.
+    """
+    forms = spool(item_forms(benchmark, item_col, item_text, k).withColumn("row", F.monotonically_increasing_id()), "forms")
+    kinds = forms.groupBy("one", "two").agg(F.min("row").alias("template"), F.min("item").alias(item_col), F.count_distinct(F.coalesce("item", F.lit(-1).cast("long") * 2**62)).alias("n_items"))
+    kinds = spool(kinds, "template-kinds")
+    own = forms.select(F.col("row").alias("template"), "form", "size", F.size(F.array_distinct(F.transform("windows", lambda x: x["pos"]))).cast("long").alias("n_windows"), "windows")
+    members = forms.join(kinds.select("one", "two", "template"), ["one", "two"]).select("template", F.col("item").alias(item_col), "form").distinct()
+    return kinds.drop("one", "two").join(own, "template"), members
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 5, cover: float = 0.8) -> DataFrame:
-    """(id, item_id, n_windows, n_found, n_slots, n_changed): the items that each contaminated document holds.
+    """(id, item_id, form, n_items, n_windows, n_found, n_slots, n_changed): the templates that each contaminated document holds.
 
-    n_windows and n_found: windows of the item and those found; n_slots: slots in these, n_changed: slots whose value differs.
-    Items without a word and null texts on either side take no part; shorter items are found word for word, whatever
-    signs stand between their words. Windows and slots of an item found by plain words are those of its plain words. Rows that share an id are
-    taken together; rows of a null id count as one document. Canonical windows with fewer than two plain words
-    are left out on the benchmark's side. Other columns are not looked at. Empty tables give an empty result.
+    item_id is the smallest item of the template and n_items the number of its items, which `templates` lists. n_windows and n_found: windows of
+    the template and those found; n_slots: slots of these in the document, n_changed: those whose value differs from that item's own.
+    Documents count by themselves, rows with a null or repeated id, too. Items without a word and null or empty texts on either side take no part.
+    Texts of any length are read whole. Short items, and those that are mostly numbers and names, are found by their plain words without signs
+    only, so `17 + 23` counts for `17 * 23`, and very short ones in every document that has their words side by side. Other columns are not
+    looked at. Empty tables give an empty result.
     """
-    items = window_frame(benchmark, item_col, item_text, k, None, variants=True, cover=cover).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "size")
-    sizes = tuple(sorted(r[0] for r in items.where("size > 0").select("size").distinct().collect()))
-    items = items.withColumn("plain", F.col("size") > 0).drop("size")
-    kinds = items.select("hash").distinct()
-    n = kinds.count()
-    wanted = None
-    if n <= FILTER_WINDOWS:
-        wanted = np.sort(np.array([r[0] for r in kinds.toLocalIterator()], np.int64).view(np.uint64))
-    totals = items.groupBy("item", "plain").agg(F.countDistinct("item_pos").alias("n_windows"))
-    hits = spool(window_frame(docs, id_col, text_col, k, wanted, sizes=sizes).drop("size").join(items, "hash"), "hits")
-    found = hits.groupBy("id", "item", "plain").agg(F.countDistinct("item_pos").alias("n_found"))
-    reached = found.join(totals, ["item", "plain"]).where(F.col("n_found") >= F.lit(cover) * F.col("n_windows"))
-    enough, copied = reached.where("not plain"), reached.where("plain")
+    kinds, _ = templates(benchmark, item_col, item_text, k)
+    kinds = spool(kinds, "templates")
+    asked = spool(kinds.select("template", "n_windows", F.explode("windows").alias("w")).select("template", "n_windows", "w.pos", "w.hash", F.col("w.value").alias("asked")), "template-windows")
+    sizes = sorted(r[0] for r in kinds.where("form = 'words'").select("size").distinct().collect())  # k at most
+    hashes = asked.select("hash").distinct()
+    marks = bitmap(hashes)
+    hits = spool(held_windows(docs, id_col, text_col, k, marks, sizes).join(hashes, "hash", "left_semi"), "hits")
+    # of these windows of a template a contaminated document cannot lack all
+    often = hits.groupBy("hash").agg(F.count("*").alias("n"))
+    rarity = asked.join(often, "hash", "left").groupBy("template", "n_windows", "pos").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.collect_list("hash").alias("hashes"))
+    nth = F.row_number().over(W.partitionBy("template").orderBy("n", "pos"))
+    probes = rarity.withColumn("nth", nth).where((F.col("nth") <= F.col("n_windows") - F.ceil(F.col("n_windows") * F.lit(cover)) + 1) & (F.col("n") > 0)).select("template", F.explode("hashes").alias("hash")).distinct()
+    pairs = hits.select("doc", "hash").distinct().join(probes, "hash").select("doc", "template").distinct()
+    met = pairs.join(asked, "template").join(hits, ["doc", "hash"])
+    met = spool(met.select("doc", "id", "template", "n_windows", "pos", "place", "value", "asked"), "met")
+    found = met.groupBy("doc", "id", "template", "n_windows").agg(F.count_distinct("pos").alias("n_found")).where(F.col("n_found") >= F.lit(cover) * F.col("n_windows"))
     # a document value belongs to an item value if no other does more often
-    zipped = hits.where(F.size("slots") > 0).select("id", "item", F.explode(F.arrays_zip(F.col("places"), F.col("slots").alias("value"), F.col("item_slots").alias("asked"))).alias("z"))
-    pairs = zipped.select("id", "item", "z.*").distinct().groupBy("id", "item", "asked", "value").agg(F.count("*").alias("n"))
-    best = pairs.groupBy("id", "item", "asked").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.max_by("value", "n").alias("value"))
-    slots = best.groupBy("id", "item").agg(F.sum("n").alias("n_slots"), F.sum("same").alias("n_same"), F.sum(F.when(F.col("value") != F.col("asked"), F.col("same")).otherwise(0)).alias("n_changed"))
-    both = enough.alias("e").join(slots.alias("s"), F.col("e.id").eqNullSafe(F.col("s.id")) & F.col("e.item").eqNullSafe(F.col("s.item")), "left")
-    out = both.select(
-        F.col("e.id").alias(id_col), F.col("e.item").alias(item_col), "n_windows", "n_found",
-        F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"), F.coalesce("n_same", F.lit(0)).alias("n_same"),
-    )
-    by_template = out.where(F.col("n_same") >= F.lit(cover) * F.col("n_slots")).drop("n_same").withColumn("plain", F.lit(False))
-    if not sizes:
-        return by_template.drop("plain")
-    none = F.lit(0).cast("long")
-    by_words = copied.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found", none.alias("n_slots"), none.alias("n_changed"), "plain")
-    # found both ways: as a template
-    values = F.struct("plain", "n_windows", "n_found", "n_slots", "n_changed")
-    return by_template.unionByName(by_words).groupBy(id_col, item_col).agg(F.min(values).alias("v")).select(id_col, item_col, "v.n_windows", "v.n_found", "v.n_slots", "v.n_changed")
+    zipped = met.where(F.size("place") > 0).select("doc", "template", F.explode(F.arrays_zip("place", "value", "asked")).alias("z")).select("doc", "template", "z.*").distinct()
+    each = zipped.groupBy("doc", "template", "asked", "value").agg(F.count("*").alias("n"))
+    best = each.groupBy("doc", "template", "asked").agg(F.sum("n").alias("n"), F.max(F.struct("n", "value")).alias("best"))
+    slots = best.groupBy("doc", "template").agg(F.sum("n").alias("n_slots"), F.sum("best.n").alias("n_same"), F.sum(F.when(F.col("best.value") != F.col("asked"), F.col("best.n")).otherwise(0)).alias("n_changed"))
+    both = found.join(slots, ["doc", "template"], "left").na.fill(0, ["n_slots", "n_same", "n_changed"]).where(F.col("n_same") >= F.lit(cover) * F.col("n_slots"))
+    out = both.join(kinds.select("template", F.col(item_col).alias("item"), "form", "n_items"), "template")
+    out = out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "form", "n_items", "n_windows", "n_found", "n_slots", "n_changed")
+    out = spool(out, "contaminated")
+    release(kinds, asked, hits, met)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op9: which of all `documents` hold which items of `benchmark`."""
+    """op9: which of all `documents` hold which templates of `benchmark`; items: the members of a template, in the row of its first document."""
     from docweave.functions.session import table
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = contaminated(table(spark, sf_dir, "documents"), benchmark)
+    kinds, members = templates(benchmark)
+    listed = members.join(kinds.select("template", F.col("item_id").alias("head")), "template").groupBy("head", "form").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    first = found.groupBy("item_id", "form").agg(F.min("doc_id").alias("doc_id"))
+    told = first.join(listed, (first["item_id"] == listed["head"]) & (first["form"] == listed["form"])).select(first["doc_id"], "item_id", first["form"], "items")
+    return found.join(told, ["doc_id", "item_id", "form"], "left")

@@ -171,13 +171,114 @@ def test_inconsistent_slots_are_let_go(spark):
     assert {d for d, _, _ in hits(spark, [(1, odd), (2, same)], ((1, item),))} == {2}
 
 
-def test_without_a_filter_the_join_gives_the_same(spark, monkeypatch):
+def test_a_full_bitmap_gives_the_same(spark, monkeypatch):
     docs = [(i, f"{'pad ' * i}{ITEM}" if i % 3 else "nothing here at all to find") for i in range(12)]
     want = hits(spark, docs)
-    monkeypatch.setattr(decontaminate, "FILTER_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 4)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 4)
     assert hits(spark, docs) == want and len(want) == 8
 
 
+def test_items_of_one_template_are_one(spark):
+    items = [(i, ITEM.replace("120", str(200 + i)).replace("45", str(50 + i))) for i in range(20)]
+    bench = spark.createDataFrame(items + [(7, items[7][1]), (None, items[3][1]), (None, ITEM.replace("Alice", "45"))], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"so {items[d % 20][1]}") for d in range(30)] + [(None, ITEM), (None, "clean words that no item has"), (5, "clean words too")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert len(got) == 31 and {(r.item_id, r.form, r.n_items) for r in got} == {(0, "template", 21)}
+    assert sorted(r.doc_id is None for r in got) == [False] * 30 + [True]
+    kinds, members = decontaminate.templates(bench)
+    assert {(r.item_id, r.form) for r in members.join(kinds.where("item_id = 0").select("template"), "template").collect()} >= {(i, "template") for i in [*range(20), None]}
+
+
+def test_names_of_other_scripts_are_slots(spark):
+    item = "сколько всего яблок есть если Иван купил 12 яблок а потом Мария принесла ещё 30 яблок домой"
+    docs = [(1, "вот " + item.replace("Иван", "Пётр").replace("Мария", "Ольга")), (2, item.upper()), (3, "совсем другой текст о том как все шли домой и пели песни весь вечер")]
+    assert {d for d, _, _ in hits(spark, docs, ((1, item),))} == {1, 2}
+
+
+def test_equals_brute_force(spark):
+    """The definition in plain Python: forms of an item, shares of windows found, consistency of slots."""
+    import re
+
+    rng = random.Random(12)
+    nouns = "apples boxes coats roads trains birds".split()
+    names = "Ann Bob Carla Dov".split()
+    line = lambda: f"if {rng.choice(names)} has {rng.randrange(50)} {rng.choice(nouns)} and then {rng.choice(names)} takes {rng.randrange(50)} {rng.choice(['km', 'kg', 'more'])} of them away how many {rng.choice(nouns)} are left for all the others"
+    items = [(i, line() if i % 4 else " ".join(line().split()[: rng.randrange(1, 9)])) for i in range(24)]
+    docs = []
+    for d in range(60):
+        t = rng.choice(items)[1] if d % 3 else line()
+        w = t.split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            w[rng.randrange(len(w))] = rng.choice(["word", "9", "Eve", "77"])
+        docs.append((d, " ".join([*("pad words before it".split()[: rng.randrange(4)]), *w, "and", "so", "on"]) if d % 7 else t.upper()))
+
+    def tokens(text):
+        out = []
+        for i, m in enumerate(re.finditer(r"\S+", text)):
+            raw = m[0]
+            plain = re.sub(r"[^A-Za-z0-9]", "", raw).lower()
+            number = bool(re.search(r"\d", raw))
+            unit = i > 0 and not number and out[-1][1] == "<num>" and plain in decontaminate.UNITS
+            name = i > 0 and not number and not unit and raw[0].isupper() and raw != raw.upper()
+            out.append((plain, "<num>" if number else "<unit>" if unit else "<name>" if name else plain, raw))
+        return out
+
+    def forms(text, k=5):
+        t = tokens(text)
+        out = []
+        for kind in ("template", "lower"):
+            seq = [c if kind == "template" or c != "<name>" else p for p, c, _ in t]
+            if len(t) < k or (kind == "lower" and all(c != "<name>" for _, c, _ in t)):
+                continue
+            usable = [i for i in range(len(t) - k + 1) if sum(x.startswith("<") for x in seq[i : i + k]) + (not i and kind == "template" and not seq[0].startswith("<")) <= k - 2]
+            if 2 * len(usable) >= len(t) - k + 1:
+                out.append((kind, [(i, {tuple(seq[i : i + k])} | ({("<name>", *seq[1:k])} if not i and kind == "template" and not seq[0].startswith("<") else set()), i) for i in usable]))
+        if not any(f == "template" for f, _ in out) and t:
+            size = min(len(t), k)
+            wins = {tuple(p for p, _, _ in t[i : i + size]) for i in range(len(t) - size + 1)}
+            out.append(("words", [(w, {w}, None) for w in wins]))
+        return out
+
+    def holds(doc, item, kind, wins, k=5):
+        t, asked = tokens(doc), tokens(item)
+        if kind == "words":
+            size = len(next(iter(wins))[0])
+            have = {tuple(p for p, _, _ in t[i : i + size]) for i in range(len(t) - size + 1)}
+            return sum(w in have for w, _, _ in wins) >= 0.8 * len(wins)
+        have = {}
+        for i in range(len(t) - k + 1):
+            have.setdefault(tuple(c for _, c, _ in t[i : i + k]), []).append(i)
+        met, triples = set(), set()
+        for pos, keys, i in wins:
+            for key in keys:
+                for j in have.get(key, []):
+                    met.add(pos)
+                    triples |= {(j + x, t[j + x][2], asked[i + x][2]) for x in range(k) if key[x].startswith("<")}
+        if len(met) < 0.8 * len(wins):
+            return False
+        count = {}
+        for _, v, q in triples:
+            count.setdefault(q, {}).setdefault(v, 0)
+            count[q][v] += 1
+        return sum(max(c.values()) for c in count.values()) >= 0.8 * len(triples)
+
+    want = {(d, i) for d, doc in docs for i, item in items if any(holds(doc, item, kind, wins) for kind, wins in forms(item))}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench)
+    kinds, members = decontaminate.templates(bench)
+    listed = members.select("template", "form", F.col("item_id").alias("item")).join(kinds.select("template", "item_id"), "template")
+    got = {(r.doc_id, r.item) for r in found.join(listed, ["item_id", "form"]).collect()}
+    assert got == want and len(want) > 40
+
+
+def test_null_and_repeated_ids_and_long_texts(spark):
+    docs = [(None, ITEM), (None, "clean as can be and nothing of it"), (1, ITEM), (1, "clean"), (1, ITEM), (2, "pad " * 200_000 + ITEM)]
+    df = spark.createDataFrame([(*d, 3, 4) for d in docs], "doc_id long, text string, hash int, template int")
+    got = decontaminate.contaminated(df, spark.createDataFrame([(1, ITEM, 0)], "item_id long, text string, pos int")).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 1)]
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     import corpus_pipeline as P
