@@ -1,4 +1,4 @@
-"""Text blocks: documents dealt by a hash of their id into groups of a few megabytes.
+"""Text blocks: documents dealt by a hash of their id and text into groups of a few megabytes.
 
 A block is the unit of work of the window operators: its texts lie in one byte
 buffer, every value is reduced to one entry per block before it is shuffled, so
@@ -22,7 +22,8 @@ def dealt_into_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes:
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("block"),
+        # with the text, or all rows of a null or repeated id would fall into one block
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int").alias("block"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
     ), n

@@ -2,11 +2,11 @@
 
 Plan. Texts are dealt into blocks; anchors of windows (see `repeats`) are
 compared across blocks; the windows left are sent, as stretches of text that
-share an anchor, to the anchor's home. There their suffixes are bucket-sorted:
-initial buckets are 8-gram buckets, and each round sorts the members of every
-bucket with several members by the bucket pointers of a later offset, writing the
-new pointers in place so that later rounds reuse them, until two pointers span the window
-length. The smallest document of each bucket decides which windows go.
+share an anchor, to the anchor's home; equal stretches of a block go once, with the smallest document that has them. There the
+suffixes of the distinct stretches are bucket-sorted: initial buckets are 8-gram buckets, which are refined one after the other by
+the bucket pointers at a later offset; pointers are written in place, so buckets refined later use those refined before, and
+a bucket's depth grows by the depth of the bucket pointed to. The smallest document of each bucket decides which windows go. Stretches
+that share their anchor with no other distinct stretch need no sort: their windows are buckets of their own.
 Windows of an anchor with very many occurrences are sent one by one to the home of a hash of
 the window's own bytes, so no group grows with the copies of one passage.
 """
@@ -23,6 +23,8 @@ from docweave.llm.repeats import NOTE, Runs, among, covered, ids_of, in_order, n
 
 QGRAM = 8
 SLICE = 1 << 20
+#: Places sorted together where buckets are small.
+BATCH = 1 << 15
 
 
 def words_at(buf: np.ndarray, n: int, offset: int = 0) -> np.ndarray:
@@ -70,40 +72,81 @@ def byte_runs(block: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.n
     return buf, offsets, (mixed(low[starts]), starts, n, np.searchsorted(offsets, starts, "right") - 1)
 
 
-def refined_buckets(text: np.ndarray, left: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """A bucket number for each window start: equal numbers mean equal strings of `length` bytes.
+def refined_buckets(text: np.ndarray, starts: np.ndarray, length: int, batch: int = BATCH) -> np.ndarray:
+    """A bucket number for each start: equal numbers mean equal strings of `length` bytes; text: padded by 8, the string of every start inside.
 
-    text: padded by 8; left: bytes from each place to the end of its stretch.
-    Bucket pointers are refined in place, by the pointers at an offset equal to the depth
-    reached, in buckets with several members only.
+    Suffixes are sorted into buckets by their first QGRAM bytes; the bucket pointer of a place is the last rank of its bucket. The
+    buckets of starts are then refined one after the other, from the left: members are sorted by the pointers at the offset of the bucket's
+    depth, the pointers of the new buckets are written at once and so are used by every bucket refined after it. A new bucket's depth grows
+    by the depth of the bucket its members pointed to, so what was refined before is not compared again. Small buckets
+    that lie side by side are sorted together, about `batch` places at a time. In the end the order decides: neighbours in it are one bucket if `length` bytes agree.
     """
     n = len(text) - 8
     q = min(QGRAM, length)
+    if not len(starts):
+        return np.zeros(0, np.int64)
     code = words_at(text, n)
     if q < 8:
         code >>= np.uint64(64 - 8 * q)
-    place = np.flatnonzero(left >= q)
-    pointer = np.full(n, -1, np.int64)
-    kinds, inverse, members = np.unique(code[place], return_inverse=True, return_counts=True)
-    pointer[place] = inverse + n  # clear of the numbers given later
-    active, depth, given = place[members[inverse] > 1], q, n + len(kinds)
-    while 2 * depth <= length and len(active):
-        active = active[left[active] >= 2 * depth]
-        here, there = pointer[active], pointer[active + depth]
-        order = np.lexsort((there, here))
-        h, t = here[order], there[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]) if len(h) else np.zeros(0, bool)
-        rank = np.cumsum(new) - 1
-        pointer[active[order]] = given + rank
-        given += len(rank)
-        active = active[order][np.bincount(rank)[rank] > 1] if len(rank) else active
-        depth *= 2
-    here, there = pointer[starts], pointer[starts + length - depth]
-    order = np.lexsort((there, here))
-    h, t = here[order], there[order]
-    out = np.empty(len(starts), np.int64)
-    out[order] = np.cumsum(np.concatenate([[0], ((h[1:] != h[:-1]) | (t[1:] != t[:-1])).astype(np.int64)])) if len(h) else 0
-    return out
+    order = np.argsort(code)
+    ranked = code[order]
+    last = np.flatnonzero(np.concatenate([ranked[1:] != ranked[:-1], [True]]))
+    sizes = np.diff(np.concatenate([[-1], last]))
+    pointer = np.empty(n, np.int64)
+    pointer[order] = np.repeat(last, sizes)
+    depth = np.full(n, q, np.int16)  # by pointer
+    wanted = np.zeros(n, bool)
+    wanted[starts] = True
+    # starts in order of their buckets; other places keep their first pointers
+    place = order[wanted[order]]
+    del order, ranked, code
+    todo = [place[many_in_bucket(pointer[place])]]
+    while todo:
+        members, todo = todo[0], []
+        heads = np.flatnonzero(np.concatenate([[True], pointer[members[1:]] != pointer[members[:-1]]])) if len(members) else np.zeros(0, np.int64)
+        cut = np.searchsorted(heads, np.arange(0, len(members), batch))
+        cut = np.unique(np.concatenate([heads[np.minimum(cut, len(heads) - 1)], [len(members)]])) if len(heads) else np.zeros(1, np.int64)
+        again = []
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own = members[i:j]
+            here = pointer[own]
+            d = depth[here].astype(np.int64)
+            there = pointer[own + np.minimum(d, length - q)]
+            by = np.lexsort((there, here))
+            own, here, there, d = own[by], here[by], there[by], d[by]
+            end = np.concatenate([(here[1:] != here[:-1]) | (there[1:] != there[:-1]), [True]])
+            # the last member's rank within the old bucket names the new one
+            stop = np.flatnonzero(end)
+            size = np.diff(np.concatenate([[-1], stop]))
+            bucket_end = np.flatnonzero(np.concatenate([here[1:] != here[:-1], [True]]))
+            behind = bucket_end[np.searchsorted(bucket_end, stop)] - stop
+            name = here[stop] - behind
+            step = np.minimum(d[stop], length - q) + depth[there[stop]]
+            pointer[own] = np.repeat(name, size)
+            depth[name] = np.minimum(step, length)
+            open_ = np.repeat((size > 1) & (step < length), size)
+            again.append(own[open_])
+        if again and sum(map(len, again)):
+            todo.append(np.concatenate(again))
+    order = starts[np.argsort(pointer[starts], kind="stable")]
+    same = np.ones(len(order) - 1, bool)
+    for at in [*range(0, length - 7, 8), max(length - 8, 0)]:
+        shift = np.uint64(max(64 - 8 * length, 0))
+        same &= eight(text, order[1:] + at) >> shift == eight(text, order[:-1] + at) >> shift
+    out = np.empty(n, np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(~same)])
+    return out[starts]
+
+
+def eight(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as numbers."""
+    return np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))[at].astype(np.uint64)
+
+
+def many_in_bucket(pointers: np.ndarray) -> np.ndarray:
+    """Which of the sorted pointers have a neighbour with the same one."""
+    same = pointers[1:] == pointers[:-1]
+    return np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(pointers) else np.zeros(0, bool)
 
 
 def stretches(block: pa.Table, notes: pa.Table, length: int, gram: int, homes: int):
@@ -156,10 +199,9 @@ def repeated_windows(texts: list[bytes], least: np.ndarray, length: int, gram: i
     sizes = sizes[pick]
     windows = sizes - length + 1
     ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(ends[-1])
     owner = np.repeat(np.arange(len(pick)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    bucket = refined_buckets(text, left, (ends - sizes)[owner] + inside, length)
+    bucket = refined_buckets(text, (ends - sizes)[owner] + inside, length)
     low = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, bucket, least[pick][owner])
     first = np.zeros(len(owner), bool)
@@ -180,7 +222,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Returns a row per input row: id, n_bytes, spans (array of from/to byte offsets of the
     maximal removed runs) and kept (the remaining bytes, which may not be whole UTF-8).
     Null and empty texts give no bytes and no spans. Rows with the same id never match each other;
-    a null id counts as larger than any number. Repeats inside one document stay.
+    a null id counts as larger than any number. Repeats inside one document stay. A very long text is
+    handled whole by one task, and so are rows that agree in id and text.
     Other columns of the input are not looked at and not returned. An empty table gives an empty result.
     """
     gram = max(1, length // 2)

@@ -97,8 +97,8 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Words are runs without space or the characters 9 to 13. Returns a row per input row: id, n_words,
     spans (array of from/to word numbers of the maximal removed runs) and kept (the remaining words joined by one
     space). Null and empty texts have no words. Rows with the same id never match each other; a null id
-    counts as larger than any number. Repeats inside one document stay. Other columns of the input are
-    not looked at and not returned. An empty table gives an empty result.
+    counts as larger than any number. Repeats inside one document stay. A very long text is handled whole by one task,
+    and so are rows that agree in id and text. Other columns of the input are not looked at and not returned. An empty table gives an empty result.
     """
     gram = max(1, length * 4 // 5)
     blocks, homes = dealt_into_blocks(docs, id_col, text_col, block_bytes)

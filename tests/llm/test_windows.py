@@ -7,10 +7,17 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.llm.blocks import dealt_into_blocks
 from docweave.llm.suffix_dedup import refined_buckets, remove_repeated_bytes
 from docweave.llm.window_dedup import remove_repeated_windows
 
 
+def test_rows_of_one_id_are_dealt_out(spark):
+    df = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    blocks, n = dealt_into_blocks(df, "doc_id", "text", 400)
+    assert n > 5 and blocks.groupBy("block").count().agg(F.max("count")).first()[0] < 150
+
+
 def corpus(rng, unit, n=60):
     passages = [unit(rng, 90) for _ in range(4)]
     rows = []
@@ -78,10 +85,10 @@ def test_buckets_are_classes_of_equal_strings():
     import numpy as np
 
     rng = random.Random(3)
-    for length in (5, 8, 13, 33):
-        text = bytes(rng.choice(b"ab") for _ in range(300)) * 2
-        starts = np.arange(len(text) - length + 1)
-        bucket = refined_buckets(np.frombuffer(text + bytes(8), np.uint8), len(text) - np.arange(len(text)), starts, length)
+    for length, letters, batch in ((5, b"ab", 1), (8, b"a", 1), (9, b"ab", 40), (13, b"abc", 1), (33, b"ab", 1), (50, b"ab", 1 << 15), (50, b"a", 7)):
+        text = bytes(rng.choice(letters) for _ in range(300)) * 2
+        starts = np.arange(len(text) - length + 1)[:: 1 + (batch == 40)]
+        bucket = refined_buckets(np.frombuffer(text + bytes(8), np.uint8), starts, length, batch)
         kinds = {}
         for p, b in zip(starts, bucket, strict=True):
             assert kinds.setdefault(text[p : p + length], b) == b
