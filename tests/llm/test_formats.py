@@ -25,6 +25,7 @@ def test_round_trip_of_hard_texts(spark):
     bits = ["<|im_end|>", "<|im_start|>assistant\n", "\\", "<|", "|", "<", "\n", "é😀", "ok", "\\n", "$1"]
     rows = [(c, t, rng.choice(["user", "assistant", "so\nle", "r\\", None]), "".join(rng.choice(bits) for _ in range(rng.randrange(9)))) for c in range(40) for t in range(rng.randrange(1, 5))]
     rows += [(50, 0, "assistant", None), (50, 0, "assistant", "twice"), (50, 0, "assistant", "twice"), (51, None, "assistant", "y" * 5000), (None, 1, "user", "n")]
+    rows += [(52, 1, "\\" * 50_000, "\\" * 300_000), (52, 2, "so\\n" * 20_000, "<|\n" * 100_000), (52, 3, "+-\\+", "\\-|<\\|")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1)).repartition(4)
     out = chat.format_conversations(df)
     got = {r.conv_id: ([tuple(t) for t in r.turns], r.loss) for r in out.select("conv_id", chat.parsed(F.col("formatted")).alias("turns"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescaped(s["text"])), "").alias("loss")).collect()}
