@@ -1,17 +1,21 @@
 """WARC archives as a Spark data source, written and read by tasks in parallel.
 
 Every record is a gzip member of its own; its header carries the member's compressed and plain
-length in the `sl` extra field, so a reader can step over a member without inflating it. A reader inflates a
-record's header lines first, tests the pushed predicates on them, and inflates the payload
-only of records that pass, and only if payloads are asked for.
+length in the `sl` extra field, so a reader can step over a member without inflating or even reading it. A reader goes through a file
+piece by piece; it inflates a record's header lines first, tests the pushed predicates on them, and inflates the payload
+only of records that pass, and only if payloads are asked for. Files without `sl` fields are read, too, but inflated throughout.
 
-Options: path (a folder), payload ("false": payload column null and never inflated),
-roll_bytes (a file is closed once it is larger, so that many tasks can read).
+Files are packed into partitions by size. A task writes under names of its own attempt; the commit writes one list of the attempts that
+count, and readers pass over files of other attempts. So nothing is renamed, and what lost executors left behind is never read.
+
+Options: path (a folder, in any store that pyarrow reads; `s3a` and `s3n` count as `s3`), payload ("false": payload column null and never inflated),
+roll_bytes (a file is closed once it is larger, so that many tasks can read), pack_bytes (files up to this sum are one partition).
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import uuid
 import zlib
@@ -23,8 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-ROLL_BYTES = 16 << 20
-BATCH_BYTES = 4 << 20
+ROLL_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+#: A partition's files: at most MOST_BYTES together, and as little as LEAST_BYTES if that gives up to PARTS partitions.
+LEAST_BYTES, MOST_BYTES, PARTS = 2 << 20, 128 << 20, 200
+OWN_FILE = re.compile(r"part-([0-9a-f]{32})-\d+\.warc\.gz$")
+COMMITTED = "_committed-"
 READ = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_length long, headers map<string,string>, payload binary"
 #: Columns that are header lines; predicates on them are tested before any payload.
 LINES = {
@@ -83,47 +90,73 @@ def inflated(data: memoryview, at: int) -> tuple[zlib._Decompress, int, int]:
     return zlib.decompressobj(-15), place + 2 * bool(flags & 2), size
 
 
-def records(data: bytes, wanted, payload: bool):
-    """(header lines, payload or None) of the records in the bytes of a file that `wanted(lines)` accepts."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        z, place, size = inflated(view, at)
-        end = at + size - 8 if size else len(data)
-        text, rest = b"", view[place:end]
+class Window:
+    """A file of which one piece is held at a time."""
+
+    def __init__(self, file):
+        self.file, self.size, self.base, self.data = file, file.size(), 0, b""
+
+    def take(self, at: int, n: int) -> memoryview:
+        """Up to n bytes from `at` on."""
+        n = min(n, self.size - at)
+        if not self.base <= at or at + n > self.base + len(self.data):
+            self.file.seek(at)
+            self.base, self.data = at, self.file.read(max(n, 1 << 20))
+        return memoryview(self.data)[at - self.base : at - self.base + n]
+
+
+def records(file, wanted, payload: bool):
+    """(header lines, payload or None) of the records of an open file that `wanted(lines)` accepts."""
+    window, at = Window(file), 0
+    while at < window.size:
+        z, place, size = inflated(window.take(at, 1 << 16), 0)
+        end, place, rest, text = at + size - 8 if size else window.size, at + place, b"", b""
         while b"\r\n\r\n" not in text and not z.eof:
-            more = z.decompress(rest, 1024)
-            text, rest = text + more, z.unconsumed_tail
-            if not more and not rest:
-                break
-        head, _, block = text.partition(b"\r\n\r\n")
+            if not rest:
+                rest = window.take(place, min(end - place, 1 << 12))
+                place += len(rest)
+                if not rest:
+                    break
+            text += z.decompress(rest, 1024)
+            rest = z.unconsumed_tail
+        head, _, first = text.partition(b"\r\n\r\n")
         lines = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
         take = wanted(lines)
-        if (take and payload) or not size:  # without a length only inflating finds the end
-            block += z.decompress(rest)
-            block += z.flush()
-        at = at + size if size else len(data) - len(z.unused_data) + 8
+        block = [first]
+        while ((take and payload) or not size) and not z.eof:  # without a length only inflating finds the end
+            if not rest:
+                rest = window.take(place, min(end - place, 1 << 18))
+                place += len(rest)
+                if not rest:
+                    break
+            more, rest = z.decompress(rest), b""
+            if take and payload:
+                block.append(more)
+        at = at + size if size else place - len(z.unused_data) + 8
         if take:
-            body = block[: int(lines.get("Content-Length", 0))].partition(b"\r\n\r\n")[2] if payload else None
+            body = b"".join(block)[: int(lines.get("Content-Length", 0))].partition(b"\r\n\r\n")[2] if payload else None
             yield lines, body
 
 
 @dataclass
 class Archive(InputPartition):
-    path: str
+    paths: list[str]
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    paths: list[str]
+    attempt: str
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.payload = options["path"], options.get("payload", "true") != "false"
+        self.pack = int(options.get("pack_bytes", 0))
         self.tests: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -135,8 +168,23 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         store, path = opened(self.path)
-        found = store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
-        return [Archive(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith(".warc.gz")] or [Archive("")]
+        found = [x for x in store.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)) if x.is_file]
+        good = set()
+        for x in found:
+            if x.base_name.startswith(COMMITTED):
+                with store.open_input_stream(x.path, compression=None) as f:
+                    good |= set(f.read().decode().split())
+        own = lambda x: OWN_FILE.search(x.base_name)
+        files = sorted(((x.path, x.size) for x in found if x.path.endswith(".warc.gz") and (not own(x) or own(x)[1] in good)), key=lambda x: x[0])
+        most = self.pack or min(MOST_BYTES, max(LEAST_BYTES, sum(size for _, size in files) // PARTS))
+        packs, room = [], 0
+        for name, size in files:
+            if not packs or size > room:
+                packs.append([])
+                room = most
+            packs[-1].append(name)
+            room -= size
+        return [Archive(x) for x in packs] or [Archive([])]
 
     def wanted(self, lines: dict[str, str]) -> bool:
         for f in self.tests:
@@ -154,18 +202,16 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: Archive):
-        if not partition.path:
-            return
         store, _ = opened(self.path)
-        with store.open_input_stream(partition.path, compression=None) as f:
-            data = f.read()
         rows, size = [], 0
-        for lines, body in records(data, self.wanted, self.payload):
-            rows.append((lines, body))
-            size += len(body or b"") + 500
-            if size > BATCH_BYTES:
-                yield batch(rows)
-                rows, size = [], 0
+        for path in partition.paths:
+            with store.open_input_file(path) as f:
+                for lines, body in records(f, self.wanted, self.payload):
+                    rows.append((lines, body))
+                    size += len(body or b"") + 500
+                    if size > BATCH_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
         if rows:
             yield batch(rows)
 
@@ -194,31 +240,28 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator):
         store, path = opened(self.path)
         store.create_dir(path, recursive=True)
-        out, paths = None, []
+        attempt, out, n = uuid.uuid4().hex, None, 0
         for b in iterator:
             for r in b.to_pylist():
                 if out is None:
-                    paths.append(f"{path}/{uuid.uuid4().hex}.warc.gz.part")
-                    out = store.open_output_stream(paths[-1], compression=None)
+                    out = store.open_output_stream(f"{path}/part-{attempt}-{n:05}.warc.gz", compression=None)
+                    n += 1
                 out.write(member(record(r["record_id"], r["record_type"], r["target_uri"], r["payload_digest"], r["refers_to"], r["payload"], r["payload_length"])))
                 if out.tell() > self.roll:
                     out.close()
                     out = None
         if out is not None:
             out.close()
-        return Written(paths)
+        return Written(attempt)
 
     def commit(self, messages):
-        store, _ = opened(self.path)
-        for m in messages:
-            for p in m.paths if m else []:
-                store.move(p, p.removesuffix(".part"))
+        store, path = opened(self.path)
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/{COMMITTED}{uuid.uuid4().hex}", compression=None) as f:
+            f.write("\n".join(m.attempt for m in messages if m).encode())
 
     def abort(self, messages):
-        store, _ = opened(self.path)
-        for m in messages:
-            for p in m.paths if m else []:
-                store.delete_file(p)
+        """Files of attempts that are not listed are never read; they stay until the folder goes."""
 
 
 class WarcSource(DataSource):
@@ -248,8 +291,8 @@ def archive_rows(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """WARC records for (page_id, url, html): of equal payloads of `least_bytes` or more the largest page_id is the response, others are revisits of it.
 
     A null html is an empty payload. Rows that share the largest page_id are all responses; a null page_id
-    counts as the smallest, and a payload with null ids only has no revisits. Other columns are
-    not looked at. An empty table gives no records.
+    counts as the smallest, and a payload with null ids only has no revisits. A page of any length is one record, written and
+    read by one task. Other columns are not looked at. An empty table gives no records.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumns(

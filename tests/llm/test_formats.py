@@ -1,8 +1,10 @@
 """Chat formatting, WARC archives, surrogates, decontamination, pipeline stages."""
 
 import hashlib
+import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,15 +62,30 @@ def test_reader_tests_headers_before_payloads(monkeypatch):
     reader = warc.WarcReader({"path": "/none"})
     rest = list(reader.pushFilters([warc.EqualTo(("record_id",), "urn:page:3"), warc.EqualTo(("payload",), b"")]))
     assert len(rest) == 1 and len(reader.tests) == 1
-    got = list(warc.records(data, reader.wanted, True))
+    got = list(warc.records(pa.PythonFile(io.BytesIO(data), "r"), reader.wanted, True))
     assert [len(b) for _, b in got] == [100_000]
 
 
 def test_plain_gzip_members_are_read_too():
     import gzip
 
-    data = b"".join(gzip.compress(warc.record(f"urn:page:{i}", "response", None, "00" * 20, None, b"x" * i, i)) for i in range(4))
-    assert [b for _, b in warc.records(data, lambda lines: True, True)] == [b"x" * i for i in range(4)]
+    noise = random.Random(1).randbytes(3 << 20)  # larger than the piece that a reader holds
+    bodies = [b"", b"x", noise, b"xxx", noise[::-1]]
+    plain = b"".join(gzip.compress(warc.record(f"urn:page:{i}", "response", None, "00" * 20, None, b, len(b))) for i, b in enumerate(bodies))
+    own = b"".join(warc.member(warc.record(f"urn:page:{i}", "response", None, "00" * 20, None, b, len(b))) for i, b in enumerate(bodies))
+    for data in (plain, own):
+        read = lambda wanted, payload: list(warc.records(pa.PythonFile(io.BytesIO(data), "r"), wanted, payload))  # noqa: B023, E731
+        assert [b for _, b in read(lambda lines: True, True)] == bodies
+        assert [b for lines, b in read(lambda lines: lines["WARC-Record-ID"] in ("<urn:page:2>", "<urn:page:4>"), True)] == [bodies[2], bodies[4]]
+        assert [b for _, b in read(lambda lines: True, False)] == [None] * 5
+
+
+def test_only_committed_attempts_are_read(tmp_path):
+    warc.WarcWriter({"path": str(tmp_path)}).commit([warc.Written("a" * 32), None])
+    for name in ("part-" + "a" * 32 + "-00000", "part-" + "b" * 32 + "-00000", "foreign"):
+        (tmp_path / f"{name}.warc.gz").write_bytes(b"123")
+    parts = lambda **o: [[p.rsplit("/", 1)[1][:8] for p in x.paths] for x in warc.WarcReader({"path": str(tmp_path), **o}).partitions()]
+    assert parts() == [["foreign.", "part-aaa"]] and parts(pack_bytes="4") == [["foreign."], ["part-aaa"]]
 
 
 def replaced(spark, texts):
