@@ -21,6 +21,8 @@ STEPS = 64
 HIDDEN = 6
 #: The training sample: documents over all languages, and stretches of each.
 SAMPLE_DOCS, SAMPLE_STRETCHES = 2000, 8
+#: At most so many languages are learned, those of the most rows: the network has an output for each.
+MOST_LANGS = 256
 ROUNDS, BATCH, RATE = 250, 192, 0.03
 LANES = 2048
 LETTER = np.zeros(256, bool)
@@ -180,15 +182,15 @@ def pooled(p: Params, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[bytes], np.ndarray]:
     """The learned languages, and stretches of a sample of at most about `sample_docs` rows, the same share for each language.
 
-    Languages are counted over all rows; the sample is taken by a hash of the id.
+    Languages are counted over all rows, and the MOST_LANGS most frequent ones are learned; the sample is taken by a hash of id and text.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     langs = sorted(counts)
     if not langs:
         return [], [], np.zeros(0, np.int64)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / len(langs) / counts[k])))])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = lambda i: F.pmod(F.xxhash64(F.col(id_col).cast("string"), i), F.greatest(F.length(F.col(text_col)) - STEPS // 2, F.lit(1)))
     cut = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_STRETCHES)), lambda i: F.substring(F.col(text_col), place(i).cast("int") + 1, F.lit(STEPS)))
     # the order of rows must not matter for the result
@@ -202,8 +204,9 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     Returns the columns of `docs` and lang_pred, score (0 to 1: the mean probability of lang_pred over the
     letter positions) and shares (per learned language, in code point order, the share of letter positions labelled so).
     Null texts, texts without a letter, and every text if nothing was learned: `und`, 0.0, null. Input columns
-    called as the three new ones are replaced. An empty table gives an empty result. Training rows
-    without text, letter or language are left out; repeated rows only weigh more.
+    called as the three new ones are replaced. Repeated rows and rows of a null or repeated id are each labelled by their own text. Texts of any length are
+    read whole, in stretches that begin anew, so no state crosses their borders. An empty table gives an empty result. Training rows
+    without text, letter or language are left out; repeated rows only weigh more, and are drawn together.
     """
     langs, stretches, labels = labelled_sample(training, id_col, text_col, lang_col)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "shares", "__text")]

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from docweave.llm.blocks import packed
 
-VECTORS, QUERIES = 4096, 512
+#: Sides of a tile: a query block is sent once for every VECTORS candidates. A tile's scores take 64 MB as numbers of 64 bits.
+VECTORS, QUERIES = 8192, 1024
 
 
 def scores_of(queries: list[np.ndarray], matrix: list[np.ndarray]) -> np.ndarray:
@@ -34,7 +35,10 @@ def scores_of(queries: list[np.ndarray], matrix: list[np.ndarray]) -> np.ndarray
         else:
             for i, v in enumerate(rows):
                 out[i, : len(v)] = v
-    bound = float((np.abs(q).max(0, initial=0).astype(float) * np.abs(m).max(0, initial=0)).sum())
+    bound = float((np.abs(q.astype(float)).max(0, initial=0) * np.abs(m.astype(float)).max(0, initial=0)).sum())
+    if bound >= 2**62:  # plain whole numbers; what does not fit 64 bits in the end stands at the border
+        exact = q.astype(object) @ m.astype(object).T if dims else np.zeros((len(queries), len(matrix)), object)
+        return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
     kind = np.int32 if bound < 2**31 else np.int64
     total = np.zeros((len(queries), len(matrix)), kind)
     q, terms = q.astype(kind), np.ascontiguousarray(m.T.astype(kind))
@@ -60,14 +64,17 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(scores >= cut)
     else:
         at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at].astype(np.int64)))][:k]
+    order = np.lexsort((-ids[at], scores[at]))[::-1]
+    return at[order][:k]
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     """(id, v) with floor(scale * x) of each component, of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
+    # beyond 64 bits: the border
+    fits = lambda x: F.greatest(F.least(x * F.lit(float(scale)), F.lit(float(2**63 - 1024))), F.lit(-float(2**63)))
+    whole = F.transform(v, lambda x: F.floor(fits(x)).cast("long"))
     return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
@@ -89,7 +96,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     Components become floor(scale * x). `is_query` is a condition on the column `id`. Ties go to the smaller id; fewer
     candidates give fewer rows. Vectors that are null, have a null id or hold null or non-finite components take no
     part; an empty vector scores 0, and a shorter one counts as padded with zeros. Rows that share
-    an id stand for one vector, the first in array order. Other columns are not looked at.
+    an id stand for one vector, the first in array order. Components and scores beyond 64 bits stand at the border of these. A
+    very long vector is handled whole. Other columns are not looked at. An empty table gives an empty result.
     """
     rows = integer_vectors(vectors, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
     n = rows.count()

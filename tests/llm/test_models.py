@@ -54,15 +54,15 @@ def test_gradients_match_differences():
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.choice([0.0, 0.0, 0.25, -0.5, 1.0], 12)]) for i in range(230)]
-    odd = [(300, None), (301, [1.0, None]), (302, [float("nan")] * 12), (303, [float("inf")]), (304, []), (350, [1.0, 2.0]), (None, [1.0]), (0, rows[0][1])]
+    odd = [(300, None), (301, [1.0, None]), (302, [float("nan")] * 12), (303, [float("inf")]), (304, []), (350, [1.0, 2.0]), (305, [1e30, -1e30]), (None, [1.0]), (0, rows[0][1])]
     df = spark.createDataFrame([(i, v, i) for i, v in rows + odd], "vec_id long, embedding array<float>, id long").repartition(4)
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 50 == 0).collect())
-    good = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows + [odd[4], odd[5]]}
+    good = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows + [odd[4], odd[5]]} | {305: [2**63 - 1024, -(2**63)]}
     want = []
     for q in sorted(good):
         if q % 50 == 0:
-            s = sorted(((-sum(a * b for a, b in zip(good[q], v, strict=False)), i) for i, v in good.items() if i != q))[:5]
-            want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+            s = sorted(((-max(min(sum(a * b for a, b in zip(good[q], v, strict=False)), 2**63 - 1), -(2**63)), i) for i, v in good.items() if i != q))[:5]
+            want += [(q, n + 1, i, max(min(-x, 2**63 - 1), -(2**63))) for n, (x, i) in enumerate(s)]
     assert got == sorted(want)
     assert topk.top_k(df.where("false"), F.col("id") % 50 == 0).count() == 0
 
@@ -70,6 +70,35 @@ def test_topk_equals_brute_force(spark):
 def test_large_components_stay_exact():
     q, m = [np.array([2**40, 3])], [np.array([2**20, 5]), np.array([-(2**20)])]
     assert topk.scores_of(q, m).tolist() == [[2**60 + 15, -(2**60)]]
+    q, m = [np.array([2**62, 2**62, 5])], [np.array([2**62, -(2**62), 2]), np.array([4, 4, 0]), np.array([-4, -4, -1])]
+    assert topk.scores_of(q, m).tolist() == [[10, 2**63 - 1, -(2**63)]]
+    low = np.iinfo(np.int64).min
+    assert topk.best_of(np.array([3, low, 3, 9]), np.array([8, 1, 2, 5]), 4).tolist() == [3, 2, 0, 1]
+
+
+def test_documents_held_out_are_labelled_well(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = L.identify(docs.select("doc_id", "text"), docs.where(~L.is_held_out()))
+    seen = out.join(docs.select("doc_id", "lang"), "doc_id").where(L.is_held_out() & F.col("lang").isNotNull() & (F.col("lang_pred") != "und"))
+    n, right = seen.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
+    assert n >= 20 and right >= 0.9 * n
+
+
+def test_dirty_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGS", 2)
+    rows = [(i, "some text", "en" if i % 2 else "de") for i in range(20)] + [(100 + i, "other text", f"x{i}") for i in range(10)]
+    assert L.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")[0] == ["de", "en"]
+
+
+def test_mixing_of_rows_that_look_alike(spark):
+    rows = [(None, "a b", "s", i) for i in range(40)] + [(7, "c d e", "s", 40 + i) for i in range(30)] + [(None, None, "t", 80), (1, "x " * 400, None, 81)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+    got = mixing.mixture(df.repartition(3), row_col="row").collect()
+    assert sorted(r.row for r in got) == [r[3] for r in rows] and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mixture(df.repartition(5), row_col="row").collect()), key=str)
+    for s in ("s", None):
+        own = [r for r in got if r.source == s]
+        assert sum(r.taken for r in own) == int(own[0].target)
 
 
 def test_mixing_reaches_targets(spark):
