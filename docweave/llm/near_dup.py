@@ -253,7 +253,9 @@ def linked_outsiders(open_: DataFrame, sets: DataFrame, num: int, den: int, band
                 b_ids, nb, bt, other = own["right"]
                 near = np.minimum(na[x_of], nb[y_of]) * den >= np.maximum(na[x_of], nb[y_of]) * num  # else the sizes alone rule it out
                 x_of, y_of = x_of[near], y_of[near]
-                heads = np.flatnonzero(np.concatenate([[True], x_of[1:] != x_of[:-1]])) if len(x_of) else np.zeros(0, np.int64)
+                if not len(x_of):
+                    continue
+                heads = np.flatnonzero(np.concatenate([[True], x_of[1:] != x_of[:-1]]))
                 a, b = [], []
                 for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(x_of)], strict=True):
                     x, y = x_of[i], y_of[i:j]
@@ -263,8 +265,7 @@ def linked_outsiders(open_: DataFrame, sets: DataFrame, num: int, den: int, band
                     good = y[den * both >= num * (na[x] + nb[y] - both)]
                     a.append(np.full(len(good), a_ids[x]))
                     b.append(b_ids[good])
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     met = asked.join(side("left"), "left").join(side("right"), "right")
     out = spool(met.mapInArrow(test, "a long, b long"), "tested")
