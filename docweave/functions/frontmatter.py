@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,25 +19,33 @@ def scalar(value) -> str | None:
     return value if isinstance(value, str) else None
 
 
-def decode(text: str | None) -> tuple:
-    """One row of DECODED. Malformed: bad YAML, a top level that is no mapping, fields of a wrong shape, repeated keys."""
+@cache
+def loader():
+    """The YAML loader: scalars stay strings; repeated keys are an error. Made once in each process, in C where it can be."""
     import yaml
 
-    class Loader(yaml.BaseLoader):
-        """Scalars stay strings; repeated keys are an error."""
+    class Loader(getattr(yaml, "CBaseLoader", yaml.BaseLoader)):
+        pass
 
-    def mapping(loader, node, deep=False):
-        keys = [loader.construct_object(k, deep=True) for k, _ in node.value]
+    def mapping(own, node, deep=False):
+        keys = [own.construct_object(k, deep=True) for k, _ in node.value]
         if len({str(k) for k in keys}) < len(keys):
             raise yaml.YAMLError("repeated key")
-        return {k: loader.construct_object(v, deep=True) for k, (_, v) in zip(keys, node.value, strict=True)}
+        return {k: own.construct_object(v, deep=True) for k, (_, v) in zip(keys, node.value, strict=True)}
 
     Loader.add_constructor("tag:yaml.org,2002:map", mapping)
+    return Loader
+
+
+def decode(text: str | None) -> tuple:
+    """One row of DECODED. Malformed: bad YAML, a top level that is no mapping, fields of a wrong shape, repeated keys."""
+    import yaml
+
     bad = ("malformed", None, None, None, None, None, None, None, None)
     if text is None:
         return (None, *bad[1:])
     try:
-        d = yaml.load(text, Loader=Loader)
+        d = yaml.load(text, Loader=loader())
     except (yaml.YAMLError, TypeError, ValueError, RecursionError):
         return bad
     if d in (None, ""):
@@ -73,5 +82,7 @@ def docs_of(files: DataFrame) -> DataFrame:
     null without a block. An empty block has empty fields.
     """
     content = F.col("content")
-    rows = files.where(content.isNotNull()).select("repo", "path", "content", M.has_block(content).alias("has_frontmatter"), M.block_text(content).alias("__fm"), M.body_text(content).alias("body"))
+    rows = files.where(content.isNotNull()).select("repo", "path", "content", M.block_head(content).alias("__head"))
+    has = F.col("__head") != ""
+    rows = rows.select("repo", "path", "content", has.alias("has_frontmatter"), F.when(has, M.head_text(F.col("__head"))).alias("__fm"), M.behind(content, F.col("__head")).alias("body"))
     return rows.withColumn("__d", decoded(F.col("__fm"))).select("repo", "path", "has_frontmatter", "__d.*", F.when(F.col("has_frontmatter"), M.first_heading(F.col("body"))).alias("heading"), "body", "content")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: First line `---`, a later line `---`; group 1 the block, group 2 the body. The outer `??` must stay lazy.
-BLOCK = r"\A---\r*\n(?s:(?:(.*?)\n)??---\r*(?:\n(.*))?\z)"
+#: First line `---`, a later line `---`; group 1 the block. The outer `??` must stay lazy.
+BLOCK = r"\A---\r*\n(?s:(?:(.*?)\n)??---\r*(?=\n|\z))"
 #: Fixed value: characters that count as space when text is trimmed.
 SPACE = r"[\t\n\x0B\f\r \u0085   -     　]"
 INLINE_LINK = r"\]\(([^)]+)\)"
@@ -18,18 +18,33 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
+def block_head(content: Column) -> Column:
+    """The frontmatter with both its lines `---`, empty without a block; the text behind it is not read."""
+    return F.when(content.startswith("---"), F.regexp_extract(content, BLOCK, 0)).otherwise("")
+
+
+def head_text(head: Column) -> Column:
+    """What stands between the lines of `block_head`."""
+    return F.regexp_extract(head, BLOCK, 1)
+
+
+def behind(content: Column, head: Column) -> Column:
+    """What follows the frontmatter; all of the text without one."""
+    return F.when(head != "", F.substring(content, F.length(head) + 2, F.length(content))).otherwise(content)
+
+
 def has_block(content: Column) -> Column:
-    return content.rlike(BLOCK)
+    return block_head(content) != ""
 
 
 def block_text(content: Column) -> Column:
     """The frontmatter text, null without a block."""
-    return F.when(has_block(content), F.regexp_extract(content, BLOCK, 1))
+    return let(block_head(content), lambda h: F.when(h != "", head_text(h)))
 
 
 def body_text(content: Column) -> Column:
     """What follows the frontmatter block; all of it without a block."""
-    return F.when(has_block(content), F.regexp_extract(content, BLOCK, 2)).otherwise(content)
+    return let(block_head(content), lambda h: behind(content, h))
 
 
 def fenced_stretches(lines: Column) -> Column:

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, most: int = 32) -> DataFrame:
+    """`df`, dealt out where its source gives fewer partitions than the session has cores, as a single small file does."""
+    n = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

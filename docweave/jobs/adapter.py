@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions.session import table
+from docweave.functions import paths as P
+from docweave.functions.session import spread, table
 
 REPOS = 20
 NOW = "2026-01-01 00:00:00"
@@ -49,13 +50,19 @@ def corpus_columns() -> list[str]:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files: a markdown file per document in twenty repositories, and code folders src/m0 to src/m4; every 17th markdown file is not tracked."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).selectExpr(*corpus_columns())
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).selectExpr(*corpus_columns())
     content = F.concat_ws("\n", *[F.expr(p.replace("\n", "\\n")) for p in PIECES])
     docs = d.select("repo", F.lit("").alias("ref"), "path", content.alias("content"), (F.col("q") % 17 != 16).alias("tracked"))
     code = d.where("q % 12 = 3").selectExpr("repo", "'' AS ref", "concat('src/m', CAST(q % 5 AS STRING), '/f', CAST(doc_id AS STRING), '.go') AS path", "concat('type OldWidget', CAST(q % 25 AS STRING), ' struct {}') AS content", "true AS tracked")
     return docs.unionByName(code)
 
 
+def corpus_at_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files of the working tree and of the ref `v1`, at which every third document and the code were not there yet."""
+    now, number = corpus(spark, sf_dir), F.regexp_extract("path", r"/d(\d+)\.md$", 1).try_cast("int")
+    return now.unionByName(now.where(P.is_markdown(F.col("path")) & (F.coalesce(number, F.lit(1)) % 3 != 0)).withColumn("ref", F.lit("v1")))
+
+
 def part_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """diff_lines: for each part a file of a range in which a type goes, a constant changes, and lines are added."""
     p = table(spark, sf_dir, "part")

@@ -104,7 +104,24 @@ ORACLES: dict[str, str] = {
     ),
     "redacted_text": redaction_sql(),
     "content_edges": corpus_sql("SELECT * FROM ce"),
-    "mention_edges": corpus_sql("SELECT * FROM ce WHERE kind = 'mention'"),
+    # by brute force over the texts: every body against every path of its repository
+    "mention_edges": corpus_sql(
+        "SELECT DISTINCT b.repo, b.path AS src, x.path AS dst, 'mention' AS kind FROM bodies b JOIN t x ON x.repo = b.repo AND x.path <> b.path WHERE contains(b.body, x.path) AND regexp_matches(b.body, '(^|[^A-Za-z0-9./_-])' || regexp_escape(x.path))",
+        f"bodies AS (SELECT repo, path, concat_ws(chr(10), {', '.join(A.PIECES[13:])}) AS body FROM t)",
+    ),
+    "orphans_by_repo": corpus_sql(
+        """SELECT repo, path FROM nd WHERE path NOT IN ('README.md', 'CLAUDE.md') AND NOT (repo = 'r1' AND path = 'docs/s2/d41.md') AND NOT (repo = 'r3' AND path = 'docs/s2/d43.md')
+           EXCEPT SELECT ce.repo, dst FROM ce JOIN nd ON nd.repo = ce.repo AND nd.path = ce.src WHERE kind = 'link'
+           EXCEPT SELECT ce.repo, dst FROM ce JOIN nd ON nd.repo = ce.repo AND nd.path = ce.src WHERE kind = 'mention'""",
+        """nd AS (SELECT repo, path FROM t WHERE NOT (repo = 'r1' AND (path LIKE 'docs/s1/%' OR regexp_matches(path, '(^|/)d[^/]*3[.]md$'))) AND NOT (repo = 'r2' AND regexp_matches(path, '^docs/[^/]*/d[^/][0-4][^/]*[.]md$')))""",
+    ),
+    "orphans_at_ref": corpus_sql("SELECT * FROM op").replace("FROM d WHERE tracked)", "FROM d WHERE tracked AND (doc_id < 40 OR doc_id % 3 <> 0))"),
+    "leak_by_repo": leak_sql(
+        "fl", "repo, path", "content",
+        rules=[("(?i)Footgun", "Footgun"), ("(?i)OldWidget[0-9]+", "OldWidget[0-9]+"), ("(?i)MAX_ITEMS_([0-9]+)", "MAX_ITEMS_(?P<n>[0-9]+)")],
+        allow=[("(?i)OldWidget1", "repo = 'r2' AND path LIKE 'docs/s3/%'"), (r"(?i)MAX_ITEMS_3", "repo = 'r3' AND path LIKE 'docs/%'")],
+        name=f"{CORPUS.strip().split('t AS (SELECT')[0].rstrip().rstrip(',')}, fl AS (SELECT repo, path, content FROM d UNION ALL SELECT repo, 'src/m' || (q % 5) || '/f' || doc_id || '.go', 'type OldWidget' || (q % 25) || ' struct {{}}' FROM d WHERE q % 12 = 3),",
+    ) + " AND (rule = 'MAX_ITEMS_(?P<n>[0-9]+)' OR (rule = 'Footgun' AND repo = 'r1') OR (rule = 'OldWidget[0-9]+' AND repo = 'r2'))",
     "in_degree": corpus_sql("SELECT repo, dst AS path, count(*) AS n_in FROM ce GROUP BY ALL"),
     "orphans": corpus_sql("SELECT * FROM op"),
     "broken_links": corpus_sql("SELECT repo, path, (length(before) - length(replace(before, chr(10), '')) + 1)::INT AS line, target FROM bl"),
@@ -123,7 +140,7 @@ ORACLES: dict[str, str] = {
     "part_of_tree": corpus_sql(
         "SELECT repo, root, path, depth, trail FROM tr",
         """tr AS (SELECT repo, path AS root, path, 0 AS depth, path AS trail FROM (SELECT repo, path FROM fm EXCEPT SELECT repo, src FROM me WHERE rel = 'part-of')
-           UNION ALL SELECT tr.repo, tr.root, me.src, depth + 1, trail || ' > ' || me.src FROM tr JOIN me ON me.repo = tr.repo AND me.dst = tr.path AND rel = 'part-of' WHERE NOT list_contains(string_split(trail, ' > '), me.src) AND depth < 64)""",
+           UNION ALL SELECT tr.repo, tr.root, me.src, depth + 1, trail || ' > ' || me.src FROM tr JOIN me ON me.repo = tr.repo AND me.dst = tr.path AND rel = 'part-of' WHERE NOT list_contains(string_split(trail, ' > '), me.src))""",
     ),
     "doc_index": corpus_sql(f"SELECT repo, {KIND} AS type, CASE q % 5 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 99 END::INT AS rank, coalesce({TITLE}, nullif({HEADING}, ''), path) AS label, path, CASE WHEN q % 4 = 2 THEN 'about it' ELSE '' END AS description FROM fm"),
     "index_markdown": corpus_sql(
@@ -141,7 +158,7 @@ ORACLES: dict[str, str] = {
         CHANGES,
     ),
     "audit_summary": corpus_sql(
-        """SELECT r.repo, r.n AS tracked_md, r.n AS nodes, (SELECT count(*) FROM op WHERE op.repo = r.repo) AS orphans, (SELECT count(*) FROM bl WHERE bl.repo = r.repo) AS links, (SELECT count(*) FROM d WHERE d.repo = r.repo AND NOT tracked) AS untracked,
+        """SELECT r.repo, r.n AS tracked_md, r.n AS nodes, (SELECT count(*) FROM op WHERE op.repo = r.repo) AS orphans, (SELECT count(*) FROM bl WHERE bl.repo = r.repo) AS broken, (SELECT count(*) FROM d WHERE d.repo = r.repo AND NOT tracked) AS untracked,
         (SELECT count(*) FROM ff WHERE ff.repo = r.repo AND problem IS NOT NULL) AS frontmatter, (SELECT count(*) FROM be WHERE be.repo = r.repo) + (SELECT count(*) FROM cy WHERE cy.repo = r.repo) // 2 AS edges,
         (SELECT count(*) FROM lo WHERE lo.repo = r.repo) AS disconnected, r.n - (SELECT count(*) FROM op WHERE op.repo = r.repo) AS reachable FROM (SELECT repo, count(*) AS n FROM t GROUP BY repo) r"""
     ),
@@ -164,9 +181,9 @@ ORACLES: dict[str, str] = {
     "nearest_base": f"WITH {NEAREST} SELECT * FROM nb",
     "push_ranges": f"""WITH {NEAREST}, pu AS (SELECT 'u' || user_id AS repo, 'h' || event_id AS head, CASE WHEN event_id % 5 <> 4 THEN 'b' || event_id END AS base FROM events WHERE event_id % 11 <> 10 AND event_id % 7 <> 6)
         SELECT repo, base, head FROM pu WHERE base IS NOT NULL UNION ALL SELECT pu.repo, nb.base, pu.head FROM pu JOIN nb ON nb.repo = pu.repo AND nb.head = pu.head WHERE pu.base IS NULL""",
-    "head_guard": """SELECT repo, event_id, head FROM (SELECT 'u' || user_id AS repo, event_id, 'h-' || event_type AS head, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before, event_type FROM events WHERE event_id % 4 > 0) WHERE before IS NULL OR before <> event_type""",
-    "usage_record": f"""SELECT r.repo, c."check", CASE WHEN c."check" = 'leaks' THEN coalesce(f.n, 0) ELSE 0 END::INT AS n, CASE WHEN c."check" = 'leaks' THEN coalesce(f.m, 0) ELSE 0 END::INT AS n_files FROM (SELECT DISTINCT source AS repo FROM documents) r
-        CROSS JOIN (VALUES ('links'), ('untracked'), ('frontmatter'), ('edges'), ('disconnected'), ('leaks')) c("check")
+    "head_guard": """SELECT repo, event_id, head FROM (SELECT 'u' || user_id AS repo, event_id, 'h-' || event_type AS head, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type FROM events WHERE event_id % 4 > 0) WHERE before IS NULL OR before <> event_type""",
+    "usage_record": f"""SELECT r.repo, (coalesce(f.n, 0) > 0)::INT AS exit, 5::INT AS n_checks, '2026-01-01' AS day, c."check", CASE WHEN c."check" = 'leaks' THEN coalesce(f.n, 0) ELSE 0 END::INT AS n, CASE WHEN c."check" = 'leaks' THEN coalesce(f.m, 0) ELSE 0 END::INT AS n_files FROM (SELECT DISTINCT source AS repo FROM documents) r
+        CROSS JOIN (VALUES ('untracked'), ('frontmatter'), ('edges'), ('disconnected'), ('leaks')) c("check")
         LEFT JOIN (SELECT source AS repo, count(*) AS n, count(DISTINCT doc_id || ':' || line) AS m FROM ({leak_sql("documents", "doc_id", "text")}) JOIN documents USING (doc_id) GROUP BY source) f ON f.repo = r.repo""",
     "usage_trend": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, 'u' || (user_id % 10) AS repo, event_type AS \"check\", sum(event_id % 3)::BIGINT AS n FROM events GROUP BY ALL",
 }

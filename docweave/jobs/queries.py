@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.frontmatter import docs_of
-from docweave.functions.session import spool, table
+from docweave.functions.session import spool, spread, table
 from docweave.jobs import adapter as A
 from docweave.operators import drift, graph, leaks, usage, views
-from docweave.sources.files import Rule
+from docweave.sources.files import Rule, snapshot
 
 TERMS = ("apache license", "password")
 REGEX = (r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", r"token = \"[0-9a-f]{40}\"", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
@@ -20,12 +20,22 @@ RULES = [Rule("deny", x) for x in TERMS] + [Rule("deny", x, True) for x in REGEX
 DIR_RULES = [Rule("deny", "Footgun"), Rule("deny", "OldWidget[0-9]+", True), Rule("ignore", "**/d*1.md", False, "/data/docs"), Rule("allow", "OldWidget1", False, "/data/docs/s3"), Rule("allow", "> **footgun", False, "/data/docs/s4")]
 
 
+#: Rules of single repositories, and one of a folder of one of them; repositories lie in folders of their own.
+REPO_RULES = [Rule("deny", "Footgun", repo="r1"), Rule("deny", "OldWidget[0-9]+", True, repo="r2"), Rule("deny", "MAX_ITEMS_(?P<n>[0-9]+)", True), Rule("allow", "OldWidget1", False, "/work/r2/docs/s3", "r2"), Rule("allow", "MAX_ITEMS_3", False, "/work/r3/docs")]
+
+
 def leak_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leak_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", RULES)
+    return leaks.leak_findings(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", RULES)
+
+
+def leak_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = A.corpus(spark, sf_dir)
+    where = files.select("repo").distinct().withColumn("root", F.concat(F.lit("/work/"), "repo", F.lit("/")))
+    return leaks.scan_files(files, REPO_RULES, (), where)
 
 
 def leak_findings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leak_findings(table(spark, sf_dir, "pages").select("page_id", "html"), "html", RULES)
+    return leaks.leak_findings(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html", RULES)
 
 
 def leak_dir_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +43,7 @@ def leak_dir_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", leaks.redacted(F.col("text"), RULES).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", leaks.redacted(F.col("text"), RULES).alias("text"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +67,24 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.orphans(A.corpus(spark, sf_dir), content_edges(spark, sf_dir))
 
 
+def own_ignores(spark: SparkSession) -> DataFrame:
+    """Globs of two repositories."""
+    return spark.createDataFrame([("r1", "docs/s1/**"), ("r1", "**/d*3.md"), ("r2", "docs/*/d?[0-4]*.md")], "repo string, glob string")
+
+
+def orphans_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans with ignore globs and further roots of single repositories."""
+    files, ignores = A.corpus(spark, sf_dir), own_ignores(spark)
+    more = spark.createDataFrame([("r1", "./docs//s2/../s2/d41.md"), ("r3", "docs/s2/d43.md"), ("r4", "gone.md")], "repo string, path string")
+    return graph.orphans(files, graph.content_edges(files, ignores), ignores, more)
+
+
+def orphans_at_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans among the files of a ref instead of the working tree."""
+    files = snapshot(A.corpus_at_refs(spark, sf_dir), "v1")
+    return graph.orphans(files, graph.content_edges(files))
+
+
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.broken_links(A.corpus(spark, sf_dir))
 
@@ -140,7 +168,7 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = graph.hierarchy_arcs(files, d)
     edges = graph.broken_edges(files, d).select("repo").unionByName(graph.cycle_paths(arcs).select("repo"))
     loose = graph.disconnected(d, graph.metadata_edges(files, d))
-    found = {"orphans": graph.orphans(files, graph.content_edges(files)), "links": graph.broken_links(files), "untracked": graph.untracked(files), "frontmatter": graph.frontmatter_findings(d), "edges": edges, "disconnected": loose}
+    found = {"orphans": graph.orphans(files, graph.content_edges(files)), "broken": graph.broken_links(files), "untracked": graph.untracked(files), "frontmatter": graph.frontmatter_findings(d), "edges": edges, "disconnected": loose}
     return graph.audit_summary(files, found)
 
 
@@ -181,15 +209,15 @@ def push_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def head_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.once_per_head(A.event_runs(spark, sf_dir)).select("repo", "event_id", "head")
+    return drift.once_per_head(A.event_runs(spark, sf_dir), ("event_id",)).select("repo", "event_id", "head")
 
 
 def usage_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per check of a record per source, one row a check."""
     source = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = leaks.leak_findings(source, "text", RULES).select(F.col("source").alias("repo"), F.lit("leaks").alias("check"), F.col("doc_id").cast("string").alias("path"), "line", F.col("match").alias("detail"))
-    records = usage.usage_records(source.select(F.col("source").alias("repo")), found, usage.selected_checks("orphans"), 2)
-    return records.select("repo", "files", F.explode("counts").alias("check", "n")).select("repo", "check", "n", F.coalesce(F.size(F.element_at("files", F.col("check"))), F.lit(0)).alias("n_files"))
+    records = usage.usage_records(source.select(F.col("source").alias("repo")), found, usage.selected_checks("orphans, broken"), 2, F.lit(A.NOW), "1.0")
+    return records.select("repo", "exit", F.size("checks").alias("n_checks"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "files", F.explode("counts").alias("check", "n")).select("repo", "exit", "n_checks", "day", "check", "n", F.coalesce(F.size(F.element_at("files", F.col("check"))), F.lit(0)).alias("n_files"))
 
 
 def usage_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +226,7 @@ def usage_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    "leak_findings leak_findings_pages leak_dir_scoped redacted_text content_edges mention_edges in_degree orphans broken_links broken_edges frontmatter_findings frontmatter_docs untracked "
+    "leak_findings leak_findings_pages leak_dir_scoped leak_by_repo redacted_text content_edges mention_edges in_degree orphans orphans_by_repo orphans_at_ref broken_links broken_edges frontmatter_findings frontmatter_docs untracked "
     "metadata_edges metadata_degree disconnected cycle_members cycle_paths part_of_tree cross_refs doc_index index_markdown stale_docs covers_of covers_drift graph_json audit_summary "
     "removed_symbols changed_constants dangling_refs value_drift added_lines footgun_added footguns nearest_base push_ranges head_guard usage_record usage_trend"
 ).split()

@@ -161,8 +161,8 @@ def split_range(text: Column) -> Column:
     return F.when(both, F.struct(F.get(p, F.lit(0)).alias("base"), F.get(p, F.lit(1)).alias("head")))
 
 
-def once_per_head(runs: DataFrame) -> DataFrame:
-    """Runs with findings whose head differs from the last head reported for the repository. runs: repo, ts, head, n_findings."""
+def once_per_head(runs: DataFrame, tie: tuple[str, ...] = ("head", "n_findings")) -> DataFrame:
+    """Runs with findings whose head differs from the last head reported for the repository. runs: repo, ts, head, n_findings; `tie` orders runs of the same time."""
     with_findings = runs.where("n_findings > 0")
-    before = F.lag("head").over(W.partitionBy("repo").orderBy("ts"))
+    before = F.lag("head").over(W.partitionBy("repo").orderBy("ts", *tie))
     return with_findings.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("__b") != F.col("head"))).drop("__b")

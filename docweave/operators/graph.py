@@ -6,6 +6,9 @@ files: (repo, path, content, tracked). Every operator works over many repositori
 
 from __future__ import annotations
 
+from functools import reduce
+from posixpath import normpath
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import markdown as M
 from docweave.functions import paths as P
-from docweave.functions.session import spool
+from docweave.functions.session import release, spool
 
 #: Candidates for roots, relations that do not connect documents, relations that must not run in circles.
 ROOTS = ("CLAUDE.md", "README.md", "AGENTS.md", "docs/index.md")
@@ -21,9 +24,36 @@ NOT_STRUCTURAL = ("covers", "source")
 HIERARCHY = ("part-of", "supersedes")
 
 
-def markdown_nodes(files: DataFrame, ignores: tuple[str, ...] = P.DEFAULT_IGNORES) -> DataFrame:
+#: What ignores documents: globs for all repositories, or a table (repo, glob) with those of each; the default globs always hold.
+Ignores = tuple[str, ...] | DataFrame
+#: The file of a repository that holds its own globs.
+IGNORE_FILE = ".docignore"
+
+
+def ignore_globs(files: DataFrame, name: str = IGNORE_FILE) -> DataFrame:
+    """(repo, glob): the globs in the ignore file at the root of every repository: trimmed lines, without blank ones and comments."""
+    lines = files.where((F.col("path") == name) & F.col("content").isNotNull()).select("repo", F.explode(F.split(F.col("content").cast("string"), "\n", -1)).alias("line"))
+    return lines.select("repo", M.trimmed(F.col("line")).alias("glob")).where((F.col("glob") != "") & ~F.col("glob").startswith("#")).distinct()
+
+
+def without_ignored(files: DataFrame, ignores: Ignores) -> DataFrame:
+    """Files that no glob matches. Those of a table are one expression for each repository, made where the globs are."""
+    if not isinstance(ignores, DataFrame):
+        return files.where(~P.matches_any(F.col("path"), [*P.DEFAULT_IGNORES, *ignores]))
+
+    def regexes(globs: pd.Series) -> pd.Series:
+        return globs.map(P.glob_regex)
+
+    regexes.__annotations__ = {"globs": pd.Series, "return": pd.Series}
+    each = ignores.select("repo", "glob").distinct().withColumn("regex", F.pandas_udf(regexes, "string")("glob"))
+    own = each.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list("regex")), lambda r: F.concat(F.lit("(?:"), r, F.lit(")"))), "|").alias("__ignored"))
+    kept = files.where(~P.matches_any(F.col("path"), list(P.DEFAULT_IGNORES))).join(own, "repo", "left")
+    return kept.where(F.col("__ignored").isNull() | ~F.rlike("path", F.col("__ignored"))).select(*files.columns)
+
+
+def markdown_nodes(files: DataFrame, ignores: Ignores = ()) -> DataFrame:
     """Tracked markdown files, without ignored ones."""
-    return tracked_markdown(files).where(~P.matches_any(F.col("path"), list(ignores)))
+    return without_ignored(tracked_markdown(files), ignores)
 
 
 def tracked_markdown(files: DataFrame) -> DataFrame:
@@ -43,15 +73,22 @@ def mention_edges(nodes: DataFrame) -> DataFrame:
     plain = r"\A[A-Za-z0-9./_-]+\z"
     ends = nodes.select("repo", F.col("path").alias("dst")).distinct()
     exact = found.join(ends.where(F.col("dst").rlike(plain)), ["repo", "dst"], "left_semi")
-    # names with other characters: the text before them must not end in a path character
+    # names with other characters: the text before them must not end in a path character. Such a name holds a run of path characters with the
+    # character behind it, or else one before it, which the body holds just so: by these they are joined
     odd = ends.where(~F.col("dst").rlike(plain))
-    bodies = nodes.where("content is not null").select("repo", F.col("path").alias("src"), M.body_text(F.col("content")).alias("body"))
+    lead, pair = r"[A-Za-z0-9./_-]+[^A-Za-z0-9./_-]", r"[^A-Za-z0-9./_-][A-Za-z0-9./_-]"
+    first = F.regexp_extract("dst", lead, 0)
+    keyed = odd.withColumn("key", F.when(first != "", first).otherwise(F.regexp_extract("dst", pair, 0)))
+    bodies = nodes.where("content is not null").join(odd.select("repo").distinct(), "repo", "left_semi").select("repo", F.col("path").alias("src"), M.body_text(F.col("content")).alias("body"))
+    # pairs overlap, so they are read from both parities
+    pairs = F.concat(F.regexp_extract_all("body", F.lit(pair), F.lit(0)), F.regexp_extract_all(F.regexp_replace("body", r"\A(?s:.)", ""), F.lit(pair), F.lit(0)))
+    tokens = bodies.withColumn("key", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("body", F.lit(lead), F.lit(0)), pairs))))
     quoted = F.concat(F.lit(r"(?s)(?:\A|[^A-Za-z0-9./_-])\Q"), F.replace("dst", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
-    rare = bodies.join(odd, "repo").where("src <> dst").where(F.contains("body", "dst") & F.rlike("body", quoted))
+    rare = tokens.join(keyed, ["repo", "key"]).where("src <> dst").where(F.contains("body", "dst") & F.rlike("body", quoted))
     return exact.select("repo", "src", "dst").unionByName(rare.select("repo", "src", "dst")).distinct().withColumn("kind", F.lit("mention"))
 
 
-def content_edges(files: DataFrame, ignores: tuple[str, ...] = P.DEFAULT_IGNORES) -> DataFrame:
+def content_edges(files: DataFrame, ignores: Ignores = ()) -> DataFrame:
     """Link and mention edges, distinct."""
     nodes = markdown_nodes(files, ignores)
     return link_edges(files, nodes).unionByName(mention_edges(nodes)).distinct()
@@ -62,12 +99,16 @@ def in_degree(edges: DataFrame) -> DataFrame:
     return edges.distinct().groupBy("repo", F.col("dst").alias("path")).agg(F.count("*").alias("n_in"))
 
 
-def roots(files: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(repo, path) of the root candidates that are tracked."""
-    return tracked_markdown(files).where(F.col("path").isin(*ROOTS, *extra)).select("repo", "path").distinct()
+def roots(files: DataFrame, extra: tuple[str, ...] | DataFrame = ()) -> DataFrame:
+    """(repo, path) of the root candidates that are tracked. extra: more candidates, for all repositories or as a table (repo, path); their paths are cleaned."""
+    found = tracked_markdown(files).select("repo", "path").distinct()
+    if isinstance(extra, DataFrame):
+        own = extra.select("repo", P.normal_path(F.col("path")).alias("path")).distinct()
+        return found.where(F.col("path").isin(*ROOTS)).unionByName(found.join(own, ["repo", "path"], "left_semi")).distinct()
+    return found.where(F.col("path").isin(*ROOTS, *map(normpath, extra)))
 
 
-def orphans(files: DataFrame, edges: DataFrame, ignores: tuple[str, ...] = P.DEFAULT_IGNORES, extra_roots: tuple[str, ...] = ()) -> DataFrame:
+def orphans(files: DataFrame, edges: DataFrame, ignores: Ignores = (), extra_roots: tuple[str, ...] | DataFrame = ()) -> DataFrame:
     """(repo, path) of nodes that are neither roots nor the target of an edge."""
     nodes = markdown_nodes(files, ignores).select("repo", "path").distinct()
     found = roots(files, extra_roots).unionByName(edges.select("repo", F.col("dst").alias("path"))).distinct()
@@ -80,7 +121,7 @@ def existing_paths(files: DataFrame) -> DataFrame:
     return up.distinct()
 
 
-def broken_links(files: DataFrame, ignores: tuple[str, ...] = P.DEFAULT_IGNORES) -> DataFrame:
+def broken_links(files: DataFrame, ignores: Ignores = ()) -> DataFrame:
     """(repo, path, line, target): local markdown links of nodes, frontmatter included, whose target does not exist."""
     nodes = markdown_nodes(files, ignores).where("content is not null")
     found = M.links(nodes.select("repo", "path", "content"), F.col("content")).where(P.is_local_markdown(F.col("target")))
@@ -107,9 +148,9 @@ def frontmatter_findings(docs: DataFrame) -> DataFrame:
     return docs.select("repo", "path", problem.alias("problem")).where("problem is not null")
 
 
-def untracked(files: DataFrame, ignores: tuple[str, ...] = P.DEFAULT_IGNORES) -> DataFrame:
+def untracked(files: DataFrame, ignores: Ignores = ()) -> DataFrame:
     """(repo, path) of markdown that is not tracked and not ignored."""
-    return files.where(~F.col("tracked") & P.is_markdown(F.col("path")) & ~P.matches_any(F.col("path"), list(ignores))).select("repo", "path").distinct()
+    return without_ignored(files.where(~F.col("tracked") & P.is_markdown(F.col("path"))), ignores).select("repo", "path").distinct()
 
 
 def is_structural(rel: Column, kind: Column) -> Column:
@@ -150,32 +191,71 @@ def cyclic_core(arcs: DataFrame) -> DataFrame:
     while n:
         into = left.select("repo", F.col("dst").alias("src")).distinct()
         out = left.select("repo", F.col("src").alias("dst")).distinct()
-        left = spool(left.join(into, ["repo", "src"], "left_semi").join(out, ["repo", "dst"], "left_semi").select("repo", "src", "dst", "pos"), "arcs")
+        old, left = left, spool(left.join(into, ["repo", "src"], "left_semi").join(out, ["repo", "dst"], "left_semi").select(*arcs.columns), "arcs")
+        release(old)
         n, before = left.count(), n
         if n == before:
             break
     return left
 
 
+def spread_least(colors: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(repo, path, color): every node takes the least color of the nodes that lead to it, until none changes. arcs: repo, src, dst."""
+    steps, held = arcs.select("repo", F.col("src").alias("path"), "dst"), None
+    while True:
+        led = colors.join(steps, ["repo", "path"]).select("repo", F.col("dst").alias("path"), "color")
+        new = colors.select("repo", "path", "color", F.col("color").alias("own")).unionByName(led.withColumn("own", F.lit(None).cast("string"))).groupBy("repo", "path").agg(F.min("color").alias("color"), F.min("own").alias("own"))
+        old, held = held, spool(new.select("repo", "path", "color", (F.col("color") != F.col("own")).alias("moved")), "colors")
+        release(old)
+        colors = held.drop("moved")
+        if held.where("moved").isEmpty():
+            return colors
+
+
 def cycle_members(arcs: DataFrame) -> DataFrame:
-    """(repo, path) of nodes that reach themselves: labels of what each node of the core reaches, grown round by round."""
-    core = cyclic_core(arcs).select("repo", "src", "dst").distinct()
-    reach = spool(core, "reach")
-    n = reach.count()
-    while n:
-        further = reach.alias("a").join(reach.alias("b"), (F.col("a.repo") == F.col("b.repo")) & (F.col("a.dst") == F.col("b.src"))).select("a.repo", "a.src", "b.dst")
-        reach = spool(reach.unionByName(further).distinct(), "reach")
-        n, before = reach.count(), n
-        if n == before:
+    """(repo, path) of nodes that reach themselves.
+
+    The least node that leads to each node is its color, the nodes that lead back to that node within the color lie on cycles with it; what is left is
+    peeled and looked at again. Each round costs as much as there are arcs; nothing of the size of all reachable pairs is made.
+    """
+    core = cyclic_core(arcs.select("repo", "src", "dst").distinct())
+    found = [core.where("src = dst").select("repo", F.col("src").alias("path"))]
+    core = spool(core.where("src <> dst"), "core")
+    while not core.isEmpty():
+        own = core.select("repo", F.explode(F.array("src", "dst")).alias("path")).distinct()
+        colors = spread_least(own.withColumn("color", F.col("path")), core)
+        named = lambda c: colors.select("repo", F.col("path").alias(c), F.col("color").alias(f"{c}_color"))  # noqa: B023, E731
+        inside = spool(core.join(named("src"), ["repo", "src"]).join(named("dst"), ["repo", "dst"]).where("src_color = dst_color").select("repo", "src", "dst", F.col("src_color").alias("color")), "inside")
+        # back from the node that gave the color: a node on the way has color '', which is less than any path
+        back = inside.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        marks = spread_least(colors.select("repo", "path", F.when(F.col("path") == F.col("color"), "").otherwise("x").alias("color")), back)
+        heads = marks.where("color = ''").select("repo", "path")
+        # the node that gave the color counts if something leads back to it
+        on = spool(heads.join(inside.select("repo", F.col("src").alias("path")), ["repo", "path"], "left_semi").join(inside.select("repo", F.col("dst").alias("path")), ["repo", "path"], "left_semi"), "on-cycles")
+        found.append(on)
+        left = core.join(heads.withColumnRenamed("path", "src"), ["repo", "src"], "left_anti").join(heads.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_anti")
+        core = cyclic_core(left)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def leading_to(arcs: DataFrame, core: DataFrame) -> DataFrame:
+    """The arcs by which the core can be reached, its own included."""
+    ends = ends_of(core).distinct()
+    seen = fresh = spool(ends, "leading")
+    while True:
+        into = arcs.join(fresh.withColumnRenamed("path", "dst"), ["repo", "dst"]).select("repo", F.col("src").alias("path")).distinct()
+        fresh = spool(into.join(seen, ["repo", "path"], "left_anti"), "leading")
+        if fresh.isEmpty():
             break
-    return reach.where("src = dst").select("repo", F.col("src").alias("path")).distinct()
+        seen = seen.unionByName(fresh)
+    return arcs.join(seen.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst", "pos")
 
 
 def cycle_paths(arcs: DataFrame) -> DataFrame:
     """(repo, cycle): one path a, b, .., a for each arc back into the path of a depth-first walk.
 
-    Nodes are visited in order of their paths, arcs in declared order; only the cyclic core of a repository, which is
-    small, is walked in one task.
+    Nodes are visited in order of their paths, arcs in declared order. Where a walk enters a cycle depends on what leads to it, so the
+    arcs by which a cycle can be reached are walked, for each repository with a cycle in one task; no other arc bears on the result.
     """
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
@@ -186,22 +266,22 @@ def cycle_paths(arcs: DataFrame) -> DataFrame:
         for start in sorted(out):
             if start in done:
                 continue
-            path, on, todo = [start], {start}, [iter(out[start])]
+            path, at, todo = [start], {start: 0}, [iter(out[start])]
             while todo:
                 nxt = next(todo[-1], None)
                 if nxt is None:
                     todo.pop()
-                    on.discard(path[-1])
-                    done.add(path.pop())
-                elif nxt in on:
-                    found.append([*path[path.index(nxt) :], nxt])
+                    done.add(path[-1])
+                    del at[path.pop()]
+                elif nxt in at:
+                    found.append([*path[at[nxt] :], nxt])
                 elif nxt not in done and nxt in out:
+                    at[nxt] = len(path)
                     path.append(nxt)
-                    on.add(nxt)
                     todo.append(iter(out[nxt]))
         return pd.DataFrame({"repo": [rows["repo"].iloc[0]] * len(found), "cycle": [" -> ".join(f) for f in found]})
 
-    return cyclic_core(arcs).groupBy("repo").applyInPandas(walk, "repo string, cycle string")
+    return leading_to(arcs, cyclic_core(arcs)).groupBy("repo").applyInPandas(walk, "repo string, cycle string")
 
 
 def part_of_tree(docs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -229,7 +309,7 @@ def cross_references(edges: DataFrame) -> DataFrame:
     return edges.where("rel <> 'part-of'")
 
 
-def graph_json(files: DataFrame, docs: DataFrame, content: DataFrame, metadata: DataFrame, islands: DataFrame, loose: DataFrame, ignores: tuple[str, ...] = P.DEFAULT_IGNORES) -> DataFrame:
+def graph_json(files: DataFrame, docs: DataFrame, content: DataFrame, metadata: DataFrame, islands: DataFrame, loose: DataFrame, ignores: Ignores = ()) -> DataFrame:
     """(repo, json): one graph view per repository. Lists are empty, never null; blank fields of nodes and notes are left out."""
     field = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
     fine = docs.where("has_frontmatter and error is null").select("repo", "path", "type", "title", "description", "heading", F.lit(True).alias("parsed"))
@@ -255,22 +335,15 @@ def node_type(frame: DataFrame, node: Column) -> str:
     return f"array<{frame.select(node.alias('n')).schema['n'].dataType.simpleString()}>"
 
 
-def audit_summary(files: DataFrame, findings: dict[str, DataFrame], ignores: tuple[str, ...] = P.DEFAULT_IGNORES) -> DataFrame:
+def audit_summary(files: DataFrame, findings: dict[str, DataFrame], ignores: Ignores = ()) -> DataFrame:
     """(repo, tracked_md, nodes, reachable, and a count for each named findings frame with column repo)."""
-    md = tracked_markdown(files)
-    node = ~P.matches_any(F.col("path"), list(ignores))
-    out = md.groupBy("repo").agg(F.count("*").alias("tracked_md"), F.count_if(node).alias("nodes"))
+    nodes = markdown_nodes(files, ignores).groupBy("repo").agg(F.count("*").alias("nodes"))
+    out = tracked_markdown(files).groupBy("repo").agg(F.count("*").alias("tracked_md")).join(nodes, "repo", "left").na.fill(0, ["nodes"])
     for name, f in findings.items():
         out = out.join(f.groupBy("repo").agg(F.count("*").alias(name)), "repo", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
     return out.withColumn("reachable", F.col("nodes") - F.col("orphans")) if "orphans" in findings else out
 
 
-def ordered(findings: DataFrame) -> DataFrame:
-    """The order of a report: by repository, file, line, then the rest. For writing only."""
-    first = [c for c in ("repo", "path", "line", "start", "target", "match") if c in findings.columns]
-    return findings.orderBy(*first, *[c for c in findings.columns if c not in first])
-
-
 def latest_per_repo(runs: DataFrame) -> DataFrame:
-    """The last run of each repository by time."""
-    return runs.withColumn("__n", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("ts")))).where("__n = 1").drop("__n")
+    """The last run of each repository by time, of those at the same time the one with the greatest head."""
+    return runs.withColumn("__n", F.row_number().over(W.partitionBy("repo").orderBy(F.desc("ts"), F.desc("head")))).where("__n = 1").drop("__n")

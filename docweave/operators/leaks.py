@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,46 +30,50 @@ def in_scope(absolute: Column, folder: str) -> Column:
     return (absolute == f) | absolute.startswith(f + "/")
 
 
-def leak_findings(rows: DataFrame, text_col: str, rules: list[Rule], path_col: str | None = None) -> DataFrame:
+def leak_findings(rows: DataFrame, text_col: str, rules: list[Rule], path_col: str | None = None, repo_col: str | None = None) -> DataFrame:
     """(columns of `rows` but the text, line, start, match, rule): deny matches that no allow match of the same line covers.
 
     rows: a text each; with `path_col` (absolute) dir rules apply: files that an ignore glob of a folder above
-    matches are left out, allow rules of a folder hold below it. Findings are distinct by start, match and rule text.
-    Null texts have no findings; no deny rules, none at all.
+    matches are left out, allow rules of a folder hold below it. Rules of one repository hold for its rows only; without `repo_col` they
+    hold for none. Findings are distinct by start, match and rule text. Null texts have no findings; no deny rules, none at all.
     """
-    rules = checked(rules)
-    deny = [r for r in rules if r.action == "deny"]
+    rules = [r for r in checked(rules) if (repo_col or r.repo is None) and (path_col or not r.scope)]
+    deny, allow = [r for r in rules if r.action == "deny"], [r for r in rules if r.action == "allow"]
     keep = [c for c in rows.columns if c != text_col]
-    if path_col:
-        for r in rules:
-            if r.action == "ignore":
-                below = F.substring(F.col(path_col), F.lit(len(r.scope.rstrip("/")) + 2), F.lit(2147483647))
-                rows = rows.where(~(in_scope(F.col(path_col), r.scope) & below.rlike(P.glob_regex(r.raw))))
+
+    def holds(r: Rule) -> Column:
+        own = F.lit(True) if r.repo is None else F.coalesce(F.col(repo_col) == r.repo, F.lit(False))
+        return own & in_scope(F.col(path_col), r.scope) if r.scope else own
+
+    for r in rules:
+        if r.action == "ignore":
+            below = F.substring(F.col(path_col), F.lit(len(r.scope.rstrip("/")) + 2), F.lit(2147483647))
+            rows = rows.where(~(holds(r) & below.rlike(P.glob_regex(r.raw))))
     if not deny:
         return rows.where(F.lit(False)).select(*keep, F.lit(0).alias("line"), F.lit(0).alias("start"), F.lit("").alias("match"), F.lit("").alias("rule"))
     text = F.col(text_col)
-    any_deny = F.lit(False)
-    for r in deny:
-        any_deny = any_deny | F.col("__line").rlike(r.pattern)
-    whole = F.lit(False)
-    for r in deny:
-        whole = whole | text.rlike(r.pattern)
-    lines = rows.where(whole).select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("__k", "__line")).where(any_deny)
+    some = lambda of: reduce(or_, [holds(r) & of.rlike(r.pattern) for r in deny])
+    lines = rows.where(some(text)).select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("__k", "__line")).where(some(F.col("__line")))
     none = F.array().cast("array<struct<s:int,e:int,text:string,rule:string>>")
-    allowed = []
-    for r in rules:
-        if r.action == "allow":
-            own = spans(F.col("__line"), r)
-            allowed.append(F.when(in_scope(F.col(path_col), r.scope), own).otherwise(none) if r.scope and path_col else own)
-    found = lines.withColumn("__deny", F.concat(*[spans(F.col("__line"), r) for r in deny])).withColumn("__allow", F.concat(none, *[a for r, a in zip([r for r in rules if r.action == "allow"], allowed, strict=True) if path_col or not r.scope]))
+    own = lambda r: F.when(holds(r), spans(F.col("__line"), r)).otherwise(none)
+    found = lines.withColumn("__deny", F.concat(none, *map(own, deny))).withColumn("__allow", F.concat(none, *map(own, allow)))
     left = F.array_distinct(F.filter("__deny", lambda d: ~F.exists("__allow", lambda a: (a["s"] <= d["s"]) & (a["e"] >= d["e"]))))
     return found.select(*keep, (F.col("__k") + 1).cast("int").alias("line"), F.explode(left).alias("z")).select(*keep, "line", F.col("z.s").alias("start"), F.col("z.text").alias("match"), F.col("z.rule").alias("rule"))
 
 
-def scan_files(files: DataFrame, rules: list[Rule], extra_ignores: tuple[str, ...] = (), root: str = "/") -> DataFrame:
-    """Leak findings of all tracked files (repo, path, content): ignore globs of documents do not apply, extra ones do."""
-    rows = files.where(~P.matches_any(F.col("path"), list(extra_ignores)) & ~looks_binary(F.col("content"))).select("repo", "path", F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("__abs"), F.col("content").cast("string").alias("content"))
-    return leak_findings(rows, "content", rules, "__abs").drop("__abs")
+def scan_files(files: DataFrame, rules: list[Rule], extra_ignores: tuple[str, ...] = (), root: str | DataFrame = "/") -> DataFrame:
+    """Leak findings of all tracked files (repo, path, content): ignore globs of documents do not apply, extra ones do.
+
+    root: where every repository lies, or a table (repo, root) with a folder for each; without one there, a repository lies at `/`.
+    """
+    rows = files.where(~P.matches_any(F.col("path"), list(extra_ignores)) & ~looks_binary(F.col("content")))
+    if isinstance(root, str):
+        top = F.lit(root)
+    else:
+        rows, top = rows.join(root.select("repo", "root").dropDuplicates(["repo"]), "repo", "left"), F.coalesce("root", F.lit("/"))
+    absolute = F.concat(F.regexp_replace(top, "/+$", ""), F.lit("/"), "path")
+    rows = rows.select("repo", "path", absolute.alias("__abs"), F.col("content").cast("string").alias("content"))
+    return leak_findings(rows, "content", rules, "__abs", "repo").drop("__abs")
 
 
 def redaction_patterns(rules: list[Rule]) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The checks, in order.
-CHECKS = ("orphans", "links", "untracked", "frontmatter", "edges", "disconnected", "leaks")
+CHECKS = ("orphans", "broken", "untracked", "leaks", "frontmatter", "edges", "disconnected")
 
 
 def selected_checks(skip: str = "") -> list[str]:
@@ -18,11 +18,11 @@ def selected_checks(skip: str = "") -> list[str]:
     return [c for c in CHECKS if c not in names]
 
 
-def usage_records(repos: DataFrame, findings: DataFrame, checks: list[str], level: int = 1) -> DataFrame:
-    """(repo, counts, files, findings): a record per repository of `repos`.
+def usage_records(repos: DataFrame, findings: DataFrame, checks: list[str], level: int = 1, ts: Column | None = None, version: str = "", cmd: str = "audit") -> DataFrame:
+    """(ts, version, repo, cmd, checks, exit, counts, files, findings): a record of a run for each repository of `repos`.
 
-    findings: repo, check, path, line, detail. counts has every selected check, zeros too. Level 2 adds
-    files (path:line, never matched text), level 3 findings (whole text); otherwise these are null.
+    findings: repo, check, path, line, detail. checks are sorted; exit is 1 with findings, else 0; ts is now, if not given. counts has
+    every selected check, zeros too. Level 2 adds files (path:line, never matched text), level 3 findings (whole text); otherwise these are null.
     """
     own = findings.where(F.col("check").isin(*checks)).groupBy("repo", "check").agg(
         F.count("*").alias("n"),
@@ -39,7 +39,11 @@ def usage_records(repos: DataFrame, findings: DataFrame, checks: list[str], leve
     counts = F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*map(count_of, checks)))
     listed = lambda field: F.when(F.size("own") > 0, F.map_from_entries(F.transform(F.array_sort("own"), lambda x: F.struct(x["check"], x[field]))))
     none = F.lit(None).cast("map<string,array<string>>")
-    return rows.select("repo", counts.alias("counts"), (listed("files") if level == 2 else none).alias("files"), (listed("details") if level == 3 else none).alias("findings"))
+    total = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    return rows.select(
+        (F.current_timestamp() if ts is None else ts).cast("timestamp").alias("ts"), F.lit(version).alias("version"), "repo", F.lit(cmd).alias("cmd"), F.array(*map(F.lit, sorted(checks))).cast("array<string>").alias("checks"),
+        F.when(total > 0, 1).otherwise(0).alias("exit"), counts.alias("counts"), (listed("files") if level == 2 else none).alias("files"), (listed("details") if level == 3 else none).alias("findings"),
+    )
 
 
 def usage_trend(records: DataFrame, width: str = "1 day") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tomllib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +24,8 @@ def read_files(spark: SparkSession, path: str, repo: str, root: str) -> DataFram
 
 
 def snapshot(files: DataFrame, ref: str | None = None) -> DataFrame:
-    """The working tree, or the files of one ref; a filter on `ref` that prunes partitions."""
-    return files.where(F.coalesce(F.col("ref"), F.lit("")) == (ref or ""))
+    """The working tree (an empty or null ref), or the files of one ref; a plain filter on `ref`, so that it prunes partitions."""
+    return files.where(F.col("ref") == ref if ref else (F.col("ref") == "") | F.col("ref").isNull())
 
 
 def looks_binary(content: Column) -> Column:
@@ -40,30 +40,56 @@ def diff_lines(texts: DataFrame) -> DataFrame:
     return rows.select("repo", "range_id", F.lit(None).cast("string").alias("path"), F.col("seq").cast("long").alias("seq"), "text")
 
 
+#: A usage record, as it is written and read.
+USAGE = "ts timestamp, version string, repo string, cmd string, checks array<string>, exit int, counts map<string,int>, files map<string,array<string>>, findings map<string,array<string>>"
+
+
 def append_usage(records: DataFrame, path: str) -> None:
     """Append usage records as JSON lines; null fields are left out."""
     records.write.mode("append").option("ignoreNullFields", "true").json(path)
 
 
+def usage_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The usage records appended to a folder, as a table or as a stream of those that arrive."""
+    return (spark.readStream if stream else spark.read).schema(USAGE).json(path)
+
+
+def write_report(findings: DataFrame, path: str) -> None:
+    """Findings as JSON lines in the order of a report: by repository, file, line, then the rest."""
+    first = [c for c in ("repo", "path", "line", "start", "target", "match") if c in findings.columns]
+    findings.orderBy(*first, *[c for c in findings.columns if c not in first]).write.json(path)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """scope: folder for dir rules; action: deny, allow or ignore."""
+    """scope: folder for dir rules; action: deny, allow or ignore; repo: the one repository it holds for, None for all."""
 
     action: str
     raw: str
     is_regex: bool = False
     scope: str | None = None
+    repo: str | None = None
 
     @property
     def pattern(self) -> str:
         """What is searched: terms literally, all without regard to case unless the expression begins with (?-i)."""
         if not self.is_regex:
             return "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", self.raw)
-        return self.raw if self.raw.startswith("(?-i)") else "(?iu)" + self.raw
+        raw = engine_pattern(self.raw)
+        return raw if raw.startswith("(?-i)") else "(?iu)" + raw
 
 
-def rules_from_toml(text: str) -> list[Rule]:
-    """Rules of a config: terms, regex, allow, allow_regex and [[dir]] tables (path, ignore, allow, allow_regex).
+def engine_pattern(raw: str) -> str:
+    """An expression as Spark's engine reads it: groups named `(?P<x>` are plain groups, `[[:alpha:]]` is a class of its own kind."""
+    out = re.sub(r"((?:^|[^\\])(?:\\\\)*)\(\?P?<[A-Za-z_]\w*>", r"\1(", raw)
+    posix = {"word": r"\\w"} | {k: rf"\\p{{{k.capitalize() if k != 'xdigit' else 'XDigit'}}}" for k in ("alnum", "alpha", "ascii", "blank", "cntrl", "digit", "graph", "lower", "print", "punct", "space", "upper", "xdigit")}
+    for k, v in posix.items():
+        out = out.replace(f"[:{k}:]", v.replace("\\\\", "\\"))
+    return out
+
+
+def rules_from_toml(text: str, repo: str | None = None) -> list[Rule]:
+    """Rules of a config, for one repository or for all: terms, regex, allow, allow_regex and [[dir]] tables (path, ignore, allow, allow_regex).
 
     Blank entries are dropped; a bad expression or a folder that is not absolute is an error.
     """
@@ -75,13 +101,23 @@ def rules_from_toml(text: str) -> list[Rule]:
             raise ValueError(f"not an absolute path: {d['path']}")
         out += [Rule("ignore", x, False, d["path"]) for x in d.get("ignore", [])]
         out += [Rule("allow", x, False, d["path"]) for x in d.get("allow", [])] + [Rule("allow", x, True, d["path"]) for x in d.get("allow_regex", [])]
-    return checked(out)
+    return checked([replace(r, repo=repo) for r in out])
 
 
 def checked(rules: list[Rule]) -> list[Rule]:
-    """Rules without blank ones; a bad expression is an error before any scan."""
+    """Rules without blank ones; an expression that Spark's engine does not take is an error before any scan."""
     kept = [r for r in rules if r.raw.strip()]
-    for r in kept:
-        if r.is_regex:
-            re.compile(r.raw.removeprefix("(?-i)"))
+    patterns = list(dict.fromkeys(r.pattern for r in kept if r.is_regex))
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    for p in patterns:
+        try:
+            spark.range(1).select(F.lit("").rlike(p)).first()
+        except Exception as e:
+            raise ValueError(f"not an expression: {p}") from e
     return kept
+
+
+def dropped_rules(rules: list[Rule], dirs: int | None = None) -> dict[str, int]:
+    """What a redaction leaves out: `allows`, the allow rules of all scopes, and `dirs`, the folders with rules (`dirs` of a config says so for empty ones)."""
+    kept = [r for r in rules if r.raw.strip()]
+    return {"allows": sum(r.action == "allow" for r in kept), "dirs": len({r.scope for r in kept if r.scope}) if dirs is None else dirs}

@@ -29,7 +29,10 @@ def leak_stream(files: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def trend_stream(records: DataFrame, lateness: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Findings per window and check of arriving usage records; records later than `lateness` are left out."""
+    """Findings per window and check of arriving usage records, as `usage_log` reads them; records later than `lateness` are left out.
+
+    In append mode a window comes once the watermark has passed its end.
+    """
     return usage_trend(records.withWatermark("ts", lateness), width)
 
 
@@ -40,7 +43,7 @@ class LastHead(StatefulProcessor):
         self.last = handle.getValueState("last", "head string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        runs = pd.concat(list(rows)).sort_values("ts")
+        runs = pd.concat(list(rows)).sort_values(["ts", "head", "n_findings"])
         last = self.last.get()[0] if self.last.exists() else None
         keep = []
         for head in runs["head"]:

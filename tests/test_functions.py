@@ -18,9 +18,9 @@ def found_links(spark, text):
 
 
 def test_links(spark):
-    assert found_links(spark, "see [a](x.md) and\n[b](../y.md#frag)\n\n[ref]: z/w.md\n") == [(1, "x.md"), (2, "../y.md#frag"), (4, "z/w.md")]
-    assert found_links(spark, "```\n[no](a.md)\n~~~\n[no](b.md)\n```\n`[no](c.md)` [yes](d.md)\n`open [no](e.md)") == [(6, "d.md")]
-    assert found_links(spark, "~~~\n[no](a.md)") == []
+    assert found_links(spark, "go [home](start.md), then\n[up](../top.md#way)\n\n[note]: notes/n1.md\n") == [(1, "start.md"), (2, "../top.md#way"), (4, "notes/n1.md")]
+    assert found_links(spark, "```\n[off](p.md)\n~~~\n[off](q.md)\n```\n`[off](r.md)` [on](s.md)\n`left open [off](t.md)") == [(6, "s.md")]
+    assert found_links(spark, "~~~\n[off](p.md)") == []
 
 
 def test_local_markdown(values):
@@ -80,13 +80,14 @@ def test_first_heading(values):
 
 def test_small_functions(values):
     assert values(*[views.review_days(F.lit(x)) for x in ("90d", "2w", "", "90", "-1d", "xd", " 7d ")]) == [90, 14, None, None, None, None, 7]
-    yes, no = ["MAX_ROOTS", "OldWidget", "HTTPServer", "A_BC"], ["handleClick", "Window", "Math", "foo", "abc", "X1", "lowercase_only"]
+    yes, no = ["ROW_COUNT", "BlueTram", "XMLTree", "Q_12"], ["openDoor", "Garden", "Sum", "bar", "xyz", "K9", "small_words"]
     assert values(*[drift.looks_like_symbol(F.lit(x)) for x in yes + no]) == [True] * 4 + [False] * 7
     yes = ["> **Footgun: x**", "# Footgun — y", "- footgun: z", "Footguns: many", "**footgun - a** b", "footgun -", "  > * **Footgun:** x"]
     no = ["see the footgun above", "## Footguns", "footgun-drift runs"]
     assert values(*[drift.is_footgun(F.lit(x)) for x in yes + no]) == [True] * len(yes) + [False] * len(no)
     assert values(*[drift.split_range(F.lit(x)) for x in ("a..b", "a..", "a", "a..b..c")]) == [("a", "b"), None, None, ("a", "b..c")]
-    assert selected_checks("leaks, edges") == ["orphans", "links", "untracked", "frontmatter", "disconnected"]
+    assert selected_checks("leaks, edges") == ["orphans", "broken", "untracked", "frontmatter", "disconnected"]
+    assert selected_checks("broken") == ["orphans", "untracked", "leaks", "frontmatter", "edges", "disconnected"]
     with pytest.raises(ValueError):
         selected_checks("nonsense")
 

@@ -67,6 +67,94 @@ def test_cycles(spark):
     assert graph.cycle_members(graph.hierarchy_arcs(acyclic, docs_of(graph.markdown_nodes(acyclic)))).count() == 0
 
 
+def arcs_of(spark, arcs):
+    return spark.createDataFrame([("r", a, b, i) for i, (a, b) in enumerate(arcs)], "repo string, src string, dst string, pos int").repartition(3)
+
+
+def test_cycle_paths_start_where_the_walk_enters(spark):
+    assert paths_of(graph.cycle_paths(arcs_of(spark, [("0", "b"), ("a", "b"), ("b", "a"), ("00", "0"), ("c", "d")])), "cycle") == ["b -> a -> b"]
+
+
+def test_cycles_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    tree = []
+    for r in range(12):
+        tree += [(f"r{r}", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", i) for i in range(rng.randrange(2, 14))]
+    df = spark.createDataFrame(tree, "repo string, src string, dst string, pos int").repartition(3)
+    members, walks = set(), []
+    for repo in {t[0] for t in tree}:
+        out = {}
+        for _, a, b, _ in sorted(t for t in tree if t[0] == repo):
+            out.setdefault(a, [])
+        for _, a, b, _ in sorted((t for t in tree if t[0] == repo), key=lambda t: t[3]):
+            out[a].append(b)
+        reach = {a: set(b) for a, b in out.items()}
+        for _ in range(10):
+            for a in reach:
+                reach[a] |= {c for b in reach[a] for c in reach.get(b, ())}
+        members |= {(repo, a) for a in reach if a in reach[a]}
+        done, path = set(), []
+
+        def visit(n, repo=repo, out=out, done=done, path=path):
+            path.append(n)
+            for m in out.get(n, ()):
+                if m in path:
+                    walks.append((repo, " -> ".join([*path[path.index(m) :], m])))
+                elif m not in done:
+                    visit(m)
+            done.add(path.pop())
+
+        for n in sorted({x for t in tree if t[0] == repo for x in t[1:3]}):
+            if n not in done:
+                visit(n)
+    assert {tuple(r) for r in graph.cycle_members(df).collect()} == members and members
+    assert sorted(tuple(r) for r in graph.cycle_paths(df).collect()) == sorted(walks)
+
+
+def test_ignores_and_roots_of_single_repositories(spark):
+    tree = {".docignore": "# own\n\n drafts/** \n*.tmp.md", "README.md": "", "drafts/x.md": "", "a.tmp.md": "", "b.md": "", "docs/start.md": "[b](../b.md)"}
+    f = files_of(spark, tree, repo="r").unionByName(files_of(spark, {k: v for k, v in tree.items() if k != ".docignore"}, repo="s"))
+    globs = graph.ignore_globs(f)
+    assert sorted((r.repo, r.glob) for r in globs.collect()) == [("r", "*.tmp.md"), ("r", "drafts/**")]
+    more = spark.createDataFrame([("s", "./docs/../docs/start.md")], "repo string, path string")
+    got = sorted((r.repo, r.path) for r in graph.orphans(f, graph.content_edges(f, globs), globs, more).collect())
+    assert got == [("r", "docs/start.md"), ("s", "a.tmp.md"), ("s", "drafts/x.md")]
+    assert paths_of(graph.orphans(f, graph.content_edges(f), (), ("docs//start.md",)).where("repo = 's'")) == ["a.tmp.md", "drafts/x.md"]
+
+
+def test_odd_names_are_found_as_by_search(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    names = ["é.md", "a é.md", "docs/ü x/y.md", "(b).md", "c+d.md", "x  y.md", "é é.md", "plain.md"]
+    bits = [*names, "a", " ", "é", "/", "x", "y.md", "+", "(", "docs/"]
+    tree = {n: "".join(rng.choice(bits) for _ in range(7)) for n in [*names, *(f"t{i}.md" for i in range(150))]}
+    got = {(r.src, r.dst) for r in graph.mention_edges(graph.markdown_nodes(files_of(spark, tree))).collect()}
+    assert got == {(s, d) for s, t in tree.items() for d in tree if s != d and re.search(r"(?:\A|[^A-Za-z0-9./_-])" + re.escape(d), t)}
+
+
+def test_latest_and_report(spark, tmp_path):
+    import json
+
+    runs = spark.createDataFrame([("r", 1, "A"), ("r", 2, "B"), ("r", 2, "C"), ("s", 1, "D")], "repo string, ts int, head string")
+    assert sorted((r.repo, r.head) for r in graph.latest_per_repo(runs).collect()) == [("r", "C"), ("s", "D")]
+    found = spark.createDataFrame([("s", "a", 1), ("r", "b", 2), ("r", "a", 10), ("r", "a", 9)], "repo string, path string, line int").repartition(3)
+    S.write_report(found, str(tmp_path / "report"))
+    lines = [json.loads(x) for p in sorted((tmp_path / "report").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [(x["repo"], x["path"], x["line"]) for x in lines] == [("r", "a", 9), ("r", "a", 10), ("r", "b", 2), ("s", "a", 1)]
+
+
+def test_graph_of_a_ref(spark):
+    now = files_of(spark, {"README.md": "[a](a.md)", "a.md": "", "b.md": ""})
+    then = files_of(spark, {"README.md": "no link", "a.md": "[b](b.md)", "b.md": ""}).withColumn("ref", F.lit("v1"))
+    both = now.unionByName(then).withColumn("ref", F.when(F.col("path") == "b.md", F.nullif("ref", F.lit(""))).otherwise(F.col("ref")))
+    loose = lambda ref: paths_of(graph.orphans(S.snapshot(both, ref), graph.content_edges(S.snapshot(both, ref))))
+    assert loose(None) == ["b.md"] and loose("v1") == ["a.md"] and loose("v2") == []
+
+
 def test_tree_stops_at_repeats(spark):
     f = files_of(spark, {"root.md": fm(), "a.md": fm(("part-of", "root.md"), ("part-of", "b.md")), "b.md": fm(("part-of", "a.md"))})
     d = docs_of(graph.markdown_nodes(f))
@@ -113,10 +201,29 @@ def test_leak_scopes_and_binary(spark):
     assert paths_of(leaks.scan_files(f, rules, (), "/repo")) == [".claude/skills/foo.md", "top.md"]
     with pytest.raises(ValueError):
         rules_from_toml('[[dir]]\npath = "rel"')
-    import re
-
-    with pytest.raises(re.error):
+    with pytest.raises(ValueError):
         rules_from_toml('regex = ["("]')
+    # what the engine of the scan takes, and what it writes otherwise
+    rules = rules_from_toml(r"""regex = ['\p{Lu}{4}', '(?P<kind>ab)c', '[[:digit:]]{3}x', '(?-i)Keep']""")
+    assert spans_of(spark, "ÄÖÜŠ xabc 123x keep Keep", [r for r in rules if r.raw[:2] != r"\p"]) == [(1, 6, "abc", "(?P<kind>ab)c"), (1, 10, "123x", "[[:digit:]]{3}x"), (1, 20, "Keep", "(?-i)Keep")]
+    assert spans_of(spark, "ÄÖÜŠ", rules) == [(1, 0, "ÄÖÜŠ", r"\p{Lu}{4}")]
+
+
+def test_leak_rules_of_single_repositories(spark):
+    tree = {"a.md": "term other", "sub/b.md": "term other", "sub/c.md": "term"}
+    f = files_of(spark, tree, repo="r").unionByName(files_of(spark, tree, repo="s")).unionByName(files_of(spark, tree, repo="t"))
+    rules = rules_from_toml('terms = ["term"]\n[[dir]]\npath = "/x/r/sub"\nignore = ["c.*"]\nallow = ["term"]', "r") + rules_from_toml('terms = ["other"]', "s") + rules_from_toml('[[dir]]\npath = "/y/s/sub"\nignore = ["*"]')
+    where = spark.createDataFrame([("r", "/x/r/"), ("s", "/y/s"), ("s", "/y/s")], "repo string, root string")
+    got = sorted((r.repo, r.path, r.match) for r in leaks.scan_files(f, rules, (), where).collect())
+    assert got == [("r", "a.md", "term"), ("s", "a.md", "other")]
+    one = spark.createDataFrame([(1, "term other")], "k int, text string")
+    assert leaks.leak_findings(one, "text", rules).count() == 0
+
+
+def test_dropped_rules():
+    config = 'terms = ["a"]\nallow = ["b", " "]\nallow_regex = ["c"]\n[[dir]]\npath = "/p"\nallow = ["d"]\n[[dir]]\npath = "/q"\nignore = ["*"]'
+    assert S.dropped_rules(rules_from_toml(config)) == {"allows": 3, "dirs": 2}
+    assert S.dropped_rules([]) == {"allows": 0, "dirs": 0}
 
 
 def test_redaction(spark, values):
@@ -187,8 +294,10 @@ def test_usage(spark, tmp_path):
     assert one["r"].counts == {"leaks": 1, "links": 0} and one["s"].counts == {"leaks": 0, "links": 0} and one["r"].files is None
     assert two["r"].files == {"leaks": ["a:3"]} and two["r"].findings is None and three["r"].findings == {"leaks": ["a:3 hidden"]}
     for _ in range(2):
-        S.append_usage(usage.usage_records(repos, found, ["leaks"]), str(tmp_path / "u"))
-    assert spark.read.json(str(tmp_path / "u")).count() == 4
+        S.append_usage(usage.usage_records(repos, found, ["leaks"], 2, F.lit("2026-01-02 03:04:05"), "1.2", "drift"), str(tmp_path / "u"))
+    log = S.usage_log(spark, str(tmp_path / "u")).collect()
+    assert len(log) == 4 and {(r.version, r.cmd, str(r.ts), tuple(r.checks)) for r in log} == {("1.2", "drift", "2026-01-02 03:04:05", ("leaks",))}
+    assert sorted((r.repo, r.exit, r.files is None) for r in log) == [("r", 1, False)] * 2 + [("s", 0, True)] * 2
 
 
 def test_sources(spark, tmp_path):

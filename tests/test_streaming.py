@@ -2,8 +2,10 @@
 
 import datetime as dt
 
-from docweave.operators.usage import usage_trend
-from docweave.sources.files import Rule
+from pyspark.sql import functions as F
+
+from docweave.operators.usage import usage_records, usage_trend
+from docweave.sources.files import Rule, append_usage, usage_log
 from docweave.streaming import jobs
 
 
@@ -39,3 +41,20 @@ def test_trend_stream_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "u"))
     got = drained(jobs.trend_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "u"))), "trend", "complete")
     assert sorted(map(tuple, got)) == sorted(map(tuple, usage_trend(spark.createDataFrame(rows, schema)).collect()))
+
+
+def test_usage_log_feeds_the_trend(spark, tmp_path):
+    """Records written by runs come back as a stream; a window comes once, when the watermark has passed it."""
+    path = str(tmp_path / "log")
+    repos = spark.createDataFrame([("r",)], "repo string")
+    found = spark.createDataFrame([("r", "leaks", "a", 1, "x")], "repo string, check string, path string, line int, detail string")
+    times = ["2026-01-01 01:00:00", "2026-01-01 20:00:00", "2026-01-02 05:00:00", "2026-01-01 02:00:00", "2026-01-04 00:00:00"]
+    append_usage(usage_records(repos, found, ["leaks", "broken"], 1, F.lit(times[0])), path)
+    q = jobs.trend_stream(usage_log(spark, path, stream=True)).writeStream.outputMode("append").format("memory").queryName("log_trend").start()
+    for t in times[1:]:
+        append_usage(usage_records(repos, found, ["leaks", "broken"], 1, F.lit(t)), path)
+        q.processAllAvailable()
+    q.stop()
+    got = {(str(r.start), r.check): r.n for r in spark.table("log_trend").collect()}
+    # the record of 02:00 came after the watermark of the second day and is left out
+    assert got == {("2026-01-01 00:00:00", "leaks"): 2, ("2026-01-01 00:00:00", "broken"): 0, ("2026-01-02 00:00:00", "leaks"): 1, ("2026-01-02 00:00:00", "broken"): 0}
