@@ -305,10 +305,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: which of all `documents` hold which templates of `benchmark`; items: the members of a template, in the row of its first document."""
-    from docweave.functions.session import table
+    from docweave.functions.session import spread, table
 
     benchmark = table(spark, sf_dir, "benchmark")
-    found = contaminated(table(spark, sf_dir, "documents"), benchmark)
+    found = contaminated(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), benchmark)
     kinds, members = templates(benchmark)
     listed = members.join(kinds.select("template", F.col("item_id").alias("head")), "template").groupBy("head", "form").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     first = found.groupBy("item_id", "form").agg(F.min("doc_id").alias("doc_id"))

@@ -240,8 +240,8 @@ def is_held_out(id_col: str = "doc_id"):
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: the predicted language of every document of `documents`."""
-    from docweave.functions.session import table
+    from docweave.functions.session import spread, table
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     out = identify(docs.select("doc_id", "text"), docs.where(~is_held_out()))
     return out.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "shares")

@@ -91,9 +91,9 @@ def mixture(
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: what a mix of all `documents` takes, sources weighing 1, 2, 3 in turn, at most 3 epochs each."""
-    from docweave.functions.session import table
+    from docweave.functions.session import spread, table
 
-    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""

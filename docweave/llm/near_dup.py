@@ -324,9 +324,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: near-duplicate components of `documents` on sets of 4-word shingles."""
-    from docweave.functions.session import table
+    from docweave.functions.session import spread, table
 
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k=4)
 
 
 ORACLE = r"""

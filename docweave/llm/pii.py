@@ -269,6 +269,6 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: all `documents` with personal data and secrets replaced."""
-    from docweave.functions.session import table
+    from docweave.functions.session import spread, table
 
-    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_entities", "text")
+    return replace_entities(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_entities", "text")

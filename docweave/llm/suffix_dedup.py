@@ -76,7 +76,7 @@ def refined_buckets(text: np.ndarray, starts: np.ndarray, length: int, batch: in
     """A bucket number for each start: equal numbers mean equal strings of `length` bytes; text: padded by 8, the string of every start inside.
 
     Suffixes are sorted into buckets by their first QGRAM bytes; the bucket pointer of a place is the last rank of its bucket. The
-    buckets of starts are then refined one after the other, from the left: members are sorted by the pointers at the offset of the bucket's
+    buckets with several starts are then refined one after the other, from the left: members are sorted by the pointers at the offset of the bucket's
     depth, the pointers of the new buckets are written at once and so are used by every bucket refined after it. A new bucket's depth grows
     by the depth of the bucket its members pointed to, so what was refined before is not compared again. Small buckets
     that lie side by side are sorted together, about `batch` places at a time. In the end the order decides: neighbours in it are one bucket if `length` bytes agree.
@@ -92,15 +92,16 @@ def refined_buckets(text: np.ndarray, starts: np.ndarray, length: int, batch: in
     ranked = code[order]
     last = np.flatnonzero(np.concatenate([ranked[1:] != ranked[:-1], [True]]))
     sizes = np.diff(np.concatenate([[-1], last]))
-    pointer = np.empty(n, np.int64)
-    pointer[order] = np.repeat(last, sizes)
-    depth = np.full(n, q, np.int16)  # by pointer
+    # ranks from 1 on; what lies behind the text comes before everything
+    pointer = np.zeros(n + length, np.int64)
+    pointer[order] = np.repeat(last + 1, sizes)
+    depth = np.full(n + 1, q, np.int16)  # by pointer
     wanted = np.zeros(n, bool)
     wanted[starts] = True
-    # starts in order of their buckets; other places keep their first pointers
-    place = order[wanted[order]]
+    # a bucket is refined with all its members or not at all, or its pointers could not be held against each other
+    many = np.add.reduceat(wanted[order].astype(np.int64), last - sizes + 1) > 1
+    todo = [order[np.repeat(many, sizes)]]
     del order, ranked, code
-    todo = [place[many_in_bucket(pointer[place])]]
     while todo:
         members, todo = todo[0], []
         heads = np.flatnonzero(np.concatenate([[True], pointer[members[1:]] != pointer[members[:-1]]])) if len(members) else np.zeros(0, np.int64)
@@ -124,7 +125,8 @@ def refined_buckets(text: np.ndarray, starts: np.ndarray, length: int, batch: in
             step = np.minimum(d[stop], length - q) + depth[there[stop]]
             pointer[own] = np.repeat(name, size)
             depth[name] = np.minimum(step, length)
-            open_ = np.repeat((size > 1) & (step < length), size)
+            n_starts = np.add.reduceat(wanted[own].astype(np.int64), stop - size + 1)
+            open_ = np.repeat((n_starts > 1) & (step < length), size)
             again.append(own[open_])
         if again and sum(map(len, again)):
             todo.append(np.concatenate(again))
@@ -143,12 +145,6 @@ def eight(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))[at].astype(np.uint64)
 
 
-def many_in_bucket(pointers: np.ndarray) -> np.ndarray:
-    """Which of the sorted pointers have a neighbour with the same one."""
-    same = pointers[1:] == pointers[:-1]
-    return np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(pointers) else np.zeros(0, bool)
-
-
 def stretches(block: pa.Table, notes: pa.Table, length: int, gram: int, homes: int):
     """The distinct stretches of windows that may repeat, and where they stand.
 
@@ -308,9 +304,9 @@ SPANS = pa.list_(pa.struct([pa.field("from", pa.int64()), pa.field("to", pa.int6
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: the digest of every document of `documents` after removal of repeated 50-byte strings."""
-    from docweave.functions.session import table
+    from docweave.functions.session import spread, table
 
-    out = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    out = remove_repeated_bytes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select(
         "doc_id",
         "n_bytes",

@@ -169,9 +169,9 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: the digest of every document of `documents` after removal of repeated windows of 50 words."""
-    from docweave.functions.session import table
+    from docweave.functions.session import spread, table
 
-    out = remove_repeated_windows(table(spark, sf_dir, "documents"))
+    out = remove_repeated_windows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return out.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
