@@ -247,8 +247,8 @@ def held_windows(docs: DataFrame, id_col: str, text_col: str, k: int, marks: np.
                 yield pa.RecordBatch.from_arrays([pa.array(base + doc), id_.take(pa.array(doc)), pa.array(hashes.view(np.int64)), place, value], names=names)
             base += t.num_rows
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc long, id long, hash long, place array<long>, value array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc long, id {rows.schema['id'].dataType.simpleString()}, hash long, place array<long>, value array<long>")
 
 
 def templates(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     item_id is the smallest item of the template and n_items the number of its items, which `templates` lists. n_windows and n_found: windows of
     the template and those found; n_slots: slots of these in the document, n_changed: those whose value differs from that item's own.
-    Documents count by themselves, rows with a null or repeated id, too. Items without a word and null or empty texts on either side take no part.
+    Documents count by themselves, rows with a null or repeated id, too; ids may be of any type. Items without a word and null or empty texts on either side take no part.
     Texts of any length are read whole. Short items, and those that are mostly numbers and names, are found by their plain words without signs
     only, so `17 + 23` counts for `17 * 23`, and very short ones in every document that has their words side by side. Other columns are not
     looked at. Empty tables give an empty result.

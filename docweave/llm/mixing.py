@@ -51,22 +51,24 @@ def water_filling(sources: DataFrame, epochs: float = 3.0) -> DataFrame:
 
 
 def mixture(
-    docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: float = 3.0, seed: str = "mix", row_col: str | None = None
+    docs: DataFrame, weights=cyclic_weights, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: float = 3.0, seed: str = "mix", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """What the mix takes of each document: id, size (words), source_size, target, taken (words, repetitions counted), whole (full repetitions) and part (words of the last, partial one).
 
     `weights` adds a column weight to the frame of sources. Sources are few against documents: one row each is
     handled in one task. Null sources form one source; null or empty texts have size 0 and are taken 0 words. The
     order of documents is md5(seed, id), ties (repeated or null ids) by size; rows that agree in both take their turns one
-    after the other, in no fixed order, by which the words taken change hands among equals only. `row_col`: a column that tells such rows
-    apart; it breaks the ties, and stands in the result. The words taken from a source sum to its target, rounded down.
+    after the other, in no fixed order, by which the words taken change hands among equals only. `keep`: columns that are carried along into the
+    result, as k0, k1, ..; a hash of theirs breaks the ties. The words taken from a source sum to its target, rounded down.
     Texts of any length count by all their words. Other columns are not looked at. An empty table gives an empty result.
     """
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    number = [F.col(row_col).alias("number")] if row_col else []
-    tie = ["number"] if row_col else []
+    carried = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    kept = [f"k{i}" for i in range(len(keep))]
+    tie = ["tie"] if keep else []
     # a text of no words has no place in the order: however many there are, they stay out of the windows
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), draw.alias("draw"), *number)
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), draw.alias("draw"), *carried)
+    sized = sized.withColumn("tie", F.xxhash64(*kept)) if keep else sized
     sized = sized.withColumn("bucket", F.when(F.col("size") > 0, F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")).otherwise(F.pmod(F.xxhash64("draw", *tie), F.lit(BUCKETS)).cast("int") + BUCKETS))
     totals = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
@@ -83,8 +85,8 @@ def mixture(
     return (
         j.withColumn("whole", whole).withColumn("rest", rest).withColumn("part", part)
         .select(
-            F.col("id").alias(id_col), *[F.col("number").alias(row_col) for _ in tie], F.col("d.source").alias(source_col), "size", F.col("source_size").cast("long").alias("source_size"), "target",
-            (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", "part",
+            F.col("id").alias(id_col), F.col("d.source").alias(source_col), "size", F.col("source_size").cast("long").alias("source_size"), "target",
+            (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole", "part", *kept,
         )
     )
 

@@ -93,9 +93,9 @@ def test_dirty_labels_are_bounded(spark, monkeypatch):
 def test_mixing_of_rows_that_look_alike(spark):
     rows = [(None, "a b", "s", i) for i in range(40)] + [(7, "c d e", "s", 40 + i) for i in range(30)] + [(None, None, "t", 80), (1, "x " * 400, None, 81)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
-    got = mixing.mixture(df.repartition(3), row_col="row").collect()
-    assert sorted(r.row for r in got) == [r[3] for r in rows] and all(0 <= r.taken <= 3 * r["size"] for r in got)
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mixture(df.repartition(5), row_col="row").collect()), key=str)
+    got = mixing.mixture(df.repartition(3), keep=("row", "text")).collect()
+    assert sorted(r.k0 for r in got) == [r[3] for r in rows] and all(0 <= r.taken <= 3 * r["size"] for r in got)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mixture(df.repartition(5), keep=("row", "text")).collect()), key=str)
     for s in ("s", None):
         own = [r for r in got if r.source == s]
         assert sum(r.taken for r in own) == int(own[0].target)
