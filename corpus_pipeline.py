@@ -68,9 +68,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; null and empty texts stay. Repeated rows stay or go together."""
-    rows = numbered(docs)
-    hit = contaminated(rows.select("row", F.col(place(docs, "text")).alias("text")), table(spark, sf_dir, "benchmark"), id_col="row").select("row").distinct()
-    return rows.join(hit, "row", "left_anti").drop("row").toDF(*docs.columns)
+    rows = aside(docs)
+    text = F.col(place(docs, "text"))
+    # equal texts are judged alike, so a text's digest names it
+    named = lambda c: F.md5(c.cast("binary"))
+    hit = contaminated(rows.select(named(text).alias("digest"), text.alias("text")), table(spark, sf_dir, "benchmark"), id_col="digest").select("digest").distinct()
+    return rows.join(hit, named(text) == F.col("digest"), "left_anti").toDF(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,12 +93,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Every row is taken by itself, rows with the same id, too. Where `docs` has columns `copy` or `words` already, the new ones have
     underscores behind their names.
     """
-    rows = numbered(docs)
+    rows = aside(docs)
     text = F.col(place(docs, "text"))
-    own = rows.select("row", F.col(place(docs, "doc_id")).alias("doc_id"), text.alias("text"), F.col(place(docs, "source")).alias("source"))
-    taken = mixture(own, row_col="row").where("taken > 0").select("row", "size", "whole", "part")
+    taken = mixture(rows, id_col=place(docs, "doc_id"), text_col=place(docs, "text"), source_col=place(docs, "source"), keep=tuple(rows.columns)).where("taken > 0")
     copies = F.transform(F.sequence(F.lit(1), (F.col("whole") + (F.col("part") > 0).cast("int")).cast("int")), lambda i: F.struct(i.alias("copy"), F.when(i <= F.col("whole"), F.col("size")).otherwise(F.col("part")).alias("words")))
-    out = rows.join(taken, "row").withColumn("copies", F.explode(copies)).select(*aside(docs).columns, "size", "copies.*")
+    out = taken.withColumn("copies", F.explode(copies)).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(rows.columns)], "size", "copies.*")
     # words with the space behind them; space before the first word is a piece of its own
     pieces = F.regexp_extract_all(text, F.lit(r"^[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
