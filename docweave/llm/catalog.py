@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import chat, decontaminate, language_id, mixing, near_dup, pii, suffix_dedup, topk, warc, window_dedup
+from docweave.llm import centroids, chat, decontaminate, divergence, language_id, mixing, near_dup, pii, simhash, suffix_dedup, topk, warc, window_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii_surrogates": pii.query,
     "op9_decontaminate": decontaminate.query,
     "op10_mixing": mixing.query,
+    "op11_simhash_near_dedup": simhash.query,
+    "op12_centroid_clustering": centroids.query,
+    "op13_source_divergence": divergence.query,
 }
 
 ORACLES = {
@@ -25,4 +28,6 @@ ORACLES = {
     "op6_warc": warc.ORACLE,
     "op7_substring_dedup": window_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_centroid_clustering": centroids.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
