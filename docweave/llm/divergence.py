@@ -24,41 +24,57 @@ from pyspark.sql import functions as F
 
 from docweave.functions.session import spool
 
-#: What separates terms: everything in ASCII but letters.
-GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of terms in a piece of the vocabulary (a longer term is a piece of its own), counts that a task holds before it sends them on.
-PIECE_BYTES, HELD = 2 << 20, 500_000
+#: What the bytes of a text become: A-Z small letters, all other ASCII but small letters spaces, the rest as it is. So terms stand between spaces.
+SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes of terms in a piece of the vocabulary (a longer term is a piece of its own), entries that a task holds before it sends them on.
+PIECE_BYTES, HELD = 4 << 20, 200_000
 #: Counts in a block of terms, and numbers in a matrix of groups and terms.
 BLOCK_COUNTS, MATRIX = 100_000, 2_000_000
 #: Shares are whole numbers of this part, with this much added to every count.
 UNIT, ADDED = 1_000_000_000, 5
 
 
-def spaced(text: Column) -> Column:
-    """The terms of a text with one space between them and, unless it has none, at both ends; A-Z in lower case."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.translate(text, UPPER, LOWER), F.lit(" ")), GAP, " ")
+def rows_of(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """(lang, source, text) with nulls as empty texts."""
+    own = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
+    return docs.select(own(lang_col, "lang"), own(source_col, "source"), own(text_col, "text"))
 
 
-def rows_of(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, text) with nulls as empty texts, the text `spaced`."""
-    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(own(lang_col).alias("lang"), own(source_col).alias("source"), spaced(own(text_col)).alias("text"))
+def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[str, str, bytes]]:
+    """lang, source and spaced text of each row."""
+    for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
+        yield lang, source, text.as_buffer().to_pybytes().translate(SPACED)
 
 
 def vocabulary(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, term, documents) of the terms in at least `least` rows of the language."""
-    terms = rows.select("lang", F.explode(F.array_distinct(F.split("text", " "))).alias("term")).where("term <> ''")
-    return terms.groupBy("lang", "term").agg(F.count("*").alias("documents")).where(F.col("documents") >= least)
+    """(lang, term, documents) of the terms in at least `least` rows of the language. Documents are counted within each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Counter] = {}
+
+        def table() -> Iterator[pa.RecordBatch]:
+            for lang, own in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.binary()).cast(pa.string()), pa.array(own.values(), pa.int64())], names=["lang", "term", "n"])
+            found.clear()
 
+        for b in batches:
+            for lang, _, text in texts_of(b):
+                found.setdefault(lang, Counter()).update(set(text.split()))
+                if len(found[lang]) > HELD:
+                    yield from table()
+        yield from table()
 
-def pieces_of(kept: DataFrame) -> tuple[DataFrame, int]:
-    """`kept` with its piece, and the number of pieces; a piece has at most PIECE_BYTES of terms, or one term."""
+    terms = rows.mapInArrow(run, "lang string, term string, n long")
+    return terms.groupBy("lang", "term").agg(F.sum("n").alias("documents")).where(F.col("documents") >= least)
+
+
+def pieces_of(kept: DataFrame, piece_bytes: int) -> tuple[DataFrame, int]:
+    """`kept` with its piece, and the number of pieces; a piece has at most `piece_bytes` of terms, or one term."""
     size = F.octet_length("term") + F.octet_length("lang") + 2
-    n = math.ceil((kept.agg(F.sum(size)).first()[0] or 0) / (PIECE_BYTES // 2))
+    n = math.ceil((kept.agg(F.sum(size)).first()[0] or 0) * 1.1 / piece_bytes)
     while n:
         dealt = kept.withColumn("piece", F.pmod(F.xxhash64("lang", "term"), F.lit(n)).cast("int"))
-        if dealt.groupBy("piece").agg(F.sum(size).alias("bytes"), F.count("*").alias("terms")).where((F.col("bytes") > PIECE_BYTES) & (F.col("terms") > 1)).isEmpty():
+        if dealt.groupBy("piece").agg(F.sum(size).alias("bytes"), F.count("*").alias("terms")).where((F.col("bytes") > piece_bytes) & (F.col("terms") > 1)).isEmpty():
             return dealt, n
         n *= 2
     return kept.withColumn("piece", F.lit(0)), 0
@@ -94,26 +110,28 @@ def counted(rows: DataFrame, dealt: DataFrame, number: int) -> DataFrame:
     name = f"{rows.sparkSession.sparkContext.applicationId}-{shared._jbroadcast.id()}"
     shared._value = None  # the driver keeps no piece
 
-    def table(found: dict) -> pa.RecordBatch:
-        keys = [(lang, source, shared.value[lang][i], n) for (lang, source), own in found.items() for i, n in own.items()]
-        columns = list(zip(*keys, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "source", "term", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, str], Counter] = {}
         held = 0
+
+        def table() -> Iterator[pa.RecordBatch]:
+            for (lang, source), own in found.items():
+                term = [shared.value[lang][i] for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([source] * len(own), pa.string()), pa.array(term, pa.string()), pa.array(own.values(), pa.int64())], names=["lang", "source", "term", "n"])
+            found.clear()
+
         for b in batches:
-            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            for lang, source, text in texts_of(b):
                 a = automaton(name, shared.value, lang)
                 if a is not None:
                     own = found.setdefault((lang, source), Counter())
                     before = len(own)
-                    own.update(map(itemgetter(1), a.iter(text)))
+                    own.update(map(itemgetter(1), a.iter(f" {text.decode()} ")))
                     held += len(own) - before
                     if held > HELD:
-                        yield table(found)
-                        found, held = {}, 0
-        yield table(found)
+                        yield from table()
+                        held = 0
+        yield from table()
 
     return rows.mapInArrow(run, "lang string, source string, term string, n long")
 
@@ -144,7 +162,7 @@ def differences(postings: pd.DataFrame, groups: pd.DataFrame, lang: str, block:
     return pd.DataFrame({"lang": lang, "source": names[x], "item": names[y], "value": (total + total.T)[x, y]})
 
 
-def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 30, top: int = 50) -> DataFrame:
+def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 30, top: int = 50, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(lang, source, part, item, value, rank): how each group, a source within a language, differs.
 
     Terms are stretches without ASCII characters other than letters, A-Z in lower case. A language keeps the terms in at least `least` of its documents. The share of a kept term
@@ -155,11 +173,11 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
 
     Nulls count as empty texts, so a null and an empty source are one group. Groups without any kept term have pairs, too; without kept terms in the
     language all values are 0. Every row is a document, whatever its other columns; repeated rows count each. Texts and terms may have any length. A sum of differences must fit 64
-    bits. An empty table gives no rows.
+    bits. An empty table gives no rows. The texts are scanned once for every `piece_bytes` of kept terms; an automaton takes about 40 bytes of memory for each byte of them.
     """
     rows = rows_of(docs, text_col, lang_col, source_col)
     kept = spool(vocabulary(rows, least), "vocabulary")
-    dealt, n = pieces_of(kept)
+    dealt, n = pieces_of(kept, piece_bytes)
     counts = [counted(rows, dealt, i) for i in range(n)]
     empty = rows.sparkSession.createDataFrame([], "lang string, source string, term string, n long")
     found = spool(reduce(DataFrame.unionByName, counts, empty).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "postings")

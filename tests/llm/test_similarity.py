@@ -162,14 +162,14 @@ def plain_divergence(rows, least, top):
 @pytest.mark.parametrize("small", [True, False])
 def test_divergence_equals_a_plain_version(spark, small, monkeypatch):
     if small:  # many pieces, blocks and batches
-        for name, n in (("PIECE_BYTES", 700), ("HELD", 3), ("BLOCK_COUNTS", 6), ("MATRIX", 8)):
+        for name, n in (("HELD", 3), ("BLOCK_COUNTS", 6), ("MATRIX", 8)):
             monkeypatch.setattr(divergence, name, n)
     rng = random.Random(8)
     vocab = ["the", "The", "über", "naïve", "x", "yy", "中文", "a b", "z" * 300, "\U0001f600"] + [f"w{c}" for c in "abcdefg"]
     rows = [(" ".join(rng.choice(vocab) + rng.choice(["", ",", "1x", "_", "\u0000the"]) for _ in range(rng.randrange(0, 30))), rng.choice(["en", "de", "", None]), rng.choice(["a", "b", "é", "", None])) for _ in range(160)]
     rows += [(None, "en", "only null"), ("", "fr", "p"), ("1 2", "fr", "q"), (None, None, None), ("the the the " * 3000, "en", "a")] + [rows[3]] * 4
     df = spark.createDataFrame([(t, la, s, 1, "x") for t, la, s in rows], "text string, lang string, source string, n int, term string").repartition(4)
-    got = sorted(tuple(r) for r in divergence.source_divergence(df, least=8, top=4).collect())
+    got = sorted(tuple(r) for r in divergence.source_divergence(df, least=8, top=4, piece_bytes=700 if small else 4 << 20).collect())
     assert got == plain_divergence(rows, 8, 4)
     assert {r[2] for r in got} == {"pair", "term"} and any(r[0] == "fr" and r[4] == 0 for r in got)
 
