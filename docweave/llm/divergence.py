@@ -173,7 +173,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
 
     Nulls count as empty texts, so a null and an empty source are one group. Groups without any kept term have pairs, too; without kept terms in the
     language all values are 0. Every row is a document, whatever its other columns; repeated rows count each. Texts and terms may have any length. A sum of differences must fit 64
-    bits. An empty table gives no rows. The texts are scanned once for every `piece_bytes` of kept terms; an automaton takes about 40 bytes of memory for each byte of them.
+    bits. An empty table gives no rows. The texts are scanned once for every `piece_bytes` of kept terms; an automaton takes about 15 bytes of memory for each byte of them.
     """
     rows = rows_of(docs, text_col, lang_col, source_col)
     kept = spool(vocabulary(rows, least), "vocabulary")
