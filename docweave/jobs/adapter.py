@@ -79,6 +79,25 @@ def part_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_diff_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, range_id, text): a whole diff text for every range, with the files of its parts one after the other: changed ones, every seventh deleted, every eleventh renamed, in front
+    of them one that is renamed only. Inside the hunks stand lines that look like headers."""
+    p = table(spark, sf_dir, "part")
+    name = "concat('src/p', k, CASE WHEN p_partkey % 10 = 9 THEN '.md' ELSE '.go' END)"
+    old = f"CASE WHEN p_partkey % 11 = 5 THEN concat('old/p', k, '.go') ELSE {name} END"
+    lines = [
+        "CASE WHEN p_partkey % 13 = 4 THEN concat('diff --git a/only', k, '.md b/moved', k, '.md\nsimilarity index 100%\nrename from only', k, '.md\nrename to moved', k, '.md') END",
+        f"concat('diff --git a/', {old}, ' b/', {name})", f"CASE WHEN p_partkey % 11 = 5 THEN concat('rename from ', {old}, '\nrename to ', {name}) WHEN p_partkey % 7 = 3 THEN 'deleted file mode 100644' END",
+        f"concat('--- a/', {old})", f"CASE WHEN p_partkey % 7 = 3 AND p_partkey % 11 <> 5 THEN '+++ /dev/null' ELSE concat('+++ b/', {name}) END", "concat('@@ -10,5 +', CAST(10 + p_partkey % 90 AS STRING), ',6 @@')",
+        "concat('-type OldWidget', CAST(p_partkey % 50 AS STRING), ' struct')", "CASE WHEN p_partkey % 3 = 0 THEN concat('+type OldWidget', CAST(p_partkey % 50 AS STRING), ' struct') ELSE ' kept' END",
+        "'+++ b/decoy.md'", "'+# footgun: new'", "' diff --git a/decoy.md b/decoy.md'", "'--- a/decoy.md'",
+    ]
+    text = F.concat_ws("\n", *[F.expr(x.replace("\n", "\\n")) for x in lines])
+    rows = p.withColumn("k", F.col("p_partkey").cast("string")).select((F.col("p_partkey") % 20).alias("r"), (F.floor(F.col("p_partkey") / 20) % 40).alias("g"), "p_partkey", text.alias("text"))
+    whole = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "text"))), lambda x: x["text"]), "\n"), F.lit("\n"))
+    return rows.groupBy("r", "g").agg(whole.alias("text")).select(F.concat(F.lit("r"), "r").alias("repo"), F.concat(F.lit("g"), "g").alias("range_id"), "text")
+
+
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """changes: code paths and documents changed in a range, from line items."""
     li = table(spark, sf_dir, "lineitem")

@@ -162,6 +162,11 @@ ORACLES: dict[str, str] = {
         (SELECT count(*) FROM ff WHERE ff.repo = r.repo AND problem IS NOT NULL) AS frontmatter, (SELECT count(*) FROM be WHERE be.repo = r.repo) + (SELECT count(*) FROM cy WHERE cy.repo = r.repo) // 2 AS edges,
         (SELECT count(*) FROM lo WHERE lo.repo = r.repo) AS disconnected, r.n - (SELECT count(*) FROM op WHERE op.repo = r.repo) AS reachable FROM (SELECT repo, count(*) AS n FROM t GROUP BY repo) r"""
     ),
+    "diff_paths": f"""WITH {DIFF} SELECT repo, range_id, path, (9 + CASE WHEN k % 11 = 5 THEN 2 WHEN k % 7 = 3 THEN 1 ELSE 0 END + 1)::BIGINT AS n_lines, (3 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_plus, 3::BIGINT AS n_minus FROM pd
+        UNION ALL SELECT repo, range_id, 'moved' || k || '.md', 4, 0, 0 FROM pd WHERE k % 13 = 4""",
+    "removed_symbols_texts": f"WITH {DIFF} SELECT * FROM rs",
+    # a line of the new file stands in front of the footgun's: the kept or added one, and one that looks like a header; a deleted file has no new lines, yet its text is read
+    "footgun_added_texts": f"WITH {DIFF} SELECT DISTINCT repo, path, (10 + k % 90 + 2)::INT AS line, '# footgun: new' AS text FROM pd WHERE k % 4 <> 0",
     "removed_symbols": f"WITH {DIFF} SELECT * FROM rs",
     "changed_constants": f"WITH {DIFF} SELECT * FROM cc",
     "dangling_refs": corpus_sql(

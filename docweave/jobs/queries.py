@@ -9,6 +9,7 @@ from docweave.functions.frontmatter import docs_of
 from docweave.functions.session import spool, spread, table
 from docweave.jobs import adapter as A
 from docweave.operators import drift, graph, leaks, usage, views
+from docweave.sources.diffs import diff_lines
 from docweave.sources.files import Rule, snapshot
 
 TERMS = ("apache license", "password")
@@ -196,6 +197,23 @@ def footgun_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.footguns_added(A.part_diff(spark, sf_dir), A.part_heads(spark, sf_dir))
 
 
+def diff_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every file of whole diff texts: how many, and how many of them are added or removed."""
+    mark = F.substring("text", 1, 1)
+    lines = diff_lines(A.part_diff_texts(spark, sf_dir))
+    return lines.groupBy("repo", "range_id", "path").agg(F.count("*").alias("n_lines"), F.count_if(mark == "+").alias("n_plus"), F.count_if(mark == "-").alias("n_minus"))
+
+
+def removed_symbols_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed symbols of whole diff texts, prose files left out."""
+    return drift.removed_symbols(diff_lines(A.part_diff_texts(spark, sf_dir)))
+
+
+def footgun_added_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footguns on the added lines of whole diff texts."""
+    return drift.footguns_added(diff_lines(A.part_diff_texts(spark, sf_dir)), A.part_heads(spark, sf_dir))
+
+
 def footguns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.footguns(A.corpus(spark, sf_dir).select("repo", "path", "content"))
 
@@ -228,5 +246,5 @@ def usage_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = (
     "leak_findings leak_findings_pages leak_dir_scoped leak_by_repo redacted_text content_edges mention_edges in_degree orphans orphans_by_repo orphans_at_ref broken_links broken_edges frontmatter_findings frontmatter_docs untracked "
     "metadata_edges metadata_degree disconnected cycle_members cycle_paths part_of_tree cross_refs doc_index index_markdown stale_docs covers_of covers_drift graph_json audit_summary "
-    "removed_symbols changed_constants dangling_refs value_drift added_lines footgun_added footguns nearest_base push_ranges head_guard usage_record usage_trend"
+    "diff_paths removed_symbols_texts footgun_added_texts removed_symbols changed_constants dangling_refs value_drift added_lines footgun_added footguns nearest_base push_ranges head_guard usage_record usage_trend"
 ).split()

@@ -33,13 +33,6 @@ def looks_binary(content: Column) -> Column:
     return F.instr(F.substring(content.cast("binary"), 1, SNIFF_BYTES).cast("string"), "\x00") > 0
 
 
-def diff_lines(texts: DataFrame) -> DataFrame:
-    """(repo, range_id, path, seq, text) of whole diff texts (repo, range_id, text): only the last line feed is dropped."""
-    lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)
-    rows = texts.select("repo", "range_id", F.posexplode(lines).alias("seq", "text"))
-    return rows.select("repo", "range_id", F.lit(None).cast("string").alias("path"), F.col("seq").cast("long").alias("seq"), "text")
-
-
 #: A usage record, as it is written and read.
 USAGE = "ts timestamp, version string, repo string, cmd string, checks array<string>, exit int, counts map<string,int>, files map<string,array<string>>, findings map<string,array<string>>"
 

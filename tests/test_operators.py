@@ -305,8 +305,6 @@ def test_sources(spark, tmp_path):
     (tmp_path / "d/x.md").write_text("hi")
     rows = S.read_files(spark, f"file://{tmp_path}", "r", f"file:{tmp_path}").collect()
     assert [(r.path, bytes(r.content)) for r in rows] == [("d/x.md", b"hi")]
-    t = spark.createDataFrame([("r", "g", "a\n\nb\n")], "repo string, range_id string, text string")
-    assert [r.text for r in S.diff_lines(t).orderBy("seq").collect()] == ["a", "", "b"]
     f = spark.createDataFrame([("r", "", "a"), ("r", "v1", "b")], "repo string, ref string, path string")
     assert paths_of(S.snapshot(f)) == ["a"] and paths_of(S.snapshot(f, "v1")) == ["b"]
 
