@@ -1,9 +1,11 @@
 """The incremental jobs on small streams."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
+from docweave.operators.drift import nearest_base, once_per_head, push_ranges
 from docweave.operators.usage import usage_records, usage_trend
 from docweave.sources.files import Rule, append_usage, usage_log
 from docweave.streaming import jobs
@@ -19,12 +21,26 @@ def drained(df, name, mode="append"):
 def test_push_and_leak_streams(spark, tmp_path):
     spark.createDataFrame([("r", "a h1 a b1"), ("r", "x")], "repo string, line string").write.parquet(str(tmp_path / "p"))
     s = spark.readStream.schema("repo string, line string").parquet(str(tmp_path / "p"))
-    assert [tuple(r) for r in drained(jobs.push_stream(s), "pushes")] == [("r", "h1", "b1")]
+    assert [tuple(r) for r in drained(jobs.push_stream(s), "pushes")] == [("r", "b1", "h1")]
     spark.createDataFrame([("f", "a secret")], "path string, text string").write.parquet(str(tmp_path / "f"))
     s = spark.readStream.schema("path string, text string").parquet(str(tmp_path / "f"))
     assert [r.match for r in drained(jobs.leak_stream(s, [Rule("deny", "secret")]), "leaks")] == ["secret"]
 
 
+def test_push_stream_equals_batch(spark, tmp_path):
+    """New branches take the nearest of their candidates; deletions, short lines and branches without a candidate have no range."""
+    zero = "0" * 40
+    lines = [("r", f"x h{i} x {zero if i % 3 == 0 else f'b{i}'}") for i in range(12)] + [("r", f"x {zero} x b"), ("q", f"x h0 x {zero}"), ("q", "short"), ("r", f"x gone x {zero}")]
+    pushes = spark.createDataFrame(lines, "repo string, line string")
+    candidates = spark.createDataFrame([("r", f"h{i}", k, f"c{i}-{k}", (i * 7 + k * 5) % 4) for i in range(12) for k in range(3)] + [("q", "h0", 0, "only", 9)], "repo string, head string, ord int, base string, n_commits int")
+    for part in pushes.randomSplit([1.0, 1.0, 1.0], 3):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    stream = spark.readStream.schema(pushes.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "p"))
+    got = drained(jobs.push_stream(stream, candidates), "push_bases")
+    want = push_ranges(pushes, nearest_base(candidates)).select("repo", "base", "head").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == 13
+
+
 def test_guard_stream(spark, tmp_path):
     t0 = dt.datetime(2026, 1, 1)
     rows = [("r", t0 + dt.timedelta(hours=i), h, n) for i, (h, n) in enumerate([("A", 1), ("A", 2), ("B", 1), ("A", 1), ("C", 0), ("A", 3)])]
@@ -34,6 +50,32 @@ def test_guard_stream(spark, tmp_path):
     assert sorted(r.ts.hour for r in got) == [0, 2, 3]
 
 
+def test_guard_stream_equals_batch_in_any_order(spark, tmp_path):
+    """Runs of several repositories arrive out of order over many micro-batches, up to two hours late; a last run lets all go."""
+    rng, t0 = random.Random(4), dt.datetime(2026, 1, 1)
+    runs = [(rng.choice(["r1", "r2", "r3"]), t0 + dt.timedelta(minutes=7 * i // 2, microseconds=rng.randrange(3)), rng.choice(["A", "B", "C", None]), rng.randrange(0, 3)) for i in range(160)]
+    schema = "repo string, ts timestamp, head string, n_findings int"
+    arrival = sorted(runs, key=lambda r: r[1] + dt.timedelta(minutes=rng.randrange(100)))
+    for k in range(0, len(arrival), 20):
+        spark.createDataFrame(arrival[k : k + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "g"))
+    spark.createDataFrame([("end", t0 + dt.timedelta(days=3), "Z", 1), ("r1", None, "A", 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "g"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "g"))
+    got = drained(jobs.guard_stream(stream, "2 hours"), "guard_order")
+    want = once_per_head(spark.createDataFrame(runs, schema)).collect()
+    key = lambda r: (r.repo, r.ts, r.head or "", r.n_findings)
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) > 40
+
+
+def test_guard_forgets_quiet_repositories(spark, tmp_path):
+    t0 = dt.datetime(2026, 1, 1)
+    schema = "repo string, ts timestamp, head string, n_findings int"
+    for k, (repo, day) in enumerate([("r", 0), ("r", 1), ("q", 5), ("r", 6), ("q", 9)]):
+        spark.createDataFrame([(repo, t0 + dt.timedelta(days=day), "A", 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "g"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "g"))
+    got = drained(jobs.guard_stream(stream, "1 hour", "2 days"), "guard_forgets")
+    assert sorted((r.repo, (r.ts - t0).days) for r in got) == [("q", 5), ("r", 0), ("r", 6)]
+
+
 def test_trend_stream_equals_batch(spark, tmp_path):
     t0 = dt.datetime(2026, 1, 1)
     rows = [(t0 + dt.timedelta(hours=9 * i), "r", {"leaks": i, "links": 1}) for i in range(8)]
