@@ -130,6 +130,13 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("concat('u', CAST(user_id AS STRING)) AS repo", "ts", "event_id", "concat('h-', event_type) AS head", "CAST(event_id % 4 AS INT) AS n_findings")
 
 
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leak_rules as a table: each part denies a word in one repository, every ninth allows one in a folder of it; every repository lies below /work."""
+    rows = table(spark, sf_dir, "part").selectExpr("concat('r', CAST(p_partkey % 20 AS STRING)) AS repo", "concat('OldWidget', CAST(p_partkey % 50 AS STRING)) AS raw", "p_partkey % 7 AS f", "p_partkey % 9 = 0 AS allows")
+    deny = rows.selectExpr("repo", "CAST(NULL AS STRING) AS scope", "'deny' AS action", "false AS is_regex", "raw")
+    return deny.unionByName(rows.where("allows").selectExpr("repo", "concat('/work/', repo, '/docs/s', CAST(f AS STRING)) AS scope", "'allow' AS action", "false AS is_regex", "raw"))
+
+
 def part_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files at the head of each range: a footgun declaration on the added line, for every fourth part one line below it."""
     k = "10 + p_partkey % 90 + 1 + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END"

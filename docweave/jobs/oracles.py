@@ -122,6 +122,14 @@ ORACLES: dict[str, str] = {
         allow=[("(?i)OldWidget1", "repo = 'r2' AND path LIKE 'docs/s3/%'"), (r"(?i)MAX_ITEMS_3", "repo = 'r3' AND path LIKE 'docs/%'")],
         name=f"{CORPUS.strip().split('t AS (SELECT')[0].rstrip().rstrip(',')}, fl AS (SELECT repo, path, content FROM d UNION ALL SELECT repo, 'src/m' || (q % 5) || '/f' || doc_id || '.go', 'type OldWidget' || (q % 25) || ' struct {{}}' FROM d WHERE q % 12 = 3),",
     ) + " AND (rule = 'MAX_ITEMS_(?P<n>[0-9]+)' OR (rule = 'Footgun' AND repo = 'r1') OR (rule = 'OldWidget[0-9]+' AND repo = 'r2'))",
+    "leak_rule_table": f"""WITH {CORPUS.strip().split('t AS (SELECT')[0].rstrip().rstrip(',')}, fl AS (SELECT repo, path, content FROM d UNION ALL SELECT repo, 'src/m' || (q % 5) || '/f' || doc_id || '.go', 'type OldWidget' || (q % 25) || ' struct {{}}' FROM d WHERE q % 12 = 3),
+        l AS (SELECT repo, path, line, ts[line] AS t FROM (SELECT *, unnest(range(1, len(ts) + 1))::INT AS line FROM (SELECT repo, path, string_split(content, chr(10)) AS ts FROM fl))),
+        rl AS (SELECT DISTINCT 'r' || (p_partkey % 20) AS repo, 'OldWidget' || (p_partkey % 50) AS raw, '' AS folder, true AS deny FROM part
+               UNION SELECT 'r' || (p_partkey % 20), 'OldWidget' || (p_partkey % 50), 'docs/s' || (p_partkey % 7) || '/', false FROM part WHERE p_partkey % 9 = 0),
+        m AS (SELECT l.*, raw, deny, string_split(lower(t), lower(raw)) AS s FROM l JOIN rl ON rl.repo = l.repo AND starts_with(path, folder) AND contains(lower(t), lower(raw))),
+        sp AS (SELECT *, (list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * length(raw))::INT AS start FROM (SELECT *, unnest(range(1, len(s))) AS i FROM m))
+        SELECT DISTINCT repo, path, line, start, substr(t, start + 1, length(raw)) AS match, raw AS rule FROM sp x
+        WHERE deny AND NOT EXISTS (SELECT 1 FROM sp y WHERE NOT y.deny AND y.repo = x.repo AND y.path = x.path AND y.line = x.line AND y.start <= x.start AND y.start + length(y.raw) >= x.start + length(x.raw))""",
     "in_degree": corpus_sql("SELECT repo, dst AS path, count(*) AS n_in FROM ce GROUP BY ALL"),
     "orphans": corpus_sql("SELECT * FROM op"),
     "broken_links": corpus_sql("SELECT repo, path, (length(before) - length(replace(before, chr(10), '')) + 1)::INT AS line, target FROM bl"),

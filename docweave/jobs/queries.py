@@ -35,6 +35,13 @@ def leak_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.scan_files(files, REPO_RULES, (), where)
 
 
+def leak_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leak scan with a table of rules, as many as there are parts."""
+    files = A.corpus(spark, sf_dir)
+    where = files.select("repo").distinct().withColumn("root", F.concat(F.lit("/work/"), "repo"))
+    return leaks.scan_files(files, A.part_rules(spark, sf_dir), (), where)
+
+
 def leak_findings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_findings(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "html", RULES)
 
@@ -244,7 +251,7 @@ def usage_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    "leak_findings leak_findings_pages leak_dir_scoped leak_by_repo redacted_text content_edges mention_edges in_degree orphans orphans_by_repo orphans_at_ref broken_links broken_edges frontmatter_findings frontmatter_docs untracked "
+    "leak_findings leak_findings_pages leak_dir_scoped leak_by_repo leak_rule_table redacted_text content_edges mention_edges in_degree orphans orphans_by_repo orphans_at_ref broken_links broken_edges frontmatter_findings frontmatter_docs untracked "
     "metadata_edges metadata_degree disconnected cycle_members cycle_paths part_of_tree cross_refs doc_index index_markdown stale_docs covers_of covers_drift graph_json audit_summary "
     "diff_paths removed_symbols_texts footgun_added_texts removed_symbols changed_constants dangling_refs value_drift added_lines footgun_added footguns nearest_base push_ranges head_guard usage_record usage_trend"
 ).split()

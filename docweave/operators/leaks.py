@@ -1,67 +1,207 @@
-"""The leak scan: deny spans that no allow span covers, in one narrow pass over the lines."""
+"""The leak scan: deny spans that no allow span covers, in one narrow pass over the lines.
+
+Rules are data. They are looked for all at once: every match of a rule holds a literal part of it, and one automaton over the literal parts of all rules finds, in Arrow batches, the
+lines and the rules that come into question. Only these lines go on, with their rules in an array, and are matched by Spark's own engine. So the plan is the same for
+any number of rules.
+"""
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
-from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions import paths as P
+from docweave.functions.literals import folded, required_literal
+from docweave.functions.session import unused
 from docweave.sources.files import Rule, checked, looks_binary
 
 MARK = "***REMOVED***"
-
-
-def spans(line: Column, rule: Rule) -> Column:
-    """(s, e, text, rule) of every match of a rule in the line, empty matches left out."""
-    pat = rule.pattern
-    parts, found = F.split(line, pat, -1), F.regexp_extract_all(line, F.lit(pat), F.lit(0))
-    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + F.length(y))
-    one = lambda x, k: F.struct((size(parts, k + 1) + size(found, k)).alias("s"), (size(parts, k + 1) + size(found, k) + F.length(x)).alias("e"), x.alias("text"), F.lit(rule.raw).alias("rule"))
-    hit = F.filter(F.transform(found, one), lambda z: z["e"] > z["s"])
-    return F.when(line.rlike(pat), hit).otherwise(F.array().cast("array<struct<s:int,e:int,text:string,rule:string>>"))
-
-
-def in_scope(absolute: Column, folder: str) -> Column:
-    """The path is the folder or lies below it."""
-    f = folder.rstrip("/")
-    return (absolute == f) | absolute.startswith(f + "/")
-
-
-def leak_findings(rows: DataFrame, text_col: str, rules: list[Rule], path_col: str | None = None, repo_col: str | None = None) -> DataFrame:
+#: Bytes of rules that go to the tasks together.
+RULE_BYTES = 16 << 20
+RULES_KIND = "array<struct<deny:boolean,raw:string,pattern:string>>"
+
+
+class RuleBook:
+    """Rules by what they hold for, with the automaton over their literal parts. Made once in each process."""
+
+    def __init__(self, rules: list[Rule]) -> None:
+        import ahocorasick
+
+        self.rules = rules
+        self.patterns = [r.pattern for r in rules]
+        self.ignores: dict = defaultdict(list)  # by repository and folder
+        self.anywhere: dict = defaultdict(list)  # rules without a literal part
+        literals: dict[str, list[int]] = defaultdict(list)
+        for i, r in enumerate(rules):
+            place = (r.repo, r.scope and r.scope.rstrip("/"))
+            literal = "" if r.action == "ignore" else folded(required_literal(self.patterns[i]) if r.is_regex else r.raw)
+            if r.action == "ignore":
+                self.ignores[place].append(re.compile(P.glob_regex(r.raw).replace(r"\z", r"\Z")))
+            elif literal:
+                literals[literal].append(i)
+            else:
+                self.anywhere[place].append(i)
+        self.automaton = ahocorasick.Automaton()
+        for x, own in literals.items():
+            self.automaton.add_word(x, own)
+        if literals:
+            self.automaton.make_automaton()
+
+    def places(self, repo: str | None, path: str | None) -> list[tuple]:
+        """What a rule that holds for the row may be filed under."""
+        up = [path[:k] for k, c in enumerate(path) if c == "/"] + [path] if path is not None else []
+        return [(r, s) for r in ([None] if repo is None else [None, repo]) for s in [None, *dict.fromkeys(up)]]
+
+    def lines(self, text: str, repo: str | None, path: str | None) -> dict[int, set[int]]:
+        """Rules that come into question in each line, counted from 0; lines without a deny rule are left out."""
+        places = self.places(repo, path)
+        for place in places if self.ignores else ():
+            if any(g.search(path[len(place[1]) + 1 :]) for g in self.ignores.get(place, ())):
+                return {}
+        found: dict[int, set[int]] = defaultdict(set)
+        ends = None
+        if len(self.automaton):
+            for end, rules in self.automaton.iter(folded(text)):
+                if ends is None:
+                    ends = [m.start() for m in re.finditer("\n", text)]
+                found[bisect_left(ends, end)].update(rules)
+        everywhere = [i for place in places for i in self.anywhere.get(place, ())] if self.anywhere else []
+        if any(self.rules[i].action == "deny" for i in everywhere):
+            for k in range(text.count("\n") + 1):
+                found[k].update(everywhere)
+        own, out = set(places), {}
+        for k, rules in found.items():
+            holding = {i for i in rules if (self.rules[i].repo, self.rules[i].scope and self.rules[i].scope.rstrip("/")) in own}
+            if any(self.rules[i].action == "deny" for i in holding):
+                out[k] = holding.union(everywhere)
+        return out
+
+
+#: The rule book that this process has used last, by the number of its broadcast.
+OPEN: dict = {}
+
+
+def candidate_lines(rows: DataFrame, rules: list[Rule], names: dict[str, str], text_col: str, path_col: str | None, repo_col: str | None) -> DataFrame:
+    """(columns of `rows` but the text, and by `names` line, text, rules): the lines in which a deny rule may match, with all rules that may."""
+    keep = [c for c in rows.columns if c != text_col]
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(rules)
+    number = f"{context.applicationId}-{shared._jbroadcast.id()}"
+    asked = {"text": text_col} | ({"path": path_col} if path_col else {}) | ({"repo": repo_col} if repo_col else {})
+    # what the rules ask for comes behind the columns that are kept
+    given = rows.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").cast("string").alias(unused(f"ask_{k}", rows.columns)) for k, c in asked.items()])
+    kind = T.StructType([*given.select(*keep).schema.fields, T.StructField(names["line"], T.IntegerType()), T.StructField(names["text"], T.StringType()), T.StructField(names["rules"], T._parse_datatype_string(RULES_KIND))])
+    struct = pa.struct([("deny", pa.bool_()), ("raw", pa.string()), ("pattern", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if number not in OPEN:
+            OPEN.clear()
+            OPEN[number] = RuleBook(shared.value)
+        book = OPEN[number]
+        for b in batches:
+            at, line, text, held = [], [], [], []
+            ask = {k: b.column(len(keep) + j).to_pylist() for j, k in enumerate(asked)}
+            for i, own in enumerate(ask["text"]):
+                if own is None or path_col and ask["path"][i] is None:
+                    continue
+                lines = book.lines(own, ask["repo"][i] if repo_col else None, ask["path"][i] if path_col else None)
+                if lines:
+                    cut = own.split("\n")
+                    for k in sorted(lines):
+                        at.append(i)
+                        line.append(k + 1)
+                        text.append(cut[k])
+                        held.append([{"deny": book.rules[j].action == "deny", "raw": book.rules[j].raw, "pattern": book.patterns[j]} for j in sorted(lines[k])])
+            kept = b.select(b.schema.names[: len(keep)]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(line, pa.int32()), pa.array(text, pa.string()), pa.array(held, pa.list_(struct))], names=[f.name for f in kind])
+
+    return given.mapInArrow(run, kind)
+
+
+def uncovered(rules: list[dict]) -> dict[tuple, None]:
+    """(start, match, rule) of the deny matches that no allow match covers, each once. rules: deny, raw, gaps (lengths of what stands between the matches) and found."""
+    spans = []
+    for r in rules:
+        size = np.fromiter(map(len, r["found"]), np.int64, len(r["found"]))
+        before = np.concatenate([[0], np.cumsum(r["gaps"])])
+        start = before[np.minimum(np.arange(len(size)) + 1, len(before) - 1)] + np.cumsum(size) - size
+        spans.append((start, start + size, size > 0))
+    allowed = [np.stack([s[k], e[k]]) for r, (s, e, k) in zip(rules, spans, strict=True) if not r["deny"]]
+    low, high = np.concatenate(allowed, axis=1) if allowed else np.zeros((2, 0), np.int64)
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order]) if len(order) else high
+    out: dict[tuple, None] = {}
+    for r, (s, e, full) in zip(rules, spans, strict=True):
+        if r["deny"]:
+            at = np.searchsorted(low, s, "right") - 1
+            covered = (at >= 0) & (high[np.maximum(at, 0)] >= e) if len(low) else np.zeros(len(s), bool)
+            for k in np.flatnonzero(full & ~covered).tolist():
+                out[int(s[k]), r["found"][k], r["raw"]] = None
+    return out
+
+
+def leak_findings(rows: DataFrame, text_col: str, rules: list[Rule] | DataFrame, path_col: str | None = None, repo_col: str | None = None) -> DataFrame:
     """(columns of `rows` but the text, line, start, match, rule): deny matches that no allow match of the same line covers.
 
     rows: a text each; with `path_col` (absolute) dir rules apply: files that an ignore glob of a folder above
-    matches are left out, allow rules of a folder hold below it. Rules of one repository hold for its rows only; without `repo_col` they
+    matches are left out, allow rules of a folder hold below it; rows without a path have no findings. Rules of one repository hold for its rows only; without `repo_col` they
     hold for none. Findings are distinct by start, match and rule text. Null texts have no findings; no deny rules, none at all.
+
+    rules: a list, or a table (repo, scope, action, is_regex, raw) of any size. Of a table, the rules of whole repositories go to the tasks in parts of RULE_BYTES, each with a
+    scan of these repositories' rows; those of a single repository, and those of all, are in one part.
     """
+    if isinstance(rules, DataFrame):
+        table = rules.select(F.col("repo").cast("string").alias("repo"), "scope", "action", "is_regex", "raw")
+        size = table.agg(F.sum(F.octet_length("raw") + F.coalesce(F.octet_length("scope"), F.lit(0)) + 64)).first()[0] or 0
+        parts = max(1, math.ceil(size / RULE_BYTES)) if repo_col else 1
+        part = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(parts))
+        scans = []
+        for i in range(parts):
+            own = table.where(F.col("repo").isNull() | (part(F.col("repo")) == i) if repo_col else F.col("repo").isNull()).collect()
+            some = rows.where(part(F.col(f"`{repo_col}`")) == i) if parts > 1 else rows
+            scans.append(leak_findings(some, text_col, [Rule(r.action, r.raw, bool(r.is_regex), r.scope, r.repo) for r in own], path_col, repo_col))
+        return reduce(DataFrame.unionByName, scans)
     rules = [r for r in checked(rules) if (repo_col or r.repo is None) and (path_col or not r.scope)]
-    deny, allow = [r for r in rules if r.action == "deny"], [r for r in rules if r.action == "allow"]
     keep = [c for c in rows.columns if c != text_col]
-
-    def holds(r: Rule) -> Column:
-        own = F.lit(True) if r.repo is None else F.coalesce(F.col(repo_col) == r.repo, F.lit(False))
-        return own & in_scope(F.col(path_col), r.scope) if r.scope else own
-
-    for r in rules:
-        if r.action == "ignore":
-            below = F.substring(F.col(path_col), F.lit(len(r.scope.rstrip("/")) + 2), F.lit(2147483647))
-            rows = rows.where(~(holds(r) & below.rlike(P.glob_regex(r.raw))))
-    if not deny:
-        return rows.where(F.lit(False)).select(*keep, F.lit(0).alias("line"), F.lit(0).alias("start"), F.lit("").alias("match"), F.lit("").alias("rule"))
-    text = F.col(text_col)
-    some = lambda of: reduce(or_, [holds(r) & of.rlike(r.pattern) for r in deny])
-    lines = rows.where(some(text)).select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("__k", "__line")).where(some(F.col("__line")))
-    none = F.array().cast("array<struct<s:int,e:int,text:string,rule:string>>")
-    own = lambda r: F.when(holds(r), spans(F.col("__line"), r)).otherwise(none)
-    found = lines.withColumn("__deny", F.concat(none, *map(own, deny))).withColumn("__allow", F.concat(none, *map(own, allow)))
-    left = F.array_distinct(F.filter("__deny", lambda d: ~F.exists("__allow", lambda a: (a["s"] <= d["s"]) & (a["e"] >= d["e"]))))
-    return found.select(*keep, (F.col("__k") + 1).cast("int").alias("line"), F.explode(left).alias("z")).select(*keep, "line", F.col("z.s").alias("start"), F.col("z.text").alias("match"), F.col("z.rule").alias("rule"))
-
-
-def scan_files(files: DataFrame, rules: list[Rule], extra_ignores: tuple[str, ...] = (), root: str | DataFrame = "/") -> DataFrame:
+    fields = [*rows.select(*[F.col(f"`{c}`") for c in keep]).schema.fields]
+    kind = T.StructType([*fields, T.StructField("line", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("match", T.StringType()), T.StructField("rule", T.StringType())])
+    if not any(r.action == "deny" for r in rules):
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[len(keep) :]]
+        return rows.where(F.lit(False)).select(*[F.col(f"`{c}`") for c in keep], *none)
+    names = {k: unused(f"leak_{k}", keep) for k in ("line", "text", "rules")}
+    lines = candidate_lines(rows, rules, names, text_col, path_col, repo_col)
+    text = F.col(names["text"])
+    matched = F.filter(names["rules"], lambda r: F.rlike(text, r["pattern"]))
+    each = F.transform(matched, lambda r: F.struct(r["deny"].alias("deny"), r["raw"].alias("raw"), F.transform(F.split(text, r["pattern"], -1), F.length).alias("gaps"), F.regexp_extract_all(text, r["pattern"], F.lit(0)).alias("found")))
+    hit = F.exists(names["rules"], lambda r: r["deny"] & F.rlike(text, r["pattern"]))
+    hits = lines.where(hit).select(*[F.col(f"`{c}`") for c in keep], names["line"], each.alias(names["rules"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, line, out = [], b.column(len(keep)).to_pylist(), []
+            for i, own in enumerate(b.column(len(keep) + 1)):
+                found = uncovered(own.as_py())
+                at.extend([i] * len(found))
+                out.extend(found)
+            kept = b.select(b.schema.names[: len(keep)]).take(pa.array(at, pa.int64()))
+            start, match, rule = zip(*out, strict=True) if out else ((), (), ())
+            more = [pa.array([line[i] for i in at], pa.int32()), pa.array(start, pa.int32()), pa.array(match, pa.string()), pa.array(rule, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[f.name for f in kind])
+
+    return hits.mapInArrow(run, kind)
+
+
+def scan_files(files: DataFrame, rules: list[Rule] | DataFrame, extra_ignores: tuple[str, ...] = (), root: str | DataFrame = "/") -> DataFrame:
     """Leak findings of all tracked files (repo, path, content): ignore globs of documents do not apply, extra ones do.
 
     root: where every repository lies, or a table (repo, root) with a folder for each; without one there, a repository lies at `/`.
