@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tomllib
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,27 @@ def read_files(spark: SparkSession, path: str, repo: str, root: str) -> DataFram
     return found.select(F.lit(repo).alias("repo"), F.lit("").alias("ref"), inside.alias("path"), "content", F.lit(True).alias("tracked"))
 
 
+#: What a scan of files yields; the folders of `read_repositories` add the last two.
+BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def read_repositories(spark: SparkSession, top: str, tracked: DataFrame | None = None, stream: bool = False) -> DataFrame:
+    """The files table of many repositories in one scan: (repo, ref, path, content, tracked) of the files below `top`/repo=<name>/ref=<ref>/, content binary.
+
+    A filter on repo or ref reads those folders only. The working tree of a repository lies in the folder ref=__HIVE_DEFAULT_PARTITION__, its ref is null. tracked: a listing (repo, path, and ref if
+    it differs by ref) of tracked files; those of the scan that it lacks are untracked. Without one all are tracked. With `stream`, files that arrive. Files that cannot be read are skipped.
+    """
+    reader = (spark.readStream if stream else spark.read).format("binaryFile").schema(f"{BINARY}, repo string, ref string")
+    found = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(top)
+    files = found.select("repo", "ref", F.regexp_replace("path", "^.*?/repo=[^/]*/ref=[^/]*/", "").alias("path"), "content")
+    if tracked is None:
+        return files.withColumn("tracked", F.lit(True))
+    keys = [c for c in ("repo", "ref", "path") if c in tracked.columns]
+    listed = tracked.select(*[F.col(c).alias(f"listed_{c}") for c in keys]).distinct().withColumn("tracked", F.lit(True))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"listed_{c}")) for c in keys])
+    return files.join(listed, same, "left").select("repo", "ref", "path", "content", F.coalesce("tracked", F.lit(False)).alias("tracked"))
+
+
 def snapshot(files: DataFrame, ref: str | None = None) -> DataFrame:
     """The working tree (an empty or null ref), or the files of one ref; a plain filter on `ref`, so that it prunes partitions."""
     return files.where(F.col("ref") == ref if ref else (F.col("ref") == "") | F.col("ref").isNull())

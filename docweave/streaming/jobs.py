@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docweave.operators.drift import nearest_base, parsed_pushes
-from docweave.operators.leaks import leak_findings
+from docweave.operators.leaks import leak_findings, scan_files
 from docweave.operators.usage import usage_trend
 from docweave.sources.files import Rule
 
@@ -30,9 +30,14 @@ def push_stream(pushes: DataFrame, candidates: DataFrame | None = None) -> DataF
     return rows.where("base is not null").select("repo", "base", "head")
 
 
-def leak_stream(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Leak findings of arriving texts (any key columns, text), without state."""
-    return leak_findings(files, "text", rules)
+def leak_stream(files: DataFrame, rules: list[Rule] | DataFrame, extra_ignores: tuple[str, ...] = (), root: str | DataFrame = "/") -> DataFrame:
+    """Leak findings of arriving texts (any key columns, text), or of arriving files as `read_repositories` streams them; without state.
+
+    Of files, folder rules, ignores and the test for binary content hold as in `scan_files`.
+    """
+    if "text" in files.columns:
+        return leak_findings(files, "text", rules)
+    return scan_files(files, rules, extra_ignores, root)
 
 
 def trend_stream(records: DataFrame, lateness: str = "1 hour", width: str = "1 day") -> DataFrame:

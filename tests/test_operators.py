@@ -309,6 +309,25 @@ def test_sources(spark, tmp_path):
     assert paths_of(S.snapshot(f)) == ["a"] and paths_of(S.snapshot(f, "v1")) == ["b"]
 
 
+def test_many_repositories_in_one_scan(spark, tmp_path):
+    for i in range(100):
+        for ref in ("__HIVE_DEFAULT_PARTITION__", "v1", "v 2%"):
+            d = tmp_path / f"repo={i:03d}" / f"ref={ref.replace('%', '%25')}" / "docs"
+            d.mkdir(parents=True)
+            (d / "a b.md").write_text(f"{i} {ref}")
+            (d.parent / "loose.md").write_text("x")
+    listing = spark.createDataFrame([(f"{i:03d}", "docs/a b.md") for i in range(99)], "repo string, path string")
+    files = S.read_repositories(spark, f"file://{tmp_path}", listing)
+    rows = files.collect()
+    assert len(rows) == 600 and {r.repo for r in rows} == {f"{i:03d}" for i in range(100)} and {r.ref for r in rows} == {None, "v1", "v 2%"}
+    assert {(r.path, r.tracked) for r in rows if r.repo < "099"} == {("docs/a b.md", True), ("loose.md", False)} and not any(r.tracked for r in rows if r.repo == "099")
+    assert {bytes(r.content) for r in rows if r.repo == "007" and r.path == "docs/a b.md"} == {b"7 __HIVE_DEFAULT_PARTITION__", b"7 v1", b"7 v 2%"}
+    at = S.snapshot(S.read_repositories(spark, f"file://{tmp_path}"), "v1")
+    plan = at._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ref" in plan and "= v1)]" in plan and at.count() == 200
+    assert S.snapshot(files).count() == 200
+
+
 def test_partition_invariance(spark):
     f = files_of(spark, {f"d{i}.md": f"[n](d{i + 1}.md) `d{(i * 7) % 40}.md`" for i in range(40)})
     results = [sorted(map(tuple, graph.content_edges(f.repartition(n)).collect())) for n in (1, 16)]

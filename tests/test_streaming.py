@@ -3,11 +3,14 @@
 import datetime as dt
 import random
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from docweave.operators import leaks
 from docweave.operators.drift import nearest_base, once_per_head, push_ranges
 from docweave.operators.usage import usage_records, usage_trend
-from docweave.sources.files import Rule, append_usage, usage_log
+from docweave.sources import files as S
+from docweave.sources.files import Rule, append_usage, rules_from_toml, usage_log
 from docweave.streaming import jobs
 
 
@@ -27,6 +30,39 @@ def test_push_and_leak_streams(spark, tmp_path):
     assert [r.match for r in drained(jobs.leak_stream(s, [Rule("deny", "secret")]), "leaks")] == ["secret"]
 
 
+def test_leak_stream_of_files_equals_the_scan(spark, tmp_path):
+    """Files arrive in parts; folder rules, ignores and the binary test hold, and a query that starts again goes on where it was."""
+    rules = rules_from_toml('terms = ["term"]\nregex = ["key-[0-9]+"]\n[[dir]]\npath = "/w/r1/vendor"\nignore = ["**"]\n[[dir]]\npath = "/w/r1/sub"\nallow = ["term"]') + rules_from_toml('terms = ["other"]', "r2")
+    tree = {"a.md": b"term other", "sub/b.md": b"term key-12", "vendor/c.md": b"term", "bin/d": b"term\0", "skip/e.md": b"term", "f.md": "übrig TERM\nkey-3".encode()}
+    top, ends = tmp_path / "files", []
+
+    def arrive(repo, names):
+        for n in names:
+            p = top / f"repo={repo}/ref=__HIVE_DEFAULT_PARTITION__" / n
+            p.parent.mkdir(parents=True, exist_ok=True)
+            p.write_bytes(tree[n])
+
+    where = spark.createDataFrame([("r1", "/w/r1"), ("r2", "/w/r2")], "repo string, root string")
+    for k, (repo, names) in enumerate([("r1", ["a.md", "bin/d"]), ("r2", ["a.md", "sub/b.md"]), ("r1", ["sub/b.md", "vendor/c.md", "skip/e.md", "f.md"])]):
+        arrive(repo, names)
+        found = jobs.leak_stream(S.read_repositories(spark, f"file://{top}", stream=True), rules, ("skip/**",), where)
+
+        def put(batch, number, fail=k == 1):
+            if fail and not ends:
+                ends.append(number)
+                raise RuntimeError("lost")
+            batch.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={number}"))
+
+        for _ in range(2):  # after a failure the query starts again
+            q = found.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+            try:
+                q.awaitTermination()
+            except StreamingQueryException:
+                continue
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).drop("batch").collect()))
+    assert ends and got == sorted(map(tuple, leaks.scan_files(S.read_repositories(spark, f"file://{top}"), rules, ("skip/**",), where).collect())) and len(got) == 8
+
+
 def test_push_stream_equals_batch(spark, tmp_path):
     """New branches take the nearest of their candidates; deletions, short lines and branches without a candidate have no range."""
     zero = "0" * 40
