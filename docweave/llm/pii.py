@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from docweave.functions.markdown import let
 from docweave.functions.session import release, spool
 
-#: What counts as an entity. First match wins at a place.
+#: What counts as an entity. First match wins at a place. Groups that repeat without bound take one character a time, which the engine does without recursion.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-](?:(?!\.\.)[A-Za-z0-9.-])*\.[A-Za-z]{2,}",
     "secret": r"""(?<=[=:\s"'])(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{8,}""",
     "key_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -77,10 +77,11 @@ def may_hold(text: Column) -> Column:
 
 
 def stream(key: str, kind: Column, canon: Column, attempt: Column, n: Column) -> Column:
-    """n keyed numbers from 0 to 255 for a canonical form, without limit of length."""
-    block = lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), i.cast("string")).cast("binary"), 512)
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 64).cast("int")), block), "")
-    return let(hexes, lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    """n keyed numbers from 0 to 255 for a canonical form, without limit of length; the form is hashed once, and each block of 64 numbers is a hash of that."""
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")).cast("binary"), 512)
+    blocks = let(seed, lambda h: F.transform(F.sequence(F.lit(0), F.floor(n / 64).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", h, i.cast("string")).cast("binary"), 512)))
+    number = lambda b, i: F.conv(F.substring(F.get(b, F.floor(i / 64).cast("int")), i % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    return let(blocks, lambda b: F.transform(F.sequence(F.lit(0), n - 1), lambda i: number(b, i)))
 
 
 def like(chars: Column, numbers: Column) -> Column:
