@@ -179,13 +179,13 @@ def pooled(p: Params, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return total, count
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[bytes], np.ndarray]:
-    """The learned languages, and stretches of a sample of at most about `sample_docs` rows, the same share for each language.
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS, most_langs: int = MOST_LANGS) -> tuple[list[str], list[bytes], np.ndarray]:
+    """The learned languages, and stretches of a sample of about `sample_docs` rows, 2 * `sample_docs` at most, the same share for each language.
 
-    Languages are counted over all rows, and the MOST_LANGS most frequent ones are learned; the sample is taken by a hash of id and text.
+    Languages are counted over all rows, and the `most_langs` most frequent ones are learned; the sample is taken by a hash of id and text, of rows that agree in both one.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(counts)
     if not langs:
         return [], [], np.zeros(0, np.int64)
@@ -194,11 +194,13 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     place = lambda i: F.pmod(F.xxhash64(F.col(id_col).cast("string"), i), F.greatest(F.length(F.col(text_col)) - STEPS // 2, F.lit(1)))
     cut = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_STRETCHES)), lambda i: F.substring(F.col(text_col), place(i).cast("int") + 1, F.lit(STEPS)))
     # the order of rows must not matter for the result
-    taken = sorted((r["lang"], s) for r in rows.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), cut.alias("parts")).collect() for s in r["parts"])
+    drawn = rows.select(F.col(lang_col).alias("lang"), draw.alias("draw"), cut.alias("parts")).where(F.col("draw") < share[F.col("lang")])
+    sample = drawn.groupBy("lang", "draw").agg(F.min("parts").alias("parts")).orderBy("draw", "lang").limit(2 * sample_docs).collect()
+    taken = sorted((r["lang"], s) for r in sample for s in r["parts"])
     return langs, [s.encode()[:STEPS] for _, s in taken], np.array([langs.index(k) for k, _ in taken], np.int64)
 
 
-def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, most_langs: int = MOST_LANGS) -> DataFrame:
     """Predict the language of every text of `docs` with a network trained on `training`.
 
     Returns the columns of `docs` and lang_pred, score (0 to 1: the mean probability of lang_pred over the
@@ -206,9 +208,10 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     Null texts, texts without a letter, and every text if nothing was learned: `und`, 0.0, null. Input columns
     called as the three new ones are replaced. Repeated rows and rows of a null or repeated id are each labelled by their own text. Texts of any length are
     read whole, in stretches that begin anew, so no state crosses their borders. An empty table gives an empty result. Training rows
-    without text, letter or language are left out; repeated rows only weigh more, and are drawn together.
+    without text, letter or language are left out; of rows that agree in id and text one is drawn. The network learns from about `sample_docs` rows, and the `most_langs` most
+    frequent languages; texts of others get the name of one of these.
     """
-    langs, stretches, labels = labelled_sample(training, id_col, text_col, lang_col)
+    langs, stretches, labels = labelled_sample(training, id_col, text_col, lang_col, sample_docs, most_langs)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "shares", "__text")]
     ready = docs.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__text"))
     if not langs:

@@ -85,9 +85,8 @@ def test_documents_held_out_are_labelled_well(spark):
 
 
 def test_dirty_labels_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(L, "MOST_LANGS", 2)
     rows = [(i, "some text", "en" if i % 2 else "de") for i in range(20)] + [(100 + i, "other text", f"x{i}") for i in range(10)]
-    assert L.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")[0] == ["de", "en"]
+    assert L.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", most_langs=2)[0] == ["de", "en"]
 
 
 def test_mixing_of_rows_that_look_alike(spark):
