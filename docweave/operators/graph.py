@@ -184,21 +184,6 @@ def hierarchy_arcs(files: DataFrame, docs: DataFrame) -> DataFrame:
     return ends.join(tracked_markdown(files).select("repo", F.col("path").alias("dst")).distinct(), ["repo", "dst"], "left_semi").select("repo", "src", "dst", "pos")
 
 
-def cyclic_core(arcs: DataFrame) -> DataFrame:
-    """The arcs left when nodes without an arc in or out are peeled off again and again: cycles and what lies between them."""
-    left = spool(arcs, "arcs")
-    n = left.count()
-    while n:
-        into = left.select("repo", F.col("dst").alias("src")).distinct()
-        out = left.select("repo", F.col("src").alias("dst")).distinct()
-        old, left = left, spool(left.join(into, ["repo", "src"], "left_semi").join(out, ["repo", "dst"], "left_semi").select(*arcs.columns), "arcs")
-        release(old)
-        n, before = left.count(), n
-        if n == before:
-            break
-    return left
-
-
 def spread_least(colors: DataFrame, arcs: DataFrame) -> DataFrame:
     """(repo, path, color): every node takes the least color of the nodes that lead to it, until none changes. arcs: repo, src, dst."""
     steps, held = arcs.select("repo", F.col("src").alias("path"), "dst"), None
@@ -212,15 +197,12 @@ def spread_least(colors: DataFrame, arcs: DataFrame) -> DataFrame:
             return colors
 
 
-def cycle_members(arcs: DataFrame) -> DataFrame:
-    """(repo, path) of nodes that reach themselves.
+def spread_labels(arcs: DataFrame) -> DataFrame:
+    """(repo, path, label) of nodes on cycles, the label the least node of all that reach each other. One round for each arc of the longest way.
 
-    The least node that leads to each node is its color, the nodes that lead back to that node within the color lie on cycles with it; what is left is
-    peeled and looked at again. Each round costs as much as there are arcs; nothing of the size of all reachable pairs is made.
+    The least node that leads to each node is its color, the nodes that lead back to that node within the color lie on cycles with it; what is left is looked at again.
     """
-    core = cyclic_core(arcs.select("repo", "src", "dst").distinct())
-    found = [core.where("src = dst").select("repo", F.col("src").alias("path"))]
-    core = spool(core.where("src <> dst"), "core")
+    found, core = [], arcs
     while not core.isEmpty():
         own = core.select("repo", F.explode(F.array("src", "dst")).alias("path")).distinct()
         colors = spread_least(own.withColumn("color", F.col("path")), core)
@@ -231,24 +213,107 @@ def cycle_members(arcs: DataFrame) -> DataFrame:
         marks = spread_least(colors.select("repo", "path", F.when(F.col("path") == F.col("color"), "").otherwise("x").alias("color")), back)
         heads = marks.where("color = ''").select("repo", "path")
         # the node that gave the color counts if something leads back to it
-        on = spool(heads.join(inside.select("repo", F.col("src").alias("path")), ["repo", "path"], "left_semi").join(inside.select("repo", F.col("dst").alias("path")), ["repo", "path"], "left_semi"), "on-cycles")
-        found.append(on)
+        on = heads.join(inside.select("repo", F.col("src").alias("path")), ["repo", "path"], "left_semi").join(inside.select("repo", F.col("dst").alias("path")), ["repo", "path"], "left_semi")
+        found.append(spool(on.join(colors, ["repo", "path"]).select("repo", "path", F.col("color").alias("label")), "on-cycles"))
         left = core.join(heads.withColumnRenamed("path", "src"), ["repo", "src"], "left_anti").join(heads.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_anti")
-        core = cyclic_core(left)
-    return reduce(DataFrame.unionByName, found).distinct()
+        core = spool(left, "core")
+    return reduce(DataFrame.unionByName, found)
 
 
-def leading_to(arcs: DataFrame, core: DataFrame) -> DataFrame:
-    """The arcs by which the core can be reached, its own included."""
-    ends = ends_of(core).distinct()
-    seen = fresh = spool(ends, "leading")
-    while True:
-        into = arcs.join(fresh.withColumnRenamed("path", "dst"), ["repo", "dst"]).select("repo", F.col("src").alias("path")).distinct()
-        fresh = spool(into.join(seen, ["repo", "path"], "left_anti"), "leading")
-        if fresh.isEmpty():
+def jumps(steps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Where chains end, in rounds that grow with the logarithm of their length. steps: (repo, path, to, hit), one row for each node with a single arc.
+
+    Returns the jumps of 1, 2, 4, .. steps that end at nodes of `steps` (repo, path, to), and (repo, path, to, low, hit, open) of every node: the end of its chain, the least node
+    and whether a node on it is hit, itself included. open: the chain runs into a circle and has no end; then `to` lies on the circle.
+    """
+    own = steps.select("repo", F.col("path").alias("to"), F.lit(True).alias("known"))
+    now = spool(steps.withColumn("low", F.col("path")).join(own, ["repo", "to"], "left").select("repo", "path", "to", "low", "hit", F.coalesce("known", F.lit(False)).alias("open")), "jumps")
+    n, length, levels = now.count(), 1, []
+    while not now.where("open").isEmpty():
+        levels.append(now.where("open").select("repo", "path", "to"))
+        if length >= n:
             break
-        seen = seen.unionByName(fresh)
-    return arcs.join(seen.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst", "pos")
+        further = now.select(F.col("repo").alias("r"), F.col("path").alias("at"), F.col("to").alias("next"), F.col("low").alias("next_low"), F.col("hit").alias("next_hit"), F.col("open").alias("next_open"))
+        on = now.where("open").join(further, (F.col("repo") == F.col("r")) & (F.col("to") == F.col("at"))).select("repo", "path", F.col("next").alias("to"), F.least("low", "next_low").alias("low"), (F.col("hit") | F.col("next_hit")).alias("hit"), F.col("next_open").alias("open"))
+        now, length = spool(now.where("not open").unionByName(on), "jumps"), 2 * length
+    return levels, now
+
+
+def contracted(arcs: DataFrame, hits: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame, DataFrame] | None:
+    """The arcs without the nodes that have a single arc: (the jumps of these, the ends of their chains, (repo, src, via, dst, hit)), None if no node has.
+
+    Each arc of another node, by way of `via`, leads to where the chain there ends; arcs that lead to no node with arcs are left out, as are those into circles of single arcs. hits: (repo, path) of
+    nodes to look for on the chains; `hit` tells whether one is there.
+    """
+    out = arcs.groupBy("repo", "src").agg(F.count("*").alias("n"), F.min("dst").alias("to"))
+    marked = (hits if hits is not None else arcs.where(F.lit(False)).select("repo", F.col("src").alias("path"))).select(F.col("repo").alias("r"), F.col("path").alias("__hit")).distinct()
+    steps = out.where("n = 1").select("repo", F.col("src").alias("path"), "to")
+    steps = spool(steps.join(marked, (F.col("repo") == F.col("r")) & (F.col("path") == F.col("__hit")), "left").select("repo", "path", "to", F.col("__hit").isNotNull().alias("hit")), "steps")
+    if steps.isEmpty():
+        return None
+    levels, ends = jumps(steps)
+    hubs = out.where("n > 1").select("repo", F.col("src").alias("hub"))
+    chains = ends.select("repo", F.col("path").alias("dst"), F.col("to").alias("end"), "hit", "open")
+    far = arcs.join(hubs.withColumnRenamed("hub", "src"), ["repo", "src"], "left_semi").join(chains, ["repo", "dst"], "left")
+    return levels, ends, spool(far.select("repo", "src", F.col("dst").alias("via"), F.coalesce("end", "dst").alias("dst"), F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("open", F.lit(False)).alias("open")), "contracted")
+
+
+def turned(arcs: DataFrame) -> DataFrame:
+    return arcs.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def cycle_labels(arcs: DataFrame, stuck: int = 0) -> DataFrame:
+    """(repo, path, label) of the nodes on cycles of distinct arcs without loops; nodes that reach each other share a label.
+
+    Chains of nodes with one arc are passed in a round for each doubling of their length; what is left are the nodes with several arcs and the ways between them, taken the same way, forward and backward by
+    turns. Only where every node has several arcs in and out are labels spread arc by arc.
+    """
+    arcs = spool(arcs, "arcs")
+    has_arcs = arcs.select("repo", F.col("src").alias("dst")).distinct()
+    if arcs.isEmpty():
+        return arcs.select("repo", F.col("src").alias("path"), F.col("dst").alias("label"))
+    less = contracted(arcs)
+    if less is None:
+        return cycle_labels(turned(arcs), 1) if not stuck else spread_labels(arcs)
+    levels, ends, far = less
+    circles = ends.where("open").select("repo", F.col("to").alias("path")).distinct()
+    found = [circles.join(ends.select("repo", "path", "low"), ["repo", "path"]).select("repo", "path", F.col("low").alias("label"))]
+    far = far.where("not open").join(has_arcs, ["repo", "dst"], "left_semi")
+    inner = cycle_labels(turned(far.where("src <> dst").select("repo", "src", "dst").distinct()))
+    alone = far.where("src = dst").select("repo", F.col("src").alias("path")).distinct().join(inner, ["repo", "path"], "left_anti")
+    hubs = spool(inner.unionByName(alone.withColumn("label", F.col("path"))), "hubs")
+    named = lambda c: hubs.select("repo", F.col("path").alias(c), F.col("label").alias(f"{c}_label"))
+    inside = far.join(named("src"), ["repo", "src"]).join(named("dst"), ["repo", "dst"]).where("src_label = dst_label and via <> dst")
+    marked = spool(inside.select("repo", F.col("via").alias("path"), F.col("src_label").alias("label")).distinct(), "marked")
+    for level in levels:  # all places of the chains behind the marked ones, as sums of the jumps
+        marked = spool(marked.unionByName(marked.join(level, ["repo", "path"]).select("repo", F.col("to").alias("path"), "label")).distinct(), "marked")
+    return reduce(DataFrame.unionByName, [*found, hubs, marked])
+
+
+def cycle_members(arcs: DataFrame) -> DataFrame:
+    """(repo, path) of nodes that reach themselves. Rounds grow with the logarithm of the longest chain; nothing of the size of all reachable pairs is made."""
+    distinct = arcs.select("repo", "src", "dst").distinct()
+    loops = distinct.where("src = dst").select("repo", F.col("src").alias("path"))
+    return loops.unionByName(cycle_labels(distinct.where("src <> dst")).select("repo", "path")).distinct()
+
+
+def leading(arcs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(repo, path) of the nodes from which one of the targets (repo, path) can be reached, these included; in rounds like those of `cycle_labels`."""
+    arcs, targets = spool(arcs, "arcs"), spool(targets.distinct(), "targets")
+    less = contracted(arcs, targets) if not arcs.isEmpty() else None
+    if less is None:
+        seen = fresh = targets
+        while not fresh.isEmpty():
+            into = arcs.join(fresh.withColumnRenamed("path", "dst"), ["repo", "dst"]).select("repo", F.col("src").alias("path")).distinct()
+            fresh = spool(into.join(seen, ["repo", "path"], "left_anti"), "leading")
+            seen = seen.unionByName(fresh)
+        return seen
+    _, ends, far = less
+    # a hub leads there if one of its chains does, or the hub at the end of one
+    own = targets.unionByName(far.where("hit").select("repo", F.col("src").alias("path")))
+    hubs = spool(leading(far.where("src <> dst and not open").select("repo", "src", "dst").distinct(), own), "hubs")
+    by_end = ends.where("not open").join(hubs.withColumnRenamed("path", "to"), ["repo", "to"], "left_semi").select("repo", "path")
+    return hubs.unionByName(ends.where("hit").select("repo", "path")).unionByName(by_end).distinct()
 
 
 def cycle_paths(arcs: DataFrame) -> DataFrame:
@@ -281,27 +346,30 @@ def cycle_paths(arcs: DataFrame) -> DataFrame:
                     todo.append(iter(out[nxt]))
         return pd.DataFrame({"repo": [rows["repo"].iloc[0]] * len(found), "cycle": [" -> ".join(f) for f in found]})
 
-    return leading_to(arcs, cyclic_core(arcs)).groupBy("repo").applyInPandas(walk, "repo string, cycle string")
+    # the arcs by which a cycle can be reached
+    seen = leading(arcs.select("repo", "src", "dst").distinct(), cycle_members(arcs))
+    return arcs.join(seen.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst", "pos").groupBy("repo").applyInPandas(walk, "repo string, cycle string")
 
 
 def part_of_tree(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, root, path, depth, trail): the part-of hierarchy from docs without a parent; children of several parents repeat.
 
-    A document that is already on its own trail is not entered again, which ends the walk.
+    A document that is already on its own trail is not entered again, which ends the walk. Ways of 1, 2, 4, .. steps are joined to the trails found so far, so the rounds grow with the
+    logarithm of the depth.
     """
-    part = edges.where("rel = 'part-of'").select("repo", F.col("src").alias("child"), F.col("dst").alias("parent")).distinct()
-    part = spool(part, "part-of")
-    heads = docs.where("has_frontmatter and error is null").select("repo", "path").distinct().join(part.select("repo", F.col("child").alias("path")), ["repo", "path"], "left_anti")
-    level = spool(heads.select("repo", F.col("path").alias("root"), "path", F.lit(0).alias("depth"), F.array("path").alias("trail")), "level")
-    out, d = level, 0
+    part = edges.where("rel = 'part-of' and src <> dst").select("repo", F.col("dst").alias("head"), F.col("src").alias("last")).distinct()
+    ways = spool(part.withColumn("steps", F.array("last")), "ways")
+    heads = docs.where("has_frontmatter and error is null").select("repo", "path").distinct().join(part.select("repo", F.col("last").alias("path")), ["repo", "path"], "left_anti")
+    out, length = spool(heads.select("repo", F.col("path").alias("root"), "path", F.lit(0).alias("depth"), F.array("path").alias("trail")), "trails"), 1
     while True:
-        d += 1
-        down = level.join(part, (level["repo"] == part["repo"]) & (level["path"] == part["parent"])).select(level["repo"], "root", F.col("child").alias("path"), F.lit(d).alias("depth"), "trail").where(~F.array_contains("trail", F.col("path")))
-        level = spool(down.withColumn("trail", F.concat("trail", F.array("path"))), "level")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+        on = out.join(ways.select(F.col("repo").alias("r"), "head", "last", "steps"), (F.col("repo") == F.col("r")) & (F.col("path") == F.col("head"))).where(~F.arrays_overlap("trail", "steps"))
+        more = spool(on.select("repo", "root", F.col("last").alias("path"), (F.col("depth") + length).alias("depth"), F.concat("trail", "steps").alias("trail")), "trails")
+        if more.isEmpty():
+            return out
+        out, length = out.unionByName(more), 2 * length
+        behind = ways.select(F.col("repo").alias("r"), F.col("head").alias("middle"), F.col("last").alias("end"), F.col("steps").alias("more"))
+        twice = ways.join(behind, (F.col("repo") == F.col("r")) & (F.col("last") == F.col("middle"))).where(~F.arrays_overlap("steps", "more") & (F.col("head") != F.col("end")) & ~F.array_contains("more", F.col("head")))
+        ways = spool(twice.select("repo", "head", F.col("end").alias("last"), F.concat("steps", "more").alias("steps")), "ways")
 
 
 def cross_references(edges: DataFrame) -> DataFrame:

@@ -113,6 +113,37 @@ def test_cycles_equal_brute_force(spark):
     assert sorted(tuple(r) for r in graph.cycle_paths(df).collect()) == sorted(walks)
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 documents that ends in a circle of 3,000, and hubs tied by chains: tens of written rounds."""
+    written = []
+
+    def counting(df, name, spool=graph.spool):
+        written.append(name)
+        return spool(df, name)
+
+    monkeypatch.setattr(graph, "spool", counting)
+    arcs = [(f"c{i:05}", f"c{i + 1:05}") for i in range(13_000)] + [("c13000", "c10000")]
+    # a ring of hubs, 50 steps from each to the next, with dead ends and a way in
+    for h in range(4):
+        way = [f"h{h}", *[f"w{h}-{k:02}" for k in range(50)], f"h{(h + 1) % 4}"]
+        arcs += [*zip(way, way[1:], strict=False), (f"h{h}", f"dead{h}"), (f"dead{h}", f"end{h}"), (f"in{h}", f"in{h}x"), (f"in{h}x", f"w{h}-10")]
+    df = arcs_of(spark, arcs)
+    got = {r.path for r in graph.cycle_members(df).collect()}
+    assert got == {f"c{i:05}" for i in range(10_000, 13_001)} | {f"h{h}" for h in range(4)} | {f"w{h}-{k:02}" for h in range(4) for k in range(50)}
+    assert len(written) < 80
+    written.clear()
+    leads = {r.path for r in graph.leading(df.select("repo", "src", "dst"), spark.createDataFrame([("r", "w1-20")], "repo string, path string")).collect()}
+    assert leads == {f"h{h}" for h in range(4)} | {f"w{h}-{k:02}" for h in range(4) for k in range(50)} | {f"in{h}{x}" for h in range(4) for x in ("", "x")}
+    assert len(written) < 80
+
+
+def test_dense_cycles(spark):
+    """Every node has several arcs in and out, so labels spread; two such parts, tied one way."""
+    ring = lambda c: [(f"{c}{i}", f"{c}{(i + k) % 7}") for i in range(7) for k in (1, 2, 3)]
+    labels = {r.path: r.label for r in graph.cycle_labels(arcs_of(spark, [*ring("a"), *ring("b"), ("a0", "b0"), ("a1", "b1")]).select("repo", "src", "dst")).collect()}
+    assert labels == {f"{c}{i}": f"{c}0" for c in "ab" for i in range(7)}
+
+
 def test_ignores_and_roots_of_single_repositories(spark):
     tree = {".docignore": "# own\n\n drafts/** \n*.tmp.md", "README.md": "", "drafts/x.md": "", "a.tmp.md": "", "b.md": "", "docs/start.md": "[b](../b.md)"}
     f = files_of(spark, tree, repo="r").unionByName(files_of(spark, {k: v for k, v in tree.items() if k != ".docignore"}, repo="s"))
@@ -169,6 +200,32 @@ def test_tree_has_no_depth_limit(spark):
     assert sorted(map(tuple, deepest)) == [("d65.md", 65), ("d66.md", 66), ("d67.md", 67)]
 
 
+def test_tree_equals_a_plain_walk(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    arcs = {(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(20)}  # child, parent
+    names = sorted({f"n{i}" for i in range(14)})
+    docs = spark.createDataFrame([("r", n, True, None) for n in names], "repo string, path string, has_frontmatter boolean, error string")
+    edges = spark.createDataFrame([("r", a, b, "part-of") for a, b in arcs if a != b] + [("r", "n0", "n1", "see-also")], "repo string, src string, dst string, rel string")
+    want, todo = set(), [(n,) for n in names if not any(a == n and b != n for a, b in arcs)]
+    while todo:
+        t = todo.pop()
+        want.add(t)
+        todo += [(*t, a) for a, b in arcs if b == t[-1] and a not in t]
+    assert {tuple(r.trail) for r in graph.part_of_tree(docs, edges).collect()} == want and max(map(len, want)) > 3
+
+
+def test_a_deep_tree_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "spool", lambda df, name, spool=graph.spool: (written.append(name), spool(df, name))[1])
+    n = 2000
+    docs = spark.range(n).selectExpr("'r' repo", "concat('d', id) path", "true has_frontmatter", "cast(null as string) error")
+    edges = spark.range(n - 1).selectExpr("'r' repo", "concat('d', id + 1) src", "concat('d', id) dst", "'part-of' rel")
+    tree = graph.part_of_tree(docs, edges)
+    assert tree.selectExpr("count(*)", "max(depth)", "sum(size(trail) - depth)").first()[0:3] == (n, n - 1, n) and len(written) < 30
+
+
 def test_graph_json_has_empty_lists(spark):
     import json
 
