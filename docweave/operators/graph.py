@@ -228,14 +228,15 @@ def jumps(steps: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """
     own = steps.select("repo", F.col("path").alias("to"), F.lit(True).alias("known"))
     now = spool(steps.withColumn("low", F.col("path")).join(own, ["repo", "to"], "left").select("repo", "path", "to", "low", "hit", F.coalesce("known", F.lit(False)).alias("open")), "jumps")
-    n, length, levels = now.count(), 1, []
-    while not now.where("open").isEmpty():
+    length, levels = 1, []
+    while most := now.where("open").groupBy("repo").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]:
         levels.append(now.where("open").select("repo", "path", "to"))
-        if length >= n:
-            break
         further = now.select(F.col("repo").alias("r"), F.col("path").alias("at"), F.col("to").alias("next"), F.col("low").alias("next_low"), F.col("hit").alias("next_hit"), F.col("open").alias("next_open"))
         on = now.where("open").join(further, (F.col("repo") == F.col("r")) & (F.col("to") == F.col("at"))).select("repo", "path", F.col("next").alias("to"), F.least("low", "next_low").alias("low"), (F.col("hit") | F.col("next_hit")).alias("hit"), F.col("next_open").alias("open"))
-        now, length = spool(now.where("not open").unionByName(on), "jumps"), 2 * length
+        now = spool(now.where("not open").unionByName(on), "jumps")
+        if length >= most:  # an end is at most `most` steps behind the old jumps, and circles and the ways into them are not longer
+            break
+        length *= 2
     return levels, now
 
 
