@@ -24,34 +24,34 @@ def test_links(spark):
 
 
 def test_local_markdown(values):
-    yes = ["x.md", "../a/b.md", "y.md#frag", 'y.md "T"']
-    no = ["https://e.com/a.md", "mailto:x@y.z", "#frag", "/abs/site.md", "img.png", ""]
+    yes = ["plan.md", "../up/two.md", "here.md#below", 'named.md "Some title"', "q.md?raw"]
+    no = ["ftp://host.example/k.md", "mailto:me@host.example", "#below", "/root/k.md", "chart.svg", "", "k.md.txt"]
     assert values(*[paths.is_local_markdown(F.lit(x)) for x in yes + no]) == [True] * len(yes) + [False] * len(no)
 
 
 def test_resolve(values):
     got = values(
-        paths.link_path(F.lit("docs/services/a.md"), F.lit("../infrastructure/b.md#x")),
-        paths.link_path(F.lit("README.md"), F.lit("./docs//a.md")),
-        paths.link_path(F.lit("a.md"), F.lit("../../b.md")),
-        paths.edge_path(F.lit("docs/../scripts/x.sh")),
-        paths.edge_path(F.lit("docs/a.md#frag")),
-        paths.edge_path(F.lit("src/auth/")),
+        paths.link_path(F.lit("guide/parts/lamp.md"), F.lit("../tools/saw.md#teeth")),
+        paths.link_path(F.lit("top.md"), F.lit("./guide//lamp.md")),
+        paths.link_path(F.lit("top.md"), F.lit("../../beyond.md")),
+        paths.edge_path(F.lit("guide/x/../../bin/run.py")),
+        paths.edge_path(F.lit("guide/lamp.md#wire")),
+        paths.edge_path(F.lit("lib/power/")),
         paths.edge_path(F.lit("")),
         paths.normal_path(F.lit("/a/../../b")),
     )
-    assert got == ["docs/infrastructure/b.md", "docs/a.md", "../../b.md", "scripts/x.sh", "docs/a.md", "src/auth", ".", "/b"]
+    assert got == ["guide/tools/saw.md", "guide/lamp.md", "../../beyond.md", "bin/run.py", "guide/lamp.md", "lib/power", ".", "/b"]
 
 
 def test_edge_kind(values):
-    cases = {"a.md#section": "doc", "docs/x.md#a:b": "doc", "scripts/x.sh": "code", "https://x.y/z": "external", "mailto:a@b.c": "external", "owner/repo:path/to/thing": "cross-repo", "": "code", "a:b": "code"}
+    cases = {"lamp.md#wire": "doc", "guide/saw.md#t:u": "doc", "bin/run.py": "code", "ftp://host.example/k": "external", "mailto:me@host.example": "external", "team/tools:lib/power": "cross-repo", "": "code", "k:v": "code"}
     assert values(*[paths.edge_kind(F.lit(k)) for k in cases]) == list(cases.values())
 
 
 @pytest.mark.parametrize(
     ("glob", "path", "match"),
     [
-        ("**/superpowers/**", "docs/superpowers/plans/x.md", True), ("docs/*.md", "docs/sub/index.md", False), ("**/*.tmp.md", "a/b/c.tmp.md", True),
+        ("**/attic/**", "one/attic/two/three.md", True), ("**/attic/**", "attics/three.md", False), ("guide/*.md", "guide/parts/lamp.md", False), ("**/*.draft.md", "one/two/lamp.draft.md", True),
         (".claude/**", ".claude", True), (".claude/**", ".claude/a/b", True), ("a/**/**/b", "a/b", True), ("a/**/b", "a/x/y/b", True), ("a[", "a[", False), ("[a-c]?.md", "bx.md", True), ("[^a].md", "/.md", False), ("**", "any/thing", True),
     ],
 )

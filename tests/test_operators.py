@@ -24,11 +24,11 @@ def fm(*links, kind="guide", more=""):
 
 
 def test_audit_basic(spark):
-    f = files_of(spark, {"CLAUDE.md": "[i](docs/index.md)", "docs/index.md": "[a](services/a.md) [g](services/gone.md)", "docs/services/a.md": "a", "docs/orphan.md": "", "docs/loose.md": "x", ".claude/x.md": ""}, {"docs/loose.md"})
+    f = files_of(spark, {"README.md": "[start](guide/start.md)", "guide/start.md": "[lamp](parts/lamp.md) [saw](parts/lost-saw.md)", "guide/parts/lamp.md": "light", "guide/alone.md": "", "guide/new.md": "x", ".agents/own.md": ""}, {"guide/new.md"})
     edges = graph.content_edges(f)
-    assert paths_of(graph.orphans(f, edges)) == ["docs/orphan.md"]
-    assert [tuple(r) for r in graph.broken_links(f).collect()] == [("r", "docs/index.md", 1, "docs/services/gone.md")]
-    assert paths_of(graph.untracked(f)) == ["docs/loose.md"]
+    assert paths_of(graph.orphans(f, edges)) == ["guide/alone.md"]
+    assert [tuple(r) for r in graph.broken_links(f).collect()] == [("r", "guide/start.md", 1, "guide/parts/lost-saw.md")]
+    assert paths_of(graph.untracked(f)) == ["guide/new.md"]
 
 
 def test_mentions_and_clusters(spark):
@@ -253,9 +253,9 @@ def test_leak_spans(spark):
 
 
 def test_leak_scopes_and_binary(spark):
-    f = files_of(spark, {"top.md": "term ok", "src/src.go": "term", "vendor/v.go": "term", "bin": "term\0", ".claude/skills/foo.md": "term"})
+    f = files_of(spark, {"top.md": "term ok", "src/src.go": "term", "vendor/v.go": "term", "bin": "term\0", ".agents/notes/k.md": "term"})
     rules = rules_from_toml('terms = ["term", "  "]\n[[dir]]\npath = "/repo/vendor"\nignore = ["**"]\n[[dir]]\npath = "/repo/src"\nallow = ["term"]')
-    assert paths_of(leaks.scan_files(f, rules, (), "/repo")) == [".claude/skills/foo.md", "top.md"]
+    assert paths_of(leaks.scan_files(f, rules, (), "/repo")) == [".agents/notes/k.md", "top.md"]
     with pytest.raises(ValueError):
         rules_from_toml('[[dir]]\npath = "rel"')
     with pytest.raises(ValueError):
@@ -295,17 +295,17 @@ def diff_of(spark, text, path="a.go"):
 
 
 def test_symbols_and_constants(spark):
-    d = diff_of(spark, "--- a\n+++ b\n-type OldWidget struct\n-func Moved()\n+func Moved() {\n-const MAX_ROOTS = 1000\n+const MAX_ROOTS = 2000\n-MAX_SAME = 10\n+MAX_SAME = 10")
-    assert [r.name for r in drift.removed_symbols(d).collect()] == ["OldWidget"]
-    assert [tuple(r)[2:] for r in drift.changed_constants(d).collect()] == [("MAX_ROOTS", "1000", "2000")]
-    assert drift.removed_symbols(diff_of(spark, "-type OldWidget", "a.md")).count() == 0
+    d = diff_of(spark, "--- a\n+++ b\n-type RustyGate struct\n-func Moved()\n+func Moved() {\n-const MOST_LAMPS = 640\n+const MOST_LAMPS = 960\n-SAME_LAMPS = 10\n+SAME_LAMPS = 10")
+    assert [r.name for r in drift.removed_symbols(d).collect()] == ["RustyGate"]
+    assert [tuple(r)[2:] for r in drift.changed_constants(d).collect()] == [("MOST_LAMPS", "640", "960")]
+    assert drift.removed_symbols(diff_of(spark, "-type RustyGate", "a.md")).count() == 0
 
 
 def test_dangling_and_values(spark):
-    d = diff_of(spark, "-type OldWidget struct\n-type AliveThing struct\n-const MAX_ROOTS = 1000\n+const MAX_ROOTS = 2000")
-    f = files_of(spark, {"d.md": "uses OldWidget here\nMAX_ROOTS is big\n  now 1000  \nAliveThing", "b.go": "AliveThing"})
-    assert [(r.name, r.path, r.line) for r in drift.dangling_references(d, f).collect()] == [("OldWidget", "d.md", 1)]
-    assert [(r.name, r.old, r.line, r.text) for r in drift.value_drift(d, f).collect()] == [("MAX_ROOTS", "1000", 3, "now 1000")]
+    d = diff_of(spark, "-type RustyGate struct\n-type BrightLamp struct\n-const MOST_LAMPS = 640\n+const MOST_LAMPS = 960")
+    f = files_of(spark, {"d.md": "uses RustyGate here\nMOST_LAMPS is big\n  now 640  \nBrightLamp", "b.go": "BrightLamp"})
+    assert [(r.name, r.path, r.line) for r in drift.dangling_references(d, f).collect()] == [("RustyGate", "d.md", 1)]
+    assert [(r.name, r.old, r.line, r.text) for r in drift.value_drift(d, f).collect()] == [("MOST_LAMPS", "640", 3, "now 640")]
 
 
 def test_added_lines(spark):
