@@ -5,12 +5,15 @@ diff_lines: (repo, range_id, path, seq, text); seq is a total order of the lines
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions import markdown as M
 from docweave.functions import paths as P
+from docweave.functions.session import spool
 
 #: What defines a name, what assigns a number, how a footgun is declared, where documents end.
 DEFINES = r"(?:const|let|var|function|class|interface|type|enum|def|fn|func|struct|trait)\s+([A-Za-z_][A-Za-z0-9_]*)"
@@ -21,6 +24,8 @@ FOOTGUN = (
 )
 DOCUMENTS = r"\.(?:md|mdx)$"
 SYMBOLS, HITS = 40, 5
+#: Bytes of the test that drops words before they are rows.
+MOST_SLOTS = 1 << 20
 
 
 def looks_like_symbol(name: Column) -> Column:
@@ -58,11 +63,31 @@ def distinctive(symbols: DataFrame, limit: int = SYMBOLS) -> DataFrame:
     return symbols.where(looks_like_symbol(F.col("name"))).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
 
 
+def slot(repo: Column, token: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(repo, token), F.lit(slots)).cast("int")
+
+
+def may_be_wanted(wanted: DataFrame) -> Callable[[Column, Column], Column]:
+    """A test for tokens, inside the row: whether (repo, token) may be one of `wanted`. A text of at most MOST_SLOTS bytes, one for each slot of a hash; more tokens let more others through."""
+    n = wanted.count()
+    slots = min(MOST_SLOTS, 1 << max(10, (16 * n).bit_length()))
+    taken = bytearray(slots)
+    for r in wanted.select(slot(F.col("repo"), F.col("token"), slots).alias("at")).distinct().collect():
+        taken[r["at"]] = 1
+    return lambda repo, token: F.substring(F.lit(bytes(taken)), slot(repo, token, slots) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def token_lines(files: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(repo, path, line, text, token): lines that hold one of the tokens (repo, token) as a whole word."""
+    """(repo, path, line, text, token): lines that hold one of the tokens (repo, token) as a whole word.
+
+    Words that cannot be one of the tokens are dropped inside the row, so what is shuffled are lines with a token, once for each, and not words.
+    """
+    wanted = spool(tokens.select("repo", "token").distinct(), "tokens")
+    maybe = may_be_wanted(wanted)
+    words = lambda text: F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0))), lambda w: maybe(F.col("repo"), w))
     lines = files.where("content is not null").select("repo", "path", F.posexplode(F.split("content", "\n", -1)).alias("k", "text"))
-    words = lines.select("repo", "path", (F.col("k") + 1).cast("int").alias("line"), "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("token"))
-    return words.join(tokens.select("repo", "token").distinct(), ["repo", "token"]).select("repo", "path", "line", "text", "token")
+    found = lines.select("repo", "path", (F.col("k") + 1).cast("int").alias("line"), "text", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    return found.withColumn("token", F.explode("words")).join(wanted, ["repo", "token"]).select("repo", "path", "line", "text", "token")
 
 
 def first_hits(hits: DataFrame, limit: int = HITS) -> DataFrame:

@@ -308,6 +308,22 @@ def test_dangling_and_values(spark):
     assert [(r.name, r.old, r.line, r.text) for r in drift.value_drift(d, f).collect()] == [("MOST_LAMPS", "640", 3, "now 640")]
 
 
+@pytest.mark.parametrize("slots", [8, 1 << 20])
+def test_words_are_dropped_inside_the_row(spark, monkeypatch, slots):
+    """However few slots there are for the tokens, lines and tokens are those of a plain search."""
+    import random
+    import re
+
+    monkeypatch.setattr(drift, "MOST_SLOTS", slots)
+    rng = random.Random(3)
+    names = [f"Name{i}" for i in range(40)]
+    tree = {f"f{k}.md": "\n".join(" ".join(rng.choice([*names, "x", "Name1x", "-Name2-", "é Name3"]) for _ in range(6)) for _ in range(5)) for k in range(12)}
+    files = files_of(spark, tree).unionByName(files_of(spark, tree, repo="s"))
+    tokens = [("r", n) for n in names[:15]] + [("s", "Name3"), ("s", "Name3"), ("t", "Name4")]
+    got = sorted((r.repo, r.path, r.line, r.token) for r in drift.token_lines(files, spark.createDataFrame(tokens, "repo string, token string")).collect())
+    assert got == sorted((r, p, k + 1, n) for r, n in set(tokens) if r != "t" for p, c in tree.items() for k, line in enumerate(c.split("\n")) if n in re.findall("[A-Za-z0-9_]+", line))
+
+
 def test_added_lines(spark):
     d = diff_of(spark, "diff\n--- a\n+++ b\n@@ -1,2 +5,4 @@ f\n ctx\n+one\n-gone\n+two\n\\ No newline at end of file\n+three\n@@ -9 +20 @@\n+x")
     assert [r.line for r in drift.added_lines(d).orderBy("line").collect()] == [6, 7, 9, 20]
