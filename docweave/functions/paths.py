@@ -78,11 +78,6 @@ def matches_any(path: Column, globs: list[str]) -> Column:
     return out
 
 
-def ignore_lines(text: str) -> list[str]:
-    """Globs of an ignore file: trimmed lines, without blank ones and comments."""
-    return [x for x in (line.strip() for line in text.split("\n")) if x and not x.startswith("#")]
-
-
 def is_markdown(path: Column) -> Column:
     return path.endswith(".md")
 

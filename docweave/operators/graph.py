@@ -47,8 +47,10 @@ def without_ignored(files: DataFrame, ignores: Ignores) -> DataFrame:
     regexes.__annotations__ = {"globs": pd.Series, "return": pd.Series}
     each = ignores.select("repo", "glob").distinct().withColumn("regex", F.pandas_udf(regexes, "string")("glob"))
     own = each.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list("regex")), lambda r: F.concat(F.lit("(?:"), r, F.lit(")"))), "|").alias("__ignored"))
-    kept = files.where(~P.matches_any(F.col("path"), list(P.DEFAULT_IGNORES))).join(own, "repo", "left")
-    return kept.where(F.col("__ignored").isNull() | ~F.rlike("path", F.col("__ignored"))).select(*files.columns)
+    kept = files.where(~P.matches_any(F.col("path"), list(P.DEFAULT_IGNORES)))
+    # paths alone meet the globs of their repository; what else the files have is looked at by path
+    ignored = kept.select("repo", "path").join(own, "repo").where(F.rlike("path", F.col("__ignored"))).select("repo", "path").distinct()
+    return kept.join(ignored, ["repo", "path"], "left_anti").select(*files.columns)
 
 
 def markdown_nodes(files: DataFrame, ignores: Ignores = ()) -> DataFrame:
@@ -82,9 +84,11 @@ def mention_edges(nodes: DataFrame) -> DataFrame:
     bodies = nodes.where("content is not null").join(odd.select("repo").distinct(), "repo", "left_semi").select("repo", F.col("path").alias("src"), M.body_text(F.col("content")).alias("body"))
     # pairs overlap, so they are read from both parities
     pairs = F.concat(F.regexp_extract_all("body", F.lit(pair), F.lit(0)), F.regexp_extract_all(F.regexp_replace("body", r"\A(?s:.)", ""), F.lit(pair), F.lit(0)))
-    tokens = bodies.withColumn("key", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("body", F.lit(lead), F.lit(0)), pairs))))
+    tokens = bodies.select("repo", "src", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("body", F.lit(lead), F.lit(0)), pairs))).alias("key"))
     quoted = F.concat(F.lit(r"(?s)(?:\A|[^A-Za-z0-9./_-])\Q"), F.replace("dst", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
-    rare = tokens.join(keyed, ["repo", "key"]).where("src <> dst").where(F.contains("body", "dst") & F.rlike("body", quoted))
+    # bodies join the few pairs that are left
+    asked = tokens.join(keyed, ["repo", "key"]).where("src <> dst").select("repo", "src", "dst").distinct()
+    rare = asked.join(bodies, ["repo", "src"]).where(F.contains("body", "dst") & F.rlike("body", quoted))
     return exact.select("repo", "src", "dst").unionByName(rare.select("repo", "src", "dst")).distinct().withColumn("kind", F.lit("mention"))
 
 

@@ -24,12 +24,11 @@ def usage_records(repos: DataFrame, findings: DataFrame, checks: list[str], leve
     findings: repo, check, path, line, detail. checks are sorted; exit is 1 with findings, else 0; ts is now, if not given. counts has
     every selected check, zeros too. Level 2 adds files (path:line, never matched text), level 3 findings (whole text); otherwise these are null.
     """
-    own = findings.where(F.col("check").isin(*checks)).groupBy("repo", "check").agg(
-        F.count("*").alias("n"),
-        F.sort_array(F.collect_set(F.concat_ws(":", "path", F.col("line").cast("string")))).alias("files"),
-        F.sort_array(F.collect_list(F.concat_ws(" ", F.concat_ws(":", "path", F.col("line").cast("string")), "detail"))).alias("details"),
-    )
-    entry = F.collect_list(F.struct("check", "n", "files", "details"))
+    place = F.concat_ws(":", "path", F.col("line").cast("string"))
+    # details are gathered at the levels that show them
+    listing = {2: F.sort_array(F.collect_set(place)), 3: F.sort_array(F.collect_list(F.concat_ws(" ", place, "detail")))}.get(level, F.lit(None).cast("array<string>"))
+    own = findings.where(F.col("check").isin(*checks)).groupBy("repo", "check").agg(F.count("*").alias("n"), listing.alias("listed"))
+    entry = F.collect_list(F.struct("check", "n", "listed"))
     rows = repos.select("repo").distinct().join(own.groupBy("repo").agg(entry.alias("own")), "repo", "left")
 
     def count_of(check: str) -> Column:
@@ -37,12 +36,12 @@ def usage_records(repos: DataFrame, findings: DataFrame, checks: list[str], leve
         return F.coalesce(F.get(found, F.lit(0))["n"], F.lit(0).cast("long")).cast("int")
 
     counts = F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*map(count_of, checks)))
-    listed = lambda field: F.when(F.size("own") > 0, F.map_from_entries(F.transform(F.array_sort("own"), lambda x: F.struct(x["check"], x[field]))))
+    listed = F.when(F.size("own") > 0, F.map_from_entries(F.transform(F.array_sort("own"), lambda x: F.struct(x["check"], x["listed"]))))
     none = F.lit(None).cast("map<string,array<string>>")
     total = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["n"])
     return rows.select(
         (F.current_timestamp() if ts is None else ts).cast("timestamp").alias("ts"), F.lit(version).alias("version"), "repo", F.lit(cmd).alias("cmd"), F.array(*map(F.lit, sorted(checks))).cast("array<string>").alias("checks"),
-        F.when(total > 0, 1).otherwise(0).alias("exit"), counts.alias("counts"), (listed("files") if level == 2 else none).alias("files"), (listed("details") if level == 3 else none).alias("findings"),
+        F.when(total > 0, 1).otherwise(0).alias("exit"), counts.alias("counts"), (listed if level == 2 else none).alias("files"), (listed if level == 3 else none).alias("findings"),
     )
 
 
