@@ -165,6 +165,26 @@ ORACLES: dict[str, str] = {
         WHERE NOT EXISTS (SELECT 1 FROM ch x WHERE x.repo = h.repo AND x.range_id = h.range_id AND x.path = h.doc) GROUP BY repo, doc""",
         CHANGES,
     ),
+    "covers_drift_paths": corpus_sql(
+        """SELECT DISTINCT ch.repo, cv.doc, ch.path FROM ch JOIN cv ON cv.repo = ch.repo AND ch.is_code AND cv.target = ch.folder
+        WHERE NOT EXISTS (SELECT 1 FROM ch x WHERE x.repo = ch.repo AND x.range_id = ch.range_id AND x.path = cv.doc)""",
+        CHANGES,
+    ),
+    "graph_lines": corpus_sql(
+        """SELECT repo, section, pos, CASE WHEN pos > 0 THEN ',' ELSE '' END || text AS text FROM (SELECT repo, section, row_number() OVER (PARTITION BY repo, section ORDER BY k0, k1, k2, k3 NULLS FIRST) - 1 AS pos, text FROM el)
+        UNION ALL SELECT repo, s.section, 0, CASE WHEN s.section = 0 THEN '{"schemaVersion":1,"repoRoot":"' || repo || '","nodes":[' ELSE s.text END FROM (SELECT DISTINCT repo FROM d), (VALUES (0, ''), (2, '],"contentEdges":['), (4, '],"metadataEdges":['), (6, '],"islands":{"content":['), (8, '],"metadata":['), (10, ']}}')) s(section, text)""",
+        f"""js AS (SELECT t.repo, t.path, fm.path IS NOT NULL AS f, nullif(CASE WHEN t.q % 5 > 2 THEN '' ELSE {KIND} END, '') AS kind, nullif(coalesce({TITLE}, ''), '') AS title, nullif({HEADING}, '') AS heading, t.q % 4 = 2 AS about
+               FROM t LEFT JOIN (SELECT repo AS r, path FROM fm) fm ON fm.r = t.repo AND fm.path = t.path),
+           el AS (SELECT repo, 1 AS section, path AS k0, '' AS k1, '' AS k2, '' AS k3, '{{"path":' || to_json(path) || ',"hasFrontmatter":' || f || CASE WHEN f THEN coalesce(',"type":' || to_json(kind), '') || coalesce(',"title":' || to_json(title), '') || CASE WHEN about THEN ',"description":"about it"' ELSE '' END || coalesce(',"heading":' || to_json(heading), '') ELSE '' END || '}}' AS text FROM js
+           UNION ALL SELECT repo, 3, src, dst, kind, '', '{{"from":' || to_json(src) || ',"to":' || to_json(dst) || ',"kind":"' || kind || '"}}' FROM ce
+           UNION ALL SELECT repo, 5, src, dst, rel, nullif(note, ''), '{{"from":' || to_json(src) || ',"to":' || to_json(dst) || ',"rel":"' || rel || '"' || CASE WHEN note = '' THEN '' ELSE ',"note":' || to_json(note) END || '}}' FROM me
+           UNION ALL SELECT repo, 7, path, '', '', '', to_json(path) FROM op UNION ALL SELECT repo, 9, path, '', '', '', to_json(path) FROM lo)""",
+    ),
+    "index_lines": corpus_sql(
+        """SELECT repo, rank, type, row_number() OVER (PARTITION BY repo, rank, type ORDER BY path) AS pos, text FROM ix
+        UNION ALL SELECT DISTINCT repo, rank, type, 0, '## ' || type FROM ix UNION ALL SELECT DISTINCT repo, rank, type, -1, '' FROM ix WHERE (rank, type) <> (SELECT (min(rank), arg_min(type, (rank, type))) FROM ix x WHERE x.repo = ix.repo)""",
+        f"""ix AS (SELECT repo, {KIND} AS type, CASE q % 5 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 99 END::INT AS rank, path, '- [' || coalesce({TITLE}, nullif({HEADING}, ''), path) || '](' || path || ')' || CASE WHEN q % 4 = 2 THEN ' - about it' ELSE '' END AS text FROM fm)""",
+    ),
     "audit_summary": corpus_sql(
         """SELECT r.repo, r.n AS tracked_md, r.n AS nodes, (SELECT count(*) FROM op WHERE op.repo = r.repo) AS orphans, (SELECT count(*) FROM bl WHERE bl.repo = r.repo) AS broken, (SELECT count(*) FROM d WHERE d.repo = r.repo AND NOT tracked) AS untracked,
         (SELECT count(*) FROM ff WHERE ff.repo = r.repo AND problem IS NOT NULL) AS frontmatter, (SELECT count(*) FROM be WHERE be.repo = r.repo) + (SELECT count(*) FROM cy WHERE cy.repo = r.repo) // 2 AS edges,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.frontmatter import docs_of
 from docweave.functions.session import spool, spread, table
 from docweave.jobs import adapter as A
-from docweave.operators import drift, graph, leaks, usage, views
+from docweave.operators import drift, graph, leaks, segments, usage, views
 from docweave.sources.diffs import diff_lines
 from docweave.sources.files import Rule, snapshot
 
@@ -165,6 +165,20 @@ def covers_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.covers_drift(A.order_changes(spark, sf_dir), docs(spark, sf_dir)).withColumn("paths", F.array_join("paths", ","))
 
 
+def covers_drift_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.covers_drift_paths(A.order_changes(spark, sf_dir), docs(spark, sf_dir))
+
+
+def graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, d = A.corpus(spark, sf_dir), docs(spark, sf_dir)
+    content, meta = spool(graph.content_edges(files), "content"), spool(graph.metadata_edges(files, d), "metadata")
+    return segments.graph_lines(files, d, content, meta, graph.orphans(files, content), graph.disconnected(d, meta))
+
+
+def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.index_lines(docs(spark, sf_dir))
+
+
 def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, d = A.corpus(spark, sf_dir), docs(spark, sf_dir)
     content, meta = spool(graph.content_edges(files), "content"), spool(graph.metadata_edges(files, d), "metadata")
@@ -252,6 +266,6 @@ def usage_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     "leak_findings leak_findings_pages leak_dir_scoped leak_by_repo leak_rule_table redacted_text content_edges mention_edges in_degree orphans orphans_by_repo orphans_at_ref broken_links broken_edges frontmatter_findings frontmatter_docs untracked "
-    "metadata_edges metadata_degree disconnected cycle_members cycle_paths part_of_tree cross_refs doc_index index_markdown stale_docs covers_of covers_drift graph_json audit_summary "
+    "metadata_edges metadata_degree disconnected cycle_members cycle_paths part_of_tree cross_refs doc_index index_markdown stale_docs covers_of covers_drift covers_drift_paths graph_json graph_lines index_lines audit_summary "
     "diff_paths removed_symbols_texts footgun_added_texts removed_symbols changed_constants dangling_refs value_drift added_lines footgun_added footguns nearest_base push_ranges head_guard usage_record usage_trend"
 ).split()

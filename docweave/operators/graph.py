@@ -382,32 +382,35 @@ def cross_references(edges: DataFrame) -> DataFrame:
     return edges.where("rel <> 'part-of'")
 
 
-def graph_json(files: DataFrame, docs: DataFrame, content: DataFrame, metadata: DataFrame, islands: DataFrame, loose: DataFrame, ignores: Ignores = ()) -> DataFrame:
-    """(repo, json): one graph view per repository. Lists are empty, never null; blank fields of nodes and notes are left out."""
+def graph_parts(files: DataFrame, docs: DataFrame, content: DataFrame, metadata: DataFrame, islands: DataFrame, loose: DataFrame, ignores: Ignores = ()) -> dict[str, DataFrame]:
+    """The lists of a graph view by name, each as (repo, item). Blank fields of nodes and notes are null."""
     field = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
     fine = docs.where("has_frontmatter and error is null").select("repo", "path", "type", "title", "description", "heading", F.lit(True).alias("parsed"))
     nodes = markdown_nodes(files, ignores).select("repo", "path").distinct().join(fine, ["repo", "path"], "left")
-    node = F.struct("path", F.coalesce("parsed", F.lit(False)).alias("hasFrontmatter"), field("type"), field("title"), field("description"), field("heading"))
-    parts = {
-        "nodes": nodes.groupBy("repo").agg(F.array_sort(F.collect_list(node)).alias("nodes")),
-        "contentEdges": content.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "kind"))).alias("contentEdges")),
-        "metadataEdges": metadata.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "rel", field("note")))).alias("metadataEdges")),
-        "c": islands.groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("c")),
-        "m": loose.groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("m")),
+    ends = [F.col("src").alias("from"), F.col("dst").alias("to")]
+    return {
+        "nodes": nodes.select("repo", F.struct("path", F.coalesce("parsed", F.lit(False)).alias("hasFrontmatter"), field("type"), field("title"), field("description"), field("heading")).alias("item")),
+        "contentEdges": content.select("repo", F.struct(*ends, "kind").alias("item")),
+        "metadataEdges": metadata.select("repo", F.struct(*ends, "rel", field("note")).alias("item")),
+        "c": islands.select("repo", F.col("path").alias("item")),
+        "m": loose.select("repo", F.col("path").alias("item")),
     }
+
+
+def graph_json(files: DataFrame, docs: DataFrame, content: DataFrame, metadata: DataFrame, islands: DataFrame, loose: DataFrame, ignores: Ignores = ()) -> DataFrame:
+    """(repo, json): one graph view per repository. Lists are empty, never null; blank fields of nodes and notes are left out.
+
+    A repository is one value; `segments.graph_lines` gives the same view in lines, for repositories too large for that.
+    """
+    parts = graph_parts(files, docs, content, metadata, islands, loose, ignores)
     out = files.select("repo").distinct()
-    for p in parts.values():
-        out = out.join(p, "repo", "left")
-    empty = {"nodes": node_type(nodes, node), "contentEdges": "array<struct<from:string,to:string,kind:string>>", "metadataEdges": "array<struct<from:string,to:string,rel:string,note:string>>", "c": "array<string>", "m": "array<string>"}
-    filled = {k: F.coalesce(k, F.array().cast(t)) for k, t in empty.items()}
+    for name, p in parts.items():
+        out = out.join(p.groupBy("repo").agg(F.array_sort(F.collect_list("item")).alias(name)), "repo", "left")
+    filled = {k: F.coalesce(k, F.array().cast(f"array<{p.schema['item'].dataType.simpleString()}>")) for k, p in parts.items()}
     view = F.struct(F.lit(1).alias("schemaVersion"), F.col("repo").alias("repoRoot"), *[filled[k].alias(k) for k in ("nodes", "contentEdges", "metadataEdges")], F.struct(filled["c"].alias("content"), filled["m"].alias("metadata")).alias("islands"))
     return out.select("repo", F.to_json(view).alias("json"))
 
 
-def node_type(frame: DataFrame, node: Column) -> str:
-    return f"array<{frame.select(node.alias('n')).schema['n'].dataType.simpleString()}>"
-
-
 def audit_summary(files: DataFrame, findings: dict[str, DataFrame], ignores: Ignores = ()) -> DataFrame:
     """(repo, tracked_md, nodes, reachable, and a count for each named findings frame with column repo)."""
     nodes = markdown_nodes(files, ignores).groupBy("repo").agg(F.count("*").alias("nodes"))
