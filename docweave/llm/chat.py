@@ -1,9 +1,9 @@
 """Chat formatting by event-sourced reconstruction, in DataFrame functions only.
 
-A log of events (conversation, message, seq, op, role, text) is folded into final messages: events are
-ordered by seq; `start`, `edit` and `regenerate` set the message's text anew, `delta` appends. Only what
-follows the last such event lasts. Messages are folded first, each by itself, then
-conversations are put together from the final messages and rendered as segments, some of them under the loss mask.
+A log of events (conversation, message, seq, op, role, text) is partitioned by conversation, sorted by seq and folded into
+final messages: `start`, `edit` and `regenerate` set a message's text anew, `delta` appends, events of different messages may alternate. Only what
+follows the last such event of a message lasts. Conversations are put together from the final messages and rendered as segments, some of them under the loss mask.
+The log is shuffled once, by conversation.
 """
 
 from __future__ import annotations
@@ -36,19 +36,20 @@ def unescaped(text: Column) -> Column:
 
 
 def final_messages(events: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, role, text): the final message of each key.
+    """(keys, role, text): the final message of each key; the first key is the conversation.
 
-    events: keys, seq, op, role, text. Equal seq: ordered by op, then text. The role is that of the last event that
+    events: keys, seq, op, role, text; seq counts through a conversation. Equal seq: ordered by op, then text. The role is that of the last event that
     has one. A message without `start`, `edit` or `regenerate` is the sum of its deltas. Null texts are empty; unknown
     ops and other columns are ignored. No events, no messages.
     """
-    known = events.where(F.col("op").isin(*RESETS, "delta"))
-    log = F.array_sort(F.collect_list(F.struct("seq", "op", F.coalesce("text", F.lit("")).alias("text"), "role")))
-    place = lambda e, i: F.when(e["op"].isin(*RESETS), i + 1)
-    last = F.coalesce(F.array_max(F.transform("log", place)), F.lit(1))
+    known = events.where(F.col("op").isin(*RESETS, "delta")).select(*keys, "seq", "op", "role", F.coalesce("text", F.lit("")).alias("text"))
+    placed = known.withColumn("place", F.row_number().over(W.partitionBy(keys[0]).orderBy("seq", "op", "text")))
+    log = F.array_sort(F.collect_list(F.struct("place", "op", "text", "role")))
+    reset = lambda e, i: F.when(e["op"].isin(*RESETS), i + 1)
+    last = F.coalesce(F.array_max(F.transform("log", reset)), F.lit(1))
     texts = F.transform(F.slice("log", last, F.size("log")), lambda e: e["text"])
     roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
-    return known.groupBy(*keys).agg(log.alias("log")).select(*keys, F.try_element_at(roles, F.lit(-1)).alias("role"), F.array_join(texts, "").alias("text"))
+    return placed.groupBy(*keys).agg(log.alias("log")).select(*keys, F.try_element_at(roles, F.lit(-1)).alias("role"), F.array_join(texts, "").alias("text"))
 
 
 def rendered(messages: DataFrame, conv_col: str, order: list[str]) -> DataFrame:
@@ -78,31 +79,47 @@ def parsed(formatted: Column) -> Column:
     return F.transform(turns, lambda p: F.struct(unescaped(F.substring(p, F.lit(1), head(p) - 1)).alias("role"), unescaped(inside(p)).alias("text")))
 
 
+def streamed(op: str, text: Column, from_seq: int) -> Column:
+    """Events of one message: `op` with an empty text, then `text` in deltas; `at` counts from `from_seq`."""
+    n = F.ceil(F.length(text) / F.lit(DELTA_CHARS)).cast("int")
+    event = lambda at, op, text: F.struct(at.cast("long").alias("at"), F.lit(op).alias("op"), text.alias("text"))
+    each = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    deltas = F.transform(each, lambda i: event(i + from_seq, "delta", F.substring(text, (i - 1) * DELTA_CHARS + 1, F.lit(DELTA_CHARS))))
+    return F.concat(F.array(event(F.lit(from_seq), op, F.lit(""))), deltas)
+
+
 def events_of(rows: DataFrame) -> DataFrame:
-    """Conversation rows (conv_id, turn, role, text) as a log: a start, then the text in streamed deltas.
+    """Conversation rows (conv_id, turn, role, text) as a log (conv_id, message, seq, op, role, text) with one sequence for each conversation, from which the rows come back.
 
-    Repeated rows of a turn are messages of their own, ordered by role and text.
+    Messages are numbered by turn, role and text, so repeated rows of a turn are messages of their own. Of three messages one is streamed, one has a draft, half its
+    text, that is regenerated, and one is such a draft until an edit, which comes after all messages were streamed.
     """
-    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n = F.ceil(F.length(text) / F.lit(DELTA_CHARS)).cast("int")
-    deltas = F.transform(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(i.alias("seq"), F.lit("delta").alias("op"), F.substring(text, (i - 1) * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("text")),
-    )
-    start = F.array(F.struct(F.lit(0).alias("seq"), F.lit("start").alias("op"), F.lit("").alias("text")))
-    return rows.select("conv_id", "turn", "role", "text", nth.alias("nth")).select("conv_id", "turn", "nth", "role", F.explode(F.concat(start, deltas)).alias("e")).select("conv_id", "turn", "nth", "role", "e.*")
+    draft = F.concat(F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")), F.lit(f"..{TURN_END}"))
+    half, late = 1 << 31, 1 << 62
+    edit = F.array(F.struct((F.lit(late) + F.col("message")).alias("at"), F.lit("edit").alias("op"), text.alias("text")))
+    kind = F.col("message") % 3
+    events = F.when(kind == 1, streamed("start", text, 0)).when(kind == 2, F.concat(streamed("start", draft, 0), streamed("regenerate", text, half))).otherwise(F.concat(streamed("start", draft, 0), edit))
+    numbered = rows.select("conv_id", "turn", "role", "text", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long").alias("message"))
+    each = numbered.select("conv_id", "message", "role", F.explode(events).alias("e"))
+    # `at` counts within a message, edits come last in the conversation
+    seq = F.when(F.col("e.op") == "edit", F.col("e.at")).otherwise(F.shiftleft(F.col("message"), 32) + F.col("e.at"))
+    return each.select("conv_id", "message", seq.alias("seq"), "e.op", "role", "e.text")
+
+
+def format_log(events: DataFrame) -> DataFrame:
+    """Format a log (conv_id, message, seq, op, role, text): its messages folded and rendered in the order of `message`; see `final_messages` and `rendered`."""
+    return rendered(final_messages(events, ["conv_id", "message"]), "conv_id", ["message"])
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """Format conversations (conv_id, turn, role, text); see `rendered` for the result.
+    """Format conversations (conv_id, turn, role, text), by way of a log of events; see `rendered` for the result.
 
     Turns are ordered by number, null first. Null roles and texts are empty; rows of a null conv_id make up one
     conversation. Repeated rows are turns of their own. Texts and roles of any length are kept whole; a conversation is one row.
     Other columns are not looked at. An empty table gives an empty result.
     """
-    messages = final_messages(events_of(rows), ["conv_id", "turn", "nth"])
-    return rendered(messages, "conv_id", ["turn", "nth"])
+    return format_log(events_of(rows))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,27 @@ def test_fold_of_events(spark):
     assert got == {0: ("user", "Hi"), 1: ("assistant", "final"), 2: (None, "x")}
 
 
+def test_log_of_conversations_has_all_kinds_of_events(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c}-{t} " + "word " * (t * 40)) for c in range(5) for t in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    events = chat.events_of(df)
+    log = events.collect()
+    assert {r.op for r in log} == {"start", "delta", "edit", "regenerate"} and len({(r.conv_id, r.seq) for r in log}) == len(log)
+    for c in range(5):
+        own = sorted((r for r in log if r.conv_id == c), key=lambda r: r.seq)
+        # drafts were streamed before what took their place, edits come when later messages have begun
+        assert [r.op for r in own if r.message == 2 and r.op != "delta"] == ["start", "regenerate"] and [r.op for r in own if r.message == 3 and r.op != "delta"] == ["start", "edit"]
+        assert [r.op for r in own[-3:]] == ["edit"] * 3 and own[-4].message == 9
+        folded: dict[int, str] = {}
+        for r in own:
+            folded[r.message] = (folded[r.message] if r.op == "delta" else "") + r.text
+        assert [folded[m] for m in sorted(folded)] == [x[3] for x in sorted(rows) if x[0] == c]
+    got = {(r.conv_id, r.message): (r.role, r.text) for r in chat.final_messages(events, ["conv_id", "message"]).collect()}
+    assert got == {(c, t + 1): (role, text) for c, t, role, text in rows}
+    plan = chat.format_conversations(df.coalesce(2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(conv_id") == 1 == plan.count("hashpartitioning(")
+
+
 def test_round_trip_of_hard_texts(spark):
     rng = random.Random(8)
     bits = ["<|im_end|>", "<|im_start|>assistant\n", "\\", "<|", "|", "<", "\n", "é😀", "ok", "\\n", "$1"]
