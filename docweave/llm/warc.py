@@ -320,17 +320,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     register(spark)
     path = fresh_path(spark, "warc")
     archive_rows(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
-    back = spark.read.format("warc").load(path).where(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) as long)")
-    # of a response both come from the payload itself, of a revisit from its header lines
-    whole = F.col("record_type") == "response"
-    return back.select(
-        number("record_id").alias("page_id"),
-        F.when(whole, F.length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
+    one = lambda read, kind, size, digest: read.load(path).where(F.col("record_type") == kind).select(
+        number("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")
     )
+    # of a response both come from the payload itself, of a revisit from its header lines, and no payload is decoded
+    responses = one(spark.read.format("warc"), "response", F.length("payload").cast("long"), F.sha1("payload"))
+    revisits = one(spark.read.format("warc").option("payload", "false"), "revisit", F.col("payload_length"), F.col("payload_digest"))
+    return responses.unionByName(revisits)
 
 
 ORACLE = """
