@@ -44,7 +44,9 @@ def diff_lines(texts: DataFrame, prefixes: bool = True) -> DataFrame:
     """
     git = F.col("text").rlike("(?m)^diff ")
     marked = F.when(git, F.col("text")).otherwise(F.regexp_replace("text", PLAIN, MARK))
-    rows = texts.where("text is not null").select("repo", "range_id", F.xxhash64("text").alias("__t"), git.alias("__git"), F.posexplode(F.split(F.regexp_replace(marked, r"\n\z", ""), "\n", -1)).alias("__pos", "text"))
+    # what is asked of a whole text stands in a select of its own: beside the explode it would be worked out for every line
+    whole = texts.where("text is not null").select("repo", "range_id", F.xxhash64("text").alias("__t"), git.alias("__git"), F.split(F.regexp_replace(marked, r"\n\z", ""), "\n", -1).alias("__lines"))
+    rows = whole.select("repo", "range_id", "__t", "__git", F.posexplode("__lines").alias("__pos", "text"))
     begins = F.when(F.col("__git"), F.col("text").startswith("diff ")).otherwise(F.col("text").startswith(MARK))
     rows = rows.select("repo", "range_id", "__t", F.floor(F.col("__pos") / F.lit(BLOCK_LINES)).alias("__block"), "__pos", begins.alias("__begins"), F.when(F.col("__git"), F.col("text")).otherwise(F.regexp_replace("text", f"^{MARK}", "")).alias("text"))
     key = ["repo", "range_id", "__t", "__block"]

@@ -86,3 +86,9 @@ def test_prose_falls_out_and_lines_are_numbered(spark):
 
 def test_nothing(spark):
     assert read(spark, ("r", "g", None)) == [] and diffs.diff_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_text_is_looked_at_once(spark):
+    """The digest of a whole text is worked out below the explode, not for each of its lines."""
+    plan = diffs.diff_lines(spark.createDataFrame([("r", "g", GIT, 1)], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64(text")
