@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from docweave.functions import paths as P
 from docweave.functions.literals import folded, required_literal
-from docweave.functions.session import unused
+from docweave.functions.session import spool, unused
 from docweave.sources.files import Rule, checked, looks_binary
 
 MARK = "***REMOVED***"
@@ -121,7 +121,9 @@ def candidate_lines(rows: DataFrame, rules: list[Rule], names: dict[str, str], t
                         at.append(i)
                         line.append(k + 1)
                         text.append(cut[k])
-                        held.append([{"deny": book.rules[j].action == "deny", "raw": book.rules[j].raw, "pattern": book.patterns[j]} for j in sorted(lines[k])])
+                        # rules of several folders or repositories may ask for the same
+                        own_rules = dict.fromkeys((book.rules[j].action == "deny", book.rules[j].raw, book.patterns[j]) for j in sorted(lines[k]))
+                        held.append([{"deny": deny, "raw": raw, "pattern": pattern} for deny, raw, pattern in own_rules])
             kept = b.select(b.schema.names[: len(keep)]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(line, pa.int32()), pa.array(text, pa.string()), pa.array(held, pa.list_(struct))], names=[f.name for f in kind])
 
@@ -161,7 +163,9 @@ def leak_findings(rows: DataFrame, text_col: str, rules: list[Rule] | DataFrame,
     scan of these repositories' rows; those of a single repository, and those of all, are in one part.
     """
     if isinstance(rules, DataFrame):
-        table = rules.select(F.col("repo").cast("string").alias("repo"), "scope", "action", "is_regex", "raw")
+        # a rule that stands there twice finds nothing more, but would go with every line that it may match
+        table = rules.select(F.col("repo").cast("string").alias("repo"), "scope", "action", F.coalesce("is_regex", F.lit(False)).alias("is_regex"), "raw").distinct()
+        table = spool(table, "rules")
         size = table.agg(F.sum(F.octet_length("raw") + F.coalesce(F.octet_length("scope"), F.lit(0)) + 64)).first()[0] or 0
         parts = max(1, math.ceil(size / RULE_BYTES)) if repo_col else 1
         part = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(parts))
@@ -171,7 +175,7 @@ def leak_findings(rows: DataFrame, text_col: str, rules: list[Rule] | DataFrame,
             some = rows.where(part(F.col(f"`{repo_col}`")) == i) if parts > 1 else rows
             scans.append(leak_findings(some, text_col, [Rule(r.action, r.raw, bool(r.is_regex), r.scope, r.repo) for r in own], path_col, repo_col))
         return reduce(DataFrame.unionByName, scans)
-    rules = [r for r in checked(rules) if (repo_col or r.repo is None) and (path_col or not r.scope)]
+    rules = [r for r in dict.fromkeys(checked(rules)) if (repo_col or r.repo is None) and (path_col or not r.scope)]
     keep = [c for c in rows.columns if c != text_col]
     fields = [*rows.select(*[F.col(f"`{c}`") for c in keep]).schema.fields]
     kind = T.StructType([*fields, T.StructField("line", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("match", T.StringType()), T.StructField("rule", T.StringType())])

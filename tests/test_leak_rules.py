@@ -121,3 +121,20 @@ def test_columns_that_clash(spark):
     assert [tuple(r) for r in leaks.leak_findings(df, "text", [Rule("deny", "term")]).collect()] == [(1, "x", "y", 1, 2, "term", "term")]
     assert leaks.leak_findings(df, "text", [Rule("allow", "term")]).columns == ["k", "leak_line", "ask_text", "line", "start", "match", "rule"]
     assert leaks.leak_findings(df, "text", spark.createDataFrame([], RULES)).count() == 0
+
+
+def test_repeated_rules_go_to_the_tasks_once(spark, monkeypatch):
+    """A table with a rule many times: once in the tasks, and once with a line, also if it stands there for several folders."""
+    sent, plain = [], leaks.candidate_lines
+
+    def candidates(rows, rules, names, *columns):
+        lines = plain(rows, rules, names, *columns)
+        sent.append((len(rules), [len(r[names["rules"]]) for r in lines.collect()]))
+        return lines
+
+    monkeypatch.setattr(leaks, "candidate_lines", candidates)
+    f = spark.createDataFrame([("r", "/d/e/a.md", "a term\nnone")], "repo string, path string, text string")
+    table = [("r", None, "deny", False, "term")] * 50 + [("r", None, "deny", None, "term")] + [("r", s, "allow", False, "other term") for s in ("/d", "/d/e")] * 3 + [(None, None, "deny", False, "term")]
+    got = leaks.leak_findings(f, "text", spark.createDataFrame(table, RULES), "path", "repo").collect()
+    assert [(r.line, r.start, r.match) for r in got] == [(1, 2, "term")]
+    assert sent == [(4, [1])]
