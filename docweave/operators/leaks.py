@@ -28,6 +28,8 @@ from docweave.sources.files import Rule, checked, looks_binary
 MARK = "***REMOVED***"
 #: Bytes of rules that go to the tasks together.
 RULE_BYTES = 16 << 20
+#: Keys that a repository has where its files meet a table of folders.
+ROOT_PARTS = 64
 RULES_KIND = "array<struct<deny:boolean,raw:string,pattern:string>>"
 
 
@@ -214,7 +216,9 @@ def scan_files(files: DataFrame, rules: list[Rule] | DataFrame, extra_ignores: t
     if isinstance(root, str):
         top = F.lit(root)
     else:
-        rows, top = rows.join(root.select("repo", "root").dropDuplicates(["repo"]), "repo", "left"), F.coalesce("root", F.lit("/"))
+        # contents are not dealt by repository: a small table of folders goes to them, for a large one each repository has many keys
+        folders = spool(root.select("repo", "root").dropDuplicates(["repo"]).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(ROOT_PARTS - 1)))), "roots")
+        rows, top = rows.withColumn("__part", F.pmod(F.xxhash64("path"), F.lit(ROOT_PARTS)).cast("int")).join(folders, ["repo", "__part"], "left"), F.coalesce("root", F.lit("/"))
     absolute = F.concat(F.regexp_replace(top, "/+$", ""), F.lit("/"), "path")
     rows = rows.select("repo", "path", absolute.alias("__abs"), F.col("content").cast("string").alias("content"))
     return leak_findings(rows, "content", rules, "__abs", "repo").drop("__abs")

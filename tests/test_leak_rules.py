@@ -5,6 +5,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.functions.literals import folded, required_literal
 from docweave.operators import leaks
@@ -138,3 +139,19 @@ def test_repeated_rules_go_to_the_tasks_once(spark, monkeypatch):
     got = leaks.leak_findings(f, "text", spark.createDataFrame(table, RULES), "path", "repo").collect()
     assert [(r.line, r.start, r.match) for r in got] == [(1, 2, "term")]
     assert sent == [(4, [1])]
+
+
+def test_a_large_repository_meets_its_folder_in_many_tasks(spark):
+    """Also where the table of folders is not sent to all tasks."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        f = spark.range(200).selectExpr("'r' AS repo", "concat('d', id, '.md') AS path", "'a term' AS content", "true AS tracked")
+        rules = [Rule("deny", "term"), Rule("ignore", "d1.md", False, "/x/r")]
+        got = leaks.scan_files(f, rules, (), spark.createDataFrame([("r", "/x/r/")], "repo string, root string"))
+        sizes = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in sizes) == 199 and max(r["count"] for r in sizes) < 120
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
