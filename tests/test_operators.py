@@ -352,6 +352,25 @@ def test_covers(spark):
     assert got == {"c.md": ["src/auth/login.go", "src/auth/x.go"], "a.md": ["src/auth/x.go"]}
 
 
+def test_pairs_of_covers_are_made_once(spark):
+    """Documents that cover a path by several targets have it once, and nothing is dealt out again behind the join that makes the pairs."""
+    f = files_of(spark, {"all.md": fm(("covers", "src/"), ("covers", "src/a"), ("covers", "src/a/x.go"), ("covers", "src/a/xx")), "near.md": fm(("covers", "src/a"), ("covers", "src/ab")), "twin.md": fm(("covers", "src/a/"), ("covers", "src/ab"))})
+    d = docs_of(graph.markdown_nodes(f))
+    paths = ["src/a/x.go", "src/a/xx/y.go", "src/ab/z.go", "src/top.go"]
+    changes = spark.createDataFrame([("r", "g1", p) for p in paths] + [("r", "g2", paths[0]), ("r", "g1", "near.md")], "repo string, range_id string, path string")
+    wanted = changes.select("repo", "path").unionByName(changes.select("repo", "path"))
+    got = views.covers_of(d, wanted)
+    both = {"all.md": paths, "near.md": paths[:3], "twin.md": paths[:3]}
+    assert sorted((r.doc, r.path) for r in got.collect()) == sorted((k, p) for k, v in both.items() for p in v)
+    left = {"all.md": paths, "near.md": paths[:1], "twin.md": paths[:3]}
+    pairs = views.covers_drift_paths(changes, d)
+    assert sorted((r.doc, r.path) for r in pairs.collect()) == sorted((k, p) for k, v in left.items() for p in v)
+    assert {r.doc: r.paths for r in views.covers_drift(changes, d).collect()} == left
+    for frame in (got, pairs):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_index_and_stale(spark):
     f = files_of(spark, {"g.md": fm(kind="guide", more="title: G\ndescription: d\n"), "r.md": fm(kind="runbook").replace("body", "# Run"), "u.md": fm(kind='""'), "old.md": fm(more="verified: 2025-12-01\n"), "tight.md": fm(more="verified: 2026-06-01\nreview: 2w\n"), "fresh.md": fm(more="verified: 2026-06-01\nreview: bad\n"), "odd.md": fm(more="verified: soon\n")})
     d = docs_of(graph.markdown_nodes(f))
