@@ -297,7 +297,7 @@ def cycle_labels(arcs: DataFrame, stuck: int = 0) -> DataFrame:
 
 def cycle_members(arcs: DataFrame) -> DataFrame:
     """(repo, path) of nodes that reach themselves. Rounds grow with the logarithm of the longest chain; nothing of the size of all reachable pairs is made."""
-    distinct = arcs.select("repo", "src", "dst").distinct()
+    distinct = spool(arcs.select("repo", "src", "dst").distinct(), "arcs")
     loops = distinct.where("src = dst").select("repo", F.col("src").alias("path"))
     return loops.unionByName(cycle_labels(distinct.where("src <> dst")).select("repo", "path")).distinct()
 
@@ -351,7 +351,8 @@ def cycle_paths(arcs: DataFrame) -> DataFrame:
                     todo.append(iter(out[nxt]))
         return pd.DataFrame({"repo": [rows["repo"].iloc[0]] * len(found), "cycle": [" -> ".join(f) for f in found]})
 
-    # the arcs by which a cycle can be reached
+    # the arcs by which a cycle can be reached; all arcs are read several times, the files they come from once
+    arcs = spool(arcs.select("repo", "src", "dst", "pos"), "arcs")
     seen = leading(arcs.select("repo", "src", "dst").distinct(), cycle_members(arcs))
     return arcs.join(seen.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst", "pos").groupBy("repo").applyInPandas(walk, "repo string, cycle string")
 

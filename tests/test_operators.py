@@ -75,6 +75,20 @@ def test_cycle_paths_start_where_the_walk_enters(spark):
     assert paths_of(graph.cycle_paths(arcs_of(spark, [("0", "b"), ("a", "b"), ("b", "a"), ("00", "0"), ("c", "d")])), "cycle") == ["b -> a -> b"]
 
 
+def test_arcs_are_worked_out_once(spark):
+    """What the arcs come from, a corpus of files, is not read again for each step."""
+    read = spark.sparkContext.accumulator(0)
+    rows = [("r", "a", "b", 0), ("r", "b", "c", 0), ("r", "c", "b", 1), ("r", "d", "d", 0)]
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    arcs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).map(counted), "repo string, src string, dst string, pos int")
+    assert sorted(r.cycle for r in graph.cycle_paths(arcs).collect()) == ["b -> c -> b", "d -> d"]
+    assert read.value == len(rows)
+
+
 def test_cycles_equal_brute_force(spark):
     import random
 
