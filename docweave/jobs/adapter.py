@@ -65,7 +65,7 @@ def corpus_at_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """diff_lines: for each part a file of a range in which a type goes, a constant changes, and lines are added."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     lines = [
         "'diff --git a b'", "concat('--- a/src/p', k)", "concat('+++ b/src/p', k)", "concat('@@ -10,4 +', CAST(10 + p_partkey % 90 AS STRING), ',5 @@')",
         "concat('-type OldWidget', CAST(p_partkey % 50 AS STRING), ' struct')", "CASE WHEN p_partkey % 3 = 0 THEN concat('+type OldWidget', CAST(p_partkey % 50 AS STRING), ' struct') ELSE ' kept' END",
@@ -140,7 +140,7 @@ def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files at the head of each range: a footgun declaration on the added line, for every fourth part one line below it."""
     k = "10 + p_partkey % 90 + 1 + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END"
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread(table(spark, sf_dir, "part")).selectExpr(
         "concat('r', CAST(p_partkey % 20 AS STRING)) AS repo", "concat('g', CAST(CAST(floor(p_partkey / 20) AS BIGINT) % 40 AS STRING)) AS range_id",
         "concat('src/p', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 10 = 9 THEN '.md' ELSE '.go' END) AS path",
         f"concat(repeat('\\n', CAST({k} AS INT)), '# footgun: new\\n', '# footgun: old')  AS content",

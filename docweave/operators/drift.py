@@ -132,10 +132,12 @@ def added_lines(diff: DataFrame) -> DataFrame:
     plus = F.col("text").startswith("+") & ~F.col("text").startswith("+++")
     minus = F.col("text").startswith("-") & ~F.col("text").startswith("---")
     by_file = W.partitionBy("repo", "range_id", "path").orderBy("seq")
-    rows = diff.withColumns({"head": head, "start": F.when(head, start.cast("int")), "plus": plus & ~head, "moves": (~minus & ~head).cast("int")}).withColumn("hunk", F.sum(F.col("head").cast("int")).over(by_file))
-    by_hunk = W.partitionBy("repo", "range_id", "path", "hunk").orderBy("seq")
-    counted = rows.where("hunk > 0").withColumn("line", F.first("start").over(by_hunk) + F.coalesce(F.sum("moves").over(by_hunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    return counted.where("plus").select("repo", "range_id", "path", "line")
+    rows = diff.select("repo", "range_id", "path", "seq", F.when(head, start.cast("int")).alias("start"), (plus & ~head).alias("plus"), (~minus & ~head).cast("int").alias("moves"))
+    # both windows have the same order, so a task sorts and holds its lines once
+    passed = rows.withColumn("passed", F.coalesce(F.sum("moves").over(by_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    at_zero = F.last(F.col("start") - F.col("passed"), ignorenulls=True).over(by_file.rowsBetween(W.unboundedPreceding, W.currentRow))
+    counted = passed.withColumn("at_zero", at_zero).where("plus and at_zero is not null")
+    return counted.select("repo", "range_id", "path", (F.col("at_zero") + F.col("passed")).cast("int").alias("line"))
 
 
 def is_footgun(line: Column) -> Column:
@@ -152,7 +154,8 @@ def footguns(files: DataFrame) -> DataFrame:
 
 def footguns_added(diff: DataFrame, heads: DataFrame) -> DataFrame:
     """(repo, path, line, text): declarations on added lines. heads: repo, range_id, path, content at the range's head."""
-    return footguns(heads).join(added_lines(diff), ["repo", "range_id", "path", "line"], "left_semi").select("repo", "path", "line", "text").distinct()
+    # merged: by the size of a source whose rows become many lines, the lines would seem few enough for a broadcast, which every task holds whole
+    return footguns(heads).join(added_lines(diff).hint("merge"), ["repo", "range_id", "path", "line"], "left_semi").select("repo", "path", "line", "text").distinct()
 
 
 def push_ranges(pushes: DataFrame, nearest: DataFrame) -> DataFrame:

@@ -349,6 +349,21 @@ def test_footguns_added(spark):
     assert [(r.line, r.text) for r in drift.footguns_added(d, heads).collect()] == [(3, "# footgun: new")]
 
 
+def test_footguns_of_few_parts_with_many_lines(spark, tmp_path, capsys):
+    """A small file whose rows become many lines: these are not sent whole to every task, and the lines of a file are sorted once for their numbers."""
+    heads = [("r", "g", f"p{i}.go", "# footgun: old\n\n# footgun: new") for i in range(50)]
+    spark.createDataFrame(heads, "repo string, range_id string, path string, content string").write.parquet(f"{tmp_path}/heads")
+    few = spark.read.parquet(f"{tmp_path}/heads")
+    lines = ["@@ -1 +3 @@", "+# footgun: new", "@@ -9 +1 @@", "-gone"]
+    diff = few.select("repo", "range_id", "path", F.posexplode(F.array(*map(F.lit, lines))).alias("seq", "text"))
+    found = drift.footguns_added(diff, few)
+    assert found.count() == 50 and {r.line for r in found.collect()} == {3}
+    found.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    drift.added_lines(diff).explain()
+    assert capsys.readouterr().out.count("Sort [") == 1
+
+
 def test_pushes_and_guard(spark):
     z = "0" * 40
     p = spark.createDataFrame([("r", f"a h1 a b1"), ("r", f"a {z} a b2"), ("r", f"a h3 a {z}"), ("r", f"a h4 a {z}"), ("r", "short line")], "repo string, line string")
