@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docweave.functions.session import spool
 from docweave.llm.blocks import packed
 
 #: Sides of a tile: a query block is sent once for every VECTORS candidates. A tile's scores take 64 MB as numbers of 64 bits.
@@ -78,6 +79,18 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: flo
     return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & ~bad).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
+def narrowed(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes each that hold all of them."""
+    least, most = a.min(initial=0), a.max(initial=0)
+    return a.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= least and most <= np.iinfo(k).max))
+
+
+def vectors_of(flat, size: np.ndarray) -> list[np.ndarray]:
+    """The vectors of a block from its buffer of `narrowed` numbers and their lengths."""
+    total = int(size.sum(dtype=np.int64))
+    return np.split(np.frombuffer(flat, f"i{len(flat) // total}") if total else np.zeros(0, np.int64), np.cumsum(size)[:-1])
+
+
 def packed_blocks(rows: DataFrame, block_of, name: str) -> DataFrame:
     """One row per block: its ids, vectors one after the other, and their lengths."""
 
@@ -85,7 +98,7 @@ def packed_blocks(rows: DataFrame, block_of, name: str) -> DataFrame:
         v = t.column("v").combine_chunks()
         size = np.asarray(pa.compute.list_value_length(v)).astype(np.int32)
         flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.table([t.column(name).slice(0, 1), pa.array([packed(t.column("id").to_numpy())], pa.binary()), pa.array([packed(flat)], pa.binary()), pa.array([packed(size)], pa.binary())], names=[name, f"{name}_ids", f"{name}_flat", f"{name}_size"])
+        return pa.table([t.column(name).slice(0, 1), pa.array([packed(t.column("id").to_numpy())], pa.binary()), pa.array([packed(narrowed(flat))], pa.binary()), pa.array([packed(size)], pa.binary())], names=[name, f"{name}_ids", f"{name}_flat", f"{name}_size"])
 
     return rows.withColumn(name, block_of).groupBy(name).applyInArrow(pack, f"{name} int, {name}_ids binary, {name}_flat binary, {name}_size binary")
 
@@ -99,14 +112,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     an id stand for one vector, the first in array order. Components and scores beyond 64 bits stand at the border of these. A
     very long vector is handled whole. Other columns are not looked at. An empty table gives an empty result.
     """
-    rows = integer_vectors(vectors, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
+    rows = spool(integer_vectors(vectors, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     n = rows.count()
     blocks = max(1, math.ceil(n / VECTORS))
     asks = rows.where(is_query)
     ask_blocks = max(1, math.ceil(asks.count() / QUERIES))
     cand = packed_blocks(rows, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "c")
     query = packed_blocks(asks, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(ask_blocks)).cast("int"), "q")
-    met = query.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cand, "c")
+    # merged: by the size of the queries their copies for all blocks would seem small enough for a broadcast, which the driver holds whole
+    met = query.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).hint("merge").join(cand, "c")
 
     def meet(batches):
         for b in batches:
@@ -114,8 +128,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
                 raw = {c: b.column(c)[r].as_buffer() for c in b.schema.names if c not in ("c", "q")}
                 own = {}
                 for side in "cq":
-                    size = np.frombuffer(raw[f"{side}_size"], np.int32)
-                    own[side] = np.split(np.frombuffer(raw[f"{side}_flat"], np.int64), np.cumsum(size)[:-1])
+                    own[side] = vectors_of(memoryview(raw[f"{side}_flat"]), np.frombuffer(raw[f"{side}_size"], np.int32))
                 ids, asked = np.frombuffer(raw["c_ids"], np.int64), np.frombuffer(raw["q_ids"], np.int64)
                 scores = scores_of(own["q"], own["c"])
                 out = ([], [], [])

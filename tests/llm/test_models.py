@@ -67,6 +67,22 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(df.where("false"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_copies_of_queries_are_not_broadcast(spark, tmp_path, capsys):
+    """The blocks of queries are few, their copies for all blocks of vectors are not: the driver must not hold them."""
+    spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(-300.0).cast("float")).alias("embedding")).write.parquet(f"{tmp_path}/v")
+    found = topk.top_k(spark.read.parquet(f"{tmp_path}/v"), F.col("id") % 50 == 0)
+    assert [r.vec_id for r in found.where("query_id = 150").orderBy("rank").collect()] == [199, 198, 197, 196, 195]
+    found.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_blocks_hold_numbers_in_few_bytes():
+    for most, kind in ((127, np.int8), (128, np.int16), (-(2**15), np.int16), (2**31, np.int64), (-(2**63), np.int64)):
+        a = topk.narrowed(np.array([0, most, 5], np.int64))
+        assert a.dtype == kind and [v.tolist() for v in topk.vectors_of(a.tobytes(), np.array([1, 0, 2], np.int32))] == [[0], [], [most, 5]]
+    assert [v.tolist() for v in topk.vectors_of(b"", np.array([0, 0], np.int32))] == [[], []]
+
+
 def test_large_components_stay_exact():
     q, m = [np.array([2**40, 3])], [np.array([2**20, 5]), np.array([-(2**20)])]
     assert topk.scores_of(q, m).tolist() == [[2**60 + 15, -(2**60)]]
