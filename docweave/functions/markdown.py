@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,8 @@ def body_text(content: Column) -> Column:
 
 def fenced_stretches(lines: Column) -> Column:
     """(from, to) line numbers of fenced code, from 0; a fence ends at the same character, an open one at the end."""
-    near = F.filter(F.transform(lines, lambda x, k: F.struct(k.alias("k"), x.alias("x"))), lambda z: z["x"].rlike("[`~]{3}"))
+    # most lines hold neither character, which is seen without an expression
+    near = F.filter(F.transform(lines, lambda x, k: F.struct(k.alias("k"), x.alias("x"))), lambda z: (z["x"].contains("`") | z["x"].contains("~")) & z["x"].rlike("[`~]{3}"))
     marks = F.filter(F.transform(near, lambda z: F.struct(z["k"].alias("k"), trimmed(z["x"]).alias("x"))), lambda z: z["x"].rlike("^[`~]{3,}"))
     marks = F.transform(marks, lambda z: F.struct(z["k"].alias("k"), F.substring(z["x"], 1, 1).alias("c")))
     none = F.array().cast("array<struct<s:int,e:int>>")
@@ -65,14 +68,14 @@ def fenced_stretches(lines: Column) -> Column:
     )
 
 
-def plain_lines(content: Column) -> Column:
-    """(line from 1, text) of the lines outside of fences."""
-    lines = F.split(content, "\n", -1)
-    rows = F.transform(lines, lambda x, k: F.struct((k + 1).cast("int").alias("line"), x.alias("text")))
+def plain_lines(content: Column, keep: Callable[[Column], Column]) -> Column:
+    """(line from 1, text) of the lines outside of fences for whose text `keep` holds; only these are held against the fences."""
+    rows = lambda lines: F.filter(F.transform(lines, lambda x, k: F.struct((k + 1).cast("int").alias("line"), x.alias("text"))), lambda r: keep(r["text"]))
     outside = lambda v: F.filter(v["rows"], lambda r: ~F.exists(v["fences"], lambda f: (f["s"] < r["line"]) & (r["line"] - 1 <= f["e"])))
-    fenced = let(F.struct(rows.alias("rows"), fenced_stretches(lines).alias("fences")), outside)
+    lines = F.split(content, "\n", -1)
+    fenced = let(lines, lambda x: let(F.struct(rows(x).alias("rows"), fenced_stretches(x).alias("fences")), outside))
     # the fold over fences is only worth its price where a fence is
-    return F.when(content.rlike("[`~]{3}"), fenced).otherwise(rows)
+    return F.when(content.rlike("[`~]{3}"), fenced).otherwise(rows(lines))
 
 
 def let(value: Column, body) -> Column:
@@ -87,7 +90,7 @@ def without_inline_code(line: Column) -> Column:
 
 def links(files: DataFrame, content: Column) -> DataFrame:
     """(columns of `files`, line, target): inline links outside of code, then reference definitions at a line's start."""
-    rows = files.withColumn("__l", F.explode(F.filter(plain_lines(content), lambda r: r["text"].contains("]"))))
+    rows = files.withColumn("__l", F.explode(plain_lines(content, lambda text: text.contains("]"))))
     line = without_inline_code(F.col("__l.text"))
     inline = F.regexp_extract_all(line, F.lit(INLINE_LINK), F.lit(1))
     reference = F.when(line.rlike(REFERENCE), F.array(F.regexp_extract(line, REFERENCE, 1))).otherwise(F.array().cast("array<string>"))
@@ -96,12 +99,14 @@ def links(files: DataFrame, content: Column) -> DataFrame:
 
 def first_heading(body: Column) -> Column:
     """Text of the first `# ` line outside of fences, empty without one."""
-    heads = F.filter(plain_lines(body), lambda r: r["text"].startswith("# "))
+    heads = plain_lines(body, lambda text: text.startswith("# "))
     return F.coalesce(trimmed(F.substring(F.get(heads, F.lit(0))["text"], F.lit(3), F.lit(2147483647))), F.lit(""))
 
 
 def mentioned_paths(body: Column) -> Column:
     """Every `.md` path that the text mentions: prefixes, ending in `.md`, of runs of path characters."""
-    runs = F.filter(F.array_distinct(F.regexp_extract_all(body, F.lit(r"[A-Za-z0-9./_-]*\.md[A-Za-z0-9./_-]*"), F.lit(0))), lambda r: r != "")
+    # no run goes over a line; a run is looked at from its first character only, or a long one would be read once for each of its characters
+    lines = F.array_join(F.filter(F.split(body, "\n", -1), lambda x: x.contains(".md")), "\n")
+    runs = F.filter(F.array_distinct(F.regexp_extract_all(lines, F.lit(r"(?<![A-Za-z0-9./_-])[A-Za-z0-9./_-]*\.md[A-Za-z0-9./_-]*"), F.lit(0))), lambda r: r != "")
     prefixes = lambda r: F.transform(F.sequence(F.lit(1), F.size(F.split(r, r"\.md", -1)) - 1), lambda i: F.concat(F.array_join(F.slice(F.split(r, r"\.md", -1), F.lit(1), i), ".md"), F.lit(".md")))
     return F.array_distinct(F.flatten(F.transform(runs, prefixes)))

@@ -77,7 +77,9 @@ def mention_edges(nodes: DataFrame) -> DataFrame:
     exact = found.join(ends.where(F.col("dst").rlike(plain)), ["repo", "dst"], "left_semi")
     # names with other characters: the text before them must not end in a path character. Such a name holds a run of path characters with the
     # character behind it, or else one before it, which the body holds just so: by these they are joined
-    odd = ends.where(~F.col("dst").rlike(plain))
+    odd = spool(ends.where(~F.col("dst").rlike(plain)), "odd")
+    if odd.isEmpty():  # no body is looked at for them
+        return exact.select("repo", "src", "dst").distinct().withColumn("kind", F.lit("mention"))
     lead, pair = r"[A-Za-z0-9./_-]+[^A-Za-z0-9./_-]", r"[^A-Za-z0-9./_-][A-Za-z0-9./_-]"
     first = F.regexp_extract("dst", lead, 0)
     keyed = odd.withColumn("key", F.when(first != "", first).otherwise(F.regexp_extract("dst", pair, 0)))

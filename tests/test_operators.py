@@ -181,6 +181,26 @@ def test_odd_names_are_found_as_by_search(spark):
     assert got == {(s, d) for s, t in tree.items() for d in tree if s != d and re.search(r"(?:\A|[^A-Za-z0-9./_-])" + re.escape(d), t)}
 
 
+def test_bodies_are_searched_for_odd_names_only(spark, capsys):
+    tree = {"x.md": "see y.md", "y.md": "no"}
+    for odd, searched in (({}, False), ({"é.md": ""}, True)):
+        capsys.readouterr()
+        found = graph.mention_edges(graph.markdown_nodes(files_of(spark, tree | odd)))
+        found.explain()
+        assert ("\\Q" in capsys.readouterr().out) == searched
+        assert [(r.src, r.dst) for r in found.collect()] == [("x.md", "y.md")]
+
+
+def test_long_runs_of_path_characters_are_read_once(spark):
+    import time
+
+    long = "a" * 600_000
+    f = files_of(spark, {"x.md": "", "t.md": f"{long}\n{long} x.md", "u.md": f"{long}x.md\n```\n[x](x.md)\n```\n[t](t.md)"})
+    began = time.time()
+    assert sorted((r.src, r.dst, r.kind) for r in graph.content_edges(f).collect()) == [("t.md", "x.md", "mention"), ("u.md", "t.md", "link"), ("u.md", "t.md", "mention"), ("u.md", "x.md", "mention")]
+    assert time.time() - began < 30
+
+
 def test_latest_and_report(spark, tmp_path):
     import json
 
