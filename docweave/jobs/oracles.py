@@ -205,7 +205,7 @@ ORACLES: dict[str, str] = {
     ),
     "value_drift": corpus_sql(
         """SELECT repo, range_id, name, old, path, line, text FROM (SELECT s.repo, range_id, name, old, us.path, us.line, us.text, row_number() OVER (PARTITION BY s.repo, range_id, name ORDER BY us.path, us.line) AS n FROM
-        (SELECT *, row_number() OVER (PARTITION BY repo, range_id ORDER BY name) AS nth FROM cc) s JOIN us ON us.repo = s.repo AND name = 'MAX_ITEMS_' || us.w WHERE nth <= 40) WHERE n <= 5""",
+        cc s JOIN us ON us.repo = s.repo AND name = 'MAX_ITEMS_' || us.w) WHERE n <= 5""",
         DIFF, USES,
     ),
     "added_lines": f"WITH {DIFF} SELECT repo, range_id, path, (10 + k % 90 + i)::INT AS line FROM pd, (VALUES (0), (1), (2)) v(i) WHERE i > 0 OR k % 3 = 0",

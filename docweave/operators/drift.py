@@ -112,8 +112,8 @@ def dangling_references(diff: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def value_drift(diff: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, range_id, name, old, path, line, text): documents naming a changed constant, at the lines with its old number."""
-    changed = distinctive(changed_constants(diff))
+    """(repo, range_id, name, old, path, line, text): documents naming a changed constant, at the first lines with its old number; all constants of a range that look like symbols."""
+    changed = changed_constants(diff).where(looks_like_symbol(F.col("name")))
     docs = files.where(is_document(F.col("path")))
     naming = token_lines(docs, changed.select("repo", F.col("name").alias("token"))).select("repo", "path", F.col("token").alias("name")).distinct()
     lines = token_lines(docs, changed.select("repo", F.col("old").alias("token"))).withColumnRenamed("token", "old")

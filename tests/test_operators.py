@@ -342,6 +342,14 @@ def test_dangling_and_values(spark):
     assert [(r.name, r.old, r.line, r.text) for r in drift.value_drift(d, f).collect()] == [("MOST_LAMPS", "640", 3, "now 640")]
 
 
+def test_values_of_all_constants_of_a_range(spark):
+    """A range that changes more constants than the reference looks at: each is held against the documents."""
+    names = [f"MOST_LAMPS_{i:02}" for i in range(45)]
+    d = diff_of(spark, "\n".join(f"-{n} = {100 + i}\n+{n} = 7" + str(i + 10) for i, n in enumerate(names)))
+    f = files_of(spark, {"d.md": "\n".join(f"{n} is {100 + i}" for i, n in enumerate(names))})
+    assert sorted((r.name, r.old, r.line) for r in drift.value_drift(d, f).collect()) == [(n, str(100 + i), i + 1) for i, n in enumerate(names)]
+
+
 @pytest.mark.parametrize("slots", [8, 1 << 20])
 def test_words_are_dropped_inside_the_row(spark, monkeypatch, slots):
     """However few slots there are for the tokens, lines and tokens are those of a plain search."""
