@@ -59,7 +59,8 @@ def diff_lines(texts: DataFrame, prefixes: bool = True) -> DataFrame:
     inside = W.partitionBy(*key).orderBy("__pos")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     counted = rows.withColumn("__nth", F.sum(F.col("__begins").cast("long")).over(inside))
-    placed = counted.join(carried, same("repo", "brepo") & same("range_id", "brange_id") & same("__t", "b__t") & same("__block", "b__block")).select(
+    # merged: by the size of a source whose texts become many lines, either side would seem small enough for a broadcast, which goes through the driver whole
+    placed = counted.join(carried.hint("merge"), same("repo", "brepo") & same("range_id", "brange_id") & same("__t", "b__t") & same("__block", "b__block")).select(
         "repo", "range_id", "__t", (F.col("__files") + F.col("__nth")).alias("__file"), (F.col("__lines") + F.col("__pos") % BLOCK_LINES).cast("long").alias("seq"), "text"
     )
     file = ["repo", "range_id", "__t", "__file"]
@@ -74,5 +75,5 @@ def diff_lines(texts: DataFrame, prefixes: bool = True) -> DataFrame:
     listed = F.when(same_name != "", F.when(F.col("own").startswith('diff --git "'), unquoted(F.concat(F.lit('"'), same_name, F.lit('"')))).otherwise(same_name))
     path = F.coalesce(real(rest("new", "+++ ")), real(rest("old", "--- ")), rest("moved", "rename to "), rest("copied", "copy to "), listed)
     files = heads.select(*[F.col(c).alias(f"f{c}") for c in file], path.alias("path"))
-    out = placed.join(files, same("repo", "frepo") & same("range_id", "frange_id") & same("__t", "f__t") & same("__file", "f__file"), "left")
+    out = placed.join(files.hint("merge"), same("repo", "frepo") & same("range_id", "frange_id") & same("__t", "f__t") & same("__file", "f__file"), "left")
     return out.select("repo", "range_id", "path", "seq", "text")

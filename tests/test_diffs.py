@@ -92,3 +92,14 @@ def test_a_text_is_looked_at_once(spark):
     """The digest of a whole text is worked out below the explode, not for each of its lines."""
     plan = diffs.diff_lines(spark.createDataFrame([("r", "g", GIT, 1)], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("xxhash64(text")
+
+
+def test_lines_and_paths_of_a_small_source_are_not_broadcast(spark, tmp_path, capsys):
+    """A small file whose texts become many lines: neither these nor the paths of its files go through the driver."""
+    spark.createDataFrame([("r", f"g{i}", GIT, 1) for i in range(20)] + [(None, None, GIT, 1)], SCHEMA).write.parquet(f"{tmp_path}/texts")
+    found = drift.removed_symbols(diffs.diff_lines(spark.read.parquet(f"{tmp_path}/texts")))
+    assert sorted({r.name for r in found.collect()}) == ["GoneThing", "MovedThing"] and found.count() == 42
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
