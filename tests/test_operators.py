@@ -428,6 +428,23 @@ def test_pairs_of_covers_are_made_once(spark):
         assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
 
 
+def dealt(frame):
+    """The rows of each task."""
+    return sorted(r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_pairs_of_one_target_are_made_by_many_tasks(spark, monkeypatch):
+    """One folder under which all paths lie and which all documents cover: its pairs are dealt out, and each path stands with all of its documents."""
+    monkeypatch.setattr(views, "PAIRS", 500, raising=False)
+    d = docs_of(graph.markdown_nodes(files_of(spark, {f"{i}.md": fm(("covers", "src/a")) for i in range(40)})))
+    wanted = spark.range(300).select(F.lit("r").alias("repo"), F.concat(F.lit("src/a/f"), "id").alias("path"))
+    got = views.covers_of(d, wanted)
+    rows = dealt(got)
+    assert sum(rows) == 12_000 == got.distinct().count() and len(rows) > 10 and rows[-1] < 3_000
+    at = got.withColumn("task", F.spark_partition_id()).groupBy("path").agg(F.count_distinct("task").alias("n"))
+    assert at.count() == 300 and at.where("n > 1").count() == 0
+
+
 def test_index_and_stale(spark):
     f = files_of(spark, {"g.md": fm(kind="guide", more="title: G\ndescription: d\n"), "r.md": fm(kind="runbook").replace("body", "# Run"), "u.md": fm(kind='""'), "old.md": fm(more="verified: 2025-12-01\n"), "tight.md": fm(more="verified: 2026-06-01\nreview: 2w\n"), "fresh.md": fm(more="verified: 2026-06-01\nreview: bad\n"), "odd.md": fm(more="verified: soon\n")})
     d = docs_of(graph.markdown_nodes(f))
