@@ -445,6 +445,15 @@ def test_pairs_of_one_target_are_made_by_many_tasks(spark, monkeypatch):
     assert at.count() == 300 and at.where("n > 1").count() == 0
 
 
+def test_drifting_pairs_of_one_target_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(views, "PAIRS", 500, raising=False)
+    d = docs_of(graph.markdown_nodes(files_of(spark, {f"{i}.md": fm(("covers", "src/a")) for i in range(40)})))
+    changes = spark.range(300).select(F.lit("r").alias("repo"), F.lit("g").alias("range_id"), F.concat(F.lit("src/a/f"), "id").alias("path"))
+    got = views.covers_drift_paths(changes.unionByName(changes.limit(1).withColumn("path", F.lit("0.md"))), d)
+    rows = dealt(got)
+    assert sum(rows) == 39 * 300 == got.distinct().count() and len(rows) > 10 and rows[-1] < 3_000
+
+
 def test_index_and_stale(spark):
     f = files_of(spark, {"g.md": fm(kind="guide", more="title: G\ndescription: d\n"), "r.md": fm(kind="runbook").replace("body", "# Run"), "u.md": fm(kind='""'), "old.md": fm(more="verified: 2025-12-01\n"), "tight.md": fm(more="verified: 2026-06-01\nreview: 2w\n"), "fresh.md": fm(more="verified: 2026-06-01\nreview: bad\n"), "odd.md": fm(more="verified: soon\n")})
     d = docs_of(graph.markdown_nodes(f))
