@@ -454,6 +454,17 @@ def test_drifting_pairs_of_one_target_are_made_by_many_tasks(spark, monkeypatch)
     assert sum(rows) == 39 * 300 == got.distinct().count() and len(rows) > 10 and rows[-1] < 3_000
 
 
+def test_path_lists_are_joined_once(spark, monkeypatch):
+    """Documents that share their paths get one text, which is made below the join, by many tasks."""
+    monkeypatch.setattr(views, "LISTS", 3, raising=False)
+    d = docs_of(graph.markdown_nodes(files_of(spark, {f"{i}.md": fm(("covers", "src/a")) for i in range(40)})))
+    changes = spark.createDataFrame([("r", "g", f"src/a/{x}") for x in "cab"] + [("r", "h", "src/a/b"), ("r", "g", "0.md")], "repo string, range_id string, path string")
+    got = views.covers_drift(changes, d, ",")
+    assert {r.doc: r.paths for r in got.collect()} == {"0.md": "src/a/b"} | {f"{i}.md": "src/a/a,src/a/b,src/a/c" for i in range(1, 40)}
+    rows, plan = dealt(got), got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(rows) > 3 and plan.index("Join") < plan.index("array_join(")
+
+
 def test_index_and_stale(spark):
     f = files_of(spark, {"g.md": fm(kind="guide", more="title: G\ndescription: d\n"), "r.md": fm(kind="runbook").replace("body", "# Run"), "u.md": fm(kind='""'), "old.md": fm(more="verified: 2025-12-01\n"), "tight.md": fm(more="verified: 2026-06-01\nreview: 2w\n"), "fresh.md": fm(more="verified: 2026-06-01\nreview: bad\n"), "odd.md": fm(more="verified: soon\n")})
     d = docs_of(graph.markdown_nodes(f))
